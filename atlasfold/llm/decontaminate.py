@@ -19,7 +19,6 @@ other columns are ignored whatever their names.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 
@@ -161,13 +160,25 @@ def contamination(
     return out.withColumnRenamed("_id", id_col)
 
 
+def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = 10, block_bytes: int = 16 << 20) -> DataFrame:
+    """The rows of ``docs`` in which no window of an item occurs, all their columns as they were."""
+    sc = docs.sparkSession.sparkContext
+    for block in blocks(items, item_id, item_text, block_bytes):
+        sent = sc.broadcast(block)
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            auto = automaton(sent.value, width)
+            for batch in batches:
+                for part in slices(batch, text_col):
+                    yield part.filter(pa.array([not scan(auto, words(t))[0] for t in utf8(part, text_col)], pa.bool_()))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
+
+
 def original_spans(text: bytes, pairs: list[tuple[int, int]]) -> list[list[int]]:
     """Ranges of words as offsets of code points in the text as it was."""
     if not pairs:
         return []
     at = [m.span() for m in WORD.finditer(text.decode("utf-8", "surrogateescape"))]
     return [[at[a][0], at[b - 1][1]] for a, b in pairs]
-
-
-def digest(ids: list[str]) -> str:
-    return hashlib.sha256(",".join(ids).encode()).hexdigest()

@@ -20,6 +20,7 @@ classes every score is 0; other columns are ignored whatever their names.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -93,16 +94,28 @@ class Model:
         known = self.known
         return self.bias + sum(known[w] for w in set(sentence.split()) if w in known)
 
-    def score(self, text: str) -> float:
-        """Noisy-or over the sentences."""
+    def scores(self, texts: list[str]) -> list[float]:
+        """Noisy-or over the sentences of each text; the words of all texts are looked up together."""
         if self.weights is None:
-            return 0.0
-        own = bag(text)
-        words = set(b" ".join(own).split())
-        self.learn(words)
-        charged = [o for s in own if (o := self.odds(s)) != self.bias] if not words.isdisjoint(self.known) else []
-        silent = (max(1, len(own)) - len(charged)) * np.logaddexp(0.0, self.bias) + np.logaddexp(0.0, charged).sum()
-        return float(-np.expm1(-silent))
+            return [0.0] * len(texts)
+        bags = [bag(t) for t in texts]
+        words = [set(b" ".join(own).split()) for own in bags]
+        every = set().union(*words)
+        self.learn(every)
+        charged = {w: self.known[w] for w in every.intersection(self.known)}
+        bias, plain = self.bias, float(np.logaddexp(0.0, self.bias))
+        out = []
+        for own, has in zip(bags, words, strict=True):
+            silent = plain * max(1, len(own))
+            if not has.isdisjoint(charged):
+                for s in own:
+                    if v := sum([charged[w] for w in set(s.split()) if w in charged]):
+                        silent += float(np.logaddexp(0.0, bias + v)) - plain
+            out.append(-math.expm1(-silent))
+        return out
+
+    def score(self, text: str) -> float:
+        return self.scores([text])[0]
 
     def spans(self, text: str, least: float = 0.5) -> list[tuple[int, int, float]]:
         """Offsets and probability of the sentences at ``least`` or more."""
@@ -165,7 +178,7 @@ def fit(texts: list[str], labels: list[int], min_docs: int = MIN_DOCS, epochs: i
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
         weights, bias = weights + step[:-1], min(bias + step[-1], -2.0)
-    return Model({f: float(weights[i]) for f, i in ids.items() if abs(weights[i]) > 1e-3}, float(bias))
+    return Model({f: float(weights[i]) for f, i in ids.items() if abs(weights[i]) > 0.2}, float(bias))
 
 
 def fit_on(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_fit: int = MAX_FIT) -> Model:
@@ -188,7 +201,7 @@ def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
         for batch in batches:
             for part in slices(batch, "_text"):
                 texts = [x or "" for x in part.column("_text").to_pylist()]
-                found = [m.score(x) for x in texts]
+                found = m.scores(texts)
                 spans = [[{"start": a, "stop": b, "score": p} for a, b, p in m.spans(x)] if s >= 0.5 else [] for x, s in zip(texts, found, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("_id"), pa.array(found, pa.float64()), pa.array(spans, span)], ["_id", "score", "spans"])
 
@@ -206,7 +219,8 @@ def reject(docs: DataFrame, model: Model, text_col: str = "text", threshold: flo
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         for batch in batches:
-            keep = [m.score(x or "") < threshold for x in batch.column(at).to_pylist()]
-            yield batch.filter(pa.array(keep, pa.bool_()))
+            for part in slices(batch, text_col):
+                keep = [s < threshold for s in m.scores([x or "" for x in part.column(at).to_pylist()])]
+                yield part.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
