@@ -15,4 +15,23 @@ select d.doc_id, len(d.w)::bigint n_words, coalesce(n_hit, 0)::bigint n_hit, coa
 from d left join c using (doc_id) left join e using (doc_id)
 """
 
-SQL = {"op1_decontaminate": OP1}
+OP6 = """
+with p as (select page_id, strlen(coalesce(html, '')) n, sha1(coalesce(html, '')) d from pages),
+m as (select d, max(page_id) keep from p where n >= 1000 group by 1)
+select page_id, n::bigint payload_bytes, d payload_digest, case when n >= 1000 and page_id <> keep then 'revisit' else 'response' end record_type,
+       case when n >= 1000 and page_id <> keep then keep end refers_to
+from p left join m using (d)
+"""
+
+OP8 = r"""
+with u as (select page_id, case when strpos(coalesce(url, ''), '://') > 0 then url[strpos(url, '://') + 3 :] else '' end r from pages),
+h as (select page_id, r, regexp_extract(r, '^[^/?#]*') raw from u),
+s as (select page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') host, regexp_extract(r[len(raw) + 1 :], '^[^?#]*') path from h),
+rules(v, rh, rp) as (values ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('allow', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')),
+fit as (select page_id, max_by(rh || rp, len(rh || rp)) rule, max_by(v, len(rh || rp)) v from s join rules on (host = rh or ends_with(host, '.' || rh)) and starts_with(path, rp) group by 1),
+l as (select host from s join fit using (page_id) where host <> '' group by 1 having sum(case v when 'block' then 1 else -1 end) > 0)
+select page_id, host, path, rule, coalesce(v, case when host in (select host from l) then 'block' else 'allow' end) verdict
+from s left join fit using (page_id)
+"""
+
+SQL = {"op1_decontaminate": OP1, "op6_warc": OP6, "op8_url_filter": OP8}
