@@ -6,8 +6,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from atlasfold.llm import decontaminate, simhash, toxicity
+from atlasfold.llm import decontaminate, passages, pieces, simhash, toxicity
 from atlasfold.llm.common import shared_dir, table
+from atlasfold.llm.queries import tokenizer_file
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,12 +21,22 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return simhash.keep_one(docs)
 
 
+def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the paragraphs that another document, of a lesser id, has too; n_chars is made to fit."""
+    return passages.remove(docs)
+
+
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a window of a benchmark item."""
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
-STAGES = [("toxicity", drop_toxic), ("simhash", drop_near_copies), ("decontamination", drop_leaks)]
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, ids (pieces with merge-dropout) and intact (they decode to the text) of every document."""
+    return pieces.encode(docs, tokenizer_file("piece_bpe_32k.model"))
+
+
+STAGES = [("toxicity", drop_toxic), ("simhash", drop_near_copies), ("passages", cut_passages), ("decontamination", drop_leaks), ("pieces", encode)]
 
 #: Training, fingerprint balls and encodings have no SQL; tests hold each stage against a brute-force version.
 ORACLE_SQL = None
