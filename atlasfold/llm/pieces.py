@@ -71,13 +71,13 @@ class Codec:
         self.chunk = re.compile(rf"{word} *[^ \n]+| +|\n")
         self.seed, self.limit, self.variants = seed, int(rate * (1 << 32)), variants if rate else 1
         # the same pieces as arrays: their order, and the pairs of pieces that make one
-        by_order = sorted(self.rank.items(), key=lambda x: (x[1][0], x[1][1]))
+        ranks = {x: k for k, x in enumerate(sorted({r for r, _ in self.rank.values()}))}
         self.n = n
-        self.order_id = np.array([r[1] for _, r in by_order], np.int32)
-        self.order_size = np.array([len(p) for p, _ in by_order], np.uint64)
-        pairs = [(self.rank[p[:k]][1] * n + self.rank[p[k:]][1], o) for o, (p, _) in enumerate(by_order) for k in range(1, len(p)) if p[:k] in self.rank and p[k:] in self.rank]
-        pairs.sort()
-        self.pair_keys, self.pair_order = np.array([x for x, _ in pairs], np.int64), np.array([x for _, x in pairs], np.int32)
+        self.size_of = np.zeros(n, np.uint64)
+        for p, (_, i) in self.rank.items():
+            self.size_of[i] = len(p)
+        pairs = sorted((self.rank[p[:k]][1] * n + self.rank[p[k:]][1], ranks[r], i) for p, (r, i) in self.rank.items() for k in range(1, len(p)) if p[:k] in self.rank and p[k:] in self.rank)
+        self.pair_keys, self.pair_rank, self.pair_id = (np.array([x[j] for x in pairs], d) for j, d in ((0, np.int64), (1, np.int32), (2, np.int32)))
         self.char_id = np.full(0x110000, -1, np.int32)
         for p, (_, i) in self.rank.items():
             if len(p) == 1:
@@ -163,11 +163,11 @@ class Codec:
             out[total[i] : total[i + 1]] = parts[i]
         return out, counts
 
-    def _lookup(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Order of the piece that two symbols make; NONE without one."""
+    def _lookup(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank (NONE without one; equal scores have equal ranks) and id of the piece that two symbols make."""
         want = a.astype(np.int64) * self.n + b
         at = np.minimum(np.searchsorted(self.pair_keys, want), len(self.pair_keys) - 1)
-        return np.where((self.pair_keys[at] == want) & (a >= 0) & (b >= 0), self.pair_order[at], NONE)
+        return np.where((self.pair_keys[at] == want) & (a >= 0) & (b >= 0), self.pair_rank[at], NONE), self.pair_id[at]
 
     def _agendas(self, chunks, some, sizes, symbols, starts, variants) -> np.ndarray:
         """Symbols of each row when its agenda is done; -1 where there is none."""
@@ -179,36 +179,36 @@ class Codec:
         after = np.broadcast_to(np.minimum(np.arange(1, width + 2), width), (rows, width + 1)).copy()
         before = np.broadcast_to(np.arange(-1, width), (rows, width + 1)).copy()
         order = np.full((rows, width + 1), NONE, np.int32)
-        order[:, :width] = self._lookup(sym[:, :width], sym[:, 1:])
+        makes = np.zeros((rows, width + 1), np.int32)
+        order[:, :width], makes[:, :width] = self._lookup(sym[:, :width], sym[:, 1:])
         if self.limit:
             keys = np.array([xxhash.xxh64_intdigest(chunks[i].encode("utf-8", "surrogatepass"), self.seed * 1_000_003 + int(variants[i])) for i in some.tolist()], np.uint64)
         live = np.arange(rows)
         while len(live):
             i = order[live].argmin(1)
-            best = order[live, i]
-            open_ = best < NONE
-            live, i, best = live[open_], i[open_], best[open_]
-            r = live
+            open_ = order[live, i] < NONE
+            live, i = live[open_], i[open_]
+            r, made = live, makes[live, i]
             if self.limit:
                 with np.errstate(over="ignore"):
-                    h = (keys[r] + (i.astype(np.uint64) << np.uint64(20)) + self.order_size[best]) * np.uint64(0x9E3779B97F4A7C15)
+                    h = (keys[r] + (i.astype(np.uint64) << np.uint64(20)) + self.size_of[made]) * np.uint64(0x9E3779B97F4A7C15)
                     h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
                 skip = h >> np.uint64(32) < np.uint64(self.limit)
                 order[r[skip], i[skip]] = NONE
                 go = ~skip
-                r, i, best = r[go], i[go], best[go]
+                r, i, made = r[go], i[go], made[go]
             j = after[r, i]
             k = after[r, j]
-            made = self.order_id[best]
             sym[r, i] = made
             sym[r, j] = -1
             after[r, i] = k
             before[r, k] = i
             order[r, j] = NONE
-            order[r, i] = self._lookup(made, sym[r, k])
+            order[r, i], makes[r, i] = self._lookup(made, sym[r, k])
             b = before[r, i]
             has = b >= 0
-            order[r[has], b[has]] = self._lookup(sym[r[has], b[has]], made[has])
+            r, b = r[has], b[has]
+            order[r, b], makes[r, b] = self._lookup(sym[r, b], made[has])
         return sym[:, :width]
 
     def encode_many(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
