@@ -30,7 +30,7 @@ def ray_cells(rays: DataFrame, res: float, beyond: float = BEHIND) -> DataFrame:
     px, py = F.col("ix") * res - F.col("wx"), F.col("iy") * res - F.col("wy")
     off = F.abs(F.col("_ux") * py - F.col("_uy") * px)
     sdf = -dot("_ux", "_uy", px, py)
-    hit = s.withColumns({"off": off, "sdf": sdf}).where((F.col("off") < half) & (F.col("sdf") >= -beyond) & (F.col("sdf") <= F.col("_len")))
+    hit = s.withColumns({"off": off, "sdf": sdf}).where((F.col("off") < half) & (F.col("sdf") >= -beyond) & (F.col("sdf") <= F.col("_len") + 1e-9))
     return hit.drop("_k", "_bx", "_by", "_o", "_ux", "_uy", "_len", "off").distinct()
 
 

@@ -71,7 +71,7 @@ def scan_normals(points: DataFrame, reach: float) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
             out = []
-            for g, p, ids, xs, ys in zip(frame.graph_id, frame.pose_id, frame.ids, frame.xs, frame.ys, strict=True):
+            for g, p, ids, xs, ys in zip(frame["graph_id"], frame["pose_id"], frame["ids"], frame["xs"], frame["ys"], strict=True):
                 live = list(zip(ids, xs, ys, strict=True))
                 i = 0
                 while i < len(live):

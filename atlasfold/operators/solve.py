@@ -7,6 +7,7 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def _ends(cx: float, cy: float, half: float, theta: float) -> tuple[float, float, float, float]:
@@ -201,8 +202,9 @@ def joint_solve(poses: DataFrame, constraints: DataFrame) -> DataFrame:
         solved, before, after, _ = Chain(p, own).solve(p)
         return pd.DataFrame({"graph_id": left.graph_id, "pose_id": left.pose_id, "x": solved[:, 0], "y": solved[:, 1], "th": solved[:, 2], "cost_before": before, "cost_after": after})
 
-    a = poses.select("graph_id", "pose_id", "x", "y", "th").groupBy("graph_id")
-    return a.cogroup(constraints.groupBy("graph_id")).applyInPandas(run, "graph_id long, pose_id int, x double, y double, th double, cost_before double, cost_after double")
+    a = poses.select(F.col("graph_id").alias("_g"), "graph_id", "pose_id", "x", "y", "th").groupBy("_g")
+    b = constraints.select(F.col("graph_id").alias("_h"), "type", "constrained_id", "tx", "ty", "tth", "penalty").groupBy("_h")
+    return a.cogroup(b).applyInPandas(run, "graph_id long, pose_id int, x double, y double, th double, cost_before double, cost_after double")
 
 
 def fit_segments(points: DataFrame, inlier: float = 0.03) -> DataFrame:

@@ -104,7 +104,7 @@ PAIR = "(nx * (px - 0.1) + ny * (py - 0.2))"
 SDF = S + """, ray as (select *, sqrt(px * px + py * py) len from s where px <> 0 or py <> 0),
 cell as (select graph_id, pose_id, obs_id, px, py, len, ix, iy, (px * (px - ix * 0.25) + py * (py - iy * 0.25)) / len sdf, abs(px * (iy * 0.25 - py) - py * (ix * 0.25 - px)) / len off
  from (select *, unnest(range(floor((least(px, 0) - 1) / 0.25)::int, ceil((greatest(px, 0) + 1) / 0.25)::int + 1)) ix from ray) q, lateral (select unnest(range(floor((least(py, 0) - 1) / 0.25)::int, ceil((greatest(py, 0) + 1) / 0.25)::int + 1)) iy)),
-hit as (select *, least(sdf, 0.2) v from cell where off < 0.25 * sqrt(2) / 2 and sdf >= -0.2 and sdf <= len),
+hit as (select *, least(sdf, 0.2) v from cell where off < 0.25 * sqrt(2) / 2 and sdf >= -0.2 and sdf <= len + 1e-9),
 wt as (select *, case when abs(v) <= 0.02 then 1.0 when sdf > 0.2 then 0.01 else exp(-30.0 * (v - 0.02) * (v - 0.02)) end k from hit),
 g as (select graph_id, ix, iy, sum(k * v) / sum(k) value, sum(k) weight from wt group by all)"""
 
@@ -144,13 +144,13 @@ SQL = {
     "segment_distance": f"with {W} select {IDO}, {cols('d=' + seg('wx', 'wy', X0, Y0, X1, Y1), 5)} from w",
     "segment_distance_compat": f"with {W}, q as (select *, {NUM} / {L!r} t from w) select {IDO}, {cols(f'd=case when t < 0 then sqrt(power(wx + 1, 2) + power(wy, 2)) when t > 1 then sqrt(power(wx - 1, 2) + power(wy - 0.5, 2)) else abs(2 * wy - 0.5 * (wx + 1)) / {L!r} end', 5)} from q",
     "line_ops": f"""with {S}, q as (select *, nullif(px * 0.5 - py * 2.0, 0) dd from s), z as (select *, (-1.0 * 0.5 - 0.0 * 2.0) / dd t, (-1.0 * py - 0.0 * px) / dd u from q)
-select {IDO}, {cols(f'off=(2 * py - 0.5 * (px + 1)) / {L!r}; t=((px + 1) * 2 + py * 0.5) / 4.25; len=sqrt(px * px + py * py); ix=case when t between 0 and 1 and u between 0 and 1 then t * px end; iy=case when t between 0 and 1 and u between 0 and 1 then t * py end', 5)} from (select * exclude (t, u), t, u from z)""".replace("t=((px", "t=((px"),
+select {IDO}, {cols(f'off=(2 * py - 0.5 * (px + 1)) / {L!r}; t=((px + 1) * 2 + py * 0.5) / 4.25; len=sqrt(px * px + py * py); ix=case when t between 0 and 1 and u between 0 and 1 then t * px end; iy=case when t between 0 and 1 and u between 0 and 1 then t * py end')} from z""",
     "geom_ops": f"""with {S}, a as (select *, 2 * (3.0 * (py + 9.0) - 0.5 * px) dd, px * px + (py + 9.0) * (py + 9.0) c2, power(px + 20.0, 2) + py * py d2, px / 9 oy, py / 9 oz from s),
 b as (select *, ((py + 9.0) * 9.25 - 0.5 * c2) / dd ux, (3.0 * c2 - px * 9.25) / dd uy, 1.5 * sqrt(d2 - 2.25) / d2 h, 81.0 - (81.0 + oy * oy + oz * oz - 4.0) disc from a)
 select {IDO}, {cols('''angle=abs(atan2((px - 9) * (7 - 9) - (py - 9) * (-9 - 9), (px - 9) * (-9 - 9) + (py - 9) * (7 - 9))); cx=ux; cy=uy; radius=sqrt(ux * ux + uy * uy);
 t0=2.25 / d2 * (px + 20.0) - h * py; t1=2.25 / d2 * py + h * (px + 20.0); hit=case when disc >= 0 then 9.0 - sqrt(disc) end; plane=(5.0 - px) / 2.0;
 ramp=least(greatest((px + 1) / 2, 0), 1); bound=least(greatest(py, -0.75), 0.75);
-mid=py + 0.5 * 0.3 * (px + 1 - px + 0.3 * (2 * px - 5 * py + 4 * (px + 1) - (py - 1) + 0.3 * (3 * (py - (px + 1)) + (py - 1) - px)))''', 5)} from b""".replace("81.0 - (81.0", "81.0 - (81.0"),
+mid=py + 0.5 * 0.3 * (px + 1 - px + 0.3 * (2 * px - 5 * py + 4 * (px + 1) - (py - 1) + 0.3 * (3 * (py - (px + 1)) + (py - 1) - px)))''', 5)} from b""",
     "scalar_ops": """select l_orderkey::bigint l_orderkey, l_linenumber::bigint l_linenumber, gcd(q, p)::bigint gcd, bit_count(q)::bigint bits, (case when q >= p then 1 else -1 end)::bigint sign, greatest(q, p)::bigint larger, (((-q) % p + p) % p)::bigint mod
 from (select l_orderkey, l_linenumber, l_quantity::bigint q, (l_partkey % 97 + 1)::bigint p from lineitem)""",
     "pill_select": f"with {W} select {IDS}, count(*) n_inliers from w where {seg('wx', 'wy', X0, Y0, X1, Y1)} < 0.1 group by 1, 2 having count(*) > 5",
@@ -178,7 +178,7 @@ select {IDS}, {cols('c00=var_t * bt * 1e4; c02=1e-4 * br * 1e4; c11=var_t * bt *
 b as (select *, sqrt(bx * bx + by_ * by_) bl, sqrt(ax * ax + ay * ay) al from a),
 c as (select {IDO}, case when bl < 0.25 and bl > 0 then -by_ / bl else 0 end + case when al < 0.25 and al > 0 then -ay / al else 0 end x, case when bl < 0.25 and bl > 0 then bx / bl else 0 end + case when al < 0.25 and al > 0 then ax / al else 0 end y from b)
 select {IDO}, {cols('nx=x / sqrt(x * x + y * y); ny=y / sqrt(x * x + y * y)')} from c where sqrt(x * x + y * y) > 1e-12""",
-    "nn_l2": f"with {NEXT} select {IDO}, to_obs, {rnd('d', 5)} d from nn qualify row_number() over (partition by {IDO} order by d, to_obs) = 1".replace("order by d,", "order by nn.d,"),
+    "nn_l2": f"with {NEXT} select {IDO}, to_obs, {rnd('d', 5)} d from nn qualify row_number() over (partition by {IDO} order by nn.d, to_obs) = 1",
     "nn_normal": f"with {NEXT} select {IDO}, to_obs, {rnd('dn', 5)} dn from nn qualify row_number() over (partition by {IDO} order by nn.dn, to_obs) = 1",
     "radius_search": f"with {NEXT} select {IDO}, count(*) n from nn group by all",
     "visual_odometry": f"with {NEXT} select {IDO}, to_obs, {rnd('d', 5)} d from nn where nc > {math.cos(math.radians(25.0))!r} qualify row_number() over (partition by {IDO} order by nn.d, to_obs) = 1",
@@ -203,7 +203,7 @@ select graph_id, seg_id, {cols('x0=x0 + lo * (x1 - x0); y0=y0 + lo * (y1 - y0);
     "polar_scan": f"""with a as (select vec_id::bigint vec_id, i beam, abs(embedding[i + 1]::double) * 4 r, -1.5 + i * (3.0 / 63) a from embeddings, range(64) t(i) where i between 2 and 61)
 select vec_id, beam, {cols('range=r; px=0.15 + r * cos(a); py=r * sin(a)')} from a where r between 0.2 and 6.0""",
     "range_correction": f"with {S}, k(bin, delta) as (values {BINS}) select {IDO}, {rnd('sqrt(px * px + py * py) * (1 + coalesce(delta, 0))', 5)} range from s left join k on bin = floor(atan2(py, px) / 0.1)",
-    "latest_per_publisher": f"select user_id::bigint user_id, event_id::bigint event_id, {rnd('value')} as value from events e qualify row_number() over (partition by user_id order by ts desc, e.event_id desc) = 1".replace("value from", "value from"),
+    "latest_per_publisher": f"select user_id::bigint user_id, event_id::bigint event_id, {rnd('value')} as value from events e qualify row_number() over (partition by user_id order by ts desc, e.event_id desc) = 1",
     "display_lines": f"""with {P}, a as (select *, lead(x) over q x2, lead(y) over q y2, x + 0.3 * cos(th) tx, y + 0.3 * sin(th) ty from p window q as (partition by graph_id order by pose_id)),
 l as (select {IDS}, 'edge' kind, x x0, y y0, x2 x1, y2 y1 from a where x2 is not null union all select {IDS}, 'shaft', x, y, tx, ty from a where x2 is not null
  union all select {IDS}, 'barb', tx, ty, tx + 0.1 * cos(th + 2.5), ty + 0.1 * sin(th + 2.5) from a where x2 is not null union all select {IDS}, 'barb', tx, ty, tx + 0.1 * cos(th - 2.5), ty + 0.1 * sin(th - 2.5) from a where x2 is not null)
