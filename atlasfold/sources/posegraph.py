@@ -126,7 +126,7 @@ def read_laser_corrections(spark: SparkSession, path: str) -> DataFrame:
 
 def read_grid(spark: SparkSession, path: str, value: str) -> DataFrame:
     """A text grid: ``w h``, ``ox oy``, then values x by x: (file, ix, iy, ox, oy, value)."""
-    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.split(F.trim("value"), r"\s+").alias("v"))
+    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.split(F.regexp_replace("value", r"^\s+|\s+$", ""), r"\s+").alias("v"))
     num = lambda i: F.get("v", F.lit(i)).cast("double")
     at = whole.select("file", num(1).cast("int").alias("h"), num(2).alias("ox"), num(3).alias("oy"), F.posexplode(F.slice("v", 5, F.size("v"))).alias("k", "s"))
     return at.select("file", F.floor(F.col("k") / F.col("h")).cast("int").alias("ix"), F.pmod("k", "h").cast("int").alias("iy"), "ox", "oy", F.col("s").cast("double").alias(value))
