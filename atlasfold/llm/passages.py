@@ -9,10 +9,13 @@ cut into the same blocks wherever it stands. Equal paragraphs meet on their
 bands tuned to a recall at the similarity; lines that collide in a band are
 verified by exact Jaccard, and verified links are clustered by components.
 
-In a band's bucket every line is verified against the least one first; only
-where a bucket still spans several components are the pairs across components
-verified too. So no link is lost, and a bucket of many near copies costs a
-row for each.
+In a band's bucket every line is verified against the commonest one first,
+which joins most near copies for a row each. Buckets that still span several
+components are cut into blocks of bounded size, and pairs of blocks go to
+tasks that compare across components in memory: an upper bound on the
+similarity from bit maps discards nearly all, the rest are verified exactly,
+and only links that join two components come out. So no link of a bucket is
+lost and no bucket's pairs are listed.
 
 Of every cluster that spans documents, the occurrences in the smallest doc id
 stay and the others go, if what goes is at least ``MIN_RUN`` words in a row.
@@ -41,6 +44,8 @@ SHINGLE, SIMILARITY, RECALL = 5, 0.8, 0.98
 MIN_LINE, MIN_RUN, REACH = 20, 15, 5
 #: Candidate hashes that are broadcast at most; more are joined by a shuffle.
 BROADCAST_HASHES = 500_000
+#: Lines of a block, and 64-bit words of the bit map that bounds their similarity.
+BLOCK, MAP_WORDS = 2048, 8
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 #: Odd multipliers of the polynomial hashes, and its inverse modulo 2^64.
 BASE = 0x9E3779B97F4A7C15
@@ -192,7 +197,7 @@ def _band_rows(docs: DataFrame, text_col: str, n: int, rows: int) -> DataFrame:
 
 
 def _colliding(rows: DataFrame) -> DataFrame:
-    """(key, h, least) of the rows whose key has several different lines; least: its least line."""
+    """(key, h, pivot) of the rows whose key has several different lines; pivot: the line that most tasks sent, the least of equals."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [(b.column("key").to_numpy(zero_copy_only=False), b.column("h").to_numpy(zero_copy_only=False)) for b in batches]
@@ -201,14 +206,18 @@ def _colliding(rows: DataFrame) -> DataFrame:
         key, h = (np.concatenate(x) for x in zip(*held, strict=True))
         order = np.lexsort((h, key))
         key, h = key[order], h[order]
-        new = np.concatenate([[True], (key[1:] != key[:-1]) | (h[1:] != h[:-1])])
+        new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (h[1:] != h[:-1])]))
+        times = np.diff([*new, len(key)])
         key, h = key[new], h[new]
         first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         sizes = np.diff([*first, len(key)])
+        most = np.repeat(np.maximum.reduceat(times, first), sizes)
+        commonest = np.where(times == most, np.arange(len(key)), len(key))
+        pivot = h[np.minimum.reduceat(commonest, first)]
         keep = np.repeat(sizes > 1, sizes)
-        yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(h[keep]), pa.array(np.repeat(h[first], sizes)[keep])], ["key", "h", "least"])
+        yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(h[keep]), pa.array(np.repeat(pivot, sizes)[keep])], ["key", "h", "pivot"])
 
-    return rows.repartition("key").mapInArrow(run, "key long, h long, least long")
+    return rows.repartition("key").mapInArrow(run, "key long, h long, pivot long")
 
 
 def _sets(docs: DataFrame, text_col: str, wanted: DataFrame) -> DataFrame:
@@ -251,20 +260,81 @@ def line_clusters(docs: DataFrame, text_col: str, similarity: float = SIMILARITY
     n, rows = bands(similarity, recall)
     met = cut(_colliding(_band_rows(docs, text_col, n, rows)), "met")
     sets = _sets(docs, text_col, met.select("h").distinct())
-    first = met.where("h != least").select(F.col("h").alias("a"), F.col("least").alias("b")).distinct()
+    first = met.where("h != pivot").select(F.greatest("h", "pivot").alias("a"), F.least("h", "pivot").alias("b")).distinct()
     links = cut(_verified(first, sets, similarity), "verified")
     found = components(links)
-    # buckets that still span components: verify across them
-    placed = cut(met.select("key", "h").join(found, F.col("h") == F.col("node"), "left").select("key", "h", F.coalesce("root", "h").alias("root")), "placed")
-    open_keys = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("key")
-    left = cut(placed.join(open_keys, "key", "left_semi"), "open")
-    across = left.select("key", F.col("h").alias("a"), F.col("root").alias("ra")).join(left.select("key", F.col("h").alias("b"), F.col("root").alias("rb")), "key").where("ra < rb")
-    # stars are verified already and failed
-    across = across.select("a", "b").distinct().join(first.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti").join(first, ["a", "b"], "left_anti")
-    more = cut(_verified(across, sets, similarity), "verified")
+    more = cut(_across(met, found, sets, similarity), "across")
     return components(links.union(more)) if more.limit(1).count() else found
 
 
+def _across(met: DataFrame, found: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): links between components that share a bucket, enough of them to join what is linked."""
+    placed = met.select("key", "h").join(found, F.col("h") == F.col("node"), "left").select("key", "h", F.coalesce("root", "h").alias("root"))
+    placed = cut(placed, "placed")
+    spans = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo != hi")
+    left = placed.join(spans.select("key", F.ceil(F.col("n") / BLOCK).alias("n")), "key").join(sets, "h")
+    block = F.pmod(F.xxhash64("h", "key"), F.col("n")).cast("int")
+    lists = [F.collect_list(F.struct("h", "root", "shingles")).alias("s")]
+    blocks = left.groupBy("key", block.alias("block")).agg(*lists).select("key", "block", F.col("s.h").alias("h"), F.col("s.root").alias("root"), F.col("s.shingles").alias("shingles"))
+    blocks = cut(blocks, "blocks")
+    one, two = (blocks.select("key", F.col("block").alias(f"{k}b"), F.col("h").alias(f"{k}h"), F.col("root").alias(f"{k}r"), F.col("shingles").alias(f"{k}s")) for k in "xy")
+    return one.join(two, "key").where("xb <= yb").drop("key").mapInArrow(_linker(similarity), "a long, b long").distinct()
+
+
+def _linker(similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = [], []
+            for xb, xh, xr, xs, yb, yh, yr, ys in zip(*(batch.column(k) for k in ("xb", "xh", "xr", "xs", "yb", "yh", "yr", "ys")), strict=True):
+                one = _block(xh, xr, xs)
+                for i, j in _cross_links(one, one if xb == yb else _block(yh, yr, ys), similarity):
+                    a.append(i)
+                    b.append(j)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return run
+
+
+def _block(h, root, shingles) -> tuple[list[int], list[int], list[np.ndarray], np.ndarray, np.ndarray]:
+    """Hashes, roots, shingle sets, their sizes and bit maps."""
+    sets = [np.asarray(x.values) for x in shingles.values]
+    sizes = np.array([len(x) for x in sets])
+    flat = np.concatenate(sets).view(np.uint64)
+    row = np.repeat(np.arange(len(sets)), sizes)
+    bits = np.zeros((len(sets), MAP_WORDS), np.uint64)
+    np.bitwise_or.at(bits, (row, (flat % np.uint64(64 * MAP_WORDS) // np.uint64(64)).astype(np.int64)), np.uint64(1) << flat % np.uint64(64))
+    return h.values.to_pylist(), root.values.to_pylist(), sets, sizes, bits
+
+
+def _cross_links(x, y, similarity: float) -> list[tuple[int, int]]:
+    """Pairs of lines of two blocks that link two components not joined yet; every pair across components is bounded, and verified if it may link."""
+    (xh, xr, xs, xn, xb), (yh, yr, ys, yn, yb) = x, y
+    up: dict[int, int] = {}
+
+    def find(r):
+        while (t := up.get(r, r)) != r:
+            r = t
+        return r
+
+    out = []
+    xroot, yroot = np.array(xr), np.array(yr)
+    for at in range(0, len(xh), 256):
+        some = slice(at, at + 256)
+        apart = np.bitwise_count(xb[some, None, :] ^ yb[None, :, :]).sum(2, dtype=np.int64)
+        both = xn[some, None] + yn[None, :]
+        # the sets differ in at least as many shingles as their maps in bits
+        may = (both - apart >= similarity * (both + apart)) & (xroot[some, None] != yroot[None, :])
+        for i, j in np.argwhere(may).tolist():
+            i += at
+            a, b = find(xr[i]), find(yr[j])
+            if a != b:
+                shared = len(np.intersect1d(xs[i], ys[j], assume_unique=True))
+                if shared >= similarity * (xn[i] + yn[j] - shared):
+                    up[max(a, b)] = min(a, b)
+                    out.append((xh[i], yh[j]))
+    return out
+
+
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """(``id_col``, at, to, cluster, keeper, removed): paragraphs of clusters that span documents, as ranges of words.
 
