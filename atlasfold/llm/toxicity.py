@@ -137,28 +137,30 @@ def fit(texts: list[str], labels: list[int], min_docs: int = MIN_DOCS, epochs: i
     y = np.asarray(labels, float)
     if not len(y) or y.min() == y.max():
         return Model(None)
-    # Only features that tell the classes apart enter: 3 times the odds, in MIN_DOCS documents.
+    # Only features that tell the classes apart enter: 3 times the odds, in MIN_DOCS documents. Texts are taken
+    # apart anew for each step, so that no more than one is held as words.
+    def found_in(text: str) -> set[str]:
+        return {f for w in set(b" ".join(bag(text)).split()) for f in features(w)}
+
     in_bad: dict[str, int] = {}
-    in_good: dict[str, int] = {}
-    bags = []
-    cache: dict[bytes, list[str]] = {}
     for text, label in zip(texts, labels, strict=True):
-        own = [set(s.split()) for s in bag(text)]
-        bags.append(own)
-        seen = set()
-        for w in set().union(*own):
-            seen.update(cache.get(w) or cache.setdefault(w, features(w)))
-        into = in_bad if label else in_good
-        for f in seen:
-            into[f] = into.get(f, 0) + 1
+        if label:
+            for f in found_in(text):
+                in_bad[f] = in_bad.get(f, 0) + 1
+    in_bad = {f: n for f, n in in_bad.items() if n >= min_docs}
+    in_good = dict.fromkeys(in_bad, 0)
+    for text, label in zip(texts, labels, strict=True):
+        if not label:
+            for f in found_in(text).intersection(in_good):
+                in_good[f] += 1
     bad, good = max(1.0, y.sum()), max(1.0, len(y) - y.sum())
-    chosen = [f for f, n in in_bad.items() if n >= min_docs and (n + 0.5) / bad > 3 * (in_good.get(f, 0) + 0.5) / good]
+    chosen = [f for f, n in in_bad.items() if (n + 0.5) / bad > 3 * (in_good[f] + 0.5) / good]
     ids = {f: i for i, f in enumerate(sorted(chosen))}
     rows, cols, doc, sentence = [], [], [], 0
-    for d, bagged in enumerate(bags):
-        for own in bagged or [set()]:
-            for w in own:
-                for f in cache[w]:
+    for d, text in enumerate(texts):
+        for own in bag(text) or [b""]:
+            for w in set(own.split()):
+                for f in features(w):
                     if (i := ids.get(f)) is not None:
                         rows.append(sentence)
                         cols.append(i)
