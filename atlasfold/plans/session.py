@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.geometry import length, to_world, wrap
 from ..operators import correct, select, solve
 from ..schema import VALID, Config, Correction
+from ..snapshot import snapshot
 
 
 @dataclass(frozen=True)
@@ -96,13 +97,13 @@ class Session:
         new = correct.targets(moved, (anchors[0], anchors[-1]), (corrected[0], corrected[-1]), direction)
         new = new.where(F.col("anchor_id").isin(anchors) & F.col("constrained_id").isin(corrected)).withColumn("type", F.lit(int(kind)))
         before = (self.poses, list(self.constraints))
-        now = self._materialise(moved)
-        constraints = [*self.constraints, self._materialise(new)]
+        now = snapshot(moved)
+        constraints = [*self.constraints, snapshot(new)]
         if bounds.lo < bounds.hi:
             spread = correct.backpropagate(now, bounds.lo, bounds.hi, (first.dx, first.dy, first.dth), cfg.rot_prior, cfg.trans_prior)
             rest = now.join(spread.select("graph_id", "pose_id", F.col("x").alias("_x"), F.col("y").alias("_y"), F.col("th").alias("_t")), ["graph_id", "pose_id"], "left")
             now = rest.select("graph_id", "pose_id", *[F.coalesce(n, o).alias(o) for n, o in (("_x", "x"), ("_y", "y"), ("_t", "th"))], "var_t", "var_r")
-        now = self._materialise(now.withColumn("th", wrap("th")))
+        now = snapshot(now.withColumn("th", wrap("th")))
         self.poses = self._solved(now, constraints)
         self.constraints, self._before = constraints, before
         if record:
@@ -120,7 +121,7 @@ class Session:
         t = j.select("graph_id", "type", "constrained_id", tx.alias("tx"), ty.alias("ty"), wrap(F.col("ath") + F.col("delta_angle")).alias("tth"), (F.col("ath") + F.col("penalty_dir")).alias("penalty"))
         solved = solve.joint_solve(poses, t)
         keep = poses.select("graph_id", "pose_id", "var_t", "var_r")
-        return self._materialise(solved.select("graph_id", "pose_id", "x", "y", "th").join(keep, ["graph_id", "pose_id"]))
+        return snapshot(solved.select("graph_id", "pose_id", "x", "y", "th").join(keep, ["graph_id", "pose_id"]))
 
     def undo(self) -> bool:
         """One step back, once."""
@@ -138,13 +139,3 @@ class Session:
 
     def log(self) -> list:
         return [(i, k, u, p) for i, (k, u, p) in enumerate(self.history)]
-
-    @staticmethod
-    def _materialise(df: DataFrame) -> DataFrame:
-        """A snapshot in the folder that all executors share: plans stay short over a session."""
-        import tempfile
-
-        sc = df.sparkSession.sparkContext
-        if not sc.getCheckpointDir():
-            sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="atlasfold-"))
-        return df.checkpoint()

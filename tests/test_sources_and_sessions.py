@@ -190,3 +190,27 @@ def test_streamed_corrections(spark, tmp_path):
     q = events.scan_poses(spark.readStream.schema(odo).json(str(tmp_path / "odo")), 1.0, 0.5, 100.0).writeStream.format("memory").queryName("scanposes").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp2")).start()
     q.awaitTermination(120)
     assert [(r["seq"], round(r["dx"], 6)) for r in rows(spark.table("scanposes").orderBy("seq"))] == [(2, 1.2), (5, 1.2)]
+
+
+def test_localize_draws_scans_together(spark):
+    import numpy as np
+
+    from atlasfold.operators import localize
+
+    g = np.random.default_rng(4)
+    walls = np.array([(x, 3.0) for x in np.arange(-4, 10, 0.1)] + [(x, -2.0) for x in np.arange(-4, 10, 0.1)] + [(9.0, y) for y in np.arange(-2, 3, 0.1)])
+    normals = np.array([(0.0, -1.0)] * 140 + [(0.0, 1.0)] * 140 + [(-1.0, 0.0)] * 50)
+    truth = np.array([(0.4 * i, 0.05 * i, 0.03 * i) for i in range(9)])
+    poses, scans = [], []
+    for i, (x, y, th) in enumerate(truth):
+        noise = g.normal(0, [0.06, 0.06, 0.02]) if i else np.zeros(3)
+        poses.append((1, i, float(x + noise[0]), float(y + noise[1]), float(th + noise[2])))
+        r = np.array([[np.cos(th), np.sin(th)], [-np.sin(th), np.cos(th)]])
+        for o, (p, n) in enumerate(zip((walls - (x, y)) @ r.T, normals @ r.T, strict=True)):
+            scans.append((1, i, o, *map(float, p), *map(float, n)))
+    p = spark.createDataFrame(poses, "graph_id long, pose_id int, x double, y double, th double")
+    s = spark.createDataFrame(scans, "graph_id long, pose_id int, obs_id int, px double, py double, nx double, ny double")
+    out = {r["pose_id"]: r for r in rows(localize.localize(p, s, threshold=0.4, rounds=2, step=4, cap=9))}
+    was = np.array([(q[2], q[3], q[4]) for q in poses]) - truth
+    now = np.array([(out[i]["x"], out[i]["y"], out[i]["th"]) for i in range(9)]) - truth
+    assert np.abs(now).mean() < 0.6 * np.abs(was).mean() and not now[0].any() and len(out[3]["cov"]) == 9
