@@ -232,3 +232,93 @@ def ellipse(a, b, d, chi2: float) -> tuple[Column, Column, Column]:
 
 def quaternion_yaw(w, z) -> Column:
     return 2 * F.atan2(c(z), c(w))
+
+
+# more of segments and vectors
+
+
+def project_in(x, y, ux, uy) -> tuple[Column, Column]:
+    """Into the frame of a unit direction: along and across it."""
+    return dot(x, y, ux, uy), cross(ux, uy, x, y)
+
+
+def project_out(u, v, ux, uy) -> tuple[Column, Column]:
+    return c(u) * c(ux) - c(v) * c(uy), c(u) * c(uy) + c(v) * c(ux)
+
+
+def bounded_length(x, y, most) -> tuple[Column, Column]:
+    """The vector, shortened to ``most``."""
+    n = length(x, y)
+    k = F.when(n > c(most), c(most) / n).otherwise(F.lit(1.0))
+    return c(x) * k, c(y) * k
+
+
+def point_on_segment(px, py, x0, y0, x1, y1) -> tuple[Column, Column]:
+    """The segment's point nearest to p."""
+    t = clamp(F.coalesce(along(px, py, x0, y0, x1, y1), F.lit(0.0)), 0.0, 1.0)
+    return c(x0) + t * (c(x1) - c(x0)), c(y0) + t * (c(y1) - c(y0))
+
+
+def segments_distance(ax0, ay0, ax1, ay1, bx0, by0, bx1, by1) -> Column:
+    """Between two segments: 0 where they meet, else the least distance of an end to the other."""
+    _, _, meet = intersection(ax0, ay0, ax1, ay1, bx0, by0, bx1, by1)
+    ends = [segment_distance(ax0, ay0, bx0, by0, bx1, by1), segment_distance(ax1, ay1, bx0, by0, bx1, by1), segment_distance(bx0, by0, ax0, ay0, ax1, ay1), segment_distance(bx1, by1, ax0, ay0, ax1, ay1)]
+    return F.when(meet, F.lit(0.0)).otherwise(F.least(*ends))
+
+
+def closest_time(px, py, vx, vy, qx, qy, wx, wy) -> Column:
+    """When two points in even motion are nearest, not before 0; 0 if their velocities are equal."""
+    dx, dy, ux, uy = c(px) - c(qx), c(py) - c(qy), c(vx) - c(wx), c(vy) - c(wy)
+    return F.greatest(F.coalesce(-dot(dx, dy, ux, uy) / F.nullif(dot(ux, uy, ux, uy), F.lit(0.0)), F.lit(0.0)), F.lit(0.0))
+
+
+def cross3(a, b) -> tuple[Column, Column, Column]:
+    a, b = [c(x) for x in a], [c(x) for x in b]
+    return a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0]
+
+
+def dot3(a, b) -> Column:
+    return sum((c(x) * c(y) for x, y in zip(a[1:], b[1:], strict=True)), c(a[0]) * c(b[0]))
+
+
+def rotate3(v, axis: int, angle) -> tuple[Column, Column, Column]:
+    """About x, y or z (axis 0, 1, 2)."""
+    v = [c(x) for x in v]
+    i, j = (axis + 1) % 3, (axis + 2) % 3
+    out = list(v)
+    out[i], out[j] = rotate(v[i], v[j], angle)
+    return tuple(out)
+
+
+# covariances
+
+
+def rotate_covariance(cov, th) -> Column:
+    """T C T' of a row-major 3x3 array for T the turn of the first two axes by th."""
+    s, k = F.sin(c(th)), F.cos(c(th))
+    zero, one = F.lit(0.0), F.lit(1.0)
+    t = [[k, -s, zero], [s, k, zero], [zero, zero, one]]
+    m = [[F.get(c(cov), F.lit(3 * i + j)) for j in range(3)] for i in range(3)]
+    left = [[sum((t[i][q] * m[q][j] for q in (1, 2)), t[i][0] * m[0][j]) for j in range(3)] for i in range(3)]
+    return F.array(*[sum((left[i][q] * t[j][q] for q in (1, 2)), left[i][0] * t[j][0]) for i in range(3) for j in range(3)])
+
+
+def motion_covariance(dx, dy, sd_radial, sd_tangential) -> tuple[Column, Column, Column]:
+    """xx, xy, yy of a motion's covariance from its radial and tangential deviations; isotropic radial for no motion."""
+    n = F.nullif(length(dx, dy), F.lit(0.0))
+    ux, uy = F.coalesce(c(dx) / n, F.lit(1.0)), F.coalesce(c(dy) / n, F.lit(0.0))
+    r, t = c(sd_radial) * c(sd_radial), c(sd_tangential) * c(sd_tangential)
+    return r * ux * ux + t * uy * uy, (r - t) * ux * uy, r * uy * uy + t * ux * ux
+
+
+def encoder_noise(dx, dy, dth, rate, seed: int, radius: float = 0.2) -> tuple[Column, Column, Column]:
+    """Robot-frame motion as four wheels at 45 degrees see it, each speed off by a normal share ``rate``."""
+    root = math.sqrt(0.5)
+    signs = [(-root, root), (-root, -root), (root, -root), (root, root)]
+    wheels = [(a * c(dx) + b * c(dy) + radius * c(dth)) * (1 + F.lit(rate) * F.randn(seed + i)) for i, (a, b) in enumerate(signs)]
+    w = wheels
+    return (
+        (w[2] + w[3] - w[0] - w[1]) / (4 * root),
+        (w[0] + w[3] - w[1] - w[2]) / (4 * root),
+        (w[0] + w[1] + w[2] + w[3]) / (4 * radius),
+    )

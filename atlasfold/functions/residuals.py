@@ -58,3 +58,23 @@ def collinear(x, y, th, tx, ty, tth, penalty) -> tuple[Column, Column]:
 def orientation(th, tth) -> Column:
     """Perpendicular and parallel constraints: the target angle only."""
     return wrap(c(tth) - c(th))
+
+
+def relative_pose_residual(dx, dy, dth, radial, direction, rotation, sd_r, sd_t, sd_a) -> tuple[Column, Column, Column]:
+    """An edge given as relative motion already; the rotation's error isn't wrapped."""
+    d = c(direction)
+    along, across = F.cos(d) * c(dx) + F.sin(d) * c(dy), F.cos(d) * c(dy) - F.sin(d) * c(dx)
+    return (along - c(radial)) / c(sd_r), across / c(sd_t), (c(dth) - c(rotation)) / c(sd_a)
+
+
+def sum_of_squares(x) -> Column:
+    """An aggregate: the global point-to-line constraints."""
+    return F.sum(c(x) * c(x))
+
+
+def root_sum(x) -> Column:
+    return F.sqrt(F.sum(c(x) * c(x)))
+
+
+def root_mean(x) -> Column:
+    return F.sqrt(F.avg(c(x) * c(x)))

@@ -214,4 +214,11 @@ select distinct graph_id, i, j from (select * from l union all select graph_id,
     "modifier_decode": "select event_id::bigint event_id, ((event_id % 16) & 7)::bigint as type from events",
     "argb_unpack": """select o_orderkey::bigint o_orderkey, ((v >> 24) & 255)::bigint alpha, ((v >> 16) & 255)::bigint red, ((v >> 8) & 255)::bigint green, (v & 255)::bigint blue from (select o_orderkey, ((o_orderkey::bigint * 2654435761) % 4294967296)::bigint v from orders)""",
     "event_windows": f"select epoch(date_trunc('hour', ts))::bigint start, user_id::bigint user_id, count(*) n, {rnd('sum(value)', 4)} total from events group by 1, 2",
+    "vector_ops": f"""with {S}, a as (select *, sqrt(px * px + py * py) n, least(greatest(((px + 1) * 2 + py * 0.5) / 4.25, 0), 1) t, nullif(1.0 * 0.5 - 0.5 * 2.0, 0) dd from s)
+select {IDO}, {cols('u=px * 0.6 + py * 0.8; v=0.6 * py - 0.8 * px; bx=case when n > 0.5 then px * 0.5 / n else px end; byy=case when n > 0.5 then py * 0.5 / n else py end; qx=-1 + t * 2; qy=t * 0.5;'
+    + 'apart=least(' + seg('px', 'py', X0, Y0, X1, Y1) + ', ' + seg('(px + 1)', '(py + 0.5)', X0, Y0, X1, Y1) + ', ' + seg('(-1.0)', '0.0', 'px', 'py', '(px + 1)', '(py + 0.5)') + ', ' + seg('1.0', '0.5', 'px', 'py', '(px + 1)', '(py + 0.5)') + ')'
+    + ' * (case when MEET then 0 else 1 end);'.replace('MEET', "((-1 - px) * 0.5 - (0 - py) * 2) / (1.0 * 0.5 - 0.5 * 2.0) between 0 and 1 and ((-1 - px) * 0.5 - (0 - py) * 1) / (1.0 * 0.5 - 0.5 * 2.0) between 0 and 1")
+    + ' t=greatest(-((px - 0.2) * 1.5 + (py - 0.1) * 0.3) / 2.34, 0); c0=py * 2 + 1; c2=-px - py * 0.5; d3=0.5 * px - py + 2; r1=py * cos(0.4) - sin(0.4); r2=py * sin(0.4) + cos(0.4)', 5)} from a""",
+    "cov_rotate": f"""with {P}, q as (select *, var_t * 1e3 a, var_r * 1e4 d, cos(th) k, sin(th) s, sqrt(x * x + y * y) n from p), w as (select *, coalesce(x / nullif(n, 0), 1) ux, coalesce(y / nullif(n, 0), 0) uy from q)
+select {IDS}, {cols('r0=k * k * a - 2 * k * s * 0.2 + s * s * d; r1=k * s * a + (k * k - s * s) * 0.2 - k * s * d; r2=k * 0.1 - s * 0.3; r4=s * s * a + 2 * k * s * 0.2 + k * k * d; r5=s * 0.1 + k * 0.3; r8=2.0; xx=0.09 * ux * ux + 0.01 * uy * uy; xy=0.08 * ux * uy; yy=0.09 * uy * uy + 0.01 * ux * ux', 5)} from w""",
 }

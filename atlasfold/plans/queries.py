@@ -360,9 +360,38 @@ def event_windows(spark, sf):
     return w.select(F.unix_seconds("start").alias("start"), F.col("user_id").cast("long").alias("user_id"), "n", rnd("total", 4).alias("total"))
 
 
+def vector_ops(spark, sf):
+    s = fx.scans(spark, sf)
+    u, v = g.project_in("px", "py", 0.6, 0.8)
+    bx, by = g.bounded_length("px", "py", 0.5)
+    qx, qy = g.point_on_segment("px", "py", *SEG_A)
+    c3, r3 = g.cross3(("px", "py", 1.0), (0.5, -1.0, 2.0)), g.rotate3(("px", "py", 1.0), 0, 0.4)
+    s = s.withColumns({
+        "u": u, "v": v, "bx": bx, "byy": by, "qx": qx, "qy": qy, "apart": g.segments_distance("px", "py", F.col("px") + 1, F.col("py") + 0.5, *SEG_A), "t": g.closest_time("px", "py", 1.0, 0.5, 0.2, 0.1, -0.5, 0.2),
+        "c0": c3[0], "c2": c3[2], "d3": g.dot3(("px", "py", 1.0), (0.5, -1.0, 2.0)), "r1": r3[1], "r2": r3[2],
+    })
+    return out(s, ["graph_id", "pose_id", "obs_id"], ["u", "v", "bx", "byy", "qx", "qy", "apart", "t", "c0", "c2", "d3", "r1", "r2"], 5)
+
+
+def cov_rotate(spark, sf):
+    p = fx.poses(spark, sf).withColumn("cov", F.array(F.col("var_t") * 1e3, F.lit(0.2), F.lit(0.1), F.lit(0.2), F.col("var_r") * 1e4, F.lit(0.3), F.lit(0.1), F.lit(0.3), F.lit(2.0)))
+    p = p.withColumn("r", g.rotate_covariance("cov", "th"))
+    xx, xy, yy = g.motion_covariance("x", "y", 0.3, 0.1)
+    p = p.withColumns({**{f"r{i}": F.get("r", F.lit(i)) for i in (0, 1, 2, 4, 5, 8)}, "xx": xx, "xy": xy, "yy": yy})
+    return out(p, ["graph_id", "pose_id"], ["r0", "r1", "r2", "r4", "r5", "r8", "xx", "xy", "yy"], 5)
+
+
 # without SQL: kernels and sequential operators
 
 
+def batch_localize(spark, sf):
+    from ..operators.localize import localize
+
+    p, s = fx.poses(spark, sf).select("graph_id", "pose_id", "x", "y", "th"), fx.scans(spark, sf)
+    seen = p.join(s.select("graph_id", "pose_id").distinct(), ["graph_id", "pose_id"], "left_semi")
+    return localize(seen, s, rounds=1, more_than=2)
+
+
 def segment_fit(spark, sf):
     w = fx.world(spark, sf)
     rows = w.select("graph_id", F.lit(1).alias("sel_id"), *[F.lit(v).alias(n) for n, v in zip(("x0", "y0", "x1", "y1"), SEG_A, strict=True)], "wx", "wy")
@@ -434,8 +463,8 @@ _NAMES = """odometry_prefix pose_edges world_points robot_frame relative_pose wr
 pill_select verify_points selection_overlap order_bounds contiguous_groups pose_runs colocate collinear perpendicular parallel suffix_motion constraint_targets
 backprop cov_scale scan_normals_window nn_l2 nn_normal radius_search visual_odometry stf_pairs residual_rms residual_pose residual_human residual_wall residual_glob
 sdf_grid sdf_merge consistency consistency_hist endpoint_cov scatter cov_ellipse segment_match merge_segments motion_sd polar_scan range_correction
-latest_per_publisher display_lines adjacency raster modifier_decode argb_unpack event_windows
-segment_fit joint_solve ransac scan_normals gate_keyframes bootstrap_cov replay stream_corrections"""
+latest_per_publisher display_lines adjacency raster modifier_decode argb_unpack event_windows vector_ops cov_rotate
+segment_fit joint_solve ransac scan_normals gate_keyframes bootstrap_cov replay stream_corrections batch_localize"""
 
 
 def queries() -> dict[str, Query]:
