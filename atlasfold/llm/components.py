@@ -37,6 +37,9 @@ def components(links: DataFrame) -> DataFrame:
     ignored; repeated links count once; no links give no rows. Raises if MAX_ROUNDS don't suffice.
     """
     now = cut(_oriented(links.select("a", "b").dropna()), "links")
+    named = [F.col("a").alias("node"), F.col("b").alias("root")]
+    if not now.limit(1).count():
+        return now.select(*named)
     for _ in range(MAX_ROUNDS):
         least = now.groupBy(F.col("a").alias("n")).agg(F.min("b").alias("m"))
         # larger neighbours of b go to b's least neighbour
@@ -52,7 +55,7 @@ def components(links: DataFrame) -> DataFrame:
         now = after
     else:
         raise RuntimeError("components did not settle")
-    return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    return now.select(*named)
 
 
 def _same(x: DataFrame, y: DataFrame) -> bool:

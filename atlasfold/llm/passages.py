@@ -264,7 +264,8 @@ def line_clusters(docs: DataFrame, text_col: str, similarity: float = SIMILARITY
     links = cut(_verified(first, sets, similarity), "verified")
     found = components(links)
     more = cut(_across(met, found, sets, similarity), "across")
-    return components(links.union(more)) if more.limit(1).count() else found
+    # what is known already goes in as stars, which settle in fewer rounds than the links
+    return components(found.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more)) if more.limit(1).count() else found
 
 
 def _across(met: DataFrame, found: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
