@@ -24,7 +24,7 @@ def rows(df):
 @pytest.fixture()
 def graph_file(tmp_path):
     a, b = (0.0, 0.0, 0.0), (1.0, 2.0, math.pi / 2)
-    f = tmp_path / "g.stfs.covars"
+    f = tmp_path / "graph.txt"
     f.write_text(HEAD + obs(a, (1, 0), 0.1) + obs(a, (2, 0), 0.2) + obs(b, (1, 3)) + obs(a, (5, 5)) + obs(b, (1, 2)))
     return f
 
