@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as g
 from ..functions import residuals as r
 from ..operators import correct, display, grid, lines, match, select, sensors, solve
+from ..snapshot import snapshot
 from ..sources import fixtures as fx
 from ..sources.fixtures import table
 
@@ -299,7 +300,8 @@ def segment_match(spark, sf):
 
 def merge_segments(spark, sf):
     new, master = _map_segments(spark, sf)
-    m = lines.merge(new, master, lines.match(new, master, ["graph_id"], 1.0), ["graph_id"])
+    # the merge reads the matches three times
+    m = lines.merge(new, master, snapshot(lines.match(new, master, ["graph_id"], 1.0)), ["graph_id"])
     return out(m, ["graph_id", "seg_id"], ["x0", "y0", "x1", "y1", "mass", "c0", "c1"], 5)
 
 
