@@ -181,9 +181,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
-    """The rows of ``docs`` whose id is its component's least; of rows with equal ids one stays."""
+    """The rows of ``docs`` whose id is its component's least; of rows with equal id and text one stays.
+
+    Rows with a null id can't be told apart by it and all stay.
+    """
     found = near_duplicates(docs, id_col, text_col, shingle)
-    gone = found.where(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_gone")).distinct()
-    kept = docs.join(gone, F.col(id_col).eqNullSafe(F.col("_gone")), "left_anti")
+    gone = found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct()
+    kept = docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
     repeated = found.groupBy(id_col).count().where("count > 1").limit(1).count()
-    return kept.dropDuplicates([id_col]) if repeated else kept
+    return kept.dropDuplicates([id_col, text_col]) if repeated else kept

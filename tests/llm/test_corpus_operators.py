@@ -114,10 +114,11 @@ def test_every_pair_in_the_radius_is_connected(spark, bits):
 def test_one_document_of_each_group_stays(make):
     g = random.Random(4)
     a, b = say(g, 60), say(g, 60)
-    docs = make([(5, a), (2, a), (9, b), (9, b), (None, say(g, 50)), (1, None), (4, "")])
+    docs = make([(5, a), (2, a), (9, b), (9, b), (None, say(g, 50)), (None, say(g, 50)), (None, a), (1, None), (4, "")])
     kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns
-    assert sorted((r["doc_id"] is None, r["doc_id"]) for r in rows(kept) if r["doc_id"] is not None) == [(False, 1), (False, 2), (False, 9)]
+    assert sorted(r["doc_id"] for r in rows(kept) if r["doc_id"] is not None) == [1, 2, 9]
+    assert kept.where("doc_id is null").count() == 3
     assert simhash.keep_one(make([])).count() == 0
 
 
