@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as g
 from ..functions import residuals as r
 from ..operators import correct, display, grid, lines, match, select, sensors, solve
+from ..schema import VALID, Config, Correction
 from ..snapshot import snapshot
 from ..sources import fixtures as fx
 from ..sources.fixtures import table
@@ -423,20 +424,65 @@ def bootstrap_cov(spark, sf):
     return lines.bootstrap(rows.select("graph_id", *[F.lit(v).alias(n) for n, v in zip(("x0", "y0", "x1", "y1"), SEG_A, strict=True)], "wx", "wy"), 200)
 
 
+def correction_log(world: DataFrame) -> DataFrame:
+    """(graph_id, type, points): an entry for each graph, from its own points.
+
+    It draws the chord that sees most of a scan on the best pose of either half of the trajectory, the later one to be
+    corrected onto the earlier one; kinds go around by graph.
+    """
+    import numpy as np
+    import pandas as pd
+
+    near, kinds = Config().inlier, [k for k in VALID if k != Correction.POINT]
+
+    def chord(xy):
+        i, j = np.triu_indices(len(xy), 1)
+        d = xy[j] - xy[i]
+        n = np.hypot(*d.T)
+        i, j, d, n = (v[n > 0] for v in (i, j, d, n))
+        if not len(n):
+            return 0, None
+        r = xy[None] - xy[i][:, None]
+        t = np.clip((r * d[:, None]).sum(2) / n[:, None] ** 2, 0, 1)
+        seen = (np.hypot(*np.moveaxis(r - t[..., None] * d[:, None], 2, 0)) < near).sum(1)
+        k = int(seen.argmax())
+        return int(seen[k]), [*xy[i[k]].tolist(), *xy[j[k]].tolist()]
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        graph = int(frame.graph_id.iloc[0])
+        found = [(p, *chord(own.sort_values("obs_id")[["wx", "wy"]].to_numpy())) for p, own in frame.groupby("pose_id")]
+        found = [x for x in found if x[2]]
+        half = (found[0][0] + found[-1][0] + 1) // 2 if found else 0
+        early, late = (max((x for x in found if (x[0] >= half) == side), key=lambda x: (x[1], -x[0]), default=None) for side in (False, True))
+        rows = [(graph, kinds[graph % len(kinds)], [*late[2], *early[2]])] if early and late else []
+        return pd.DataFrame(rows, columns=["graph_id", "type", "points"])
+
+    return world.select("graph_id", "pose_id", "obs_id", "wx", "wy").groupBy("graph_id").applyInPandas(run, "graph_id long, type int, points array<double>")
+
+
 def replay(spark, sf):
-    """A log of one correction replayed on the longest trajectory's graph, seen as a corridor out and back."""
+    """Every trajectory after the session of its graph: an entry drawn from its own scans is replayed; poses without scans stay."""
     from .session import Session
 
-    n = 40
-    back = F.col("pose_id") >= n // 2
-    k = F.col("pose_id") % (n // 2)
-    drift = F.when(back, 0.02 * (k + 1)).otherwise(0.0)
-    p = spark.range(n).select(F.lit(1).cast("long").alias("graph_id"), F.col("id").cast("int").alias("pose_id"))
-    p = p.withColumns({"x": k * 0.5, "y": drift, "th": F.lit(0.0), "var_t": F.lit(1e-3), "var_r": F.lit(1e-4)})
-    s = p.select("graph_id", "pose_id", F.posexplode(F.sequence(F.lit(0), F.lit(39))).alias("obs_id", "o")).select("graph_id", "pose_id", "obs_id", (F.col("o") * 0.05 - 1.0).alias("px"), F.lit(1.0).alias("py"))
-    session = Session(p, s)
-    session.replay([(0, 2, False, [(8.0, 1.4), (9.0, 1.4), (2.0, 1.0), (3.0, 1.0)])])
-    return session.poses.select("graph_id", "pose_id", *[rnd(c).alias(c) for c in ("x", "y", "th")])
+    p = snapshot(fx.poses(spark, sf).select("graph_id", "pose_id", "x", "y", "th", "var_t", "var_r"))
+    s = snapshot(fx.scans(spark, sf).select("graph_id", "pose_id", "obs_id", "px", "py").join(p.select("graph_id", "pose_id"), ["graph_id", "pose_id"], "left_semi"))
+    wx, wy = g.to_world("px", "py", "x", "y", "th")
+    log = correction_log(s.join(p, ["graph_id", "pose_id"]).withColumns({"wx": wx, "wy": wy})).collect()
+
+    def run(entry):
+        one = F.col("graph_id") == entry.graph_id
+        session = Session(p.where(one), s.where(one))
+        done = session.replay([(0, entry.type, False, list(zip(entry.points[::2], entry.points[1::2], strict=True)))])
+        return session.poses if done == ["ok"] else None
+
+    moved = [x for x in map(run, log) if x is not None]
+    whole = p
+    if moved:
+        new = moved[0]
+        for x in moved[1:]:
+            new = new.unionByName(x)
+        whole = p.join(new.select("graph_id", "pose_id"), ["graph_id", "pose_id"], "left_anti").unionByName(new.select(*p.columns))
+    return whole.select("graph_id", "pose_id", *[rnd(c).alias(c) for c in ("x", "y", "th")])
 
 
 def stream_corrections(spark, sf):
