@@ -9,10 +9,12 @@ pieces, and so does the mark that stands for a blank when a text holds it
 literally; hence every segmentation decodes to the very text.
 
 No piece crosses from a non-blank to a blank or a line end, so texts are cut
-there and each distinct chunk is worked once while a worker's bounded table
-holds it, in ``variants`` ways: which one an occurrence takes depends on a
-hash of seed, text and position. So occurrences of a word are segmented
-differently, equal texts equally, and results don't depend on partitions.
+there. Every occurrence of a chunk draws for itself: its key is a hash of
+seed, text and position, and each candidate is skipped or not by a hash of
+that key and the candidate. What comes out depends on the chunk and on which
+of its candidates are skipped, so occurrences of a slice that agree in both
+are worked once. Equal texts are segmented equally, and results don't depend
+on partitions.
 
 Defined results: null and empty texts have no pieces and decode to the empty
 text; repeated rows and ids keep their rows; empty tables give none; other columns are
@@ -34,9 +36,11 @@ from pyspark.sql import functions as F
 from .common import slices
 
 MARK = "▁"
-RATE, VARIANTS, SEED = 0.1, 4, 0
+RATE, SEED = 0.1, 0
 #: Characters of a chunk that arrays handle; longer ones have an agenda of their own.
 WIDE = 64
+#: Candidates of a chunk whose draws fit one word; occurrences of chunks with more are worked one by one.
+MASK = 64
 NONE = np.iinfo(np.int32).max
 _M64 = (1 << 64) - 1
 
@@ -44,7 +48,7 @@ _M64 = (1 << 64) - 1
 class Codec:
     """One SentencePiece BPE model file."""
 
-    def __init__(self, path: str, seed: int = SEED, rate: float = RATE, variants: int = VARIANTS):
+    def __init__(self, path: str, seed: int = SEED, rate: float = RATE):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -69,7 +73,11 @@ class Codec:
         cuts = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c not in follow and c != "_")
         word = rf" *[^\W_]+(?=[{re.escape(cuts)}])|" if cuts else ""
         self.chunk = re.compile(rf"{word} *[^ \n]+| +|\n")
-        self.seed, self.limit, self.variants = seed, int(rate * (1 << 32)), variants if rate else 1
+        self.seed, self.limit = seed, int(rate * (1 << 32))
+        #: Keys that an occurrence may have.
+        self.variants = (1 << 63) - 1 if rate else 1
+        self.longest = max(map(len, self.rank))
+        self.spots: dict[str, list[int] | None] = {}
         # the same pieces as arrays: their order, and the pairs of pieces that make one
         ranks = {x: k for k, x in enumerate(sorted({r for r, _ in self.rank.values()}))}
         self.n = n
@@ -83,6 +91,55 @@ class Codec:
             if len(p) == 1:
                 self.char_id[ord(p)] = i
 
+    def _keys(self, variants: np.ndarray) -> np.ndarray:
+        """The keys of occurrences' draws: well mixed, the seed in them."""
+        x = variants.astype(np.uint64) ^ np.uint64(xxhash.xxh64_intdigest(b"draws", self.seed & _M64))
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return x ^ (x >> np.uint64(31))
+
+    def _skips(self, keys: np.ndarray, spots: np.ndarray) -> np.ndarray:
+        """Whether candidates (place << 20 plus size) are skipped under keys."""
+        h = (keys + spots) * np.uint64(0x9E3779B97F4A7C15)
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        return h >> np.uint64(32) < np.uint64(self.limit)
+
+    def _candidates(self, chunk: str) -> list[int] | None:
+        """Every candidate that may come up in a chunk; None if there are over MASK or it is too long for arrays."""
+        n, rank = len(chunk), self.rank
+        if n > WIDE:
+            return None
+        out = [(i << 20) + m for m in range(2, min(n, self.longest) + 1) for i in range(n - m + 1) if chunk[i : i + m] in rank]
+        return out if len(out) <= MASK else None
+
+    def _spots(self, chunk: str) -> list[int] | None:
+        """The candidates, from a bounded table."""
+        found = self.spots.get(chunk, 0)
+        if found == 0:
+            if len(self.spots) > 200_000:
+                self.spots.clear()
+            found = self.spots[chunk] = self._candidates(chunk)
+        return found
+
+    def _masks(self, names: list[str], which: np.ndarray, variants: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of occurrences of chunks: which candidates are skipped, as bits, and whether those are all there is to know."""
+        # a chunk that occurs once shares nothing
+        often = (np.bincount(which, minlength=len(names)) > 1).tolist()
+        spots = [self._spots(c) if x else None for c, x in zip(names, often, strict=True)]
+        sizes = np.array([-1 if x is None else len(x) for x in spots], np.int64)
+        first = np.cumsum(np.maximum(sizes, 0)) - np.maximum(sizes, 0)
+        flat = np.array([y for x in spots if x for y in x] or [0], np.uint64)
+        keys, own, at = self._keys(variants), sizes[which], first[which]
+        masks = np.zeros(len(which), np.uint64)
+        left = np.flatnonzero(own > 0)
+        for k in range(MASK):
+            left = left[own[left] > k]
+            if not len(left):
+                break
+            skipped = self._skips(keys[left], flat[at[left] + k])
+            masks[left[skipped]] |= np.uint64(1 << k)
+        return masks, own >= 0
+
     def segment(self, chunk: str, variant: int) -> tuple[int, ...]:
         """The ids of one chunk."""
         rank, limit = self.rank, self.limit
@@ -94,7 +151,7 @@ class Codec:
         before = list(range(-1, n - 1))
         agenda = [(r[0], i, syms[i] + syms[i + 1]) for i in range(n - 1) if (r := rank.get(syms[i] + syms[i + 1]))]
         heapify(agenda)
-        key = xxhash.xxh64_intdigest(chunk.encode("utf-8", "surrogatepass"), self.seed * 1_000_003 + variant) if limit else 0
+        key = int(self._keys(np.array([variant], np.uint64))[0]) if limit else 0
         while agenda:
             _, i, joined = heappop(agenda)
             left = syms[i]
@@ -182,7 +239,7 @@ class Codec:
         makes = np.zeros((rows, width + 1), np.int32)
         order[:, :width], makes[:, :width] = self._lookup(sym[:, :width], sym[:, 1:])
         if self.limit:
-            keys = np.array([xxhash.xxh64_intdigest(chunks[i].encode("utf-8", "surrogatepass"), self.seed * 1_000_003 + int(variants[i])) for i in some.tolist()], np.uint64)
+            keys = self._keys(variants[some])
         live = np.arange(rows)
         while len(live):
             i = order[live].argmin(1)
@@ -190,10 +247,7 @@ class Codec:
             live, i = live[open_], i[open_]
             r, made = live, makes[live, i]
             if self.limit:
-                with np.errstate(over="ignore"):
-                    h = (keys[r] + (i.astype(np.uint64) << np.uint64(20)) + self.size_of[made]) * np.uint64(0x9E3779B97F4A7C15)
-                    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-                skip = h >> np.uint64(32) < np.uint64(self.limit)
+                skip = self._skips(keys[r], (i.astype(np.uint64) << np.uint64(20)) + self.size_of[made])
                 order[r[skip], i[skip]] = NONE
                 go = ~skip
                 r, i, made = r[go], i[go], made[go]
@@ -212,7 +266,7 @@ class Codec:
         return sym[:, :width]
 
     def encode_many(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of several texts, one after another, and how many each has. Every distinct chunk and variant is worked once."""
+        """The ids of several texts, one after another, and how many each has. Every distinct chunk and set of skipped candidates is worked once."""
         chunks: list[str] = []
         sizes = []
         salts = np.zeros(len(texts), np.uint64)
@@ -226,16 +280,24 @@ class Codec:
         if not chunks:
             return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
         number = {c: i for i, c in enumerate(dict.fromkeys(chunks))}
-        which = np.fromiter(map(number.__getitem__, chunks), np.int64, len(chunks)) * self.variants
+        which = np.fromiter(map(number.__getitem__, chunks), np.int64, len(chunks))
         starts = np.cumsum(sizes) - sizes
-        if self.variants > 1:
-            with np.errstate(over="ignore"):
-                at = (np.arange(len(chunks)) - np.repeat(starts, sizes)).astype(np.uint64) + np.repeat(salts, sizes)
-                at = (at ^ (at >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-            which += ((at >> np.uint64(33)) % np.uint64(self.variants)).astype(np.int64)
-        pairs, index = np.unique(which, return_inverse=True)
         names = list(number)
-        ids, counts = self.segment_many([names[p] for p in (pairs // self.variants).tolist()], pairs % self.variants)
+        if self.variants > 1:
+            at = (np.arange(len(chunks)) - np.repeat(starts, sizes)).astype(np.uint64)
+            variants = np.repeat(salts, sizes) + at * np.uint64(0x9E3779B97F4A7C15)
+            masks, known = self._masks(names, which, variants)
+            # occurrences with too many candidates are told apart by their keys
+            marks = np.where(known, masks, variants)
+            order = np.lexsort((marks, which))
+            new = np.concatenate([[True], (which[order][1:] != which[order][:-1]) | (marks[order][1:] != marks[order][:-1])])
+            firsts = order[new]
+            index = np.empty(len(which), np.int64)
+            index[order] = np.cumsum(new) - 1
+            ids, counts = self.segment_many([chunks[i] for i in firsts.tolist()], variants[firsts])
+        else:
+            index = which
+            ids, counts = self.segment_many(names, np.zeros(len(names), np.uint64))
         first = np.cumsum(counts) - counts
         own = counts[index]
         to = np.cumsum(own)
@@ -253,12 +315,12 @@ class Codec:
         return b"".join([of[i] for i in ids]).decode()[1:]
 
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", seed: int = SEED, rate: float = RATE, variants: int = VARIANTS) -> DataFrame:
+def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", seed: int = SEED, rate: float = RATE) -> DataFrame:
     """``id_col``, ids (array of int) and intact (whether they decode to the text) of every row; ``path``: a model file on every node."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(path, seed, rate, variants)
+        codec = Codec(path, seed, rate)
         for batch in batches:
             for part in slices(batch, "_text"):
                 texts = [x or "" for x in part.column("_text").to_pylist()]

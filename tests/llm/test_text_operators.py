@@ -10,6 +10,7 @@ import zlib
 import numpy as np
 import public_tokenizers as P
 import pytest
+import xxhash
 
 from atlasfold.llm import decontaminate, lm, pieces, token_counts, toxicity
 
@@ -179,6 +180,20 @@ def test_dropout_agendas_agree_and_decode(model_path):
     assert c.encode("some words").tolist() == pieces.Codec(model_path, seed=3, rate=0.3).encode("some words").tolist()
 
 
+def test_occurrences_draw_for_themselves(model_path):
+    c = pieces.Codec(model_path, seed=3, rate=0.1)
+    word = " tokenization"
+    ids, counts = c.encode_many([(word * 3000)[1:]])
+    n = len(c.chunk.findall(word * 3000))
+    salt = xxhash.xxh64_intdigest((word * 3000)[1:].encode(), 3)
+    keys = [(salt + i * 0x9E3779B97F4A7C15) % (1 << 64) for i in range(n)]
+    own = [c.segment(word, k) for k in keys]
+    assert [x for o in own for x in o] == ids.tolist() and counts.tolist() == [len(ids)]
+    assert len(set(own)) > 4
+    skipped = [c._skips(c._keys(np.array([k], np.uint64)), np.array([s], np.uint64))[0] for k in keys[:1000] for s in (2, 3, (5 << 20) + 2)]
+    assert 0.08 < np.mean(skipped) < 0.12
+
+
 def test_pieces_round_trip_in_spark(make, model_path):
     docs = make(ODD)
     found = pieces.encode(docs, model_path, rate=0.2)
