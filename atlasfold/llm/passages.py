@@ -1,13 +1,16 @@
 """Substring dedup: repeated paragraphs and passages across documents, by MinHash banding.
 
 Two kinds of paragraph are taken from every text. Lines of at least
-``MIN_LINE`` words are the natural ones. Blocks are content-defined ones: they
-run between words whose three-word hash is the least among their ``REACH``
-neighbours on either side, so a passage pasted into the middle of a line is
-cut into the same blocks wherever it stands. Equal paragraphs meet on their
-64-bit hash. Lines also get a MinHash signature over five-word shingles, with
-bands tuned to a recall at the similarity; lines that collide in a band are
-verified by exact Jaccard, and verified links are clustered by components.
+``MIN_LINE`` words are the natural ones. Windows of ``MIN_RUN`` words are the
+others, so that a passage pasted into the middle of a line is found to its
+very ends wherever it stands. Not all windows are sent: the least ``GRAM``-word
+hash of every window is (the later of equals), and equal windows have equal
+ones. Where such a hash occurs in several documents, the windows around it are
+spelt out and meet on a 64-bit hash of their own. So every window that two
+documents share is found. Lines also get a MinHash signature over five-word
+shingles, with bands tuned to a recall at the similarity; lines that collide in
+a band are verified by exact Jaccard, and verified links are clustered by
+components.
 
 In a band's bucket every line is verified against the commonest one first,
 which joins most near copies for a row each. Buckets that still span several
@@ -18,7 +21,7 @@ and only links that join two components come out. So no link of a bucket is
 lost and no bucket's pairs are listed.
 
 Of every cluster that spans documents, the occurrences in the smallest doc id
-stay and the others go, if what goes is at least ``MIN_RUN`` words in a row.
+stay and the others go: every paragraph has at least ``MIN_RUN`` words.
 
 Defined results: null, empty and wordless texts have no paragraph; repeats
 within one document only are left alone; rows with equal ids count as one
@@ -41,7 +44,9 @@ from .common import LOWER, cut, slices, utf8
 from .components import components
 
 SHINGLE, SIMILARITY, RECALL = 5, 0.8, 0.98
-MIN_LINE, MIN_RUN, REACH = 20, 15, 5
+MIN_LINE, MIN_RUN, REACH = 15, 15, 5
+#: Words of the hashes that stand for a window; each window has MIN_RUN - GRAM + 1 of them.
+GRAM = 8
 #: Candidate hashes that are broadcast at most; more are joined by a shuffle.
 BROADCAST_HASHES = 500_000
 #: Lines of a block, and 64-bit words of the bit map that bounds their similarity.
@@ -123,6 +128,36 @@ class Sliced:
         bounds = np.unique(np.concatenate([np.flatnonzero(anchor), self.starts]))
         return np.stack([bounds[:-1], bounds[1:]])
 
+    def grams(self) -> np.ndarray:
+        """(2, n): ranges of the GRAM-word runs that stand for windows, the least hash of each (the later of equals)."""
+        n, k = len(self.words), MIN_RUN - GRAM + 1
+        if n < MIN_RUN:
+            return np.zeros((2, 0), np.int64)
+        at = np.arange(n - GRAM + 1)
+        h = self.hashes(np.stack([at, at + GRAM]), 2)
+        few = len(h) - k + 1
+        best, place = h[:few].copy(), at[:few].copy()
+        for j in range(1, k):
+            less = h[j : j + few] <= best
+            best = np.where(less, h[j : j + few], best)
+            place = np.where(less, at[j : j + few], place)
+        starts = np.arange(few)
+        chosen = np.unique(place[self.owner(starts) == self.owner(starts + MIN_RUN - 1)])
+        return np.stack([chosen, chosen + GRAM])
+
+    def windows(self, grams: np.ndarray) -> np.ndarray:
+        """(2, n): ranges of the windows that hold any of the grams that start at the given words."""
+        lo = self.starts[self.owner(grams)]
+        hi = self.starts[self.owner(grams) + 1] - MIN_RUN
+        back = MIN_RUN - GRAM
+        first, last = np.maximum(grams - back, lo), np.minimum(grams, hi)
+        mark = np.zeros(len(self.words) + 1, np.int64)
+        real = first <= last
+        np.add.at(mark, first[real], 1)
+        np.add.at(mark, last[real] + 1, -1)
+        at = np.flatnonzero(np.cumsum(mark) > 0)
+        return np.stack([at, at + MIN_RUN])
+
     def hashes(self, spans: np.ndarray, kind: int) -> np.ndarray:
         """A 64-bit hash of each span's words, told apart by kind and length."""
         n = len(self.words)
@@ -148,14 +183,14 @@ class Sliced:
 
 
 def paragraphs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, at, to, h): each paragraph's range of words and hash."""
+    """(id, at, to, h): each line's and gram's range of words and hash."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "_text"):
                 s = Sliced(utf8(part, "_text"))
-                own = [(s.blocks(), 0), (s.lines, 1)]
+                own = [(s.grams(), 2), (s.lines, 1)]
                 spans = np.concatenate([x for x, _ in own], axis=1)
                 if spans.shape[1]:
                     h = np.concatenate([s.hashes(x, k) for x, k in own])
@@ -168,6 +203,26 @@ def paragraphs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return cols.mapInArrow(run, f"id {kind}, at int, to int, h long")
 
 
+def _windows(docs: DataFrame, id_col: str, text_col: str, shared: DataFrame) -> DataFrame:
+    """(id, at, to, h) of the windows around the shared grams. ``shared``: (id, ats), words where a document's shared grams start."""
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "_text"):
+                s = Sliced(utf8(part, "_text"))
+                near = [np.asarray(x, np.int64) for x in part.column("ats").to_pylist()]
+                inside = [x[x < b - a] + a for x, a, b in zip(near, s.starts[:-1], s.starts[1:], strict=True)]
+                spans = s.windows(np.concatenate(inside)) if inside else np.zeros((2, 0), np.int64)
+                if spans.shape[1]:
+                    doc = s.owner(spans[0])
+                    base = s.starts[doc]
+                    yield pa.RecordBatch.from_arrays([part.column("_id").take(pa.array(doc)), pa.array((spans[0] - base).astype(np.int32)), pa.array((spans[1] - base).astype(np.int32)), pa.array(s.hashes(spans, 3).view(np.int64))], ["id", "at", "to", "h"])
+
+    cols = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(shared, F.col("_id") == F.col("id")).select("_id", "_text", "ats")
+    return cols.mapInArrow(run, f"id {kind}, at int, to int, h long")
+
+
 def _band_rows(docs: DataFrame, text_col: str, n: int, rows: int) -> DataFrame:
     """(key, h) of every line and band; a line that a task has just seen is not sent again."""
 
@@ -341,19 +396,20 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
 
     ``keeper`` is the document that keeps the cluster's text; ``removed`` tells whether the range goes from its own.
     """
-    seen = cut(paragraphs(docs, id_col, text_col), "paragraphs")
+    sent = cut(paragraphs(docs, id_col, text_col), "paragraphs")
+    gram = F.col("to") - F.col("at") == GRAM
+    met = sent.where(gram).groupBy("h").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo != hi").select("h")
+    shared = sent.where(gram).join(met, "h", "left_semi").groupBy("id").agg(F.collect_set("at").alias("ats"))
+    seen = cut(sent.where(~gram).union(_windows(docs, id_col, text_col, shared)), "seen")
     by_hash = seen.groupBy("h").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
     near = line_clusters(docs, text_col, similarity)
     linked = by_hash.join(near.withColumnRenamed("node", "h"), "h", "left").where("lo != hi or root is not null")
     linked = cut(linked.select("h", F.coalesce("root", "h").alias("cluster"), "lo", "hi"), "linked")
     keepers = linked.groupBy("cluster").agg(F.min("lo").alias("keeper"), F.max("hi").alias("hi")).where("keeper != hi").select("cluster", "keeper")
     named = cut(linked.select("h", "cluster").join(keepers, "cluster"), "clusters")
-    found = cut(seen.join(named, "h").select("id", "at", "to", "cluster", "keeper"), "found")
-    # runs: blocks and lines that touch make one; short runs stay
-    runs = _runs(found.where("id != keeper"))
-    marked = found.alias("f").join(runs.alias("r"), (F.col("f.id") == F.col("r.id")) & (F.col("f.at") >= F.col("r.run_at")) & (F.col("f.to") <= F.col("r.run_to")) & (F.col("f.id") != F.col("f.keeper")), "left")
-    out = marked.select(F.col("f.id").alias(id_col), F.col("f.at").alias("at"), F.col("f.to").alias("to"), F.col("f.cluster").alias("cluster"), F.col("f.keeper").alias("keeper"), F.col("r.id").isNotNull().alias("removed"))
-    return out
+    found = seen.join(named, "h").select("id", "at", "to", "cluster", "keeper")
+    # no paragraph is shorter than a run
+    return found.select(F.col("id").alias(id_col), "at", "to", "cluster", "keeper", (F.col("id") != F.col("keeper")).alias("removed"))
 
 
 def _runs(spans: DataFrame) -> DataFrame:

@@ -190,6 +190,22 @@ def test_blocks_don_t_depend_on_what_is_around():
     assert len(set.intersection(*spans)) >= 3
 
 
+def test_short_passages_go_to_their_very_ends(make):
+    g = random.Random(12)
+    docs, want = [], {}
+    word = lambda: f"w{g.randrange(10**9)}"
+    for k, n in enumerate([15, 16, 20, 25, 30, 35, 40, 51] * 4):
+        p = [word() for _ in range(n)]
+        for d in range(2):
+            before = [word() for _ in range(g.randint(0, 30))]
+            docs.append((10 * k + d, " ".join([*before, *p, *(word() for _ in range(g.randint(0, 30)))])))
+        want[10 * k + 1] = (len(before), len(before) + n)
+    p = [word() for _ in range(14)]  # one word short of a run
+    docs += [(1000 + d, " ".join([word(), *p, word()])) for d in range(2)]
+    got = {r["id"]: (r["run_at"], r["run_to"]) for r in rows(passages._runs(passages.repeats(make(docs)).where("removed").selectExpr("doc_id as id", "at", "to")))}
+    assert got == want
+
+
 def test_strip_keeps_the_rest():
     assert passages.strip(b" a b\nc  d e", [(1, 3)]) == b" a d e"
     assert passages.strip(b"a b", [(0, 2)]) == b""
