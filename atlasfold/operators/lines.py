@@ -12,6 +12,8 @@ from .solve import fit_segment
 
 #: Fixed value: chi-squared bound for either end of a match.
 MATCH = 50.0
+#: Fixed value: how far, in metres, the two points that propose a line may lie apart.
+RADIUS = 0.4
 
 
 def endpoint_covariance(points: DataFrame, keys: list[str], x0, y0) -> DataFrame:
@@ -108,12 +110,28 @@ def prune(segments: DataFrame, grid: DataFrame, res: float, keys: list[str], sha
     return out.where(length(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")) > least)
 
 
+def partners(xy: np.ndarray, draws: int, g: np.random.Generator, radius: float = RADIUS) -> np.ndarray:
+    """(draws, 2): a point that has others within the radius, and one of those, uniformly; no rows if no point has."""
+
+    def near(i):
+        d = np.hypot(*(xy[i][:, None] - xy[None]).transpose(2, 0, 1))
+        return (d > 1e-9) & (d <= radius)
+
+    local = np.concatenate([near(np.arange(k, min(k + 256, len(xy)))).any(1) for k in range(0, len(xy), 256)])
+    ones = np.flatnonzero(local)
+    if not len(ones):
+        return np.zeros((0, 2), np.int64)
+    first = g.choice(ones, draws)
+    second = np.concatenate([(g.random((len(i), len(xy))) * near(i)).argmax(1) for k in range(0, draws, 256) if len(i := first[k : k + 256])])
+    return np.stack([first, second], 1)
+
+
 def find_lines(xy: np.ndarray, sigma: float, inliers: int, iterations: int, seed: int) -> list[tuple]:
     """Segments (x0, y0, x1, y1, n) by sequential RANSAC with refitting; a seeded generator."""
     g = np.random.default_rng(seed)
     out = []
     while len(xy) >= max(inliers, 2):
-        i = g.integers(0, len(xy), (iterations, 2))
+        i = partners(xy, iterations, g)
         a, b = xy[i[:, 0]], xy[i[:, 1]]
         d = b - a
         n = np.hypot(*d.T)

@@ -392,7 +392,7 @@ def batch_localize(spark, sf):
 
     p, s = fx.poses(spark, sf).select("graph_id", "pose_id", "x", "y", "th"), fx.scans(spark, sf)
     seen = p.join(s.select("graph_id", "pose_id").distinct(), ["graph_id", "pose_id"], "left_semi")
-    return localize(seen, s, rounds=1, more_than=2)
+    return localize(seen, s, more_than=2)
 
 
 def segment_fit(spark, sf):
@@ -408,7 +408,7 @@ def joint_solve(spark, sf):
 
 
 def ransac(spark, sf):
-    return lines.ransac(fx.world(spark, sf).select("graph_id", "wx", "wy"), 4.0, inliers=12, iterations=200)
+    return lines.ransac(fx.world(spark, sf).select("graph_id", "wx", "wy"), 4.0, inliers=12)
 
 
 def scan_normals(spark, sf):
@@ -421,7 +421,7 @@ def gate_keyframes(spark, sf):
 
 def bootstrap_cov(spark, sf):
     rows = fx.world(spark, sf).where(g.segment_distance("wx", "wy", *SEG_A) < 0.3)
-    return lines.bootstrap(rows.select("graph_id", *[F.lit(v).alias(n) for n, v in zip(("x0", "y0", "x1", "y1"), SEG_A, strict=True)], "wx", "wy"), 200)
+    return lines.bootstrap(rows.select("graph_id", *[F.lit(v).alias(n) for n, v in zip(("x0", "y0", "x1", "y1"), SEG_A, strict=True)], "wx", "wy"))
 
 
 def correction_log(world: DataFrame) -> DataFrame:

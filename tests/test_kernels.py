@@ -90,6 +90,20 @@ def test_ransac_finds_planted_lines():
     assert len(found) == 2 and {round(abs(math.atan2(y1 - y0, x1 - x0)) % math.pi, 1) for x0, y0, x1, y1, _ in found} <= {0.0, 1.6, 3.1}
 
 
+def test_ransac_finds_a_short_line_among_many_points():
+    g = np.random.default_rng(5)
+    line = np.stack([np.linspace(1, 1.3, 12), np.full(12, 2.0)], 1)
+    found = 0
+    for seed in range(5):
+        # a sparse cloud far and wide, in which two points drawn at random are seldom both of the line
+        xy = np.concatenate([line, g.uniform(-200, 200, (988, 2))])
+        i = lines.partners(xy, 500, np.random.default_rng(seed))
+        assert (np.hypot(*(xy[i[:, 0]] - xy[i[:, 1]]).T) <= lines.RADIUS).all() and (i[:, 0] != i[:, 1]).all()
+        found += any(abs(y0 - 2) < 0.1 and abs(y1 - 2) < 0.1 for _, y0, _, y1, _ in lines.find_lines(xy, 0.01, 12, 200, seed))
+    assert found == 5
+    assert lines.partners(np.array([[0.0, 0.0], [9.0, 9.0]]), 5, g).shape == (0, 2)
+
+
 def moved(kind, points, p):
     t, a, b = correct.motion(kind, points)
     c, s = math.cos(t), math.sin(t)
