@@ -21,20 +21,40 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see; a temporary one is set only where the session names none."""
+    """The folder all executors see. Only a local session gets one of its own where none is named; a cluster's must name it."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors see")
         found = f"file://{tempfile.mkdtemp(prefix='atlasfold-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
-    """Write to the shared folder and read back: a lineage cut that survives lost executors."""
+    """Write to the shared folder and read back: a lineage cut that survives lost executors. ``remove_cuts`` deletes it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.folder = path
+    return out
+
+
+def remove_cuts(*cuts: DataFrame) -> None:
+    """Delete the files of cuts: only of those whose every reader has been written itself."""
+    for df in cuts:
+        jvm, spark = df.sparkSession.sparkContext._jvm, df.sparkSession
+        path = jvm.org.apache.hadoop.fs.Path(df.folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores as keep it apart from the columns of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

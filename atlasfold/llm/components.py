@@ -5,7 +5,7 @@ neighbours to the least node it knows, then its smaller ones. The number of
 rounds grows with the logarithm of the number of nodes. Links are kept as
 (a, b) with a > b, so a hub is the ``b`` of many rows; joins on ``b`` carry a
 salt from ``a``, hence no task gets a whole hub. Every round is written to
-the shared folder; nothing is collected but one count.
+the shared folder and deleted after the next; nothing is collected but one count.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, remove_cuts
 
 SALTS = 16
 MAX_ROUNDS = 60
@@ -37,9 +37,8 @@ def components(links: DataFrame) -> DataFrame:
     ignored; repeated links count once; no links give no rows. Raises if MAX_ROUNDS don't suffice.
     """
     now = cut(_oriented(links.select("a", "b").dropna()), "links")
-    named = [F.col("a").alias("node"), F.col("b").alias("root")]
     if not now.limit(1).count():
-        return now.select(*named)
+        return _named(now)
     for _ in range(MAX_ROUNDS):
         least = now.groupBy(F.col("a").alias("n")).agg(F.min("b").alias("m"))
         # larger neighbours of b go to b's least neighbour
@@ -50,12 +49,19 @@ def components(links: DataFrame) -> DataFrame:
         small = _with_least(large, "a", least)
         small = small.select("a", F.col("m").alias("b")).union(small.select(F.col("b").alias("a"), F.col("m").alias("b")))
         after = cut(_oriented(small), "links")
-        if _same(now, after):
-            break
+        settled = _same(now, after)
+        remove_cuts(now, large)
         now = after
-    else:
-        raise RuntimeError("components did not settle")
-    return now.select(*named)
+        if settled:
+            return _named(now)
+    raise RuntimeError("components did not settle")
+
+
+def _named(links: DataFrame) -> DataFrame:
+    """The links as nodes and roots, still a cut."""
+    out = links.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    out.folder = links.folder
+    return out
 
 
 def _same(x: DataFrame, y: DataFrame) -> bool:

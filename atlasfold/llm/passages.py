@@ -5,12 +5,16 @@ Two kinds of paragraph are taken from every text. Lines of at least
 others, so that a passage pasted into the middle of a line is found to its
 very ends wherever it stands. Not all windows are sent: the least ``GRAM``-word
 hash of every window is (the later of equals), and equal windows have equal
-ones. Where such a hash occurs in several documents, the windows around it are
-spelt out and meet on a 64-bit hash of their own. So every window that two
-documents share is found. Lines also get a MinHash signature over five-word
-shingles, with bands tuned to a recall at the similarity; lines that collide in
-a band are verified by exact Jaccard, and verified links are clustered by
-components.
+ones. Where such a hash occurs in several documents, windows that hold it are
+spelt out and meet on a 64-bit hash of their own: all of them at the ends of a
+row of shared hashes, one for each hash within the row. Neighbouring hashes lie
+at most MIN_RUN - GRAM + 1 words apart, so these windows overlap and cover the
+row. Every word that goes thus lies in a window that another document has, and
+repeats go to their ends, except where two repeats with different partners touch.
+
+Lines also get a MinHash signature over five-word shingles, with bands tuned to
+a recall at the similarity; lines that collide in a band are verified by exact
+Jaccard, and verified links are clustered by components.
 
 In a band's bucket every line is verified against the commonest one first,
 which joins most near copies for a row each. Buckets that still span several
@@ -21,12 +25,15 @@ and only links that join two components come out. So no link of a bucket is
 lost and no bucket's pairs are listed.
 
 Of every cluster that spans documents, the occurrences in the smallest doc id
-stay and the others go: every paragraph has at least ``MIN_RUN`` words.
+stay and the others go: every paragraph has at least ``MIN_RUN`` words. A row
+is known by its id and a hash of its text, so rows that share an id lose each
+its own ranges.
 
 Defined results: null, empty and wordless texts have no paragraph; repeats
 within one document only are left alone; rows with equal ids count as one
-document; rows with a null id never lose text and never make others lose it; empty tables give
-no rows; other columns are carried along or ignored.
+document, whatever their texts; rows with a null id never lose text and never make others
+lose it; empty tables give no rows; other columns are carried along or
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -40,17 +47,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, cut, slices, utf8
+from .common import LOWER, cut, remove_cuts, slices, unused, utf8
 from .components import components
 
 SHINGLE, SIMILARITY, RECALL = 5, 0.8, 0.98
-MIN_LINE, MIN_RUN, REACH = 15, 15, 5
+MIN_LINE, MIN_RUN = 15, 15
 #: Words of the hashes that stand for a window; each window has MIN_RUN - GRAM + 1 of them.
 GRAM = 8
 #: Candidate hashes that are broadcast at most; more are joined by a shuffle.
 BROADCAST_HASHES = 500_000
 #: Lines of a block, and 64-bit words of the bit map that bounds their similarity.
 BLOCK, MAP_WORDS = 2048, 8
+#: Shingles of a block.
+BLOCK_SHINGLES = 1 << 18
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 #: Odd multipliers of the polynomial hashes, and its inverse modulo 2^64.
 BASE = 0x9E3779B97F4A7C15
@@ -94,7 +103,7 @@ def shingle_hashes(words: np.ndarray, n: int = SHINGLE) -> np.ndarray:
 
 
 class Sliced:
-    """Words of several texts in one row of hashes, and where lines and blocks lie in it."""
+    """Words of several texts in one row of hashes, and where lines lie in it."""
 
     def __init__(self, texts: list[bytes]):
         flat: list[bytes] = []
@@ -111,23 +120,6 @@ class Sliced:
         self.words = word_hashes(flat)
         self.lines = np.asarray([line_at, line_to], np.int64)
 
-    def blocks(self) -> np.ndarray:
-        """Starts and ends of the blocks: from text start or anchor to the next anchor or text end."""
-        n = len(self.words)
-        if not n:
-            return np.zeros((2, 0), np.int64)
-        w = np.concatenate([self.words, np.zeros(2, np.uint64)])
-        g = _mix((w[:n] * np.uint64(BASE) + w[1 : n + 1]) * np.uint64(BASE) + w[2 : n + 2])
-        far = np.iinfo(np.uint64).max
-        pad = np.concatenate([np.full(REACH, far, np.uint64), g, np.full(REACH, far, np.uint64)])
-        before, after = pad[:n].copy(), pad[REACH + 1 : REACH + 1 + n].copy()
-        for k in range(1, REACH):
-            np.minimum(before, pad[k : k + n], out=before)
-            np.minimum(after, pad[REACH + 1 + k : REACH + 1 + k + n], out=after)
-        anchor = (g < before) & (g <= after)
-        bounds = np.unique(np.concatenate([np.flatnonzero(anchor), self.starts]))
-        return np.stack([bounds[:-1], bounds[1:]])
-
     def grams(self) -> np.ndarray:
         """(2, n): ranges of the GRAM-word runs that stand for windows, the least hash of each (the later of equals)."""
         n, k = len(self.words), MIN_RUN - GRAM + 1
@@ -145,17 +137,27 @@ class Sliced:
         chosen = np.unique(place[self.owner(starts) == self.owner(starts + MIN_RUN - 1)])
         return np.stack([chosen, chosen + GRAM])
 
-    def windows(self, grams: np.ndarray) -> np.ndarray:
-        """(2, n): ranges of the windows that hold any of the grams that start at the given words."""
-        lo = self.starts[self.owner(grams)]
-        hi = self.starts[self.owner(grams) + 1] - MIN_RUN
-        back = MIN_RUN - GRAM
-        first, last = np.maximum(grams - back, lo), np.minimum(grams, hi)
+    def windows(self, shared: np.ndarray) -> np.ndarray:
+        """(2, n): ranges of windows around shared grams, given by where they start: all that hold the first or last gram of a row of shared ones, else the one that starts with the gram."""
+        every = self.grams()[0]
+        own = self.owner(every)
+        has = np.isin(every, shared)
+        # a gram's neighbours in its text, shared too
+        beside = np.zeros((2, len(every)), bool)
+        beside[0, 1:] = has[:-1] & (own[1:] == own[:-1])
+        beside[1, :-1] = has[1:] & (own[1:] == own[:-1])
+        inner = has & beside[0] & beside[1]
+        ends = every[has & ~inner]
+        lo = self.starts[self.owner(ends)]
+        hi = self.starts[self.owner(ends) + 1] - MIN_RUN
+        first, last = np.maximum(ends - (MIN_RUN - GRAM), lo), np.minimum(ends, hi)
         mark = np.zeros(len(self.words) + 1, np.int64)
         real = first <= last
         np.add.at(mark, first[real], 1)
         np.add.at(mark, last[real] + 1, -1)
-        at = np.flatnonzero(np.cumsum(mark) > 0)
+        within = every[inner]
+        within = within[within + MIN_RUN <= self.starts[self.owner(within) + 1]]
+        at = np.union1d(np.flatnonzero(np.cumsum(mark) > 0), within)
         return np.stack([at, at + MIN_RUN])
 
     def hashes(self, spans: np.ndarray, kind: int) -> np.ndarray:
@@ -169,9 +171,9 @@ class Sliced:
     def owner(self, at: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.starts, at, "right") - 1
 
-    def signatures(self, n: int) -> np.ndarray:
-        """MinHash of each line, (lines, n)."""
-        at, to = self.lines
+    def signatures(self, some: np.ndarray, n: int) -> np.ndarray:
+        """MinHash of the given lines, (lines, n)."""
+        at, to = self.lines[:, some]
         sizes = to - at - SHINGLE + 1
         first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
         index = np.arange(sizes.sum()) - np.repeat(first - at, sizes)
@@ -181,98 +183,86 @@ class Sliced:
             out[:, k] = np.minimum.reduceat(s * np.uint64(2 * k * BASE % (1 << 64) | 1) ^ _mix(np.full(1, k + 1, np.uint64)), first)
         return out
 
+    def band_keys(self, some: np.ndarray, n: int, rows: int) -> np.ndarray:
+        """The n band keys of each of the given lines, one after another."""
+        if not len(some):
+            return np.zeros(0, np.uint64)
+        sig = self.signatures(some, n * rows).reshape(len(some), n, rows)
+        key = np.zeros((len(some), n), np.uint64) + _mix(np.arange(1, n + 1, dtype=np.uint64))
+        for r in range(rows):
+            key = _mix(key * np.uint64(BASE) + sig[:, :, r])
+        return key.ravel()
+
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, t, text) of the rows with an id; t tells apart texts of one id."""
+    return docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.hash(F.col(text_col)).alias("t"), F.col(text_col).alias("_text"))
 
-def paragraphs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, at, to, h): each line's and gram's range of words and hash."""
+
+def paragraphs(docs: DataFrame, id_col: str, text_col: str, bands_rows: tuple[int, int]) -> DataFrame:
+    """(id, t, at, to, h, keys): each line's and gram's range of words and hash; a line's band keys, null for grams and for lines that a task has just seen."""
     kind = docs.schema[id_col].dataType.simpleString()
+    n, rows = bands_rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
             for part in slices(batch, "_text"):
                 s = Sliced(utf8(part, "_text"))
-                own = [(s.grams(), 2), (s.lines, 1)]
-                spans = np.concatenate([x for x, _ in own], axis=1)
-                if spans.shape[1]:
-                    h = np.concatenate([s.hashes(x, k) for x, k in own])
-                    doc = s.owner(spans[0])
-                    base = s.starts[doc]
-                    ids = part.column("_id").take(pa.array(doc))
-                    yield pa.RecordBatch.from_arrays([ids, pa.array((spans[0] - base).astype(np.int32)), pa.array((spans[1] - base).astype(np.int32)), pa.array(h.view(np.int64))], ["id", "at", "to", "h"])
-
-    cols = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    return cols.mapInArrow(run, f"id {kind}, at int, to int, h long")
+                grams, lines = s.grams(), s.lines
+                spans = np.concatenate([lines, grams], axis=1)
+                if not spans.shape[1]:
+                    continue
+                h = s.hashes(lines, 1)
+                fresh = [i for i in np.unique(h, return_index=True)[1].tolist() if int(h[i]) not in seen] if len(h) else []
+                if len(seen) > 1_000_000:
+                    seen.clear()
+                seen.update(h[fresh].tolist())
+                # lines that are new send their keys: offsets of a list column, empty slots null
+                sizes, none = np.zeros(spans.shape[1], np.int64), np.ones(spans.shape[1], bool)
+                fresh = np.sort(np.asarray(fresh, np.int64))
+                sizes[fresh], none[fresh] = n, False
+                keys = s.band_keys(fresh, n, rows)
+                offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+                doc = s.owner(spans[0])
+                base = s.starts[doc]
+                take = pa.array(doc)
+                yield pa.RecordBatch.from_arrays([
+                    part.column("id").take(take), part.column("t").take(take), pa.array((spans[0] - base).astype(np.int32)), pa.array((spans[1] - base).astype(np.int32)),
+                    pa.array(np.concatenate([h, s.hashes(grams, 2)]).view(np.int64)), pa.ListArray.from_arrays(offsets, pa.array(keys.view(np.int64)), mask=pa.array(none)),
+                ], ["id", "t", "at", "to", "h", "keys"])
+
+    return _keyed(docs, id_col, text_col).mapInArrow(run, f"id {kind}, t int, at int, to int, h long, keys array<long>")
 
 
 def _windows(docs: DataFrame, id_col: str, text_col: str, shared: DataFrame) -> DataFrame:
-    """(id, at, to, h) of the windows around the shared grams. ``shared``: (id, ats), words where a document's shared grams start."""
+    """(id, t, at, to, h) of the windows around the shared grams. ``shared``: (id, t, ats), words where a text's shared grams start."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "_text"):
                 s = Sliced(utf8(part, "_text"))
-                near = [np.asarray(x, np.int64) for x in part.column("ats").to_pylist()]
-                inside = [x[x < b - a] + a for x, a, b in zip(near, s.starts[:-1], s.starts[1:], strict=True)]
-                spans = s.windows(np.concatenate(inside)) if inside else np.zeros((2, 0), np.int64)
+                near = part.column("ats")
+                own = np.repeat(np.arange(part.num_rows), np.diff(near.offsets.to_numpy()))
+                flat = near.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+                inside = flat < (s.starts[1:] - s.starts[:-1])[own]
+                spans = s.windows(flat[inside] + s.starts[own[inside]])
                 if spans.shape[1]:
                     doc = s.owner(spans[0])
                     base = s.starts[doc]
-                    yield pa.RecordBatch.from_arrays([part.column("_id").take(pa.array(doc)), pa.array((spans[0] - base).astype(np.int32)), pa.array((spans[1] - base).astype(np.int32)), pa.array(s.hashes(spans, 3).view(np.int64))], ["id", "at", "to", "h"])
-
-    cols = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(shared, F.col("_id") == F.col("id")).select("_id", "_text", "ats")
-    return cols.mapInArrow(run, f"id {kind}, at int, to int, h long")
-
-
-def _band_rows(docs: DataFrame, text_col: str, n: int, rows: int) -> DataFrame:
-    """(key, h) of every line and band; a line that a task has just seen is not sent again."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for batch in batches:
-            for part in slices(batch, "_text"):
-                s = Sliced(utf8(part, "_text"))
-                if not s.lines.shape[1]:
-                    continue
-                h = s.hashes(s.lines, 1)
-                _, first = np.unique(h, return_index=True)
-                first = np.asarray([i for i in first.tolist() if int(h[i]) not in seen], np.int64)
-                if not len(first):
-                    continue
-                if len(seen) > 1_000_000:
-                    seen.clear()
-                seen.update(h[first].tolist())
-                s.lines = s.lines[:, first]
-                sig = s.signatures(n * rows).reshape(len(first), n, rows)
-                key = np.zeros((len(first), n), np.uint64) + _mix(np.arange(1, n + 1, dtype=np.uint64))
-                for r in range(rows):
-                    key = _mix(key * np.uint64(BASE) + sig[:, :, r])
-                yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(np.repeat(h[first], n).view(np.int64))], ["key", "h"])
+                    take = pa.array(doc)
+                    yield pa.RecordBatch.from_arrays([part.column("id").take(take), part.column("t").take(take), pa.array((spans[0] - base).astype(np.int32)), pa.array((spans[1] - base).astype(np.int32)), pa.array(s.hashes(spans, 3).view(np.int64))], ["id", "t", "at", "to", "h"])
 
-    return docs.select(F.col(text_col).alias("_text")).mapInArrow(run, "key long, h long")
+    cols = _keyed(docs, id_col, text_col).join(shared, ["id", "t"]).select("id", "t", "_text", "ats")
+    return cols.mapInArrow(run, f"id {kind}, t int, at int, to int, h long")
 
 
 def _colliding(rows: DataFrame) -> DataFrame:
     """(key, h, pivot) of the rows whose key has several different lines; pivot: the line that most tasks sent, the least of equals."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [(b.column("key").to_numpy(zero_copy_only=False), b.column("h").to_numpy(zero_copy_only=False)) for b in batches]
-        if not held:
-            return
-        key, h = (np.concatenate(x) for x in zip(*held, strict=True))
-        order = np.lexsort((h, key))
-        key, h = key[order], h[order]
-        new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (h[1:] != h[:-1])]))
-        times = np.diff([*new, len(key)])
-        key, h = key[new], h[new]
-        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        sizes = np.diff([*first, len(key)])
-        most = np.repeat(np.maximum.reduceat(times, first), sizes)
-        commonest = np.where(times == most, np.arange(len(key)), len(key))
-        pivot = h[np.minimum.reduceat(commonest, first)]
-        keep = np.repeat(sizes > 1, sizes)
-        yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(h[keep]), pa.array(np.repeat(pivot, sizes)[keep])], ["key", "h", "pivot"])
-
-    return rows.repartition("key").mapInArrow(run, "key long, h long, pivot long")
+    each = rows.groupBy("key", "h").agg(F.count("*").alias("n"))
+    pivots = each.groupBy("key").agg(F.count("*").alias("m"), F.max(F.struct("n", F.bitwise_not("h").alias("h"))).alias("p")).where("m > 1")
+    return each.select("key", "h").join(pivots.select("key", F.bitwise_not("p.h").alias("pivot")), "key")
 
 
 def _sets(docs: DataFrame, text_col: str, wanted: DataFrame) -> DataFrame:
@@ -310,17 +300,18 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return both.where(shared >= F.lit(similarity) * (F.size("x") + F.size("y") - shared)).select("a", "b")
 
 
-def line_clusters(docs: DataFrame, text_col: str, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
-    """(node, root): lines linked by similarity, by hash."""
-    n, rows = bands(similarity, recall)
-    met = cut(_colliding(_band_rows(docs, text_col, n, rows)), "met")
+def line_clusters(docs: DataFrame, sent: DataFrame, text_col: str, similarity: float = SIMILARITY) -> DataFrame:
+    """(node, root): lines linked by similarity, by hash. ``sent``: the docs' paragraphs."""
+    met = cut(_colliding(sent.select(F.explode("keys").alias("key"), "h")), "met")
     sets = _sets(docs, text_col, met.select("h").distinct())
     first = met.where("h != pivot").select(F.greatest("h", "pivot").alias("a"), F.least("h", "pivot").alias("b")).distinct()
     links = cut(_verified(first, sets, similarity), "verified")
     found = components(links)
     more = cut(_across(met, found, sets, similarity), "across")
     # what is known already goes in as stars, which settle in fewer rounds than the links
-    return components(found.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more)) if more.limit(1).count() else found
+    last = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more)) if more.limit(1).count() else found
+    remove_cuts(met, sets, links, more, *([found] if last is not found else []))
+    return last
 
 
 def _across(met: DataFrame, found: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -328,7 +319,10 @@ def _across(met: DataFrame, found: DataFrame, sets: DataFrame, similarity: float
     placed = met.select("key", "h").join(found, F.col("h") == F.col("node"), "left").select("key", "h", F.coalesce("root", "h").alias("root"))
     placed = cut(placed, "placed")
     spans = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo != hi")
-    left = placed.join(spans.select("key", F.ceil(F.col("n") / BLOCK).alias("n")), "key").join(sets, "h")
+    left = placed.join(spans.select("key", "n"), "key").join(sets, "h")
+    # as many blocks as hold BLOCK lines, or BLOCK_SHINGLES shingles, each on average
+    weight = left.groupBy("key").agg(F.sum(F.size("shingles")).alias("w"))
+    left = left.join(weight, "key").withColumn("n", F.ceil(F.greatest(F.col("n") / BLOCK, F.col("w") / BLOCK_SHINGLES)))
     block = F.pmod(F.xxhash64("h", "key"), F.col("n")).cast("int")
     lists = [F.collect_list(F.struct("h", "root", "shingles")).alias("s")]
     blocks = left.groupBy("key", block.alias("block")).agg(*lists).select("key", "block", F.col("s.h").alias("h"), F.col("s.root").alias("root"), F.col("s.shingles").alias("shingles"))
@@ -391,50 +385,56 @@ def _cross_links(x, y, similarity: float) -> list[tuple[int, int]]:
     return out
 
 
-def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """(``id_col``, at, to, cluster, keeper, removed): paragraphs of clusters that span documents, as ranges of words.
-
-    ``keeper`` is the document that keeps the cluster's text; ``removed`` tells whether the range goes from its own.
-    """
-    sent = cut(paragraphs(docs, id_col, text_col), "paragraphs")
+def _found(docs: DataFrame, id_col: str, text_col: str, similarity: float, recall: float) -> DataFrame:
+    """(id, t, at, to, cluster, keeper): paragraphs of clusters that span documents."""
+    sent = cut(paragraphs(docs, id_col, text_col, bands(similarity, recall)), "paragraphs")
     gram = F.col("to") - F.col("at") == GRAM
     met = sent.where(gram).groupBy("h").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo != hi").select("h")
-    shared = sent.where(gram).join(met, "h", "left_semi").groupBy("id").agg(F.collect_set("at").alias("ats"))
-    seen = cut(sent.where(~gram).union(_windows(docs, id_col, text_col, shared)), "seen")
+    shared = sent.where(gram).select("id", "t", "at", "h").join(met, "h", "left_semi").groupBy("id", "t").agg(F.collect_set("at").alias("ats"))
+    around = cut(_windows(docs, id_col, text_col, shared), "windows")
+    seen = sent.where(~gram).drop("keys").unionByName(around)
     by_hash = seen.groupBy("h").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
-    near = line_clusters(docs, text_col, similarity)
+    near = line_clusters(docs, sent, text_col, similarity)
     linked = by_hash.join(near.withColumnRenamed("node", "h"), "h", "left").where("lo != hi or root is not null")
     linked = cut(linked.select("h", F.coalesce("root", "h").alias("cluster"), "lo", "hi"), "linked")
     keepers = linked.groupBy("cluster").agg(F.min("lo").alias("keeper"), F.max("hi").alias("hi")).where("keeper != hi").select("cluster", "keeper")
-    named = cut(linked.select("h", "cluster").join(keepers, "cluster"), "clusters")
-    found = seen.join(named, "h").select("id", "at", "to", "cluster", "keeper")
+    named = linked.select("h", "cluster").join(keepers, "cluster")
     # no paragraph is shorter than a run
+    found = cut(seen.join(named, "h").select("id", "t", "at", "to", "cluster", "keeper"), "found")
+    remove_cuts(sent, around, linked, near)
+    return found
+
+
+def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
+    """(``id_col``, at, to, cluster, keeper, removed): paragraphs of clusters that span documents, as ranges of words.
+
+    ``keeper`` is the document that keeps the cluster's text; ``removed`` tells whether the range goes from its own.
+    """
+    found = _found(docs, id_col, text_col, similarity, recall)
     return found.select(F.col("id").alias(id_col), "at", "to", "cluster", "keeper", (F.col("id") != F.col("keeper")).alias("removed"))
 
 
 def _runs(spans: DataFrame) -> DataFrame:
-    """(id, run_at, run_to): touching ranges of each document joined, at least MIN_RUN words long."""
-    spans = spans.groupBy("id").agg(F.array_sort(F.collect_set(F.struct("at", "to"))).alias("s"))
+    """``spans`` (keys, at, to) as (keys, runs): each text's touching ranges joined, an array of structs run_at and run_to in order."""
+    keys = [c for c in spans.columns if c not in ("at", "to")]
+    # ranges that start together are one, hence a text has one for each word at most
+    widest = spans.groupBy(*keys, "at").agg(F.max("to").alias("to"))
+    own = widest.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("at", "to"))).alias("s"))
+    schema = own.select(*keys, F.col("s").cast("array<struct<run_at:int,run_to:int>>").alias("runs")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, ats, tos = [], [], []
-            for i, own in enumerate(batch.column("s").to_pylist()):
-                joined: list[list[int]] = []
-                for x in own:
-                    if joined and x["at"] <= joined[-1][1]:
-                        joined[-1][1] = max(joined[-1][1], x["to"])
-                    else:
-                        joined.append([x["at"], x["to"]])
-                for a, b in joined:
-                    if b - a >= MIN_RUN:
-                        ids.append(i)
-                        ats.append(a)
-                        tos.append(b)
-            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(ids, pa.int64())), pa.array(ats, pa.int32()), pa.array(tos, pa.int32())], ["id", "run_at", "run_to"])
-
-    kind = spans.schema["id"].dataType.simpleString()
-    return spans.mapInArrow(run, f"id {kind}, run_at int, run_to int")
+            runs = []
+            for ranges in batch.column("s"):
+                flat = ranges.values
+                at, to = (flat.field(k).to_numpy() for k in range(2))
+                reach = np.maximum.accumulate(to)
+                new = np.flatnonzero(np.concatenate([[True], at[1:] > reach[:-1]]))
+                runs.append([{"run_at": a, "run_to": b} for a, b in zip(at[new].tolist(), reach[[*(new[1:] - 1), -1]].tolist(), strict=True)])
+            kind = pa.list_(pa.struct([("run_at", pa.int32()), ("run_to", pa.int32())]))
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), pa.array(runs, kind)], [*keys, "runs"])
+
+    return own.mapInArrow(run, schema)
 
 
 def strip(text: bytes, runs: list[tuple[int, int]]) -> bytes:
@@ -448,16 +448,17 @@ def strip(text: bytes, runs: list[tuple[int, int]]) -> bytes:
 
 
 def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count_col: str | None = "n_chars", similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of ``docs`` with repeated passages cut from their texts; texts left without a word go. ``count_col`` is made to fit."""
-    gone = repeats(docs, id_col, text_col, similarity).where("removed")
-    runs = _runs(gone.select(F.col(id_col).alias("id"), "at", "to")).groupBy("id").agg(F.collect_list(F.struct("run_at", "run_to")).alias("_cut")).withColumnRenamed("id", "_cut_id")
+    """The rows of ``docs`` with repeated passages cut from their texts; texts that lose their last word go. ``count_col`` is made to fit."""
+    gone = _found(docs, id_col, text_col, similarity, RECALL).where("id != keeper").select("id", "t", "at", "to")
+    own, key, other = (unused(docs, x) for x in ("_cut", "_cut_id", "_cut_text"))
+    runs = _runs(gone).select(F.col("id").alias(key), F.col("t").alias(other), F.col("runs").alias(own))
     cols, schema = docs.columns, docs.schema
     place = cols.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, text_col):
-                cuts = part.column("_cut").to_pylist()
+                cuts = part.column(own).to_pylist()
                 texts = part.column(place).to_pylist()
                 keep = [True] * len(texts)
                 for i, c in enumerate(cuts):
@@ -471,4 +472,5 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", coun
                     arrays[k] = pa.array([len(t) if c else n for t, c, n in zip(texts, cuts, arrays[k].to_pylist(), strict=True)], arrays[k].type)
                 yield pa.RecordBatch.from_arrays(arrays, cols).filter(pa.array(keep, pa.bool_()))
 
-    return docs.join(runs, F.col(id_col) == F.col("_cut_id"), "left").select(*cols, "_cut").mapInArrow(run, schema)
+    met = (F.col(id_col) == F.col(key)) & (F.hash(F.col(text_col)) == F.col(other))
+    return docs.join(runs, met, "left").select(*cols, own).mapInArrow(run, schema)
