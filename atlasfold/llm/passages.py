@@ -200,7 +200,11 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def paragraphs(docs: DataFrame, id_col: str, text_col: str, bands_rows: tuple[int, int]) -> DataFrame:
-    """(id, t, at, to, h, keys): each line's and gram's range of words and hash; a line's band keys, null for grams and for lines that a task has just seen."""
+    """(id, t, at, to, h, keys, known): each line's and gram's range of words and hash.
+
+    keys: a line's band keys, null for grams and for lines that a task has just seen. known: whether the text's neighbours
+    already tell that another document has the gram, and other rows of the gram tell the rest; false for lines.
+    """
     kind = docs.schema[id_col].dataType.simpleString()
     n, rows = bands_rows
 
@@ -227,12 +231,65 @@ def paragraphs(docs: DataFrame, id_col: str, text_col: str, bands_rows: tuple[in
                 doc = s.owner(spans[0])
                 base = s.starts[doc]
                 take = pa.array(doc)
+                g = s.hashes(grams, 2)
+                known = np.zeros(spans.shape[1], bool)
+                known[lines.shape[1] :] = _known(g, part.column("id").dictionary_encode().indices.to_numpy()[doc[lines.shape[1] :]])
                 yield pa.RecordBatch.from_arrays([
                     part.column("id").take(take), part.column("t").take(take), pa.array((spans[0] - base).astype(np.int32)), pa.array((spans[1] - base).astype(np.int32)),
-                    pa.array(np.concatenate([h, s.hashes(grams, 2)]).view(np.int64)), pa.ListArray.from_arrays(offsets, pa.array(keys.view(np.int64)), mask=pa.array(none)),
-                ], ["id", "t", "at", "to", "h", "keys"])
+                    pa.array(np.concatenate([h, g]).view(np.int64)), pa.ListArray.from_arrays(offsets, pa.array(keys.view(np.int64)), mask=pa.array(none)), pa.array(known),
+                ], ["id", "t", "at", "to", "h", "keys", "known"])
+
+    return _keyed(docs, id_col, text_col).mapInArrow(run, f"id {kind}, t int, at int, to int, h long, keys array<long>, known boolean")
+
+
+def _known(h: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Of grams of a slice: those that several of its documents have, but for one of two documents each, which speak for the rest."""
+    out = np.zeros(len(h), bool)
+    if not len(h):
+        return out
+    order = np.lexsort((doc, h))
+    h, doc = h[order], doc[order]
+    new = np.concatenate([[True], h[1:] != h[:-1]])
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(h)) - 1
+    out[order] = (doc[first] != doc[last])[np.cumsum(new) - 1]
+    out[order[first]] = out[order[last]] = False
+    return out
 
-    return _keyed(docs, id_col, text_col).mapInArrow(run, f"id {kind}, t int, at int, to int, h long, keys array<long>")
+
+def _shared(grams: DataFrame) -> DataFrame:
+    """(id, t, at) of the grams that several documents have. ``grams``: (h, id, t, at, known).
+
+    Grams that are known to be shared don't move; the rest meet in order of hash and id, and are passed on as they
+    come: the first document's are held until there is a second one.
+    """
+    kind = grams.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.RecordBatch | None = None
+        held_out = False  # whether the held rows' hash has several documents, so that they themselves are out already
+        for batch in batches:
+            fresh = 0
+            if held is not None:
+                fresh = held.num_rows if held_out else 0
+                batch = pa.concat_batches([held, batch])
+            h = batch.column("h").to_numpy()
+            if not len(h):
+                continue
+            doc = batch.column("id").dictionary_encode().indices.to_numpy()
+            new = np.concatenate([[True], h[1:] != h[:-1]])
+            first = np.flatnonzero(new)
+            last = np.append(first[1:], len(h)) - 1
+            several = doc[first] != doc[last]
+            out = several[np.cumsum(new) - 1]
+            out[:fresh] = False
+            yield batch.filter(pa.array(out)).select(own)
+            # the last hash may go on: two rows of different documents stand for it, or all there are of its only one
+            held_out = bool(several[-1])
+            held = batch.take(pa.array([first[-1], len(h) - 1])) if held_out else batch.slice(first[-1])
+
+    own = ["id", "t", "at"]
+    return grams.where("known").select(*own).union(grams.where("not known").drop("known").repartition("h").sortWithinPartitions("h", "id").mapInArrow(run, f"id {kind}, t int, at int"))
 
 
 def _windows(docs: DataFrame, id_col: str, text_col: str, shared: DataFrame) -> DataFrame:
@@ -389,10 +446,9 @@ def _found(docs: DataFrame, id_col: str, text_col: str, similarity: float, recal
     """(id, t, at, to, cluster, keeper): paragraphs of clusters that span documents."""
     sent = cut(paragraphs(docs, id_col, text_col, bands(similarity, recall)), "paragraphs")
     gram = F.col("to") - F.col("at") == GRAM
-    met = sent.where(gram).groupBy("h").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo != hi").select("h")
-    shared = sent.where(gram).select("id", "t", "at", "h").join(met, "h", "left_semi").groupBy("id", "t").agg(F.collect_set("at").alias("ats"))
+    shared = _shared(sent.where(gram).select("h", "id", "t", "at", "known")).groupBy("id", "t").agg(F.collect_set("at").alias("ats"))
     around = cut(_windows(docs, id_col, text_col, shared), "windows")
-    seen = sent.where(~gram).drop("keys").unionByName(around)
+    seen = sent.where(~gram).drop("keys", "known").unionByName(around)
     by_hash = seen.groupBy("h").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
     near = line_clusters(docs, sent, text_col, similarity)
     linked = by_hash.join(near.withColumnRenamed("node", "h"), "h", "left").where("lo != hi or root is not null")

@@ -349,3 +349,17 @@ def test_urls_of_all_kinds(spark):
     assert found[14][0] == "É.org" and found[15][:2] == ("h", "") and found[16][:2] == ("h", "") and found[17][:2] == ("a:", "//b/c")
     assert found[None][3] == "block"
     assert urlfilter.verdicts(df.limit(0)).count() == 0
+
+
+def test_shared_grams_are_those_of_several_documents(spark):
+    g = random.Random(13)
+    grams = [(g.randrange(400), g.randrange(30), 0, k) for k in range(3000)] + [(10**6, i % 2, 0, i) for i in range(30_000)]
+    ids = collections.defaultdict(set)
+    for h, i, _, _ in grams:
+        ids[h].add(i)
+    slices = [grams[k : k + 500] for k in range(0, len(grams), 500)]
+    rowed = [(*x, bool(k)) for own in slices for x, k in zip(own, passages._known(np.array([x[0] for x in own]), np.array([x[1] for x in own])), strict=True)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 700)
+    found = rows(passages._shared(spark.createDataFrame(rowed, "h long, id long, t int, at int, known boolean")))
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted((r["id"], r["at"]) for r in found) == sorted((i, k) for h, i, _, k in grams if len(ids[h]) > 1)
