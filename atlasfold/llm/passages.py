@@ -357,9 +357,9 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return both.where(shared >= F.lit(similarity) * (F.size("x") + F.size("y") - shared)).select("a", "b")
 
 
-def line_clusters(docs: DataFrame, sent: DataFrame, text_col: str, similarity: float = SIMILARITY) -> DataFrame:
-    """(node, root): lines linked by similarity, by hash. ``sent``: the docs' paragraphs."""
-    met = cut(_colliding(sent.select(F.explode("keys").alias("key"), "h")), "met")
+def line_clusters(docs: DataFrame, lines: DataFrame, text_col: str, similarity: float = SIMILARITY) -> DataFrame:
+    """(node, root): lines linked by similarity, by hash. ``lines``: the docs' paragraphs, at least those with keys."""
+    met = cut(_colliding(lines.select(F.explode("keys").alias("key"), "h")), "met")
     sets = _sets(docs, text_col, met.select("h").distinct())
     first = met.where("h != pivot").select(F.greatest("h", "pivot").alias("a"), F.least("h", "pivot").alias("b")).distinct()
     links = cut(_verified(first, sets, similarity), "verified")
@@ -447,17 +447,19 @@ def _found(docs: DataFrame, id_col: str, text_col: str, similarity: float, recal
     sent = cut(paragraphs(docs, id_col, text_col, bands(similarity, recall)), "paragraphs")
     gram = F.col("to") - F.col("at") == GRAM
     shared = _shared(sent.where(gram).select("h", "id", "t", "at", "known")).groupBy("id", "t").agg(F.collect_set("at").alias("ats"))
+    lines = cut(sent.where(~gram).drop("known"), "lines")
     around = cut(_windows(docs, id_col, text_col, shared), "windows")
-    seen = sent.where(~gram).drop("keys", "known").unionByName(around)
+    remove_cuts(sent)
+    seen = lines.drop("keys").unionByName(around)
     by_hash = seen.groupBy("h").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
-    near = line_clusters(docs, sent, text_col, similarity)
+    near = line_clusters(docs, lines, text_col, similarity)
     linked = by_hash.join(near.withColumnRenamed("node", "h"), "h", "left").where("lo != hi or root is not null")
     linked = cut(linked.select("h", F.coalesce("root", "h").alias("cluster"), "lo", "hi"), "linked")
     keepers = linked.groupBy("cluster").agg(F.min("lo").alias("keeper"), F.max("hi").alias("hi")).where("keeper != hi").select("cluster", "keeper")
     named = linked.select("h", "cluster").join(keepers, "cluster")
     # no paragraph is shorter than a run
     found = cut(seen.join(named, "h").select("id", "t", "at", "to", "cluster", "keeper"), "found")
-    remove_cuts(sent, around, linked, near)
+    remove_cuts(lines, around, linked, near)
     return found
 
 
