@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 #: Bytes of text that a Python worker turns into words at a time.
 SLICE_BYTES = 4 << 20
+WRITERS = "spark.sql.maxConcurrentOutputFileWriters"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,11 +32,21 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def cut(df: DataFrame, name: str = "cut") -> DataFrame:
-    """Write to the shared folder and read back: a lineage cut that survives lost executors. ``remove_cuts`` deletes it."""
+def cut(df: DataFrame, name: str = "cut", by: str | None = None) -> DataFrame:
+    """Write to the shared folder and read back: a lineage cut that survives lost executors. ``remove_cuts`` deletes it.
+
+    Rows of each of the few values of column ``by`` are files of their own.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    if by is None:
+        df.write.parquet(path)
+    else:
+        # a file open for each value, so that rows needn't be sorted by it
+        before = spark.conf.get(WRITERS)
+        spark.conf.set(WRITERS, "8")
+        df.write.partitionBy(by).parquet(path)
+        spark.conf.set(WRITERS, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.folder = path
     return out

@@ -43,6 +43,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -54,8 +55,6 @@ SHINGLE, SIMILARITY, RECALL = 5, 0.8, 0.98
 MIN_LINE, MIN_RUN = 15, 15
 #: Words of the hashes that stand for a window; each window has MIN_RUN - GRAM + 1 of them.
 GRAM = 8
-#: Candidate hashes that are broadcast at most; more are joined by a shuffle.
-BROADCAST_HASHES = 500_000
 #: Lines of a block, and 64-bit words of the bit map that bounds their similarity.
 BLOCK, MAP_WORDS = 2048, 8
 #: Shingles of a block.
@@ -199,12 +198,15 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.hash(F.col(text_col)).alias("t"), F.col(text_col).alias("_text"))
 
 
-def paragraphs(docs: DataFrame, id_col: str, text_col: str, bands_rows: tuple[int, int]) -> DataFrame:
-    """(id, t, at, to, h, keys, known): each line's and gram's range of words and hash.
+def _spans(part: pa.RecordBatch, s: Sliced, spans: np.ndarray) -> tuple[np.ndarray, list[pa.Array]]:
+    """The text of each span, and columns id, t, at, to."""
+    doc = s.owner(spans[0])
+    take, base = pa.array(doc), s.starts[doc]
+    return doc, [part.column("id").take(take), part.column("t").take(take), pa.array((spans[0] - base).astype(np.int32)), pa.array((spans[1] - base).astype(np.int32))]
 
-    keys: a line's band keys, null for grams and for lines that a task has just seen. known: whether the text's neighbours
-    already tell that another document has the gram, and other rows of the gram tell the rest; false for lines.
-    """
+
+def lines(docs: DataFrame, id_col: str, text_col: str, bands_rows: tuple[int, int]) -> DataFrame:
+    """(id, t, at, to, h, keys): each line's range of words, hash and band keys; no keys for lines that a task has just seen."""
     kind = docs.schema[id_col].dataType.simpleString()
     n, rows = bands_rows
 
@@ -213,88 +215,117 @@ def paragraphs(docs: DataFrame, id_col: str, text_col: str, bands_rows: tuple[in
         for batch in batches:
             for part in slices(batch, "_text"):
                 s = Sliced(utf8(part, "_text"))
-                grams, lines = s.grams(), s.lines
-                spans = np.concatenate([lines, grams], axis=1)
-                if not spans.shape[1]:
+                count = s.lines.shape[1]
+                if not count:
                     continue
-                h = s.hashes(lines, 1)
-                fresh = [i for i in np.unique(h, return_index=True)[1].tolist() if int(h[i]) not in seen] if len(h) else []
+                h = s.hashes(s.lines, 1)
+                fresh = [i for i in np.unique(h, return_index=True)[1].tolist() if int(h[i]) not in seen]
                 if len(seen) > 1_000_000:
                     seen.clear()
                 seen.update(h[fresh].tolist())
-                # lines that are new send their keys: offsets of a list column, empty slots null
-                sizes, none = np.zeros(spans.shape[1], np.int64), np.ones(spans.shape[1], bool)
                 fresh = np.sort(np.asarray(fresh, np.int64))
+                sizes, none = np.zeros(count, np.int64), np.ones(count, bool)
                 sizes[fresh], none[fresh] = n, False
-                keys = s.band_keys(fresh, n, rows)
                 offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
-                doc = s.owner(spans[0])
-                base = s.starts[doc]
-                take = pa.array(doc)
-                g = s.hashes(grams, 2)
-                known = np.zeros(spans.shape[1], bool)
-                known[lines.shape[1] :] = _known(g, part.column("id").dictionary_encode().indices.to_numpy()[doc[lines.shape[1] :]])
-                yield pa.RecordBatch.from_arrays([
-                    part.column("id").take(take), part.column("t").take(take), pa.array((spans[0] - base).astype(np.int32)), pa.array((spans[1] - base).astype(np.int32)),
-                    pa.array(np.concatenate([h, g]).view(np.int64)), pa.ListArray.from_arrays(offsets, pa.array(keys.view(np.int64)), mask=pa.array(none)), pa.array(known),
-                ], ["id", "t", "at", "to", "h", "keys", "known"])
+                keys = pa.ListArray.from_arrays(offsets, pa.array(s.band_keys(fresh, n, rows).view(np.int64)), mask=pa.array(none))
+                yield pa.RecordBatch.from_arrays([*_spans(part, s, s.lines)[1], pa.array(h.view(np.int64)), keys], ["id", "t", "at", "to", "h", "keys"])
 
-    return _keyed(docs, id_col, text_col).mapInArrow(run, f"id {kind}, t int, at int, to int, h long, keys array<long>, known boolean")
+    return _keyed(docs, id_col, text_col).mapInArrow(run, f"id {kind}, t int, at int, to int, h long, keys array<long>")
 
 
-def _known(h: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """Of grams of a slice: those that several of its documents have, but for one of two documents each, which speak for the rest."""
-    out = np.zeros(len(h), bool)
-    if not len(h):
-        return out
+def _several(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order by hash and document, where each hash begins in it, and whether several documents have it."""
     order = np.lexsort((doc, h))
     h, doc = h[order], doc[order]
-    new = np.concatenate([[True], h[1:] != h[:-1]])
-    first = np.flatnonzero(new)
+    first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
     last = np.append(first[1:], len(h)) - 1
-    out[order] = (doc[first] != doc[last])[np.cumsum(new) - 1]
-    out[order[first]] = out[order[last]] = False
+    return order, first, doc[first] != doc[last]
+
+
+def _known(h: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Of grams of a slice: those that several of its documents have, but for one of two documents each, which speak for the rest."""
+    out = np.zeros(len(h), bool)
+    if len(h):
+        order, first, several = _several(h, doc)
+        sizes = np.diff(np.append(first, len(h)))
+        out[order] = np.repeat(several, sizes)
+        out[order[first]] = out[order[first + sizes - 1]] = False
     return out
 
 
-def _shared(grams: DataFrame) -> DataFrame:
-    """(id, t, at) of the grams that several documents have. ``grams``: (h, id, t, at, known).
+def grams(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(h, id, at, known) of the grams that stand for windows.
 
-    Grams that are known to be shared don't move; the rest meet in order of hash and id, and are passed on as they
-    come: the first document's are held until there is a second one.
+    known: whether the gram's neighbours in a slice of texts tell that several documents have it, and other rows of it
+    tell the rest; its h is then one of its own, so that a common gram's rows don't meet.
     """
-    kind = grams.schema["id"].dataType.simpleString()
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "_text"):
+                s = Sliced(utf8(part, "_text"))
+                spans = s.grams()
+                if spans.shape[1]:
+                    doc, (ids, _, at, _) = _spans(part, s, spans)
+                    h = s.hashes(spans, 2)
+                    known = _known(h, part.column("id").dictionary_encode().indices.to_numpy()[doc])
+                    h[known] = _mix(h[known] + np.flatnonzero(known).astype(np.uint64) * np.uint64(BASE))
+                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), ids, at, pa.array(known)], ["h", "id", "at", "known"])
+
+    return _keyed(docs, id_col, text_col).mapInArrow(run, f"h long, id {kind}, at int, known boolean")
+
+
+def _meet(rows: DataFrame, out_cols: list[str], known_other: bool) -> DataFrame:
+    """Rows (h, id, ..., known) that share their h with another id, in order of h and id; those that are known come out whatever they meet.
+
+    Rows are passed on as they come: the first document's are held until there is a second one. With ``known_other`` the
+    first document's rows don't come out, and a column other names it for the rest.
+    """
+    kind = rows.schema["id"].dataType.simpleString()
+    schema = ", ".join(f"{c} {kind if c == 'other' else rows.schema[c].dataType.simpleString()}" for c in out_cols)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.RecordBatch | None = None
         held_out = False  # whether the held rows' hash has several documents, so that they themselves are out already
         for batch in batches:
-            fresh = 0
+            done = 0
             if held is not None:
-                fresh = held.num_rows if held_out else 0
+                done = held.num_rows if held_out else 0
                 batch = pa.concat_batches([held, batch])
             h = batch.column("h").to_numpy()
             if not len(h):
                 continue
+            known = batch.column("known").to_numpy(zero_copy_only=False)
             doc = batch.column("id").dictionary_encode().indices.to_numpy()
-            new = np.concatenate([[True], h[1:] != h[:-1]])
-            first = np.flatnonzero(new)
-            last = np.append(first[1:], len(h)) - 1
+            first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+            sizes = np.diff(np.append(first, len(h)))
+            last = first + sizes - 1
             several = doc[first] != doc[last]
-            out = several[np.cumsum(new) - 1]
-            out[:fresh] = False
-            yield batch.filter(pa.array(out)).select(own)
-            # the last hash may go on: two rows of different documents stand for it, or all there are of its only one
-            held_out = bool(several[-1])
-            held = batch.take(pa.array([first[-1], len(h) - 1])) if held_out else batch.slice(first[-1])
-
-    own = ["id", "t", "at"]
-    return grams.where("known").select(*own).union(grams.where("not known").drop("known").repartition("h").sortWithinPartitions("h", "id").mapInArrow(run, f"id {kind}, t int, at int"))
-
-
-def _windows(docs: DataFrame, id_col: str, text_col: str, shared: DataFrame) -> DataFrame:
-    """(id, t, at, to, h) of the windows around the shared grams. ``shared``: (id, t, ats), words where a text's shared grams start."""
+            out = np.repeat(several, sizes)
+            if known_other:
+                out &= doc != np.repeat(doc[first], sizes)
+            out |= known
+            out[:done] = False
+            if known_other:
+                least = batch.column("id").take(pa.array(np.repeat(first, sizes)))
+                batch = batch.set_column(batch.schema.get_field_index("other"), "other", pc.if_else(pa.array(known), batch.column("other"), least))
+            yield batch.filter(pa.array(out)).select(out_cols)
+            # the last hash may go on: a row of its first document and one of another stand for it, or all there are of its only one
+            held_out = bool(several[-1]) or bool(known[-1])
+            held = batch.take(pa.array([first[-1], len(h) - 1])) if several[-1] else batch.slice(first[-1])
+
+    return rows.repartition("h").sortWithinPartitions("h", "id").mapInArrow(run, schema)
+
+
+def _around(docs: DataFrame, id_col: str, text_col: str, needs: DataFrame) -> DataFrame:
+    """Windows around shared grams (kind 0: id, t, at, to, h, known, other) and words of wanted lines (kind 1: h, words).
+
+    ``needs``: (id, ats, hs), words where shared grams start and hashes of wanted lines. known: whether a document of
+    a lesser id in the same slice has the window; it is other then, and h one of its own.
+    """
     kind = docs.schema[id_col].dataType.simpleString()
+    names = ["kind", "id", "t", "at", "to", "h", "known", "other", "words"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -305,14 +336,30 @@ def _windows(docs: DataFrame, id_col: str, text_col: str, shared: DataFrame) ->
                 flat = near.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
                 inside = flat < (s.starts[1:] - s.starts[:-1])[own]
                 spans = s.windows(flat[inside] + s.starts[own[inside]])
-                if spans.shape[1]:
-                    doc = s.owner(spans[0])
-                    base = s.starts[doc]
-                    take = pa.array(doc)
-                    yield pa.RecordBatch.from_arrays([part.column("id").take(take), part.column("t").take(take), pa.array((spans[0] - base).astype(np.int32)), pa.array((spans[1] - base).astype(np.int32)), pa.array(s.hashes(spans, 3).view(np.int64))], ["id", "t", "at", "to", "h"])
-
-    cols = _keyed(docs, id_col, text_col).join(shared, ["id", "t"]).select("id", "t", "_text", "ats")
-    return cols.mapInArrow(run, f"id {kind}, t int, at int, to int, h long")
+                if n := spans.shape[1]:
+                    doc, columns = _spans(part, s, spans)
+                    h = s.hashes(spans, 3)
+                    ids = part.column("id")
+                    order, first, _ = _several(h, pc.rank(ids, sort_keys="ascending", tiebreaker="dense").to_numpy().astype(np.int64)[doc])
+                    least = np.empty(n, np.int64)
+                    least[order] = np.repeat(doc[order[first]], np.diff(np.append(first, n)))
+                    codes = ids.dictionary_encode().indices.to_numpy()
+                    known = codes[least] != codes[doc]
+                    h[known] = _mix(h[known] + np.flatnonzero(known).astype(np.uint64) * np.uint64(BASE))
+                    none = pa.nulls(n, pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), *columns, pa.array(h.view(np.int64)), pa.array(known), ids.take(pa.array(least)), none], names)
+                wanted = part.column("hs").flatten().to_numpy(zero_copy_only=False)
+                if len(wanted):
+                    h = s.hashes(s.lines, 1).view(np.int64)
+                    h, at = np.unique(h, return_index=True)
+                    has = np.flatnonzero(np.isin(h, wanted))
+                    words = [s.words[s.lines[0, i] : s.lines[1, i]].tobytes() for i in at[has].tolist()]
+                    n = len(has)
+                    none = [pa.nulls(n, part.schema.field("id").type), *(pa.nulls(n, pa.int32()) for _ in range(3))]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.ones(n, np.int32)), *none, pa.array(h[has]), pa.nulls(n, pa.bool_()), none[0], pa.array(words, pa.binary())], names)
+
+    cols = _keyed(docs, id_col, text_col).join(needs, "id").select("id", "t", "_text", "ats", "hs")
+    return cols.mapInArrow(run, f"kind int, id {kind}, t int, at int, to int, h long, known boolean, other {kind}, words binary")
 
 
 def _colliding(rows: DataFrame) -> DataFrame:
@@ -322,32 +369,15 @@ def _colliding(rows: DataFrame) -> DataFrame:
     return each.select("key", "h").join(pivots.select("key", F.bitwise_not("p.h").alias("pivot")), "key")
 
 
-def _sets(docs: DataFrame, text_col: str, wanted: DataFrame) -> DataFrame:
-    """(h, shingles) of the wanted lines: distinct five-word shingle hashes, in order."""
-
-    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for batch in batches:
-            for part in slices(batch, "_text"):
-                s = Sliced(utf8(part, "_text"))
-                h = s.hashes(s.lines, 1)
-                fresh = [i for i in np.unique(h, return_index=True)[1].tolist() if int(h[i]) not in seen] if len(h) else []
-                if len(seen) > 1_000_000:
-                    seen.clear()
-                seen.update(h[fresh].tolist())
-                if fresh:
-                    words = [s.words[s.lines[0, i] : s.lines[1, i]].tobytes() for i in fresh]
-                    yield pa.RecordBatch.from_arrays([pa.array(h[fresh].view(np.int64)), pa.array(words, pa.binary())], ["h", "words"])
+def _sets(words: DataFrame) -> DataFrame:
+    """(h, shingles) of lines given as (h, words): distinct five-word shingle hashes, in order."""
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [np.unique(shingle_hashes(np.frombuffer(w, np.uint64))).view(np.int64) for w in batch.column("words").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("h"), pa.array(sets, pa.list_(pa.int64()))], ["h", "shingles"])
 
-    few = wanted.count() <= BROADCAST_HASHES
-    found = docs.select(F.col(text_col).alias("_text")).mapInArrow(lines, "h long, words binary")
-    found = found.join(F.broadcast(wanted) if few else wanted, "h", "left_semi")
-    return cut(found.groupBy("h").agg(F.first("words").alias("words")).mapInArrow(shingles, "h long, shingles array<long>"), "sets")
+    return words.mapInArrow(shingles, "h long, shingles array<long>").dropDuplicates(["h"])
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -357,18 +387,16 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return both.where(shared >= F.lit(similarity) * (F.size("x") + F.size("y") - shared)).select("a", "b")
 
 
-def line_clusters(docs: DataFrame, lines: DataFrame, text_col: str, similarity: float = SIMILARITY) -> DataFrame:
-    """(node, root): lines linked by similarity, by hash. ``lines``: the docs' paragraphs, at least those with keys."""
-    met = cut(_colliding(lines.select(F.explode("keys").alias("key"), "h")), "met")
-    sets = _sets(docs, text_col, met.select("h").distinct())
+def line_clusters(met: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(node, root): lines linked by similarity, by hash. ``met``: lines that collide, ``sets``: their shingles."""
     first = met.where("h != pivot").select(F.greatest("h", "pivot").alias("a"), F.least("h", "pivot").alias("b")).distinct()
     links = cut(_verified(first, sets, similarity), "verified")
     found = components(links)
     more = cut(_across(met, found, sets, similarity), "across")
+    if not more.limit(1).count():
+        return found
     # what is known already goes in as stars, which settle in fewer rounds than the links
-    last = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more)) if more.limit(1).count() else found
-    remove_cuts(met, sets, links, more, *([found] if last is not found else []))
-    return last
+    return components(found.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
 
 
 def _across(met: DataFrame, found: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -443,33 +471,31 @@ def _cross_links(x, y, similarity: float) -> list[tuple[int, int]]:
 
 
 def _found(docs: DataFrame, id_col: str, text_col: str, similarity: float, recall: float) -> DataFrame:
-    """(id, t, at, to, cluster, keeper): paragraphs of clusters that span documents."""
-    sent = cut(paragraphs(docs, id_col, text_col, bands(similarity, recall)), "paragraphs")
-    gram = F.col("to") - F.col("at") == GRAM
-    shared = _shared(sent.where(gram).select("h", "id", "t", "at", "known")).groupBy("id", "t").agg(F.collect_set("at").alias("ats"))
-    lines = cut(sent.where(~gram).drop("known"), "lines")
-    around = cut(_windows(docs, id_col, text_col, shared), "windows")
-    remove_cuts(sent)
-    seen = lines.drop("keys").unionByName(around)
-    by_hash = seen.groupBy("h").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
-    near = line_clusters(docs, lines, text_col, similarity)
+    """(id, t, at, to, other): ranges of words that go, and a document of a lesser id that has their text or one like it."""
+    own = cut(lines(docs, id_col, text_col, bands(similarity, recall)), "lines")
+    met = cut(_colliding(own.select(F.explode("keys").alias("key"), "h")), "met")
+    # what is needed of a text: its shared grams, and the lines that it lends to be verified
+    lent = own.select("h", "id").join(met.select("h").distinct(), "h").groupBy("h").agg(F.min("id").alias("id"))
+    shared = _meet(grams(docs, id_col, text_col), ["id", "at"], False)
+    needs = shared.select("id", "at", F.lit(None).cast("long").alias("h")).union(lent.select("id", F.lit(None).cast("int"), "h"))
+    needs = needs.groupBy("id").agg(F.collect_list("at").alias("ats"), F.collect_list("h").alias("hs"))
+    around = cut(_around(docs, id_col, text_col, needs), "around", "kind")
+    windows = _meet(around.where("kind = 0").select("h", "id", "t", "at", "to", "known", "other"), ["id", "t", "at", "to", "other"], True)
+    sets = cut(_sets(around.where("kind = 1").select("h", "words")), "sets")
+    near = line_clusters(met, sets, similarity)
+    by_hash = own.groupBy("h").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
     linked = by_hash.join(near.withColumnRenamed("node", "h"), "h", "left").where("lo != hi or root is not null")
     linked = cut(linked.select("h", F.coalesce("root", "h").alias("cluster"), "lo", "hi"), "linked")
-    keepers = linked.groupBy("cluster").agg(F.min("lo").alias("keeper"), F.max("hi").alias("hi")).where("keeper != hi").select("cluster", "keeper")
-    named = linked.select("h", "cluster").join(keepers, "cluster")
-    # no paragraph is shorter than a run
-    found = cut(seen.join(named, "h").select("id", "t", "at", "to", "cluster", "keeper"), "found")
-    remove_cuts(lines, around, linked, near)
+    least = linked.groupBy("cluster").agg(F.min("lo").alias("other"), F.max("hi").alias("hi")).where("other != hi").select("cluster", "other")
+    gone = own.join(linked.select("h", "cluster").join(least, "cluster"), "h").where("id != other").select("id", "t", "at", "to", "other")
+    found = cut(windows.union(gone), "found")
+    remove_cuts(own, met, around, sets, near, linked)
     return found
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
-    """(``id_col``, at, to, cluster, keeper, removed): paragraphs of clusters that span documents, as ranges of words.
-
-    ``keeper`` is the document that keeps the cluster's text; ``removed`` tells whether the range goes from its own.
-    """
-    found = _found(docs, id_col, text_col, similarity, recall)
-    return found.select(F.col("id").alias(id_col), "at", "to", "cluster", "keeper", (F.col("id") != F.col("keeper")).alias("removed"))
+    """(``id_col``, at, to, other): ranges of words of repeated paragraphs, all but those of the least id, and a document of a lesser id that has their text or one like it."""
+    return _found(docs, id_col, text_col, similarity, recall).select(F.col("id").alias(id_col), "at", "to", "other")
 
 
 def _runs(spans: DataFrame) -> DataFrame:
@@ -507,7 +533,7 @@ def strip(text: bytes, runs: list[tuple[int, int]]) -> bytes:
 
 def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count_col: str | None = "n_chars", similarity: float = SIMILARITY) -> DataFrame:
     """The rows of ``docs`` with repeated passages cut from their texts; texts that lose their last word go. ``count_col`` is made to fit."""
-    gone = _found(docs, id_col, text_col, similarity, RECALL).where("id != keeper").select("id", "t", "at", "to")
+    gone = _found(docs, id_col, text_col, similarity, RECALL).select("id", "t", "at", "to")
     own, key, other = (unused(docs, x) for x in ("_cut", "_cut_id", "_cut_text"))
     runs = _runs(gone).select(F.col("id").alias(key), F.col("t").alias(other), F.col("runs").alias(own))
     cols, schema = docs.columns, docs.schema

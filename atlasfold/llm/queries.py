@@ -71,9 +71,9 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A row for each paragraph that goes, with the document that keeps its text."""
-    found = passages.repeats(table(spark, sf_dir, "documents")).where("removed")
-    return found.select("doc_id", F.col("at").alias("first_word"), F.col("to").alias("end_word"), F.col("keeper").alias("kept_in_doc_id"))
+    """A row for each paragraph that goes, with a document of a lesser id that has its text, or a line like it."""
+    found = passages.repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.col("at").alias("first_word"), F.col("to").alias("end_word"), F.col("other").alias("also_in_doc_id"))
 
 
 def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -143,7 +143,8 @@ def test_pasted_passages_go_and_clean_texts_stay(make):
     odd = [(20_000 + i, t) for i, t in enumerate(ODD)]
     table = make([*docs, *clean, *odd])
     found = rows(passages.repeats(table))
-    gone = {r["doc_id"] for r in found if r["removed"]}
+    gone = {r["doc_id"] for r in found}
+    assert all(r["other"] < r["doc_id"] for r in found)
     assert gone == {i for ids in carry.values() for i in ids[1:]}
     left = {r["doc_id"]: r for r in rows(passages.remove(table))}
     before = dict([*docs, *clean, *odd])
@@ -173,8 +174,11 @@ def test_similar_lines_are_linked_by_exact_jaccard(spark, make):
     sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in lines]
     near = [(hashes[i], hashes[j]) for i in range(len(lines)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
     want = union_find(set(hashes), near)
-    sent = passages.paragraphs(table, "doc_id", "text", passages.bands(0.8, 0.999, 96))
-    got = {r["node"]: r["root"] for r in rows(passages.line_clusters(table, sent, "text"))}
+    own = passages.lines(table, "doc_id", "text", passages.bands(0.8, 0.999, 96))
+    met = passages._colliding(own.selectExpr("explode(keys) key", "h"))
+    words = [(h, bytearray(s.words[a:b].tobytes())) for h, a, b in zip(hashes, *s.lines, strict=True)]
+    sets = passages._sets(spark.createDataFrame(words, "h long, words binary"))
+    got = {r["node"]: r["root"] for r in rows(passages.line_clusters(met, sets))}
     assert all(got.get(h, h) == want[h] for h in hashes)
 
 
@@ -190,7 +194,7 @@ def test_short_passages_go_to_their_very_ends(make):
         want[10 * k + 1] = (len(before), len(before) + n)
     p = [word() for _ in range(14)]  # one word short of a run
     docs += [(1000 + d, " ".join([word(), *p, word()])) for d in range(2)]
-    got = {r["id"]: [tuple(x) for x in r["runs"]] for r in rows(passages._runs(passages.repeats(make(docs)).where("removed").selectExpr("doc_id as id", "at", "to")))}
+    got = {r["id"]: [tuple(x) for x in r["runs"]] for r in rows(passages._runs(passages.repeats(make(docs)).selectExpr("doc_id as id", "at", "to")))}
     assert got == {k: [v] for k, v in want.items()}
 
 
@@ -351,15 +355,51 @@ def test_urls_of_all_kinds(spark):
     assert urlfilter.verdicts(df.limit(0)).count() == 0
 
 
-def test_shared_grams_are_those_of_several_documents(spark):
+def test_rows_of_several_documents_meet(spark):
     g = random.Random(13)
-    grams = [(g.randrange(400), g.randrange(30), 0, k) for k in range(3000)] + [(10**6, i % 2, 0, i) for i in range(30_000)]
+    sent = [(g.randrange(400), g.randrange(30), k) for k in range(3000)] + [(10**6, i % 2, i) for i in range(30_000)]
     ids = collections.defaultdict(set)
-    for h, i, _, _ in grams:
+    for h, i, _ in sent:
         ids[h].add(i)
-    slices = [grams[k : k + 500] for k in range(0, len(grams), 500)]
-    rowed = [(*x, bool(k)) for own in slices for x, k in zip(own, passages._known(np.array([x[0] for x in own]), np.array([x[1] for x in own])), strict=True)]
+    slices = [sent[k : k + 500] for k in range(0, len(sent), 500)]
+    rowed = []
+    for own in slices:
+        known = passages._known(np.array([x[0] for x in own]), np.array([x[1] for x in own]))
+        rowed += [(-x[2] - 1 if k else x[0], x[1], x[2], bool(k), -7) for x, k in zip(own, known, strict=True)]
+    assert sum(x[3] for x in rowed) > 29_000
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 700)
-    found = rows(passages._shared(spark.createDataFrame(rowed, "h long, id long, t int, at int, known boolean")))
+    df = spark.createDataFrame(rowed, "h long, id long, at int, known boolean, other long")
+    found = rows(passages._meet(df, ["id", "at"], False))
+    later = rows(passages._meet(df, ["id", "at", "other"], True))
     spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
-    assert sorted((r["id"], r["at"]) for r in found) == sorted((i, k) for h, i, _, k in grams if len(ids[h]) > 1)
+    assert sorted((r["id"], r["at"]) for r in found) == sorted((i, k) for h, i, k in sent if len(ids[h]) > 1)
+    moved = [(h, i, k) for h, i, k, known, _ in rowed if not known]
+    least = {h: min(j for x, j, _ in moved if x == h) for h in {x[0] for x in moved}}
+    want = [(i, k, least[h]) for h, i, k in moved if i != least[h]] + [(i, k, -7) for _, i, k, known, _ in rowed if known]
+    assert sorted((r["id"], r["at"], r["other"]) for r in later) == sorted(want)
+
+
+def test_rows_that_share_an_id_lose_their_own_ranges_only(spark, make):
+    g = random.Random(14)
+    p, long, short = say(g, 60), say(g, 200), say(g, 20)
+    docs = [(1, f"{say(g, 30)} {p}"), (5, f"{long} {p}"), (5, short), (5, f"{say(g, 250)} end"), (None, f"{long} {p}"), (None, None)]
+    left = rows(passages.remove(make(docs).selectExpr("*", "1 as _cut", "2 as _cut_id", "3 as _cut_text", "4 as _gone")))
+    assert collections.Counter(r["text"] for r in left) == collections.Counter([docs[0][1], f"{long} ", *(t for _, t in docs[2:])])
+    assert {(r["_cut"], r["_cut_id"], r["_cut_text"], r["_gone"]) for r in left} == {(1, 2, 3, 4)}
+
+
+def test_recall_of_near_lines_at_production_parameters(make):
+    g = random.Random(15)
+    docs, pairs = [], []
+    for k in range(300):
+        t = say(g, 120).split()
+        u = list(t)
+        for i in g.sample(range(0, 120, 6), g.choice([1, 2, 2, 3])):
+            u[i] = f"edit{k}"
+        a = {tuple(t[i : i + 5]) for i in range(116)}
+        b = {tuple(u[i : i + 5]) for i in range(116)}
+        pairs.append(len(a & b) / len(a | b))
+        docs += [(2 * k, " ".join(t)), (2 * k + 1, " ".join(u))]
+    whole = {r["doc_id"] for r in rows(passages.repeats(make(docs))) if (r["at"], r["to"]) == (0, 120)}
+    near = {2 * k + 1 for k, x in enumerate(pairs) if x >= 0.8}
+    assert len(near) > 100 and whole <= near and len(whole) >= 0.95 * len(near)
