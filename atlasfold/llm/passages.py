@@ -277,10 +277,10 @@ def grams(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _meet(rows: DataFrame, out_cols: list[str], known_other: bool) -> DataFrame:
-    """Rows (h, id, ..., known) that share their h with another id, in order of h and id; those that are known come out whatever they meet.
+    """Rows (h, id, ..., known) that share their h with another id, in order of h; those that are known come out whatever they meet.
 
     Rows are passed on as they come: the first document's are held until there is a second one. With ``known_other`` the
-    first document's rows don't come out, and a column other names it for the rest.
+    least document's rows don't come out, and a column other names it for the rest.
     """
     kind = rows.schema["id"].dataType.simpleString()
     schema = ", ".join(f"{c} {kind if c == 'other' else rows.schema[c].dataType.simpleString()}" for c in out_cols)
@@ -300,8 +300,7 @@ def _meet(rows: DataFrame, out_cols: list[str], known_other: bool) -> DataFrame:
             doc = batch.column("id").dictionary_encode().indices.to_numpy()
             first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
             sizes = np.diff(np.append(first, len(h)))
-            last = first + sizes - 1
-            several = doc[first] != doc[last]
+            several = np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first)
             out = np.repeat(several, sizes)
             if known_other:
                 out &= doc != np.repeat(doc[first], sizes)
@@ -313,9 +312,10 @@ def _meet(rows: DataFrame, out_cols: list[str], known_other: bool) -> DataFrame:
             yield batch.filter(pa.array(out)).select(out_cols)
             # the last hash may go on: a row of its first document and one of another stand for it, or all there are of its only one
             held_out = bool(several[-1]) or bool(known[-1])
-            held = batch.take(pa.array([first[-1], len(h) - 1])) if several[-1] else batch.slice(first[-1])
+            at = first[-1]
+            held = batch.take(pa.array([at, at + int(np.argmax(doc[at:] != doc[at]))])) if several[-1] else batch.slice(at)
 
-    return rows.repartition("h").sortWithinPartitions("h", "id").mapInArrow(run, schema)
+    return rows.repartition("h").sortWithinPartitions("h", *(["id"] if known_other else [])).mapInArrow(run, schema)
 
 
 def _around(docs: DataFrame, id_col: str, text_col: str, needs: DataFrame) -> DataFrame:
@@ -484,7 +484,9 @@ def _found(docs: DataFrame, id_col: str, text_col: str, similarity: float, recal
     sets = cut(_sets(around.where("kind = 1").select("h", "words")), "sets")
     near = line_clusters(met, sets, similarity)
     by_hash = own.groupBy("h").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
-    linked = by_hash.join(near.withColumnRenamed("node", "h"), "h", "left").where("lo != hi or root is not null")
+    # a root is a node of its own cluster
+    placed = near.withColumnRenamed("node", "h").union(near.select("root", "root").distinct())
+    linked = by_hash.join(placed, "h", "left").where("lo != hi or root is not null")
     linked = cut(linked.select("h", F.coalesce("root", "h").alias("cluster"), "lo", "hi"), "linked")
     least = linked.groupBy("cluster").agg(F.min("lo").alias("other"), F.max("hi").alias("hi")).where("other != hi").select("cluster", "other")
     gone = own.join(linked.select("h", "cluster").join(least, "cluster"), "h").where("id != other").select("id", "t", "at", "to", "other")
