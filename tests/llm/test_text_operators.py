@@ -240,31 +240,95 @@ def test_lm_base_is_brute_force_and_model_beats_it(spark, make, monkeypatch):
     assert sum(r["score"] for r in apart) > sum(r["base_score"] for r in apart)
 
 
+def some_model(g, branches=4):
+    n = branches**3
+    a = lm.Attention(n, branches, lm.tables(g.integers(0, 5, (n, n)).astype(np.float32), branches))
+    for k in ("u0", "u1", "u2", "far"):
+        a.p[k] = g.normal(0, 0.5, a.p[k].shape).astype(np.float32)
+    return a
+
+
+def brute_logs(a, x, to, i):
+    """log p of the class at place i, from its own block's inputs up to i and the block before."""
+    first = max(0, i // lm.BLOCK * lm.BLOCK - lm.BLOCK)
+    ids = x[first : i + 1]
+    k = a.p["k"][ids] @ a.p["q"][x[i]] * lm.KEY**-0.5 + a.p["far"][i - first - np.arange(len(ids))]
+    w = np.exp(k - k.max())
+    state = (w / w.sum()) @ a.p["v"][ids]
+    total, b = 0.0, a.b
+    for level, u in enumerate(("u0", "u1", "u2")):
+        node = to // b ** (3 - level)
+        z = (a.logs[0][x[i]] if level == 0 else a.logs[level][node, x[i]]) + state @ a.p[u][node]
+        z = z - np.log(np.exp(z).sum())
+        total += z[to // b ** (2 - level) % b]
+    return total
+
+
 def test_lm_windows_score_each_token_once():
     g = np.random.default_rng(0)
-    a = lm.Attention(1)
-    probs = lm.tables(g.integers(0, 5, (lm.EXPERTS, lm.CLASSES, lm.CLASSES)))
+    a = some_model(g)
     texts = [g.integers(0, 50, n) for n in (1, 31, 32, 33, 200)]
-    end = lm.CLASSES - 2
-    whole = a.scores(texts, end, probs)
-    for t, s in zip(texts, whole, strict=True):
-        total, x = 0.0, np.concatenate([[end], t[:-1]])
-        for i in range(len(t)):  # token by token: the block's own ids up to i and the block before
-            first = max(0, i // lm.BLOCK * lm.BLOCK - lm.BLOCK)
-            ids = x[first : i + 1]
-            k = a.p["k"][ids] @ a.p["q"][x[i]] * lm.WIDTH**-0.5 + a.p["far"][i - first - np.arange(len(ids))]
-            w = np.exp(k - k.max())
-            z = (w / w.sum()) @ a.p["v"][ids] @ a.p["out"] + a.p["bias"]
-            gate = np.exp(z - z.max())
-            total += math.log10((gate / gate.sum()) @ probs[x[i], t[i]])
-        assert math.isclose(s, total, rel_tol=1e-4)
+    end = 60
+    for t, s in zip(texts, a.scores(texts, end), strict=True):
+        x = np.concatenate([[end], t[:-1]])
+        assert math.isclose(s, sum(brute_logs(a, x, t[i], i) for i in range(len(t))) / math.log(10), rel_tol=1e-4)
 
 
 def test_lm_is_a_distribution():
-    probs = lm.tables(np.random.default_rng(0).integers(0, 3, (lm.EXPERTS, lm.CLASSES, lm.CLASSES)))
-    assert np.allclose(probs.sum(1), 1, atol=1e-4)
+    g = np.random.default_rng(0)
+    a = some_model(g)
+    x = g.integers(0, a.pad, 40)
+    assert math.isclose(sum(math.exp(brute_logs(a, x, to, 37)) for to in range(a.pad)), 1, rel_tol=1e-5)
     c = lm.Classes(np.arange(5000), 4999)
-    assert math.isclose((10 ** c.within[c.of == c.rest]).sum(), 1, rel_tol=1e-9)
+    assert c.branches == lm.MOST_BRANCHES and math.isclose((10 ** c.within[c.of == c.n - 1]).sum(), 1, rel_tol=1e-9)
+    assert len(set(c.of[np.argsort(-np.arange(5000))[: c.n - 1]].tolist())) == c.n - 1
+
+
+def test_lm_gradients_are_differences():
+    g = np.random.default_rng(1)
+    a = some_model(g, 3)
+    x, y, real = lm.blocks([g.integers(0, 27, n) for n in (5, 70)], 3, a.pad)
+    keys, own, to = np.concatenate([x[real - 1], x[real]], 1), x[real], y[real]
+    texts = [y[1][:5], np.concatenate([*y[3:5], y[5][:6]])]
+    loss = lambda: -a.scores(texts, 3).sum() * math.log(10) / 75
+    found = a.gradients(keys, own, to)
+    for k, d in found.items():
+        at = np.unravel_index(np.argmax(np.abs(d)), d.shape)
+        kept = a.p[k][at]
+        a.p[k][at] = kept + 0.02
+        up = loss()
+        a.p[k][at] = kept - 0.02
+        assert math.isclose((up - loss()) / 0.04, d[at], rel_tol=0.03), k
+        a.p[k][at] = kept
+
+
+def test_lm_subwords_are_the_librarys():
+    sw = lm.Subwords(P.path("byte_bpe_50k.tiktoken"), entries=50)
+    texts = [(x or "").encode().split() for x in [*random_texts(400, 5), *ODD]]
+    for at in range(0, len(texts), 10):
+        some = texts[at : at + 10]
+        for own, got in zip(some, sw.texts(some), strict=True):
+            assert got.tolist() == [i for w in own for i in sw.encoding.encode_ordinary(f" {w.decode()}")] + [sw.end]
+
+
+def test_lm_trains_on_every_text_and_beats_its_pairs(spark, monkeypatch):
+    g = np.random.default_rng(2)
+    texts = [np.concatenate([g.integers(0, 30, g.integers(1, 300)) + 30 * (i % 2), [60]]).astype(np.uint16) for i in range(400)]
+    taken = [sorted(x for which in range(lm.SHARE) for x in lm.chosen(texts, which)[i].tolist()) for i in range(len(texts))]
+    assert taken == [list(range(-(-len(t) // lm.BLOCK))) for t in texts]
+    monkeypatch.setattr(lm, "SHARE", 4)
+    df = spark.createDataFrame([(bytearray(t.tobytes()),) for t in texts], "ids binary").repartition(3)
+    kind = np.dtype(np.uint16)
+    counts = lm.id_counts(df, 61, kind)
+    assert counts.tolist() == np.bincount(np.concatenate(texts), minlength=61).tolist()
+    classes = lm.Classes(counts, 60)
+    pairs = lm.pair_counts(df, classes, kind)
+    assert pairs.sum() == counts.sum() and pairs[classes.end].sum() == len(texts)
+    model = lm.Attention(classes.n, classes.branches, lm.tables(np.zeros_like(pairs), classes.branches))  # pairs that tell nothing
+    coded = [classes.of[t] for t in texts]
+    before = model.scores(coded, classes.end).sum()
+    lm.train(df, classes, model, kind)
+    assert model.scores(coded, classes.end).sum() > 0.95 * before
 
 
 def test_lm_without_training_rows(spark, make):
@@ -272,7 +336,7 @@ def test_lm_without_training_rows(spark, make):
 
     path = P.path("byte_bpe_50k.tiktoken")
     (r,) = rows(lm.score(make(["a b"]), F.lit(True), path))
-    assert (r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"]) == (3, 0, 0, None)
+    assert (r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"]) == (3, 0, 0, 0.0)
     assert lm.score(make([]), F.lit(False), path).count() == 0
 
 
