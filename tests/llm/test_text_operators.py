@@ -316,19 +316,21 @@ def test_lm_trains_on_every_text_and_beats_its_pairs(spark, monkeypatch):
     texts = [np.concatenate([g.integers(0, 30, g.integers(1, 300)) + 30 * (i % 2), [60]]).astype(np.uint16) for i in range(400)]
     taken = [sorted(x for which in range(lm.SHARE) for x in lm.chosen(texts, which)[i].tolist()) for i in range(len(texts))]
     assert taken == [list(range(-(-len(t) // lm.BLOCK))) for t in texts]
-    monkeypatch.setattr(lm, "SHARE", 4)
+    monkeypatch.setattr(lm, "SHARE", 1)
+    monkeypatch.setattr(lm, "BATCH", 16)
     df = spark.createDataFrame([(bytearray(t.tobytes()),) for t in texts], "ids binary").repartition(3)
     kind = np.dtype(np.uint16)
     counts = lm.id_counts(df, 61, kind)
     assert counts.tolist() == np.bincount(np.concatenate(texts), minlength=61).tolist()
     classes = lm.Classes(counts, 60)
     pairs = lm.pair_counts(df, classes, kind)
-    assert pairs.sum() == counts.sum() and pairs[classes.end].sum() == len(texts)
-    model = lm.Attention(classes.n, classes.branches, lm.tables(np.zeros_like(pairs), classes.branches))  # pairs that tell nothing
-    coded = [classes.of[t] for t in texts]
-    before = model.scores(coded, classes.end).sum()
-    lm.train(df, classes, model, kind)
-    assert model.scores(coded, classes.end).sum() > 0.95 * before
+    x = [classes.of[t] for t in texts]
+    own = collections.Counter((a, b) for t in x for a, b in zip([classes.end, *t.tolist()], t.tolist(), strict=False))
+    assert dict(zip(pairs.keys.tolist(), pairs.counts.tolist(), strict=True)) == {a * classes.n + b: n for (a, b), n in own.items()}
+    nothing = lm.Pairs(classes, np.zeros(0, np.int64), np.zeros(0, np.float32))
+    weights = lm.train(df, spark.sparkContext.broadcast(nothing), kind)
+    before, after = (nothing.model(w).scores(x, classes.end).sum() for w in (None, weights))
+    assert after > 0.95 * before
 
 
 def test_lm_without_training_rows(spark, make):
