@@ -303,21 +303,23 @@ def test_lm_gradients_are_differences():
 
 
 def test_lm_subwords_are_the_librarys():
-    sw = lm.Subwords(P.path("byte_bpe_50k.tiktoken"), entries=50)
+    sw = lm.Subwords(P.path("byte_bpe_50k.tiktoken"), {b"the": 2.0, b"12": 3.0}, entries=50)
     texts = [(x or "").encode().split() for x in [*random_texts(400, 5), *ODD]]
     for at in range(0, len(texts), 10):
         some = texts[at : at + 10]
         for own, got in zip(some, sw.texts(some), strict=True):
             assert got.tolist() == [i for w in own for i in sw.encoding.encode_ordinary(f" {w.decode()}")] + [sw.end]
+        known, base, rare, times = sw.rare(some, sw.words(some))
+        for own, k, b, r, n in zip(some, known, base, rare.to_pylist(), times.to_pylist(), strict=True):
+            c = collections.Counter(own)
+            assert (k, b) == (c[b"the"] + c[b"12"], 2.0 * c.pop(b"the", 0) + 3.0 * c.pop(b"12", 0)) and dict(zip(r, n, strict=True)) == c
 
 
-def test_lm_trains_on_every_text_and_beats_its_pairs(spark, monkeypatch):
+def test_lm_trains_on_every_text_and_learns_from_the_context(spark):
     g = np.random.default_rng(2)
     texts = [np.concatenate([g.integers(0, 30, g.integers(1, 300)) + 30 * (i % 2), [60]]).astype(np.uint16) for i in range(400)]
     taken = [sorted(x for which in range(lm.SHARE) for x in lm.chosen(texts, which)[i].tolist()) for i in range(len(texts))]
     assert taken == [list(range(-(-len(t) // lm.BLOCK))) for t in texts]
-    monkeypatch.setattr(lm, "SHARE", 1)
-    monkeypatch.setattr(lm, "BATCH", 16)
     df = spark.createDataFrame([(bytearray(t.tobytes()),) for t in texts], "ids binary").repartition(3)
     kind = np.dtype(np.uint16)
     counts = lm.id_counts(df, 61, kind)
@@ -328,9 +330,9 @@ def test_lm_trains_on_every_text_and_beats_its_pairs(spark, monkeypatch):
     own = collections.Counter((a, b) for t in x for a, b in zip([classes.end, *t.tolist()], t.tolist(), strict=False))
     assert dict(zip(pairs.keys.tolist(), pairs.counts.tolist(), strict=True)) == {a * classes.n + b: n for (a, b), n in own.items()}
     nothing = lm.Pairs(classes, np.zeros(0, np.int64), np.zeros(0, np.float32))
-    weights = lm.train(df, spark.sparkContext.broadcast(nothing), kind)
+    weights = lm.train(df, spark.sparkContext.broadcast(nothing), kind, share=1, batch_size=8)
     before, after = (nothing.model(w).scores(x, classes.end).sum() for w in (None, weights))
-    assert after > 0.95 * before
+    assert after > 0.86 * before
 
 
 def test_lm_without_training_rows(spark, make):
