@@ -17,6 +17,24 @@ SLICE_BYTES = 4 << 20
 WRITERS = "spark.sql.maxConcurrentOutputFileWriters"
 
 
+class Numbers(dict):
+    """Numbers for keys, given out from 0 as they come up; those that are new are listed."""
+
+    def __init__(self):
+        super().__init__()
+        self.fresh: list = []
+
+    def __missing__(self, key) -> int:
+        self[key] = n = len(self)
+        self.fresh.append(key)
+        return n
+
+    def take_fresh(self) -> list:
+        """The keys that are new since last time."""
+        out, self.fresh = self.fresh, []
+        return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -130,19 +130,26 @@ def random_texts(n, seed):
     return ["".join(g.choice(parts) for _ in range(g.randint(0, 60))) for _ in range(n)]
 
 
-def test_token_counts_are_the_librarys(spark, make):
+def test_token_counts_are_the_librarys(spark, make, monkeypatch):
     from tokenizers import Tokenizer
 
     path = P.path("byte_bpe_50k.json")
     t = Tokenizer.from_file(path)
     texts = random_texts(3000, 1) + [x or "" for x in ODD]
     want = [len(e.ids) for e in t.encode_batch(texts, add_special_tokens=False)]
-    assert token_counts.PieceCounter(path, entries=500).count(texts) == want
+    library = token_counts.Library(path)
+    table = token_counts.PreTokens(library.special)
+    tokens, sizes, special = table.of(texts)
+    pieces = np.array(library.pieces(table.names))
+    assert len(set(table.names)) == len(table.names)
+    assert (np.bincount(np.repeat(np.arange(len(texts)), sizes), pieces[tokens], len(texts)) + special).tolist() == want
     some = [*ODD, *texts[:50]]
     found = {r["doc_id"]: r for r in rows(token_counts.token_counts(make(some), path))}
     for i, x in enumerate(some):
         n = len(t.encode(x or "", add_special_tokens=False).ids)
         assert found[i] == {"doc_id": i, "n_bytes": len((x or "").encode()), "n_tokens": n, "over_limit": n > 1024}
+    monkeypatch.setattr(token_counts, "HEAVY", 300)  # so that both ways of the join are taken
+    assert {r["doc_id"]: r for r in rows(token_counts.token_counts(make([*some, *some]), path))} == found | {i + len(some): r | {"doc_id": i + len(some)} for i, r in found.items()}
     assert token_counts.token_counts(make([]), path).count() == 0
 
 
