@@ -41,8 +41,9 @@ PRE_TOKEN = regex.compile(
 PART = re.compile(rf" (?=[^{SPACE}])")
 PLAIN = re.compile(r" (?:\s|\Z)")
 #: Entries that a task's table holds before it starts anew.
-TABLE_ENTRIES = 400_000
+TABLE_ENTRIES = 250_000
 HEAVY = 1_000_000
+MARKS = frozenset(".,;:!?")
 
 
 class Library:
@@ -60,6 +61,21 @@ class Library:
         return list(map(len, self.tokenizer.encode_batch_fast(tokens, add_special_tokens=False)))
 
 
+def special_strings(path: str) -> re.Pattern | None:
+    return Library(path).special
+
+
+def taken_apart(part: str | tuple[str]) -> list[str]:
+    """The pre-tokens of a part; a tuple holds one that no blank leads."""
+    lead, part = ("", part[0]) if type(part) is tuple else (" ", part)
+    if part.isascii():  # letters, or letters and a mark, need no pattern
+        if part.isalpha():
+            return [lead + part]
+        if part[-1:] in MARKS and part[:-1].isalpha():
+            return [lead + part[:-1], part[-1]]
+    return PRE_TOKEN.findall(lead + part)
+
+
 class PreTokens:
     """Numbers for the pre-tokens of texts, in a bounded table; parts between blanks are taken apart once."""
 
@@ -92,7 +108,7 @@ class PreTokens:
             specials.append(n)
         part = np.fromiter(map(self.parts.__getitem__, keys), np.int64, len(keys))
         if fresh := self.parts.take_fresh():
-            split = [PRE_TOKEN.findall(p[0] if type(p) is tuple else f" {p}") for p in fresh]
+            split = list(map(taken_apart, fresh))
             own = np.fromiter(map(len, split), np.int64, len(split))
             new = np.fromiter(map(self.tokens.__getitem__, chain.from_iterable(split)), np.int64, own.sum())
             self.first = np.concatenate([self.first, len(self.flat) + np.cumsum(own) - own])
@@ -107,14 +123,14 @@ class PreTokens:
         return tokens, np.diff(ends), np.asarray(specials, np.int64)
 
 
-def frequencies(docs: DataFrame, path: str) -> DataFrame:
+def frequencies(docs: DataFrame, special: re.Pattern | None) -> DataFrame:
     """(token, c): every pre-token of column _text and how often it occurs, added up before the shuffle in bounded tables."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(table.names, pa.string()), pa.array(total)], ["token", "c"])
 
-        table, total = PreTokens(Library(path).special), np.zeros(0, np.int64)
+        table, total = PreTokens(special), np.zeros(0, np.int64)
         for batch in batches:
             for part in slices(batch, "_text"):
                 found = np.bincount(table.of([x or "" for x in part.column("_text").to_pylist()])[0], minlength=len(table.names))
@@ -147,13 +163,14 @@ def token_counts(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     spark = df.sparkSession
     kind = df.schema[id_col].dataType.simpleString()
     docs = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("_bytes"))
-    known = cut(with_pieces(frequencies(docs, path), path), "pieces")
+    special = special_strings(path)
+    known = cut(with_pieces(frequencies(docs, special), path), "pieces")
     total = known.agg(F.sum("c")).first()[0] or 0
     heavy = F.col("c") * HEAVY > total
     common = spark.sparkContext.broadcast({r.token: r.pieces for r in known.where(heavy).toLocalIterator()})
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = PreTokens(Library(path).special, common.value)
+        table = PreTokens(special, common.value)
         for batch in batches:
             for part in slices(batch, "_text"):
                 if table.full():
