@@ -43,6 +43,8 @@ PLAIN = re.compile(r" (?:\s|\Z)")
 #: Entries that a task's table holds before it starts anew.
 TABLE_ENTRIES = 250_000
 HEAVY = 1_000_000
+#: Bytes of text that are taken apart at a time; a table's keys lie among them in memory, so it is little.
+SLICE = 1 << 20
 MARKS = frozenset(".,;:!?")
 
 
@@ -132,7 +134,7 @@ def frequencies(docs: DataFrame, special: re.Pattern | None) -> DataFrame:
 
         table, total = PreTokens(special), np.zeros(0, np.int64)
         for batch in batches:
-            for part in slices(batch, "_text"):
+            for part in slices(batch, "_text", SLICE):
                 found = np.bincount(table.of([x or "" for x in part.column("_text").to_pylist()])[0], minlength=len(table.names))
                 found[: len(total)] += total
                 total = found
@@ -172,7 +174,7 @@ def token_counts(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = PreTokens(special, common.value)
         for batch in batches:
-            for part in slices(batch, "_text"):
+            for part in slices(batch, "_text", SLICE):
                 if table.full():
                     table.clear()
                 tokens, sizes, n = table.of([x or "" for x in part.column("_text").to_pylist()])
