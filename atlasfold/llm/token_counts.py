@@ -19,6 +19,7 @@ input are ignored whatever their names.
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Iterator
 from itertools import chain, repeat
@@ -52,6 +53,8 @@ class Library:
     """The tokenizer file of the ``tokenizers`` library, and what its special strings are."""
 
     def __init__(self, path: str):
+        # a task has one core; the library's threads would each keep memory of their own
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
