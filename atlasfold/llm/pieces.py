@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import Numbers, slices
 
 MARK = "▁"
 RATE, SEED = 0.1, 0
@@ -86,6 +86,18 @@ class Codec:
             self.size_of[i] = len(p)
         pairs = sorted((self.rank[p[:k]][1] * n + self.rank[p[k:]][1], ranks[r], i) for p, (r, i) in self.rank.items() for k in range(1, len(p)) if p[:k] in self.rank and p[k:] in self.rank)
         self.pair_keys, self.pair_rank, self.pair_id = (np.array([x[j] for x in pairs], d) for j, d in ((0, np.int64), (1, np.int32), (2, np.int32)))
+        # where each pair is: a sparse table by a hash of the pair, the next free slot if one is taken
+        self.shift = np.uint64(64 - max(4, (8 * len(pairs)).bit_length()))
+        self.slots = np.full((1 << 64 - int(self.shift)) + 64, -1, np.int32)
+        left = np.arange(len(pairs), dtype=np.int32)
+        at = self._slot(self.pair_keys)
+        self.probes = 0
+        while len(left):
+            free = self.slots[at[left] + self.probes] < 0
+            slot, first = np.unique(at[left[free]] + self.probes, return_index=True)
+            self.slots[slot] = left[free][first]
+            left = left[self.slots[at[left] + self.probes] != left]
+            self.probes += 1
         self.char_id = np.full(0x110000, -1, np.int32)
         for p, (_, i) in self.rank.items():
             if len(p) == 1:
@@ -223,8 +235,23 @@ class Codec:
     def _lookup(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank (NONE without one; equal scores have equal ranks) and id of the piece that two symbols make."""
         want = a.astype(np.int64) * self.n + b
-        at = np.minimum(np.searchsorted(self.pair_keys, want), len(self.pair_keys) - 1)
-        return np.where((self.pair_keys[at] == want) & (a >= 0) & (b >= 0), self.pair_rank[at], NONE), self.pair_id[at]
+        want[(a < 0) | (b < 0)] = -1
+        flat = want.ravel()
+        slot = self._slot(flat)
+        found = self.slots[slot]
+        right = self.pair_keys[found] == flat
+        far = np.flatnonzero((found >= 0) & ~right)
+        for k in range(1, self.probes):
+            if not len(far):
+                break
+            near = self.slots[slot[far] + k]
+            found[far] = near
+            right[far] = self.pair_keys[near] == flat[far]
+            far = far[(near >= 0) & ~right[far]]
+        return np.where(right, self.pair_rank[found], NONE).reshape(want.shape), self.pair_id[found].reshape(want.shape)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
 
     def _agendas(self, chunks, some, sizes, symbols, starts, variants) -> np.ndarray:
         """Symbols of each row when its agenda is done; -1 where there is none."""
@@ -279,10 +306,10 @@ class Codec:
         sizes = np.asarray(sizes, np.int64)
         if not chunks:
             return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
-        number = {c: i for i, c in enumerate(dict.fromkeys(chunks))}
+        number = Numbers()
         which = np.fromiter(map(number.__getitem__, chunks), np.int64, len(chunks))
         starts = np.cumsum(sizes) - sizes
-        names = list(number)
+        names = number.fresh
         if self.variants > 1:
             at = (np.arange(len(chunks)) - np.repeat(starts, sizes)).astype(np.uint64)
             variants = np.repeat(salts, sizes) + at * np.uint64(0x9E3779B97F4A7C15)
