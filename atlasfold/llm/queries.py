@@ -58,7 +58,7 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    archives = warc.rewrite(warc.write(table(spark, sf_dir, "pages")))
+    archives = warc.rewrite(warc.scan(warc.write(table(spark, sf_dir, "pages"))))
     return warc.read(archives).select("page_id", "payload_bytes", F.col("digest").alias("payload_digest"), F.col("kind").alias("record_type"), "refers_to")
 
 

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, cut, slices, utf8
+from .common import LOWER, cut, remove_cuts, slices, unused, utf8
 from .components import components
 
 SEED = 42
@@ -61,16 +61,16 @@ def fingerprint(text: bytes, shingle: int = 4) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
-    """``id_col`` and fp (long) of every row."""
+    """``id_col``, fp (long) and t (a hash of the text, which tells apart rows of one id) of every row."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "_text"):
-                yield pa.RecordBatch.from_arrays([part.column("_id"), pa.array([fingerprint(x, shingle) for x in utf8(part, "_text")], pa.int64())], ["_id", "fp"])
+                yield pa.RecordBatch.from_arrays([part.column("_id"), pa.array([fingerprint(x, shingle) for x in utf8(part, "_text")], pa.int64()), part.column("t")], ["_id", "fp", "t"])
 
-    out = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(run, f"_id {kind}, fp long")
-    return out.withColumnRenamed("_id", id_col)
+    out = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.xxhash64(text_col).alias("t"))
+    return out.mapInArrow(run, f"_id {kind}, fp long, t long").withColumnRenamed("_id", id_col)
 
 
 def masks(width: int, most: int) -> np.ndarray:
@@ -168,25 +168,37 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]
         yield now, np.concatenate(held)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
-    """``id_col``, fp and component_id (the least id reachable over links, its own included) of every row."""
-    found = cut(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    distinct = cut(found.groupBy("fp").agg(F.min(id_col).alias("_least")), "distinct")
+def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """_id, fp, t and keep of every row; keep: the least id, and the least t of that, of the row's component (null without an id)."""
+    found = cut(fingerprints(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), "_id", "_text", shingle), "fingerprints")
+    first = F.min(F.when(F.col("_id").isNotNull(), F.struct("_id", "t")))
+    distinct = cut(found.groupBy("fp").agg(first.alias("_least")), "distinct")
     reached = components(links(distinct, prefix_bits(distinct.count())))
     # the least id of each component, then of each fingerprint in it
     rooted = distinct.join(reached.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "_least", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("_least").alias("component_id"))
-    named = cut(rooted.select("fp", "root").join(least, "root").select("fp", "component_id"), "named")
-    return found.join(named, "fp").select(id_col, "fp", "component_id")
+    least = rooted.groupBy("root").agg(F.min("_least").alias("keep"))
+    named = cut(rooted.select("fp", "root").join(least, "root").select("fp", "keep"), "named")
+    remove_cuts(distinct, reached)
+    return found.join(named, "fp")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
+    """``id_col``, fp and component_id (the least id reachable over links, its own included) of every row."""
+    return _grouped(docs, id_col, text_col, shingle).select(F.col("_id").alias(id_col), "fp", F.col("keep._id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
-    """The rows of ``docs`` whose id is its component's least; of rows with equal id and text one stays.
+    """One row of ``docs`` of every component: of the least id, and of that the text whose hash is least.
 
-    Rows with a null id can't be told apart by it and all stay.
+    Rows are known by id and text, so a row goes only if its own text is in a component that another row stands for.
+    Rows with a null id all stay and stand for no one else. Of rows with equal id and text one stays.
     """
-    found = near_duplicates(docs, id_col, text_col, shingle)
-    gone = found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct()
-    kept = docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
-    repeated = found.groupBy(id_col).count().where("count > 1").limit(1).count()
-    return kept.dropDuplicates([id_col, text_col]) if repeated else kept
+    found = cut(_grouped(docs, id_col, text_col, shingle).where("_id is not null"), "grouped")
+    row, text = unused(docs, "_row_id"), unused(docs, "_row_text")
+    gone = found.where("_id != keep._id or t != keep.t").select(F.col("_id").alias(row), F.col("t").alias(text)).distinct()
+    kept = docs.join(gone, (F.col(id_col) == F.col(row)) & (F.xxhash64(text_col) == F.col(text)), "left_anti")
+    # a shuffle of the texts, only where a row that stays is repeated
+    if not found.where("_id = keep._id and t = keep.t").groupBy("_id", "t").count().where("count > 1").limit(1).count():
+        return kept
+    named = kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col, text_col])
+    return named.unionByName(kept.where(F.col(id_col).isNull()))

@@ -10,8 +10,10 @@ positive left.
 Each level is an array of 64-bit words made by a grouped bit_or, which
 combines before the shuffle, and is read as a scalar subquery: a constant of
 the plan, not a join. A level's size follows the number of its keys, at
-``BITS_PER_KEY``; a level of over ``MAX_KEYS`` keys, where an array would no
-longer be small, is refused with an error rather than broadcast.
+``BITS_PER_KEY``. More than ``MAX_KEYS`` listed keys are dealt by a hash to
+shards of about that many, each with levels of its own, so that no array is
+over some 24 MB; a key asks its own shard. Which keys of the universe are listed
+is found by grouping both, so building takes no join either.
 
 Rules (host suffix and path prefix) come first; the longest that fits wins.
 Urls without a rule get the cascade's verdict on their host.
@@ -37,7 +39,7 @@ RULES = [
     ("block", "org", "/es/"),
 ]
 BITS_PER_KEY, HASHES, MAX_LEVELS = 12, 3, 40
-#: Keys of a level that one array is made for: 12 bits each, 24 MB at most.
+#: Listed keys of a shard on average: 12 bits each, some 24 MB an array.
 MAX_KEYS = 1 << 24
 
 
@@ -93,29 +95,38 @@ class Cascade:
 
     def __init__(self, universe: DataFrame, listed: DataFrame):
         """Both with a column ``key``; keys of ``listed`` outside the universe are no harm, nulls are ignored."""
-        self.levels: list[tuple[int, DataFrame]] = []
-        ours = cut(listed.select("key").dropna().distinct(), "listed")
-        # the others: keys of the universe that aren't listed. An anti join by equal keys, needed once while building
-        others = cut(universe.select("key").dropna().distinct().join(ours, "key", "left_anti"), "others")
+        both = universe.select("key", F.lit(False).alias("own")).union(listed.select("key", F.lit(True)))
+        keys = cut(both.where("key is not null").groupBy("key").agg(F.max("own").alias("own")), "keys")
+        self.n_shards = max(1, -(-keys.where("own").count() // MAX_KEYS))
+        self.shards = [self._levels(keys.where(self._shard(F.col("key")) == s)) for s in range(self.n_shards)]
+
+    def _shard(self, key: Column) -> Column:
+        # a salt that no level uses
+        return F.pmod(F.xxhash64(key, F.lit(-1)), F.lit(self.n_shards))
+
+    @staticmethod
+    def _levels(keys: DataFrame) -> list[tuple[int, DataFrame]]:
+        levels: list[tuple[int, DataFrame]] = []
+        ours, others = keys.where("own").select("key"), keys.where("not own").select("key")
         while n := ours.count():
-            if len(self.levels) == MAX_LEVELS:
+            if len(levels) == MAX_LEVELS:
                 raise RuntimeError("the cascade did not settle")
-            if n > MAX_KEYS:
-                raise ValueError(f"{n} keys at one level: build cascades over shards of the keys, {MAX_KEYS} each at most")
-            level, words = len(self.levels) + 1, _words(n)
-            self.levels.append((words, cut(_filter(ours, level, words), "level")))
-            through = others.where(_passes(F.col("key"), level, words, self._bits(level)))
+            level, words = len(levels) + 1, _words(n)
+            levels.append((words, cut(_filter(ours, level, words), "level")))
+            through = others.where(_passes(F.col("key"), level, words, levels[-1][1].scalar()))
             ours, others = cut(through, "through"), ours
-
-    def _bits(self, level: int) -> Column:
-        return self.levels[level - 1][1].scalar()
+        return levels
 
     def listed(self, key: Column) -> Column:
         """Whether a key of the universe is listed: refused first by an even level, or by none of an odd number."""
-        answer = F.lit(len(self.levels) % 2 == 1)
-        for level in range(len(self.levels), 0, -1):
-            answer = F.when(_passes(key, level, self.levels[level - 1][0], self._bits(level)), answer).otherwise(F.lit(level % 2 == 0))
-        return F.coalesce(answer, F.lit(False))
+        found = F
+        for s, levels in enumerate(self.shards):
+            answer = F.lit(len(levels) % 2 == 1)
+            for level in range(len(levels), 0, -1):
+                words, bits = levels[level - 1]
+                answer = F.when(_passes(key, level, words, bits.scalar()), answer).otherwise(F.lit(level % 2 == 0))
+            found = found.when(self._shard(key) == s, answer)
+        return F.coalesce(found, F.lit(False))
 
 
 def verdicts(pages: DataFrame, listed: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url", rules=RULES) -> DataFrame:

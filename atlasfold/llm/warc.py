@@ -1,11 +1,11 @@
 """WARC archives: writing, reading, and revisit resolution by payload digest.
 
 ``write`` makes one gzip member per record in files of bounded size.
-``headers`` lists the records of archives. ``resolve`` shuffles headers only:
+``headers`` and ``scan`` list the records of archives from the archives themselves. ``resolve`` shuffles headers only:
 equal payloads of at least ``least_bytes`` keep one response, that with the
 largest id, and the others become revisit records that refer to it. Revisit
 records that the input already has are joined to the original responses by
-digest. ``rewrite`` then streams every archive through one task, which copies
+digest. ``rewrite`` then streams every archive through one task, about one each, which copies
 payloads of responses and writes fresh headers; payloads are never shuffled.
 
 Files are written under the session's shared folder (or any folder that
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import cut, shared_dir
 
 #: Uncompressed bytes after which a writer begins another file.
 FILE_BYTES = 32 << 20
@@ -177,33 +177,59 @@ def write(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
     return _manifest(cols.mapInArrow(run, MANIFEST), folder)
 
 
-def _open(spark: SparkSession, paths: list[str]) -> DataFrame:
-    return spark.read.format("binaryFile").load(paths).select("path", "content")
+def _header_rows(path: str, data: bytes) -> list[tuple]:
+    """The manifest's rows of one archive, from its records; a payload that doesn't match its digest raises."""
+    found = []
+    for n, (f, block) in enumerate(records(data)):
+        digest = base64.b32decode(f["warc-payload-digest"].removeprefix("sha1:")).hex()
+        page = int(f["x-page-id"]) if f.get("x-page-id") else None
+        if f["warc-type"] == "response":
+            body = payload(block)
+            if hashlib.sha1(body).hexdigest() != digest:
+                raise ValueError(f"record {n} of {path}: the payload doesn't match its digest")
+            found.append((path, n, page, "response", len(body), digest, f["warc-record-id"], None))
+        else:
+            found.append((path, n, page, f["warc-type"], int(f.get("x-payload-length", 0)), digest, f["warc-record-id"], f["warc-refers-to"]))
+    return found
+
+
+def _data(path: str) -> bytes:
+    from pyarrow import fs
+
+    store, base = fs.FileSystem.from_uri(path)
+    with store.open_input_file(base) as f:
+        return f.read()
+
+
+def _dealt(paths: DataFrame) -> DataFrame:
+    """Distinct paths of archives, about one a task: dealt by number, which adaptive execution leaves as it is."""
+    return paths.repartition(max(1, paths.count()))
 
 
 def headers(archives: DataFrame) -> DataFrame:
-    """The manifest of archives given as (path, content) rows, read from the records themselves; bad digests raise."""
+    """The manifest of archives given as (path, content) rows, read from the records themselves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
-                found = []
-                for n, (f, block) in enumerate(records(content.as_py())):
-                    digest = base64.b32decode(f["warc-payload-digest"].removeprefix("sha1:")).hex()
-                    page = int(f["x-page-id"]) if f["x-page-id"] else None
-                    if f["warc-type"] == "response":
-                        body = payload(block)
-                        if hashlib.sha1(body).hexdigest() != digest:
-                            raise ValueError(f"record {n} of {path}: the payload doesn't match its digest")
-                        found.append((path, n, page, "response", len(body), digest, f["warc-record-id"], None))
-                    else:
-                        found.append((path, n, page, f["warc-type"], int(f["x-payload-length"]), digest, f["warc-record-id"], f["warc-refers-to"]))
-                if found:
+                if found := _header_rows(path, content.as_py()):
                     yield _rows(found)
 
     return archives.mapInArrow(run, MANIFEST)
 
 
+def scan(manifest: DataFrame) -> DataFrame:
+    """The manifest anew, from the headers of the archives that it names."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch.column("path").to_pylist():
+                if found := _header_rows(path, _data(path)):
+                    yield _rows(found)
+
+    return cut(_dealt(manifest.select("path").distinct()).mapInArrow(run, MANIFEST), "headers")
+
+
 def resolve(manifest: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
     """(path, record, to_id, to_page) of the records that become revisits. Only headers move.
 
@@ -227,15 +253,11 @@ def rewrite(manifest: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
     plan = paths.join(turns, "path", "left").select("path", F.col("turns.record").alias("rec"), F.col("turns.to_id").alias("to_id"), F.col("turns.to_page").alias("to_page"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
-
         out = _Writer(folder)
         try:
             for batch in batches:
                 for path, rec, ids, pages in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                    store, base = fs.FileSystem.from_uri(path)
-                    with store.open_input_file(base) as f:
-                        data = f.read()
+                    data = _data(path)
                     turn = {n: (i, p) for n, i, p in zip(rec or (), ids or (), pages or (), strict=True)}
                     found = []
                     for n, (f, block) in enumerate(records(data)):
@@ -258,7 +280,7 @@ def rewrite(manifest: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
         finally:
             out.close()
 
-    return _manifest(plan.repartition(max(1, spark.sparkContext.defaultParallelism), "path").mapInArrow(run, MANIFEST), folder)
+    return _manifest(plan.repartition(max(1, paths.count())).mapInArrow(run, MANIFEST), folder)
 
 
 def read(manifest: DataFrame) -> DataFrame:
@@ -266,13 +288,9 @@ def read(manifest: DataFrame) -> DataFrame:
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("kind", pa.string()), ("payload", pa.binary()), ("payload_bytes", pa.int64()), ("digest", pa.string()), ("refers_to", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
-
         for batch in batches:
             for path in batch.column("path").to_pylist():
-                store, base = fs.FileSystem.from_uri(path)
-                with store.open_input_file(base) as f:
-                    data = f.read()
+                data = _data(path)
                 found, held = [], 0
                 for f, block in records(data):
                     digest = base64.b32decode(f["warc-payload-digest"].removeprefix("sha1:")).hex()
@@ -290,5 +308,4 @@ def read(manifest: DataFrame) -> DataFrame:
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*found, strict=True), schema, strict=True)], schema=schema)
 
-    paths = manifest.select("path").distinct()
-    return paths.mapInArrow(run, "page_id long, url string, kind string, payload binary, payload_bytes long, digest string, refers_to long")
+    return _dealt(manifest.select("path").distinct()).mapInArrow(run, "page_id long, url string, kind string, payload binary, payload_bytes long, digest string, refers_to long")

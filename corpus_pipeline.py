@@ -1,4 +1,18 @@
-"""A corpus-cleaning pipeline over ``documents``: toxic texts, near copies, repeated passages and benchmark leaks go, the rest is encoded."""
+"""A corpus-cleaning pipeline over ``documents``: toxic texts, near copies, repeated passages and benchmark leaks go, the rest is encoded.
+
+Defined results: null and empty texts are not toxic, have no passage and no
+leak, and encode to no pieces; as near copies they are equals, so one id keeps
+them. Rows with a null id are never anyone's copy: they pass the near-copy and
+passages stages as they are. Rows that share an id are told apart by their
+texts: each is judged, and cut, by its own; rows equal in both count once from
+the near-copy stage on. An empty table gives an empty one at every stage. All
+columns of documents are carried through, whatever further ones there are and
+whatever their names, up to the last stage, which returns its own.
+
+Each stage is written to the shared folder under a name of its own and stays
+there for the next run's comparison; folders pipeline-* and the operators'
+intermediate ones may be deleted once the result has been written.
+"""
 
 from __future__ import annotations
 
