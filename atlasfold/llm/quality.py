@@ -1,35 +1,47 @@
 """Quality rules: robust multivariate outliers per language and source, in DataFrame functions only.
 
 Every text gets counts, the counts a vector of transformed statistics, and
-every (lang, source) group a minimum-covariance-determinant estimate: from the
-median and the median deviation as a start, concentration steps keep the
-``SHARE`` of rows that lie nearest, and take mean and covariance of those. A row is
-rejected if its Mahalanobis distance from the estimate passes ``CUTOFF``.
+every (lang, source) group a minimum-covariance-determinant estimate. From
+each of several starts (median and median deviation; mean and covariance; mean and
+covariance of the half nearest to the median; and of ``DRAWN`` parts of the rows,
+drawn by a hash of the vector) concentration steps keep the
+``SHARE`` of rows that lie nearest and take mean and covariance of those, until
+no determinant falls any more; of a group's starts, that of the least determinant
+counts. A row is rejected if its Mahalanobis distance from the estimate passes
+``CUTOFF``.
 
 Distances come from a Cholesky factor spelt out as column expressions, so rows
-are judged inside code generation. Quantiles are mergeable sketches, means and
-products plain sums: all are combined before the shuffle, so a group with a
-third of the rows sends a few rows per task. Groups reach rows by a broadcast
+are judged inside code generation. Quantiles are exact on a grid (``GRID`` cells
+to a unit, or to a doubling of a distance): counts by cell, which are combined
+before the shuffle, then a running sum over cells. So no quantile depends on how rows are
+partitioned, and a group with a third of the rows sends a few rows per task.
+Means and products are plain sums. Groups reach rows by a broadcast
 if they are few (``MAX_GROUPS``), else by a shuffled join that Spark can split.
 
 Defined results: null text has no words and fails the base rules; null lang
-and null source are groups like any other; groups of fewer than MIN_ROWS rows,
-or of no spread, take the estimate of all rows together; repeated rows and ids keep
-their rows; empty tables give none; other columns are ignored.
+and null source are groups like any other; a group of any size has an estimate
+of its own, in which each variance is ``FLOOR`` at least, so a group of one row, or of
+equal rows, keeps them; repeated rows and ids keep their rows; empty tables give
+none; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, remove_cuts
 
 #: White space that parts words, and characters that count as symbols.
 BLANKS = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
-#: Concentration steps, share of rows they keep, and the least size of a group of its own.
-STEPS, SHARE, MIN_ROWS = 3, 0.75, 40
+#: Concentration steps at most, and the share of rows they keep.
+MAX_STEPS, SHARE = 30, 0.75
+#: Cells of a unit of a statistic, and of a doubling of a distance.
+GRID = 1024
+#: Parts of the rows that are starts, and how many parts there are in a draw.
+DRAWN, PARTS = 5, 4
+STARTS = 3 + DRAWN
 #: Squared Mahalanobis distance beyond which a row is an outlier; far above the normal quantile, for skewed statistics.
 CUTOFF = 60.0
 MAX_GROUPS = 20_000
@@ -117,24 +129,79 @@ def _attach(rows: DataFrame, est: DataFrame, few: bool) -> DataFrame:
     return rows.join(F.broadcast(est) if few else est, "_g")
 
 
-def estimates(vectors: DataFrame, few: bool) -> DataFrame:
-    """One row a group (column _g): centre m* and Cholesky factor l* of its minimum-covariance-determinant estimate."""
+def _quantile(cells: DataFrame, keys: list[str], share: float) -> DataFrame:
+    """``keys`` and the least _cell that covers the share of a group's rows."""
+    counts = cells.groupBy(*keys, "_cell").agg(F.count("*").alias("_n"))
+    upto, whole = Window.partitionBy(*keys).orderBy("_cell"), Window.partitionBy(*keys)
+    placed = counts.withColumns({"_to": F.sum("_n").over(upto), "_all": F.sum("_n").over(whole)})
+    return placed.where(F.col("_to") >= F.ceil(F.lit(share) * F.col("_all"))).groupBy(*keys).agg(F.min("_cell").alias("_cell"))
+
+
+def _medians(rows: DataFrame, values: list[Column], name: str) -> DataFrame:
+    """_g and the median of each value on the grid, as columns name0, name1, ..."""
+    cells = rows.select("_g", F.posexplode(F.array(*[F.round(v * GRID).cast("long") for v in values])).alias("_k", "_cell"))
+    found = _quantile(cells, ["_g", "_k"], 0.5)
+    return found.groupBy("_g").agg(*[F.max(F.when(F.col("_k") == i, F.col("_cell") / GRID)).alias(f"{name}{i}") for i in range(len(values))])
+
+
+def _distance_cell(d2: Column) -> Column:
+    """The cell of a squared distance: GRID of them for each doubling."""
+    return F.ceil(F.log2(F.greatest(d2, F.lit(1e-9))) * GRID).cast("long")
+
+
+def _starts(vectors: DataFrame, few: bool) -> DataFrame:
+    """Centre and Cholesky factor of every start of every group; _g is the group, then the start's number."""
     d = len(STATISTICS)
-    middle = vectors.groupBy("_g").agg(F.count("*").alias("n"), *[F.percentile_approx(s, 0.5, 10_000).alias(f"m{i}") for i, s in enumerate(STATISTICS)])
-    off = _attach(vectors, middle.drop("n"), few).groupBy("_g").agg(
-        *[F.percentile_approx(F.abs(F.col(s) - F.col(f"m{i}")), 0.5, 10_000).alias(f"a{i}") for i, s in enumerate(STATISTICS)]
-    )
-    start = middle.join(off, "_g").select(
+    middle = _medians(vectors, [F.col(s) for s in STATISTICS], "m")
+    off = _medians(_attach(vectors, middle, few), [F.abs(F.col(s) - F.col(f"m{i}")) for i, s in enumerate(STATISTICS)], "a")
+    spread = middle.join(off, "_g").select(
         "_g", *[f"m{i}" for i in range(d)],
         *[(F.lit(0.0) if i != j else F.pow(F.col(f"a{i}") * 1.4826, 2) + FLOOR[i]).alias(f"c{i}{j}") for i in range(d) for j in range(i, d)],
     )
-    factor = _factor(start, ["_g"])
-    for _ in range(STEPS):
-        near = _distance(_attach(vectors, factor, few))
-        limit = near.groupBy("_g").agg(F.percentile_approx("_d2", SHARE, 10_000).alias("_limit"))
-        kept = _attach(near, limit, few).where("_d2 <= _limit").select("_g", *STATISTICS)
-        factor = cut(_factor(_moments(kept, ["_g"]), ["_g"]), "estimate")
-    return factor
+    spread = cut(_factor(spread, ["_g"]), "start")
+    near = _distance(_attach(vectors, spread, few)).withColumn("_cell", _distance_cell(F.col("_d2")))
+    half = _quantile(near.select("_g", "_cell"), ["_g"], 0.5).withColumnRenamed("_cell", "_limit")
+    inner = _attach(near, half, few).where("_cell <= _limit").select("_g", *STATISTICS)
+    each = [spread, _factor(_moments(vectors, ["_g"]), ["_g"]), _factor(_moments(inner, ["_g"]), ["_g"])]
+    # a row is in one part of each draw; DRAWN parts of as many draws as they take
+    for k in range(DRAWN):
+        draw = F.pmod(F.xxhash64(*STATISTICS, F.lit(k // PARTS)), F.lit(PARTS)) == k % PARTS
+        each.append(_factor(_moments(vectors.where(draw), ["_g"]), ["_g"]))
+    out = each[0].withColumn("_start", F.lit(0))
+    for k, x in enumerate(each[1:], 1):
+        out = out.unionByName(x.withColumn("_start", F.lit(k)))
+    return out.withColumn("_g", F.concat("_g", F.lit(" "), F.col("_start").cast("string"))).drop("_start")
+
+
+def _determinant() -> Column:
+    """Twice the log of a factor's diagonal: the log of the determinant."""
+    return sum((F.log(F.col(f"l{i}{i}")) * 2 for i in range(1, len(STATISTICS))), F.log(F.col("l00")) * 2)
+
+
+def estimates(vectors: DataFrame, few: bool) -> DataFrame:
+    """One row a group (column _g): centre m* and Cholesky factor l* of its minimum-covariance-determinant estimate, and _det, the log of its determinant."""
+    each = vectors.withColumn("_g", F.explode(F.array(*[F.concat("_g", F.lit(f" {k}")) for k in range(STARTS)])))
+    factor = cut(_starts(vectors, few).withColumn("_det", F.lit(float("inf"))), "estimate")
+    for _ in range(MAX_STEPS):
+        near = _distance(_attach(each, factor.drop("_det"), few)).withColumn("_cell", _distance_cell(F.col("_d2")))
+        limit = _quantile(near.select("_g", "_cell"), ["_g"], SHARE).withColumnRenamed("_cell", "_limit")
+        kept = _attach(near, limit, few).where("_cell <= _limit").select("_g", *STATISTICS)
+        after = _factor(_moments(kept, ["_g"]), ["_g"]).withColumn("_det", _determinant())
+        # a start that doesn't fall any more stays where it is
+        columns = [c for c in factor.columns if c != "_g"]
+        new, old = F.struct(*[F.col(f"n.{c}") for c in columns]), F.struct(*[F.col(f"o.{c}") for c in columns])
+        falls = F.col("n._det") < F.col("o._det") - 1e-6
+        step = factor.alias("o").join(after.alias("n"), "_g").select("_g", F.when(falls, new).otherwise(old).alias("x"), falls.alias("_moved"))
+        step = cut(step.select("_g", "x.*", "_moved"), "estimate")
+        remove_cuts(factor)
+        moved = step.where("_moved").limit(1).count()
+        folder, factor = step.folder, step.drop("_moved")
+        factor.folder = folder
+        if not moved:
+            break
+    group = F.regexp_replace("_g", " [0-9]+$", "")
+    best = factor.groupBy(group.alias("_g")).agg(F.min(F.struct("_det", *[c for c in factor.columns if c not in ("_g", "_det")])).alias("x"))
+    return best.select("_g", "x.*")
 
 
 def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keys: tuple[str, ...] = ("lang", "source")) -> DataFrame:
@@ -142,15 +209,11 @@ def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keys: t
     group = F.to_json(F.array(*[F.col(k).cast("string") for k in keys]))
     counted = cut(counts(df, [F.col(id_col).alias("id"), group.alias("grp")], text_col), "counts")
     failed = (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
-    sizes = counted.where(~failed).groupBy("grp").agg(F.count("*").alias("_n"))
-    few = sizes.limit(MAX_GROUPS + 1).count() <= MAX_GROUPS
-    known = sizes.where(F.col("_n") >= MIN_ROWS).select("grp", F.col("grp").alias("_g"))
-    vectors = counted.withColumn("base_failed", failed)
-    vectors = vectors.join(F.broadcast(known) if few else known, "grp", "left").withColumn("_g", F.coalesce("_g", F.lit("*"))).select("*", *statistics())
-    good = vectors.where(~F.col("base_failed")).select("_g", *STATISTICS)
-    # groups too small for an estimate of their own share that of all rows, under the name *
-    fit = cut(good.where("_g != '*'").union(good.select(F.lit("*").alias("_g"), *STATISTICS)), "vectors")
-    factor = estimates(fit, few)
+    few = counted.where(~failed).select("grp").distinct().limit(MAX_GROUPS + 1).count() <= MAX_GROUPS
+    vectors = counted.withColumn("base_failed", failed).withColumnRenamed("grp", "_g").select("*", *statistics())
+    fit = cut(vectors.where(~F.col("base_failed")).select("_g", *STATISTICS), "vectors")
+    factor = cut(estimates(fit, few).drop("_det"), "factor")
+    remove_cuts(fit)
     judged = _distance(vectors.join(F.broadcast(factor) if few else factor, "_g", "left"))
     return judged.select(
         F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
