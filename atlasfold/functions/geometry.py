@@ -199,7 +199,80 @@ def gcd(a: str, b: str) -> Column:
 
 
 def lcm(a: str, b: str) -> Column:
-    return F.abs(F.col(a).cast("long") / F.nullif(gcd(a, b), F.lit(0).cast("long")) * F.col(b)).cast("long")
+    return F.abs(F.call_function("div", F.col(a).cast("long"), F.nullif(gcd(a, b), F.lit(0).cast("long"))) * F.col(b).cast("long"))
+
+
+def abs_max(a, b) -> Column:
+    """Of two values the one of the larger magnitude; the second of equals."""
+    return F.when(F.abs(c(a)) > F.abs(c(b)), c(a)).otherwise(c(b))
+
+
+def abs_min(a, b) -> Column:
+    return F.when(F.abs(c(a)) < F.abs(c(b)), c(a)).otherwise(c(b))
+
+
+def max_idx(values: Column) -> Column:
+    """Where, from 0, an array's first largest value is."""
+    return F.array_position(values, F.array_max(values)) - 1
+
+
+def min_idx(values: Column) -> Column:
+    return F.array_position(values, F.array_min(values)) - 1
+
+
+def take_min(base, value) -> tuple[Column, Column]:
+    """The lesser of both, and whether it is the value."""
+    return F.least(c(base), c(value)), c(value) < c(base)
+
+
+def take_max(base, value) -> tuple[Column, Column]:
+    return F.greatest(c(base), c(value)), c(value) > c(base)
+
+
+def median3(a, b, x) -> Column:
+    """The middle of three in order."""
+    return F.get(F.array_sort(F.array(c(a), c(b), c(x))), F.lit(1))
+
+
+def cube(x) -> Column:
+    return c(x) * c(x) * c(x)
+
+
+def sign_eq(a, b) -> Column:
+    """Whether two values don't differ in sign; zero goes with either."""
+    return c(a) * c(b) >= 0
+
+
+def toggled(flag) -> Column:
+    return ~c(flag)
+
+
+def floor_mod(x, m) -> Column:
+    """What is left of x over the next lower multiple of m."""
+    return c(x) - F.floor(c(x) / c(m)) * c(m)
+
+
+def one_bit_set(x) -> Column:
+    return F.bit_count(c(x)) == 1
+
+
+def all_bits_set(x, mask: int) -> Column:
+    return c(x).bitwiseAND(F.lit(mask)) == mask
+
+
+def any_bits_set(x, mask: int) -> Column:
+    return c(x).bitwiseAND(F.lit(mask)) != 0
+
+
+def find_item(values: Column, item) -> Column:
+    """Where, from 0, the item first is; the array's size without it."""
+    at = F.array_position(values, c(item)).cast("int")
+    return F.when(at > 0, at - 1).otherwise(F.size(values))
+
+
+def set_range(values: Column, start: int, n: int, value) -> Column:
+    """The array with ``n`` places from ``start`` set to a value."""
+    return F.transform(values, lambda x, i: F.when((i >= start) & (i < start + n), c(value)).otherwise(x))
 
 
 def saturating_count(flags: Column, least: int, most: int) -> Column:

@@ -11,6 +11,11 @@ from .geometry import c, dot, relative_pose, wrap
 MAX_OBSTACLE = 0.5
 
 
+def cumulative_pose(x, y, th, tx, ty, tth, sd_radial, sd_tangential, sd_angular) -> tuple[Column, Column, Column]:
+    """A summed relative pose against its target, each component by its deviation; the angle isn't wrapped."""
+    return (c(x) - c(tx)) / c(sd_radial), (c(y) - c(ty)) / c(sd_tangential), (c(th) - c(tth)) / c(sd_angular)
+
+
 def point_to_line(wx, wy, nx, ny, offset, sd, factor=1.0) -> Column:
     return (dot(wx, wy, nx, ny) + c(offset)) / c(sd) * c(factor)
 

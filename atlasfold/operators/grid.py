@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import c, dot, length, unit
+from ..snapshot import snapshot
 
 #: Truncation, least value, full-weight band, decay and least weight of the signed distance.
 TRUNCATE, BEHIND, BAND, DECAY, LEAST = 0.2, 0.2, 0.02, 30.0, 0.01
@@ -56,7 +57,8 @@ def merge(grids: DataFrame, keys: list[str]) -> DataFrame:
 def filter_points(points: DataFrame, grid: DataFrame, res: float, keys: list[str], share: float = 0.95, near: float = 0.05) -> DataFrame:
     """Points in cells of high weight that lie at a surface: bicubic value near 0, over the 16 nodes around each point."""
     top = grid.groupBy(*keys).agg(F.max("weight").alias("_top"))
-    p = points.withColumns({"_id": F.monotonically_increasing_id(), "_gx": F.floor(F.col("wx") / res), "_gy": F.floor(F.col("wy") / res)})
+    # numbers of rows hold only if they are written with them
+    p = snapshot(points.withColumn("_id", F.monotonically_increasing_id())).withColumns({"_gx": F.floor(F.col("wx") / res), "_gy": F.floor(F.col("wy") / res)})
     p = p.withColumns({"_tx": F.col("wx") / res - F.col("_gx"), "_ty": F.col("wy") / res - F.col("_gy")})
     nodes = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-1, 3) for j in range(-1, 3)])
     at = p.withColumn("_n", F.explode(nodes)).withColumns({"ix": (F.col("_gx") + F.col("_n.i")).cast("int"), "iy": (F.col("_gy") + F.col("_n.j")).cast("int")})
@@ -84,20 +86,39 @@ def occupied(points: DataFrame, res: float) -> DataFrame:
 def inconsistency(points: DataFrame, poses: DataFrame, res: float = 0.05, reach: float = 10.0) -> DataFrame:
     """(graph_id, pose_a, pose_b, n) of pairs of scans taken within ``reach``: cells that one has and the other lacks.
 
-    |A| + |B| - 2 |A and B|; pairs are found by cells of ``reach`` and shared cells by an equi-join.
+    |A| + |B| - 2 |A and B|; pairs of poses are found by cells of ``reach``, and each pair intersects the scans' sets of
+    cells, so a wall that many scans see makes no rows of its own.
     """
-    cells = occupied(points, res)
-    sizes = cells.groupBy("graph_id", "pose_id").agg(F.count("*").alias("n"))
+    cell = F.struct(F.floor(F.col("wx") / res).cast("int").alias("ix"), F.floor(F.col("wy") / res).cast("int").alias("iy"))
+    sizes = points.groupBy("graph_id", "pose_id").agg(F.collect_set(cell).alias("n"))
     around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
     at = poses.select("graph_id", "pose_id", "x", "y", F.floor(F.col("x") / reach).alias("_cx"), F.floor(F.col("y") / reach).alias("_cy")).join(sizes, ["graph_id", "pose_id"])
     a = at.select("graph_id", F.col("pose_id").alias("pose_a"), F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("n").alias("na"), "_cx", "_cy").withColumn("_o", F.explode(around))
     a = a.withColumns({"_cx": F.col("_cx") + F.col("_o.i"), "_cy": F.col("_cy") + F.col("_o.j")}).drop("_o")
     b = at.select("graph_id", F.col("pose_id").alias("pose_b"), F.col("x").alias("bx"), F.col("y").alias("by"), F.col("n").alias("nb"), "_cx", "_cy")
     close = a.join(b, ["graph_id", "_cx", "_cy"]).where((F.col("pose_a") < F.col("pose_b")) & (length(F.col("ax") - F.col("bx"), F.col("ay") - F.col("by")) < reach))
-    shared = cells.withColumnRenamed("pose_id", "pose_a").join(cells.withColumnRenamed("pose_id", "pose_b"), ["graph_id", "ix", "iy"]).where("pose_a < pose_b")
-    shared = shared.groupBy("graph_id", "pose_a", "pose_b").agg(F.count("*").alias("_both"))
-    out = close.join(shared, ["graph_id", "pose_a", "pose_b"], "left")
-    return out.select("graph_id", "pose_a", "pose_b", (F.col("na") + F.col("nb") - 2 * F.coalesce("_both", F.lit(0))).alias("n"))
+    return close.select("graph_id", "pose_a", "pose_b", (F.size("na") + F.size("nb") - 2 * F.size(F.array_intersect("na", "nb"))).alias("n"))
+
+
+def normalised(grid: DataFrame, keys: list[str], limit: float = TRUNCATE) -> DataFrame:
+    """Values and weights of each grid scaled to 255 by the largest (values by 0 or less stay as they are), and the colours of its picture.
+
+    red: how far a value is below 0, green: at or above 0, both as shares of ``limit`` in 255 steps.
+    """
+    top = grid.groupBy(*keys).agg(F.max("value").alias("_v"), F.max("weight").alias("_w"))
+    scaled = lambda x, m: F.when(F.col(m) > 0, F.col(x) * 255 / F.col(m)).otherwise(F.col(x))
+    shade = F.least(F.floor(F.abs("value") / limit * 255), F.lit(255)).cast("int")
+    above = F.col("value") >= 0
+    return grid.join(top, keys).select(*keys, "ix", "iy", scaled("value", "_v").alias("value"), scaled("weight", "_w").alias("weight"), F.when(above, 0).otherwise(shade).alias("red"), F.when(above, shade).otherwise(0).alias("green"))
+
+
+def bounds(points: DataFrame, keys: list[str], x: str = "wx", y: str = "wy") -> DataFrame:
+    """The bounding box of each group, and each dimension's mean and spread (the sum of squares off the mean)."""
+    n = F.count("*")
+    return points.groupBy(*keys).agg(
+        F.min(x).alias("x_min"), F.max(x).alias("x_max"), F.min(y).alias("y_min"), F.max(y).alias("y_max"),
+        F.avg(x).alias("x_mean"), F.avg(y).alias("y_mean"), (F.var_pop(x) * n).alias("x_spread"), (F.var_pop(y) * n).alias("y_spread"),
+    )
 
 
 def histogram(scored: DataFrame, value: str = "n", bins: int = 10) -> DataFrame:

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geometry import along, dot, ellipse, length, unit
+from ..functions.geometry import dot, ellipse, length, unit
 from .solve import fit_segment
 
 #: Fixed value: chi-squared bound for either end of a match.
@@ -47,26 +47,33 @@ def match(new: DataFrame, master: DataFrame, keys: list[str], reach: float) -> D
 
     Segments have ends x0, y0, x1, y1 and, for either end, a covariance c0, c1 (variance, isotropic).
     A pair matches if their spans overlap, both ends agree by chi-squared and directions by |cos| > 0.5.
-    Pairs come from cells ``reach`` wide that both bounding boxes touch, so no cross join is made.
+    A pair that matches has points less than the ends' bound apart, so ``reach`` is to be twice that bound: pairs
+    come from cells ``reach`` wide along either segment, the new one's with their neighbours, and ids alone meet there.
     """
 
-    def celled(df):
-        box = lambda a, b: F.sequence(F.floor(F.least(a, b) / reach).cast("int") - 1, F.floor(F.greatest(a, b) / reach).cast("int") + 1)
-        return df.withColumn("_cx", F.explode(box("x0", "x1"))).withColumn("_cy", F.explode(box("y0", "y1")))
-
-    n = celled(new.select(*keys, F.col("seg_id").alias("new_id"), "x0", "y0", "x1", "y1", F.col("c0").alias("nc0"), F.col("c1").alias("nc1")))
-    n = n.select(*keys, "new_id", F.col("x0").alias("nx0"), F.col("y0").alias("ny0"), F.col("x1").alias("nx1"), F.col("y1").alias("ny1"), "nc0", "nc1", "_cx", "_cy")
-    m = celled(master.select(*keys, F.col("seg_id").alias("master_id"), "x0", "y0", "x1", "y1", "c0", "c1"))
-    j = n.join(m, [*keys, "_cx", "_cy"]).drop("_cx", "_cy").distinct()
-    j = j.withColumns({"t1": along("nx0", "ny0", "x0", "y0", "x1", "y1"), "t2": along("nx1", "ny1", "x0", "y0", "x1", "y1")})
+    def celled(df, name, pad):
+        n = F.greatest(F.ceil(length(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")) / (reach / 2)).cast("int"), F.lit(1))
+        at = lambda a, b, k: F.floor((F.col(a) + k / n * (F.col(b) - F.col(a))) / reach).cast("int")
+        along_it = F.transform(F.sequence(F.lit(0), n), lambda k: F.struct(at("x0", "x1", k).alias("x"), at("y0", "y1", k).alias("y")))
+        beside = lambda i, j: lambda p: F.struct((p["x"] + i).alias("x"), (p["y"] + j).alias("y"))
+        around = [F.transform(along_it, beside(i, j)) for i in pad for j in pad]
+        cells = F.array_distinct(F.flatten(F.array(*around)))
+        return df.select(*keys, F.col("seg_id").alias(name), F.explode(cells).alias("_c"))
+
+    met = celled(new, "new_id", (-1, 0, 1)).join(celled(master, "master_id", (0,)), [*keys, "_c"]).select(*keys, "new_id", "master_id").distinct()
+    nd, md = (F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")), length(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))
+    n = new.select(*keys, F.col("seg_id").alias("new_id"), F.col("x0").alias("nx0"), F.col("y0").alias("ny0"), F.col("x1").alias("nx1"), F.col("y1").alias("ny1"), F.col("c0").alias("nc0"), F.col("c1").alias("nc1"))
+    m = master.select(*keys, F.col("seg_id").alias("master_id"), "x0", "y0", "c0", "c1", nd[0].alias("dx"), nd[1].alias("dy"), (md * md).alias("dd"))
+    j = met.join(n, [*keys, "new_id"]).join(m, [*keys, "master_id"])
+    t = lambda x, y: (F.col("dx") * (F.col(x) - F.col("x0")) + F.col("dy") * (F.col(y) - F.col("y0"))) / F.nullif("dd", F.lit(0.0))
+    j = j.withColumns({"t1": t("nx0", "ny0"), "t2": t("nx1", "ny1")})
 
     def chi(t, px, py, cov):
-        fx, fy = F.col("x0") + F.col(t) * (F.col("x1") - F.col("x0")), F.col("y0") + F.col(t) * (F.col("y1") - F.col("y0"))
+        fx, fy = F.col("x0") + F.col(t) * F.col("dx") - F.col(px), F.col("y0") + F.col(t) * F.col("dy") - F.col(py)
         c = F.when(F.col(t) < 0, F.col("c0")).when(F.col(t) > 1, F.col("c1")).otherwise((1 - F.col(t)) * F.col("c0") + F.col(t) * F.col("c1"))
-        d = length(fx - F.col(px), fy - F.col(py))
-        return d * d / (c + F.col(cov))
+        return (fx * fx + fy * fy) / (c + F.col(cov))
 
-    a, b = unit(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")), unit(F.col("nx1") - F.col("nx0"), F.col("ny1") - F.col("ny0"))
+    a, b = unit("dx", "dy"), unit(F.col("nx1") - F.col("nx0"), F.col("ny1") - F.col("ny0"))
     apart = ((F.col("t1") < 0) & (F.col("t2") < 0)) | ((F.col("t1") > 1) & (F.col("t2") > 1))
     ok = j.where(~apart & (chi("t1", "nx0", "ny0", "nc0") < MATCH) & (chi("t2", "nx1", "ny1", "nc1") < MATCH) & (F.abs(dot(*a, *b)) > 0.5))
     return ok.groupBy(*keys, "new_id").agg(F.min(F.struct("master_id", "t1", "t2")).alias("_m")).select(*keys, "new_id", "_m.master_id", "_m.t1", "_m.t2")

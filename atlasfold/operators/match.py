@@ -67,7 +67,10 @@ def all_pairs(points: DataFrame, threshold: float, window: int = 10, angle_deg:
     """
     q = points.where(F.col("obs_id") % stride == 0).select("graph_id", "pose_id", "obs_id", F.col("wx").alias("qx"), F.col("wy").alias("qy"), F.col("wnx").alias("qnx"), F.col("wny").alias("qny"))
     t = points.select("graph_id", F.col("pose_id").alias("to_pose"), F.col("obs_id").alias("to_obs"), F.col("wx").alias("tx"), F.col("wy").alias("ty"), F.col("wnx").alias("tnx"), F.col("wny").alias("tny"))
-    near = pairs(q, t, threshold, ["graph_id"]).where((F.col("pose_id") != F.col("to_pose")) & (F.abs(F.col("pose_id") - F.col("to_pose")) <= window))
+    # poses in reach of each other lie in the same or neighbouring stretches of the trajectory
+    stretch = lambda x: F.floor(F.col(x) / max(1, window))
+    q = q.withColumn("_w", F.explode(F.array(*[stretch("pose_id") + k for k in (-1, 0, 1)])))
+    near = pairs(q, t.withColumn("_w", stretch("to_pose")), threshold, ["graph_id", "_w"]).drop("_w").where((F.col("pose_id") != F.col("to_pose")) & (F.abs(F.col("pose_id") - F.col("to_pose")) <= window))
     near = near.where(dot("qnx", "qny", "tnx", "tny") > math.cos(math.radians(angle_deg)))
     near = near.withColumn("dn", F.abs(dot("qnx", "qny", F.col("tx") - F.col("qx"), F.col("ty") - F.col("qy"))))
     best = nearest(near, ["graph_id", "pose_id", "obs_id", "to_pose"], [F.col("dn"), F.col("to_obs")], ["to_obs", "qx", "qy", "tx", "ty", "tnx", "tny"])

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geometry import length, segment_distance, segment_distance_compat
+from ..functions.geometry import segment_distance, segment_distance_compat
+from .match import pairs
 
 #: Segments that a selection may have to be sent to all tasks.
 MAX_SEGMENTS = 10_000
@@ -36,8 +37,7 @@ def selected_poses(points: DataFrame, segments: DataFrame, threshold: float = 0.
 
 def verified(points: DataFrame, picks: DataFrame, threshold: float = 0.05) -> DataFrame:
     """(sel_id, pick_id, ok) whether a world point lies within the threshold of each picked point (sel_id, pick_id, qx, qy)."""
-    near = F.col("wx").between(F.col("qx") - threshold, F.col("qx") + threshold) & F.col("wy").between(F.col("qy") - threshold, F.col("qy") + threshold)
-    hit = points.join(F.broadcast(picks), near).where(length(F.col("wx") - F.col("qx"), F.col("wy") - F.col("qy")) < threshold).select("sel_id", "pick_id").distinct()
+    hit = pairs(picks, points.select(F.col("wx").alias("tx"), F.col("wy").alias("ty")), threshold, []).select("sel_id", "pick_id").distinct()
     return picks.join(hit.withColumn("_hit", F.lit(True)), ["sel_id", "pick_id"], "left").select("sel_id", "pick_id", F.coalesce("_hit", F.lit(False)).alias("ok"))
 
 
@@ -82,6 +82,26 @@ def ordered_bounds(filtered: DataFrame) -> DataFrame:
     )
 
 
+def kept_messages(messages: DataFrame, skip: float, most: int | None, by: list[str], time: str = "ts", order: str = "event_id") -> DataFrame:
+    """Messages from ``skip`` seconds after the first of their group on, the first ``most`` of those (all for None)."""
+    at = F.col(time).cast("timestamp")
+    w = Window.partitionBy(*by)
+    later = messages.withColumn("_t0", F.min(at).over(w)).where(F.unix_micros(at) >= F.unix_micros("_t0") + int(skip * 1_000_000)).drop("_t0")
+    if most is None:
+        return later
+    return later.withColumn("_k", F.row_number().over(w.orderBy(time, order))).where(F.col("_k") <= most).drop("_k")
+
+
+def keyframes(poses: DataFrame, frames: DataFrame, on: list[str]) -> DataFrame:
+    """The poses whose ``on`` columns equal a keyframe's, to the bit."""
+    return poses.join(frames.select(*on).distinct(), on, "left_semi")
+
+
+def dragged(x0, y0, x1, y1, least: float = 1.0):
+    """Whether a press and its release lie over ``least`` apart."""
+    return F.sqrt((F.col(x1) - F.col(x0)) * (F.col(x1) - F.col(x0)) + (F.col(y1) - F.col(y0)) * (F.col(y1) - F.col(y0))) > least
+
+
 def contiguous(poses: DataFrame) -> DataFrame:
     """(graph_id, group_id, first_pose, last_pose, n): islands of successive pose ids, numbered from 0."""
     w = Window.partitionBy("graph_id").orderBy("pose_id")
@@ -90,9 +110,9 @@ def contiguous(poses: DataFrame) -> DataFrame:
     return out.select("graph_id", (F.row_number().over(Window.partitionBy("graph_id").orderBy("_i")) - 1).alias("group_id"), "first_pose", "last_pose", "n")
 
 
-def runs(lines: DataFrame, keys: list[str], order: str = "line_no", by: list[str] | None = None) -> DataFrame:
-    """Adds run_id: the number, from 0, of the run of equal successive ``keys``."""
-    w = Window.partitionBy(*(by or [])).orderBy(order)
+def runs(lines: DataFrame, keys: list[str], order: str = "line_no", *, by: list[str]) -> DataFrame:
+    """Adds run_id: the number, from 0, of the run of equal successive ``keys`` among the rows of equal ``by``."""
+    w = Window.partitionBy(*by).orderBy(order)
     new = F.lit(False)
     for k in keys:
         new = new | ~F.col(k).eqNullSafe(F.lag(k).over(w))

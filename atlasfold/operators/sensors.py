@@ -11,6 +11,18 @@ from pyspark.sql import functions as F
 from ..functions.geometry import angle_mod, clamp, length, rotate
 
 
+def differences(poses: DataFrame, columns: list[str]) -> DataFrame:
+    """Each column less the pose before's, the first as it is; no rotation."""
+    w = Window.partitionBy("graph_id").orderBy("pose_id")
+    return poses.withColumns({k: F.col(k) - F.coalesce(F.lag(k).over(w), F.lit(0.0)) for k in columns})
+
+
+def totals(poses: DataFrame, columns: list[str]) -> DataFrame:
+    """The way back from differences: sums along the trajectory."""
+    w = Window.partitionBy("graph_id").orderBy("pose_id")
+    return poses.withColumns({k: F.sum(k).over(w) for k in columns})
+
+
 def polar_points(scans: DataFrame, low: float, high: float, start: float, step: float, skip: int = 0, offset: tuple[float, float] = (0.0, 0.0)) -> DataFrame:
     """Points of arrays ``ranges``: beams at start + i * step, within [low, high], without ``skip`` beams at either end."""
     keep = [c for c in scans.columns if c != "ranges"]

@@ -164,28 +164,43 @@ class Chain:
 
     @staticmethod
     def _sweep(diag: np.ndarray, up: np.ndarray, rhs: np.ndarray) -> np.ndarray:
-        """Block Thomas over poses 1..n-1; pose 0 doesn't move."""
+        """Cyclic reduction over poses 1..n-1, all blocks of a level at once; pose 0 doesn't move."""
         n = len(diag)
         x = np.zeros((n, 3))
-        if n < 2:
-            return x
-        c, d = np.zeros((n, 3, 3)), np.zeros((n, 3))
-        for i in range(1, n):
-            a, b = diag[i], rhs[i]
-            if i > 1:
-                a = a - up[i - 1].T @ c[i - 1]
-                b = b - up[i - 1].T @ d[i - 1]
-            if i < n - 1:
-                both = np.linalg.solve(a, np.column_stack([up[i], b]))
-                c[i], d[i] = both[:, :3], both[:, 3]
-            else:
-                d[i] = np.linalg.solve(a, b)
-        x[n - 1] = d[n - 1]
-        for i in range(n - 2, 0, -1):
-            x[i] = d[i] - c[i] @ x[i + 1]
+        if n > 1:
+            x[1:] = _reduced(diag[1:], up[1:], rhs[1:, :, None])[..., 0]
         return x
 
 
+def _reduced(diag: np.ndarray, up: np.ndarray, rhs: np.ndarray) -> np.ndarray:
+    """Solves a symmetric block-tridiagonal system: the blocks at even places are eliminated, the odd ones are such a system again."""
+    n = len(diag)
+    if n == 1:
+        return np.linalg.solve(diag, rhs)
+    # of each even place: its block's inverse times what couples it to the place before and after, and its right side
+    even, odd = diag[::2], diag[1::2]
+    k, m = len(even), len(odd)
+    after, before = np.zeros((k, 3, 3)), np.zeros((k, 3, 3))
+    after[: len(up[::2])] = up[::2]
+    before[1:] = up[1::2].transpose(0, 2, 1)[: k - 1]
+    both = np.linalg.solve(even, np.concatenate([before, after, rhs[::2]], 2))
+    to_before, to_after, own = both[..., :3], both[..., 3:6], both[..., 6:]
+    # the even place left of an odd one, then the one right of it, if there is one
+    left = after[:m].transpose(0, 2, 1)
+    new_diag, new_rhs = odd - left @ to_after[:m], rhs[1::2] - left @ own[:m]
+    r = min(m, k - 1)
+    right = before[1 : r + 1].transpose(0, 2, 1)
+    new_diag[:r] -= right @ to_before[1 : r + 1]
+    new_rhs[:r] -= right @ own[1 : r + 1]
+    new_up = -(right @ to_after[1 : r + 1])[: m - 1]
+    out = np.zeros_like(rhs)
+    out[1::2] = found = _reduced(new_diag, new_up, new_rhs)
+    out[::2] = own
+    out[::2][:m] -= to_after[:m] @ found
+    out[::2][1 : r + 1] -= to_before[1 : r + 1] @ found[:r]
+    return out
+
+
 def joint_solve(poses: DataFrame, constraints: DataFrame) -> DataFrame:
     """(graph_id, pose_id, x, y, th, cost_before, cost_after): every graph's chain with its targets.
 

@@ -212,6 +212,19 @@ select {IDS}, kind, {cols('x0=x0; y0=y0; x1=x1; y1=y1', 5)} from l""",
 select distinct graph_id, i, j from (select * from l union all select graph_id, j, i from l)""",
     "raster": f"with {S} select graph_id, floor(px / 0.1)::bigint ix, floor(py / 0.1)::bigint iy, count(*) n from s group by all",
     "modifier_decode": "select event_id::bigint event_id, ((event_id % 16) & 7)::bigint as type from events",
+    "scalar_more": """with a as (select l_orderkey::bigint l_orderkey, l_linenumber::bigint l_linenumber, l_quantity::bigint q, (l_partkey % 97 + 1)::bigint p from lineitem), b as (select *, q - p s, q - 25 r from a)
+select l_orderkey, l_linenumber, (case when abs(s) > abs(r) then s else r end)::bigint abs_max, (case when abs(s) < abs(r) then s else r end)::bigint abs_min,
+ (case greatest(q, p, s) when q then 0 when p then 1 else 2 end)::bigint max_idx, (case least(q, p, s) when q then 0 when p then 1 else 2 end)::bigint min_idx, least(q, p) as least, greatest(q, p) most, (q + p + s - greatest(q, p, s) - least(q, p, s))::bigint middle, (s * s * s)::bigint as cube,
+ (s - floor(s / p) * p)::bigint floor_mod, lcm(q, p)::bigint as lcm, (case 30 when q then 0 when p then 1 when s then 2 else 3 end)::bigint found, q r0, 7::bigint r2,
+ list_reduce([0, case when q > 10 then 1 else -1 end, case when p > 10 then 1 else -1 end, case when s > 0 then 1 else -1 end, case when r > 0 then 1 else -1 end], lambda x, y: least(greatest(x + y, 0), 2))::bigint held,
+ s * r >= 0 sign_eq, p < q taken, p > q raised, not (q > 20) toggled, bit_count(q) = 1 one_bit, (q & 5) = 5 all_bits, (p & 6) <> 0 any_bits from b""",
+    "pose_differences": f"with {P}, d as (select *, x - coalesce(lag(x) over q, 0) dx, y - coalesce(lag(y) over q, 0) dy, th - coalesce(lag(th) over q, 0) dth from p window q as (partition by graph_id order by pose_id)) select {IDS}, {cols('dx=dx; dy=dy; dth=dth; x=x; y=y; th=th', 4)} from d",
+    "scan_bounds": f"with {S} select {IDS}, {cols('x_min=min(px); x_max=max(px); y_min=min(py); y_max=max(py); x_mean=avg(px); y_mean=avg(py); x_spread=var_pop(px) * count(*); y_spread=var_pop(py) * count(*)', 5)} from s group by 1, 2",
+    "sdf_normalised": f"with {SDF}, t as (select *, max(value) over (partition by graph_id) mv, max(weight) over (partition by graph_id) mw from g) select graph_id, ix::bigint ix, iy::bigint iy, {cols('value=case when mv > 0 then value * 255 / mv else value end; weight=case when mw > 0 then weight * 255 / mw else weight end', 4)} from t",
+    "message_window": "with l as (select * from (select *, min(ts) over (partition by user_id) t0 from events) where ts >= t0 + interval 3600 second) select user_id::bigint user_id, event_id::bigint event_id from l qualify row_number() over (partition by user_id order by ts, event_id) <= 40",
+    "keyframe_poses": f"with {O} select {IDS} from o where (graph_id, ts) in (select (graph_id, ts) from o where dx > 1)",
+    "drags": "select event_id::bigint event_id, sqrt(power(value / 50, 2) + 0.25) > 1.0 dragged from events",
+    "residual_cumulative": f"with {P} select {IDS}, {cols('r0=(x - 1.0) / 0.05; r1=(y + 0.5) / 0.04; r2=(th - 0.25) / 0.02', 3)} from p",
     "argb_unpack": """select o_orderkey::bigint o_orderkey, ((v >> 24) & 255)::bigint alpha, ((v >> 16) & 255)::bigint red, ((v >> 8) & 255)::bigint green, (v & 255)::bigint blue from (select o_orderkey, ((o_orderkey::bigint * 2654435761) % 4294967296)::bigint v from orders)""",
     "event_windows": f"select epoch(date_trunc('hour', ts))::bigint start, user_id::bigint user_id, count(*) n, {rnd('sum(value)', 4)} total from events group by 1, 2",
     "vector_ops": f"""with {S}, a as (select *, sqrt(px * px + py * py) n, least(greatest(((px + 1) * 2 + py * 0.5) / 4.25, 0), 1) t, nullif(1.0 * 0.5 - 0.5 * 2.0, 0) dd from s)

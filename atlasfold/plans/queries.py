@@ -142,7 +142,7 @@ def contiguous_groups(spark, sf):
 
 def pose_runs(spark, sf):
     p = fx.odometry(spark, sf).select("graph_id", "pose_id", (F.col("dx") > 0.5).alias("far"), (F.col("dth") > 0).alias("left"))
-    return select.runs(p, ["far", "left"], "pose_id", ["graph_id"]).select("graph_id", F.col("pose_id").cast("long").alias("pose_id"), F.col("run_id").cast("long").alias("run_id"))
+    return select.runs(p, ["far", "left"], "pose_id", by=["graph_id"]).select("graph_id", F.col("pose_id").cast("long").alias("pose_id"), F.col("run_id").cast("long").alias("run_id"))
 
 
 def _moved(kind):
@@ -384,6 +384,61 @@ def cov_rotate(spark, sf):
     return out(p, ["graph_id", "pose_id"], ["r0", "r1", "r2", "r4", "r5", "r8", "xx", "xy", "yy"], 5)
 
 
+def scalar_more(spark, sf):
+    e = table(spark, sf, "lineitem").select(
+        F.col("l_orderkey").cast("long").alias("l_orderkey"), F.col("l_linenumber").cast("long").alias("l_linenumber"), F.col("l_quantity").cast("long").alias("q"), (F.col("l_partkey") % 97 + 1).cast("long").alias("p")
+    )
+    e = e.withColumns({"s": F.col("q") - F.col("p"), "r": F.col("q") - 25})
+    own, (least, taken), (most, raised) = F.array("q", "p", "s"), g.take_min("q", "p"), g.take_max("q", "p")
+    ranged = g.set_range(own, 1, 2, F.lit(7).cast("long"))
+    flags = {"sign_eq": g.sign_eq("s", "r"), "taken": taken, "raised": raised, "toggled": g.toggled(F.col("q") > 20), "one_bit": g.one_bit_set("q"), "all_bits": g.all_bits_set("q", 5), "any_bits": g.any_bits_set("p", 6)}
+    longs = {
+        "abs_max": g.abs_max("s", "r"), "abs_min": g.abs_min("s", "r"), "max_idx": g.max_idx(own), "min_idx": g.min_idx(own), "least": least, "most": most, "middle": g.median3("q", "p", "s"), "cube": g.cube("s"),
+        "floor_mod": g.floor_mod("s", "p"), "lcm": g.lcm("q", "p"), "found": g.find_item(own, F.lit(30).cast("long")), "r0": F.get(ranged, F.lit(0)), "r2": F.get(ranged, F.lit(2)),
+        "held": g.saturating_count(F.array(F.col("q") > 10, F.col("p") > 10, F.col("s") > 0, F.col("r") > 0), 0, 2),
+    }
+    return e.select("l_orderkey", "l_linenumber", *[v.cast("long").alias(k) for k, v in longs.items()], *[v.alias(k) for k, v in flags.items()])
+
+
+def pose_differences(spark, sf):
+    """Plain differences of poses, and the sums that lead back."""
+    p = fx.poses(spark, sf).select("graph_id", "pose_id", "x", "y", "th")
+    d = sensors.differences(p, ["x", "y", "th"]).select("graph_id", "pose_id", *[F.col(k).alias(f"d{k}") for k in ("x", "y", "th")], "x", "y", "th")
+    return out(sensors.totals(d, ["x", "y", "th"]), ["graph_id", "pose_id"], ["dx", "dy", "dth", "x", "y", "th"], 4)
+
+
+def scan_bounds(spark, sf):
+    return out(grid.bounds(_local(spark, sf), ["graph_id", "pose_id"]), ["graph_id", "pose_id"], ["x_min", "x_max", "y_min", "y_max", "x_mean", "y_mean", "x_spread", "y_spread"], 5)
+
+
+def sdf_normalised(spark, sf):
+    n = grid.normalised(grid.sdf(_rays(spark, sf), RES, ["graph_id"]), ["graph_id"])
+    # shades are rounded down, so only values are held against SQL
+    return out(n, ["graph_id", "ix", "iy"], ["value", "weight"], 4)
+
+
+def message_window(spark, sf):
+    """From an hour after each user's first event on, 40 events at most."""
+    m = select.kept_messages(table(spark, sf, "events").select("user_id", "event_id", "ts"), 3600.0, 40, ["user_id"])
+    return m.select(F.col("user_id").cast("long").alias("user_id"), F.col("event_id").cast("long").alias("event_id"))
+
+
+def keyframe_poses(spark, sf):
+    """The odometry rows that carry a keyframe's very time, those of the long moves."""
+    o = fx.odometry(spark, sf)
+    return select.keyframes(o, o.where("dx > 1").select("graph_id", "ts"), ["graph_id", "ts"]).select("graph_id", F.col("pose_id").cast("long").alias("pose_id"))
+
+
+def drags(spark, sf):
+    e = table(spark, sf, "events").select(F.col("event_id").cast("long").alias("event_id"), F.lit(0.0).alias("x0"), F.lit(0.0).alias("y0"), (F.col("value") / 50).alias("x1"), F.lit(0.5).alias("y1"))
+    return e.select("event_id", select.dragged("x0", "y0", "x1", "y1").alias("dragged"))
+
+
+def residual_cumulative(spark, sf):
+    a, b, d = r.cumulative_pose("x", "y", "th", 1.0, -0.5, 0.25, 0.05, 0.04, 0.02)
+    return out(fx.poses(spark, sf).withColumns({"r0": a, "r1": b, "r2": d}), ["graph_id", "pose_id"], ["r0", "r1", "r2"], 3)
+
+
 # without SQL: kernels and sequential operators
 
 
@@ -512,6 +567,7 @@ pill_select verify_points selection_overlap order_bounds contiguous_groups pose_
 backprop cov_scale scan_normals_window nn_l2 nn_normal radius_search visual_odometry stf_pairs residual_rms residual_pose residual_human residual_wall residual_glob
 sdf_grid sdf_merge consistency consistency_hist endpoint_cov scatter cov_ellipse segment_match merge_segments motion_sd polar_scan range_correction
 latest_per_publisher display_lines adjacency raster modifier_decode argb_unpack event_windows vector_ops cov_rotate
+scalar_more pose_differences scan_bounds sdf_normalised message_window keyframe_poses drags residual_cumulative
 segment_fit joint_solve ransac scan_normals gate_keyframes bootstrap_cov replay stream_corrections batch_localize"""
 
 

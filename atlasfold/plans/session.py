@@ -88,14 +88,14 @@ class Session:
         moving, still = (1, 2) if bounds.corrected_sel == 1 else (2, 1)
         a, b = (points[:2], points[2:]) if moving == 1 else (points[2:], points[:2])
         islands = select.contiguous(filtered.where(F.col("sel_id") == moving)).where("group_id = 0").first()
-        anchors = sorted(r.pose_id for r in filtered.where(F.col("sel_id") == still).select("pose_id").collect())
-        corrected = sorted(r.pose_id for r in filtered.where(F.col("sel_id") == moving).select("pose_id").collect())
+        anchors, corrected = (filtered.where(F.col("sel_id") == k).select(F.col("pose_id").alias(name)) for k, name in ((still, "anchor_id"), (moving, "constrained_id")))
+        ends = [df.agg(F.min(df.columns[0]), F.max(df.columns[0])).first() for df in (anchors, corrected)]
         pair = [*a, *b]
         moved = correct.apply(self.poses, kind, pair, islands.first_pose, islands.last_pose)
         first = correct.deltas(self.poses.where(F.col("pose_id") == islands.first_pose), kind, pair).first()
         direction = math.atan2(b[1][1] - b[0][1], b[1][0] - b[0][0])
-        new = correct.targets(moved, (anchors[0], anchors[-1]), (corrected[0], corrected[-1]), direction)
-        new = new.where(F.col("anchor_id").isin(anchors) & F.col("constrained_id").isin(corrected)).withColumn("type", F.lit(int(kind)))
+        new = correct.targets(moved, tuple(ends[0]), tuple(ends[1]), direction)
+        new = new.join(anchors, "anchor_id", "left_semi").join(corrected, "constrained_id", "left_semi").withColumn("type", F.lit(int(kind)))
         before = (self.poses, list(self.constraints))
         now = snapshot(moved)
         constraints = [*self.constraints, snapshot(new)]

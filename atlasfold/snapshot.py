@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame
 
 
 def snapshot(df: DataFrame) -> DataFrame:
-    """The rows as they are now; plans over it stay short. A folder of our own is set only where the session names none."""
+    """The rows as they are now; plans over it stay short. Only a local session gets a folder of its own where none is named; a cluster's must name it."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="atlasfold-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors see")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="atlasfold-"))
     return df.checkpoint()

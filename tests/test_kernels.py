@@ -159,3 +159,18 @@ def test_odometry_turns_by_the_new_angle():
     s = events.accumulate((0.0,) * 6, 1.0, 0.0, math.pi / 2)
     assert np.allclose(s[:5], [0, 1, math.pi / 2, 1, math.pi / 2])
     assert events.due(s, 0.0, 2.0, 1.0, 9.0) and not events.due(s, 1.0, 2.0, 2.0, 9.0) and events.due(s, 10.0, 2.0, 2.0, 9.0)
+
+
+@pytest.mark.parametrize("n", [2, 3, 4, 5, 8, 17, 64, 101])
+def test_cyclic_reduction_is_a_dense_solve(n):
+    g = np.random.default_rng(n)
+    j = g.normal(size=(n - 1, 3, 6))
+    dense = np.eye(3 * n) * 0.5
+    for i in range(n - 1):
+        dense[3 * i : 3 * i + 6, 3 * i : 3 * i + 6] += j[i].T @ j[i]
+    diag = np.stack([dense[3 * i : 3 * i + 3, 3 * i : 3 * i + 3] for i in range(n)])
+    up = np.stack([dense[3 * i : 3 * i + 3, 3 * i + 3 : 3 * i + 6] for i in range(n - 1)])
+    rhs = g.normal(size=(n, 3))
+    got = solve.Chain._sweep(diag, up, rhs)
+    want = np.linalg.solve(dense[3:, 3:], rhs[1:].ravel())
+    assert np.allclose(got[1:].ravel(), want, atol=1e-9) and not got[0].any()
