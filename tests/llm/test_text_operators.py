@@ -325,8 +325,17 @@ def test_lm_subwords_are_the_librarys():
 def test_lm_trains_on_every_text_and_learns_from_the_context(spark):
     g = np.random.default_rng(2)
     texts = [np.concatenate([g.integers(0, 30, g.integers(1, 300)) + 30 * (i % 2), [60]]).astype(np.uint16) for i in range(400)]
-    taken = [sorted(x for which in range(lm.SHARE) for x in lm.chosen(texts, which)[i].tolist()) for i in range(len(texts))]
-    assert taken == [list(range(-(-len(t) // lm.BLOCK))) for t in texts]
+    pad = 64
+    for t in texts[:40]:  # as many windows as there are blocks, each the block that all blocks of the text have
+        x, y, real = lm.blocks([t], 60, pad)
+        want = [(np.concatenate([x[r - 1], x[r]]).tolist(), y[r].tolist()) for r in real]
+        found = [np.frombuffer(w, np.uint16) for which, w in lm.windows(t, 60, 1) if which == 0]
+        keys, own, to = lm.unpacked(found, pad)
+        assert list(zip(keys.tolist(), to.tolist(), strict=True)) == want and (own == keys[:, lm.BLOCK :]).all()
+    # a text gives a round every share-th of its blocks, one share of them or one more
+    assert all(abs(sum(which == k for which, _ in lm.windows(t, 60, 3)) - len(t) / lm.BLOCK / 3) < 1.4 for t in texts for k in range(lm.ROUNDS))
+    given = [lm.windows(t, 60, 1) for t in texts]
+    given = spark.createDataFrame([([r for r, _ in g], [bytearray(w) for _, w in g]) for g in given], "rounds array<int>, windows array<binary>").repartition(3)
     df = spark.createDataFrame([(bytearray(t.tobytes()),) for t in texts], "ids binary").repartition(3)
     kind = np.dtype(np.uint16)
     counts = lm.id_counts(df, 61, kind)
@@ -337,7 +346,7 @@ def test_lm_trains_on_every_text_and_learns_from_the_context(spark):
     own = collections.Counter((a, b) for t in x for a, b in zip([classes.end, *t.tolist()], t.tolist(), strict=False))
     assert dict(zip(pairs.keys.tolist(), pairs.counts.tolist(), strict=True)) == {a * classes.n + b: n for (a, b), n in own.items()}
     nothing = lm.Pairs(classes, np.zeros(0, np.int64), np.zeros(0, np.float32))
-    weights = lm.train(df, spark.sparkContext.broadcast(nothing), kind, share=1, batch_size=8)
+    weights = lm.train(given, spark.sparkContext.broadcast(nothing), kind, batch_size=8)
     before, after = (nothing.model(w).scores(x, classes.end).sum() for w in (None, weights))
     assert after > 0.86 * before
 
