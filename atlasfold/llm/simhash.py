@@ -15,6 +15,15 @@ Members of a colliding variant are pairwise within the radius by the triangle
 inequality, so a chain along them loses no component: links stay linear in
 the members and no group's pairs are listed.
 
+``keep_one`` looks for texts whose sets of five-word shingles have a Jaccard
+similarity of 0.8 or more. Such texts' bits differ too often for one ball of
+64 bits, so it keeps several independent fingerprints a text ("lanes"), cut to
+as many bits as keep chance meetings few, with as many lanes as reach RECALL
+for a pair at 0.8 exactly. Balls are met in every lane, colliding pairs must
+agree over the whole of their lanes, and what is left is verified on the
+shingles: every text against its least neighbour first, then whatever links
+texts that are still in different components.
+
 Defined results: null, empty and wordless texts have fingerprint zero and are
 linked like any other; repeated rows and ids keep their rows; a null id takes
 part but never names a component unless the component has no other id (then
@@ -39,6 +48,12 @@ SEED = 42
 RADIUS = 4
 #: Variants that one prefix is meant to have at most, on average.
 PREFIX_VARIANTS = 1 << 20
+#: The near-copy search: Jaccard similarity, chance to meet a pair that has it exactly, and what is added to the
+#: logarithm of the number of texts for the bits of a lane.
+SIMILARITY, RECALL, MARGIN = 0.8, 0.98, 16
+MIN_BITS, MAX_LANES = 34, 96
+#: Standard deviations over its mean that the distance of a pair may have over all lanes.
+DEVIATIONS = 5
 
 
 def fingerprint(text: bytes, shingle: int = 4) -> int:
@@ -73,6 +88,60 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return out.mapInArrow(run, f"_id {kind}, fp long, t long").withColumnRenamed("_id", id_col)
 
 
+def differing(similarity: float) -> float:
+    """Share of bits that differ, on average, between texts of a Jaccard similarity."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def lane_shape(n: int) -> tuple[int, int]:
+    """(bits, lanes) that meet a pair at SIMILARITY with chance RECALL among ``n`` texts."""
+    bits = min(64, max(MIN_BITS, math.ceil(math.log2(max(1, n))) + MARGIN))
+    p = differing(SIMILARITY)
+    meets = sum(math.comb(bits, k) * p**k * (1 - p) ** (bits - k) for k in range(RADIUS + 1))
+    return bits, min(MAX_LANES, math.ceil(math.log(1 - RECALL) / math.log(1 - meets)))
+
+
+def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
+    """Distinct hashes of the shingles of a text in ascending order; a text of fewer words is one shingle, one of none has none."""
+    words = text.translate(LOWER).split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    joined = b" ".join(words)
+    stops = np.cumsum([len(w) + 1 for w in words])
+    n = max(1, len(words) - shingle + 1)
+    starts = [0, *stops[: n - 1].tolist()]
+    ends = (stops[min(shingle, len(words)) - 1 :][:n] - 1).tolist()
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, ends, strict=True)), np.uint64, n))
+
+
+def sketch(hashes: np.ndarray, lanes: int) -> np.ndarray:
+    """One 64-bit fingerprint a lane: of the hashes as they are, then of them mixed anew for each further lane."""
+    out = np.zeros(lanes, np.int64)
+    for lane in range(lanes):
+        counts = np.zeros(64, np.int64)
+        for at in range(0, len(hashes), 65_536):
+            h = hashes[at : at + 65_536]
+            if lane:
+                h = h + np.uint64(lane * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+                h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+                h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+                h = h ^ (h >> np.uint64(31))
+            counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        out[lane] = np.packbits(counts * 2 > len(hashes), bitorder="little").view("<i8")[0]
+    return out
+
+
+def jaccard(x: np.ndarray, y: np.ndarray) -> float:
+    """Of two sets in ascending order; texts without shingles are alike."""
+    if not len(x) and not len(y):
+        return 1.0
+    both = np.concatenate([x, y])
+    both.sort()
+    shared = int((both[1:] == both[:-1]).sum())
+    return shared / (len(x) + len(y) - shared)
+
+
 def masks(width: int, most: int) -> np.ndarray:
     """All values of ``width`` bits with at most ``most`` (0 to 2) bits set, fewest first."""
     one = np.uint64(1) << np.arange(width, dtype=np.uint64)
@@ -85,21 +154,21 @@ def masks(width: int, most: int) -> np.ndarray:
     return np.concatenate(out)
 
 
-def prefix_bits(n: int) -> int:
-    """Leading bits so that a prefix has about PREFIX_VARIANTS variants of ``n`` fingerprints."""
-    return min(24, max(2, math.ceil(math.log2(max(1, n) * len(masks(64, 2)) / PREFIX_VARIANTS))))
+def prefix_bits(n: int, width: int = 64, least: int = 2) -> int:
+    """Leading bits, ``least`` or more, so that a prefix has about PREFIX_VARIANTS variants of ``n`` fingerprints."""
+    return min(24, max(least, math.ceil(math.log2(max(1, n) * len(masks(width, 2)) / PREFIX_VARIANTS))))
 
 
-def meet(prefix: int, fps: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+def meet(prefix: int, fps: np.ndarray, bits: int, width: int = 64) -> tuple[np.ndarray, np.ndarray]:
     """Links (a, b) between distinct fingerprints that share a variant under ``prefix``: chains along each variant's members."""
-    low = np.uint64(64 - bits)
-    tail = np.uint64((1 << (64 - bits)) - 1)
+    low = np.uint64(width - bits)
+    tail = np.uint64((1 << (width - bits)) - 1)
     away = np.bitwise_count((fps >> low) ^ np.uint64(prefix))
     spelt, owner = [], []
     for d in range(RADIUS // 2 + 1):
         own = np.flatnonzero(away == d)
         if len(own):
-            m = masks(64 - bits, RADIUS // 2 - d)
+            m = masks(width - bits, RADIUS // 2 - d)
             spelt.append(((fps[own] & tail)[:, None] ^ m[None, :]).ravel())
             owner.append(np.repeat(own, len(m)))
     if not spelt:
@@ -127,25 +196,31 @@ def meet(prefix: int, fps: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarra
     return x[right], y[right]
 
 
-def links(distinct: DataFrame, bits: int) -> DataFrame:
-    """(a, b) longs: fingerprints within the radius, enough of them for every component. ``distinct`` has column fp."""
+def links(distinct: DataFrame, bits: int, width: int = 64) -> DataFrame:
+    """(lane, a, b): fingerprints within the radius, enough of them for every component.
+
+    ``distinct`` has column fp, of ``width`` bits, and may have column lane (under 128); lanes don't meet.
+    """
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flips = masks(bits, RADIUS // 2)
         for batch in batches:
             for at in range(0, batch.num_rows, 20_000):
                 fps = batch.column("fp").slice(at, 20_000).to_numpy(zero_copy_only=False).view(np.uint64)
-                to = ((fps >> np.uint64(64 - bits))[:, None] ^ flips[None, :]).ravel()
-                yield pa.RecordBatch.from_arrays([pa.array(to.astype(np.int32)), pa.array(np.repeat(fps, len(flips)).view(np.int64))], ["prefix", "fp"])
+                lane = batch.column("lane").slice(at, 20_000).to_numpy(zero_copy_only=False).astype(np.int32) << 24
+                to = ((fps >> np.uint64(width - bits))[:, None] ^ flips[None, :]).astype(np.int32) | lane[:, None]
+                yield pa.RecordBatch.from_arrays([pa.array(to.ravel()), pa.array(np.repeat(fps, len(flips)).view(np.int64))], ["prefix", "fp"])
 
     def receive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for prefix, fps in _runs(batches):
-            a, b = meet(prefix, fps, bits)
+            a, b = meet(prefix & (1 << 24) - 1, fps, bits, width)
             if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
+                lane = pa.array(np.full(len(a), prefix >> 24, np.int32))
+                yield pa.RecordBatch.from_arrays([lane, pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["lane", "a", "b"])
 
-    sent = distinct.select("fp").mapInArrow(send, "prefix int, fp long")
-    return sent.repartition("prefix").sortWithinPartitions("prefix").mapInArrow(receive, "a long, b long")
+    lane = F.col("lane") if "lane" in distinct.columns else F.lit(0)
+    sent = distinct.select(lane.alias("lane"), "fp").mapInArrow(send, "prefix int, fp long")
+    return sent.repartition("prefix").sortWithinPartitions("prefix").mapInArrow(receive, "lane int, a long, b long")
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
@@ -187,18 +262,104 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return _grouped(docs, id_col, text_col, shingle).select(F.col("_id").alias(id_col), "fp", F.col("keep._id").alias("component_id"))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
-    """One row of ``docs`` of every component: of the least id, and of that the text whose hash is least.
+def _sketches(texts: DataFrame, shingle: int, lanes: int) -> DataFrame:
+    """t and sk (a long a lane) of every row of (t, _text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "_text"):
+                sk = [sketch(shingle_hashes(x, shingle), lanes) for x in utf8(part, "_text")]
+                yield pa.RecordBatch.from_arrays([part.column("t"), pa.array(sk, pa.list_(pa.int64()))], ["t", "sk"])
+
+    return texts.mapInArrow(run, "t long, sk array<long>")
+
+
+def _colliding(sk: DataFrame, bits: int) -> DataFrame:
+    """(a, b), a > b: texts that meet in a lane. Texts of one fingerprint are a class, which its least text stands for in the balls."""
+    lanes = sk.select("t", F.posexplode("sk").alias("lane", "fp")).withColumn("fp", F.shiftrightunsigned("fp", 64 - bits))
+    classes = cut(lanes.groupBy("lane", "fp").agg(F.min("t").alias("least"), F.count("*").alias("n")), "classes")
+    within = lanes.join(classes.where("n > 1"), ["lane", "fp"]).select(F.col("t").alias("a"), F.col("least").alias("b"))
+    n = classes.groupBy("lane").count().agg(F.max("count")).first()[0] or 0
+    met = links(classes, prefix_bits(n, bits, 6), bits)
+    named = classes.select("lane", "fp", "least")
+    across = met.join(named.select("lane", F.col("fp").alias("a"), F.col("least").alias("x")), ["lane", "a"])
+    across = across.join(named.select("lane", F.col("fp").alias("b"), F.col("least").alias("y")), ["lane", "b"])
+    pairs = within.union(across.select("x", "y")).where("a != b")
+    out = cut(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "colliding")
+    remove_cuts(classes)
+    return out
+
+
+def _agreeing(pairs: DataFrame, sk: DataFrame, lanes: int) -> DataFrame:
+    """The pairs whose distance over all lanes fits SIMILARITY or more."""
+    p, n = differing(SIMILARITY), 64 * lanes
+    most = math.ceil(n * p + DEVIATIONS * math.sqrt(n * p * (1 - p)))
+    both = pairs.join(sk.select(F.col("t").alias("a"), F.col("sk").alias("x")), "a").join(sk.select(F.col("t").alias("b"), F.col("sk").alias("y")), "b")
+    apart = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, d: s + d)
+    return both.where(apart <= most).select("a", "b")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
+    """The pairs whose sets of shingles have SIMILARITY or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "y"):
+                right = [jaccard(shingle_hashes(x, shingle), shingle_hashes(y, shingle)) >= SIMILARITY for x, y in zip(utf8(part, "x"), utf8(part, "y"), strict=True)]
+                yield part.select(["a", "b"]).filter(pa.array(right, pa.bool_()))
+
+    # no hash tables of texts: what a partner brings grows with the input
+    both = pairs.join(texts.select(F.col("t").alias("a"), F.col("_text").alias("x")).hint("merge"), "a")
+    both = both.join(texts.select(F.col("t").alias("b"), F.col("_text").alias("y")).hint("merge"), "b")
+    return both.mapInArrow(run, "a long, b long")
+
+
+def similar(texts: DataFrame, shingle: int = 5) -> DataFrame:
+    """(node, root) of every text that is in a component with another, by links of SIMILARITY or more.
+
+    ``texts`` has distinct t (a hash) and _text. A pair is lost only if no lane meets it, which for one at SIMILARITY has
+    the chance 1 - RECALL, or if it meets in classes of equal fingerprints whose least texts aren't alike.
+    """
+    bits, lanes = lane_shape(texts.count())
+    sk = cut(_sketches(texts, shingle, lanes), "sketches")
+    met = _colliding(sk, bits)
+    pairs = cut(_agreeing(met, sk, lanes), "pairs")
+    remove_cuts(met, sk)
+    first = cut(_verified(pairs.groupBy("a").agg(F.min("b").alias("b")), texts, shingle), "verified")
+    reached = components(first)
+    named = pairs.join(reached.select(F.col("node").alias("a"), F.col("root").alias("x")), "a", "left")
+    named = named.join(reached.select(F.col("node").alias("b"), F.col("root").alias("y")), "b", "left")
+    # what was tried before is a text's least neighbour
+    tried = pairs.groupBy("a").agg(F.min("b").alias("b"))
+    rest = named.where(F.coalesce("x", "a") != F.coalesce("y", "b")).join(tried, ["a", "b"], "left_anti").select("a", "b")
+    more = cut(_verified(rest, texts, shingle), "verified")
+    out = components(first.union(more))
+    remove_cuts(pairs, first, reached, more)
+    return out
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
+    """One row of ``docs`` of every component of similar texts: of the least id, and of that the text whose hash is least.
 
     Rows are known by id and text, so a row goes only if its own text is in a component that another row stands for.
-    Rows with a null id all stay and stand for no one else. Of rows with equal id and text one stays.
+    Rows with a null id all stay and stand for no one else. Of rows with equal id and text one stays. A null text is an
+    empty one; texts without words are alike.
     """
-    found = cut(_grouped(docs, id_col, text_col, shingle).where("_id is not null"), "grouped")
+    rows = docs.select(F.col(id_col).alias("_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("t"), F.col(text_col).alias("_text")).where("_id is not null")
+    distinct = cut(rows.groupBy("t").agg(F.first("_text").alias("_text")), "texts")
+    reached = similar(distinct, shingle)
+    # a hot root's rows are counted down by partial sums; equal rows are one
+    each = rows.select("_id", "t").groupBy("t").agg(F.min("_id").alias("_least"))
+    rooted = cut(each.join(reached.withColumnRenamed("node", "t"), "t", "left").select("t", "_least", F.coalesce("root", "t").alias("root")), "rooted")
+    least = rooted.groupBy("root").agg(F.min(F.struct(F.col("_least").alias("_id"), "t")).alias("keep"))
+    named = cut(rooted.select("t", "root").join(least, "root").select("t", "keep"), "named")
+    found = cut(rows.select("_id", "t").join(named, "t"), "grouped")
+    remove_cuts(distinct, reached, rooted, named)
     row, text = unused(docs, "_row_id"), unused(docs, "_row_text")
     gone = found.where("_id != keep._id or t != keep.t").select(F.col("_id").alias(row), F.col("t").alias(text)).distinct()
-    kept = docs.join(gone, (F.col(id_col) == F.col(row)) & (F.xxhash64(text_col) == F.col(text)), "left_anti")
+    kept = docs.join(gone, (F.col(id_col) == F.col(row)) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col(text)), "left_anti")
     # a shuffle of the texts, only where a row that stays is repeated
     if not found.where("_id = keep._id and t = keep.t").groupBy("_id", "t").count().where("count > 1").limit(1).count():
         return kept
-    named = kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col, text_col])
+    named = kept.where(F.col(id_col).isNotNull()).withColumn(text, F.coalesce(F.col(text_col), F.lit(""))).dropDuplicates([id_col, text]).drop(text)
     return named.unionByName(kept.where(F.col(id_col).isNull()))

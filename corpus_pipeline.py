@@ -31,7 +31,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the least id, of every group of SimHash near-duplicates."""
+    """One document, that of the least id, of every group of near copies: five-word shingles, a Jaccard similarity of 0.8 or more."""
     return simhash.keep_one(docs)
 
 

@@ -133,6 +133,47 @@ def test_only_rows_whose_own_text_is_a_copy_go(make):
     assert collections.Counter((r["doc_id"], r["text"]) for r in rows(kept)) == collections.Counter([(2, b), (5, a), (7, c), (None, c), (None, c), (3, None)])
 
 
+def five(text):
+    w = (text or "").lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def test_near_copies_are_those_of_the_brute_force(spark, make):
+    g = random.Random(23)
+    texts = ["", "  \n", None, "one two", "One two", "one two three"]
+    for _ in range(60):
+        t = say(g, g.randint(20, 300)).split()
+        texts.append(" ".join(t))
+        for _ in range(g.randint(0, 3)):
+            u = list(t)
+            if g.random() < 0.3:  # an insertion in one place
+                at = g.randrange(len(u))
+                u[at:at] = say(g, int(len(u) * g.uniform(0.02, 0.3))).split()
+            for _ in range(int(len(u) * g.uniform(0, 0.03))):  # single words
+                u[g.randrange(len(u))] = "edit"
+            texts.append(" ".join(u))
+    sets = [five(t) for t in texts]
+    j = lambda x, y: len(x & y) / len(x | y) if x or y else 1.0
+    near = [(a, b) for a in range(len(texts)) for b in range(a) if j(sets[a], sets[b]) >= 0.8]
+    kept = {r["doc_id"] for r in rows(simhash.keep_one(make(texts)))}
+    root = union_find(range(len(texts)), near)
+    want = {min(i for i in root if root[i] == x) for x in set(root.values())}
+    groups = sum(1 for x in set(root.values()) if list(root.values()).count(x) > 1)
+    assert want <= kept and len(kept - want) <= 0.05 * groups, (len(kept - want), groups)
+
+
+def test_lanes_reach_their_recall_and_grow_with_the_input():
+    g = np.random.default_rng(5)
+    bits, lanes = simhash.lane_shape(10_000)
+    met = 0
+    for _ in range(200):  # pairs at Jaccard 0.8 exactly
+        both, x, y = (g.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) for n in (320, 40, 40))
+        a, b = (simhash.sketch(np.unique(np.concatenate([both, z])), lanes).view(np.uint64) >> np.uint64(64 - bits) for z in (x, y))
+        met += bool((np.bitwise_count(a ^ b) <= simhash.RADIUS).any())
+    assert met >= 0.94 * 200
+    assert simhash.lane_shape(10**9)[1] > lanes and simhash.jaccard(np.zeros(0, np.uint64), np.zeros(0, np.uint64)) == 1.0
+
+
 # passages
 
 
