@@ -59,6 +59,8 @@ GRAM = 8
 BLOCK, MAP_WORDS = 2048, 8
 #: Shingles of a block.
 BLOCK_SHINGLES = 1 << 18
+#: Bytes of text whose lines are taken at a time, and hashes of lines that a task remembers.
+LINES_BYTES, SEEN = 1 << 20, 250_000
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 #: Odd multipliers of the polynomial hashes, and its inverse modulo 2^64.
 BASE = 0x9E3779B97F4A7C15
@@ -210,25 +212,29 @@ def lines(docs: DataFrame, id_col: str, text_col: str, bands_rows: tuple[int, in
     kind = docs.schema[id_col].dataType.simpleString()
     n, rows = bands_rows
 
+    def one(part: pa.RecordBatch, seen: set[int]) -> pa.RecordBatch | None:
+        s = Sliced(utf8(part, "_text"))
+        count = s.lines.shape[1]
+        if not count:
+            return None
+        h = s.hashes(s.lines, 1)
+        fresh = [i for i in np.unique(h, return_index=True)[1].tolist() if int(h[i]) not in seen]
+        if len(seen) > SEEN:
+            seen.clear()
+        seen.update(h[fresh].tolist())
+        fresh = np.sort(np.asarray(fresh, np.int64))
+        sizes, none = np.zeros(count, np.int64), np.ones(count, bool)
+        sizes[fresh], none[fresh] = n, False
+        offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+        keys = pa.ListArray.from_arrays(offsets, pa.array(s.band_keys(fresh, n, rows).view(np.int64)), mask=pa.array(none))
+        return pa.RecordBatch.from_arrays([*_spans(part, s, s.lines)[1], pa.array(h.view(np.int64)), keys], ["id", "t", "at", "to", "h", "keys"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            for part in slices(batch, "_text"):
-                s = Sliced(utf8(part, "_text"))
-                count = s.lines.shape[1]
-                if not count:
-                    continue
-                h = s.hashes(s.lines, 1)
-                fresh = [i for i in np.unique(h, return_index=True)[1].tolist() if int(h[i]) not in seen]
-                if len(seen) > 1_000_000:
-                    seen.clear()
-                seen.update(h[fresh].tolist())
-                fresh = np.sort(np.asarray(fresh, np.int64))
-                sizes, none = np.zeros(count, np.int64), np.ones(count, bool)
-                sizes[fresh], none[fresh] = n, False
-                offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
-                keys = pa.ListArray.from_arrays(offsets, pa.array(s.band_keys(fresh, n, rows).view(np.int64)), mask=pa.array(none))
-                yield pa.RecordBatch.from_arrays([*_spans(part, s, s.lines)[1], pa.array(h.view(np.int64)), keys], ["id", "t", "at", "to", "h", "keys"])
+            for part in slices(batch, "_text", LINES_BYTES):
+                if (made := one(part, seen)) is not None:
+                    yield made
 
     return _keyed(docs, id_col, text_col).mapInArrow(run, f"id {kind}, t int, at int, to int, h long, keys array<long>")
 
@@ -261,17 +267,22 @@ def grams(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """
     kind = docs.schema[id_col].dataType.simpleString()
 
+    def one(part: pa.RecordBatch) -> pa.RecordBatch | None:
+        s = Sliced(utf8(part, "_text"))
+        spans = s.grams()
+        if not spans.shape[1]:
+            return None
+        doc, (ids, _, at, _) = _spans(part, s, spans)
+        h = s.hashes(spans, 2)
+        known = _known(h, part.column("id").dictionary_encode().indices.to_numpy()[doc])
+        h[known] = _mix(h[known] + np.flatnonzero(known).astype(np.uint64) * np.uint64(BASE))
+        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), ids, at, pa.array(known)], ["h", "id", "at", "known"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "_text"):
-                s = Sliced(utf8(part, "_text"))
-                spans = s.grams()
-                if spans.shape[1]:
-                    doc, (ids, _, at, _) = _spans(part, s, spans)
-                    h = s.hashes(spans, 2)
-                    known = _known(h, part.column("id").dictionary_encode().indices.to_numpy()[doc])
-                    h[known] = _mix(h[known] + np.flatnonzero(known).astype(np.uint64) * np.uint64(BASE))
-                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), ids, at, pa.array(known)], ["h", "id", "at", "known"])
+                if (made := one(part)) is not None:
+                    yield made
 
     return _keyed(docs, id_col, text_col).mapInArrow(run, f"h long, id {kind}, at int, known boolean")
 
@@ -327,36 +338,47 @@ def _around(docs: DataFrame, id_col: str, text_col: str, needs: DataFrame) -> Da
     kind = docs.schema[id_col].dataType.simpleString()
     names = ["kind", "id", "t", "at", "to", "h", "known", "other", "words"]
 
+    def near(part: pa.RecordBatch, s: Sliced) -> pa.RecordBatch | None:
+        ats = part.column("ats")
+        own = np.repeat(np.arange(part.num_rows), np.diff(ats.offsets.to_numpy()))
+        flat = ats.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        inside = flat < (s.starts[1:] - s.starts[:-1])[own]
+        spans = s.windows(flat[inside] + s.starts[own[inside]])
+        n = spans.shape[1]
+        if not n:
+            return None
+        doc, columns = _spans(part, s, spans)
+        h = s.hashes(spans, 3)
+        ids = part.column("id")
+        order, first, _ = _several(h, pc.rank(ids, sort_keys="ascending", tiebreaker="dense").to_numpy().astype(np.int64)[doc])
+        least = np.empty(n, np.int64)
+        least[order] = np.repeat(doc[order[first]], np.diff(np.append(first, n)))
+        codes = ids.dictionary_encode().indices.to_numpy()
+        known = codes[least] != codes[doc]
+        h[known] = _mix(h[known] + np.flatnonzero(known).astype(np.uint64) * np.uint64(BASE))
+        none = pa.nulls(n, pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), *columns, pa.array(h.view(np.int64)), pa.array(known), ids.take(pa.array(least)), none], names)
+
+    def wanted(part: pa.RecordBatch, s: Sliced) -> pa.RecordBatch | None:
+        asked = part.column("hs").flatten().to_numpy(zero_copy_only=False)
+        if not len(asked):
+            return None
+        h = s.hashes(s.lines, 1).view(np.int64)
+        h, at = np.unique(h, return_index=True)
+        has = np.flatnonzero(np.isin(h, asked))
+        words = [s.words[s.lines[0, i] : s.lines[1, i]].tobytes() for i in at[has].tolist()]
+        n = len(has)
+        none = [pa.nulls(n, part.schema.field("id").type), *(pa.nulls(n, pa.int32()) for _ in range(3))]
+        return pa.RecordBatch.from_arrays([pa.array(np.ones(n, np.int32)), *none, pa.array(h[has]), pa.nulls(n, pa.bool_()), none[0], pa.array(words, pa.binary())], names)
+
+    def one(part: pa.RecordBatch) -> list[pa.RecordBatch]:
+        s = Sliced(utf8(part, "_text"))
+        return [made for made in (near(part, s), wanted(part, s)) if made is not None]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "_text"):
-                s = Sliced(utf8(part, "_text"))
-                near = part.column("ats")
-                own = np.repeat(np.arange(part.num_rows), np.diff(near.offsets.to_numpy()))
-                flat = near.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-                inside = flat < (s.starts[1:] - s.starts[:-1])[own]
-                spans = s.windows(flat[inside] + s.starts[own[inside]])
-                if n := spans.shape[1]:
-                    doc, columns = _spans(part, s, spans)
-                    h = s.hashes(spans, 3)
-                    ids = part.column("id")
-                    order, first, _ = _several(h, pc.rank(ids, sort_keys="ascending", tiebreaker="dense").to_numpy().astype(np.int64)[doc])
-                    least = np.empty(n, np.int64)
-                    least[order] = np.repeat(doc[order[first]], np.diff(np.append(first, n)))
-                    codes = ids.dictionary_encode().indices.to_numpy()
-                    known = codes[least] != codes[doc]
-                    h[known] = _mix(h[known] + np.flatnonzero(known).astype(np.uint64) * np.uint64(BASE))
-                    none = pa.nulls(n, pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), *columns, pa.array(h.view(np.int64)), pa.array(known), ids.take(pa.array(least)), none], names)
-                wanted = part.column("hs").flatten().to_numpy(zero_copy_only=False)
-                if len(wanted):
-                    h = s.hashes(s.lines, 1).view(np.int64)
-                    h, at = np.unique(h, return_index=True)
-                    has = np.flatnonzero(np.isin(h, wanted))
-                    words = [s.words[s.lines[0, i] : s.lines[1, i]].tobytes() for i in at[has].tolist()]
-                    n = len(has)
-                    none = [pa.nulls(n, part.schema.field("id").type), *(pa.nulls(n, pa.int32()) for _ in range(3))]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.ones(n, np.int32)), *none, pa.array(h[has]), pa.nulls(n, pa.bool_()), none[0], pa.array(words, pa.binary())], names)
+                yield from one(part)
 
     cols = _keyed(docs, id_col, text_col).join(needs, "id").select("id", "t", "_text", "ats", "hs")
     return cols.mapInArrow(run, f"kind int, id {kind}, t int, at int, to int, h long, known boolean, other {kind}, words binary")
