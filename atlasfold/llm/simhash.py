@@ -159,8 +159,32 @@ def prefix_bits(n: int, width: int = 64, least: int = 2) -> int:
     return min(24, max(least, math.ceil(math.log2(max(1, n) * len(masks(width, 2)) / PREFIX_VARIANTS))))
 
 
+def forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """Which of the links (a < b, of nodes under ``n``) join all that the links join and no more: links to the least nodes first."""
+    label, left, kept = np.arange(n), np.arange(len(a)), []
+    while len(left):
+        x, y = label[a[left]], label[b[left]]
+        low, high = np.minimum(x, y), np.maximum(x, y)
+        apart = low != high
+        left, low, high = left[apart], low[apart], high[apart]
+        order = np.lexsort((b[left], a[left], low, high))
+        node, first = np.unique(high[order], return_index=True)
+        kept.append(left[order[first]])
+        up = np.arange(n)
+        up[node] = low[order[first]]
+        while not np.array_equal(up, up[up]):
+            up = up[up]
+        label = up[label]
+    return np.concatenate(kept) if kept else left
+
+
 def meet(prefix: int, fps: np.ndarray, bits: int, width: int = 64) -> tuple[np.ndarray, np.ndarray]:
-    """Links (a, b) between distinct fingerprints that share a variant under ``prefix``: chains along each variant's members."""
+    """Links (a, b) between distinct fingerprints whose leading ``width`` bits share a variant under ``prefix``.
+
+    From chains along each variant's members, the links that a forest needs. Bits beyond ``width`` must agree as they do
+    for texts at SIMILARITY, give or take three standard deviations.
+    """
+    whole, fps = fps, fps >> np.uint64(64 - width)
     low = np.uint64(width - bits)
     tail = np.uint64((1 << (width - bits)) - 1)
     away = np.bitwise_count((fps >> low) ^ np.uint64(prefix))
@@ -172,7 +196,7 @@ def meet(prefix: int, fps: np.ndarray, bits: int, width: int = 64) -> tuple[np.n
             spelt.append(((fps[own] & tail)[:, None] ^ m[None, :]).ravel())
             owner.append(np.repeat(own, len(m)))
     if not spelt:
-        return fps[:0], fps[:0]
+        return whole[:0], whole[:0]
     variants = np.concatenate(spelt)
     del spelt
     # which variants occur twice: sort the bare values, mark the repeated ones in a small table, then look closely at those
@@ -180,7 +204,7 @@ def meet(prefix: int, fps: np.ndarray, bits: int, width: int = 64) -> tuple[np.n
     twice = order[1:][order[1:] == order[:-1]]
     del order
     if not len(twice):
-        return fps[:0], fps[:0]
+        return whole[:0], whole[:0]
     mark = np.zeros(1 << 20, bool)
     mark[(twice & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
     near = np.flatnonzero(mark[(variants & np.uint64((1 << 20) - 1)).astype(np.int64)])
@@ -191,15 +215,19 @@ def meet(prefix: int, fps: np.ndarray, bits: int, width: int = 64) -> tuple[np.n
     same = keys[1:] == keys[:-1]
     a, b = owners[:-1][same], owners[1:][same]
     pairs = np.unique(np.minimum(a, b) * np.int64(len(fps)) + np.maximum(a, b))
-    x, y = fps[pairs // len(fps)], fps[pairs % len(fps)]
-    right = np.bitwise_count(x ^ y) <= RADIUS  # the verification
-    return x[right], y[right]
+    a, b = pairs // len(fps), pairs % len(fps)
+    near = np.bitwise_count(fps[a] ^ fps[b])
+    p, rest = differing(SIMILARITY), 64 - width
+    right = (near <= RADIUS) & (np.bitwise_count(whole[a] ^ whole[b]) - near <= rest * p + 3 * math.sqrt(rest * p * (1 - p)))  # the verification
+    a, b = a[right], b[right]
+    needed = forest(a, b, len(fps))
+    return whole[a[needed]], whole[b[needed]]
 
 
 def links(distinct: DataFrame, bits: int, width: int = 64) -> DataFrame:
     """(lane, a, b): fingerprints within the radius, enough of them for every component.
 
-    ``distinct`` has column fp, of ``width`` bits, and may have column lane (under 128); lanes don't meet.
+    ``distinct`` has column fp, of whose bits the first ``width`` count, and may have column lane (under 128); lanes don't meet.
     """
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,7 +236,7 @@ def links(distinct: DataFrame, bits: int, width: int = 64) -> DataFrame:
             for at in range(0, batch.num_rows, 20_000):
                 fps = batch.column("fp").slice(at, 20_000).to_numpy(zero_copy_only=False).view(np.uint64)
                 lane = batch.column("lane").slice(at, 20_000).to_numpy(zero_copy_only=False).astype(np.int32) << 24
-                to = ((fps >> np.uint64(width - bits))[:, None] ^ flips[None, :]).astype(np.int32) | lane[:, None]
+                to = ((fps >> np.uint64(64 - bits))[:, None] ^ flips[None, :]).astype(np.int32) | lane[:, None]
                 yield pa.RecordBatch.from_arrays([pa.array(to.ravel()), pa.array(np.repeat(fps, len(flips)).view(np.int64))], ["prefix", "fp"])
 
     def receive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,7 +304,7 @@ def _sketches(texts: DataFrame, shingle: int, lanes: int) -> DataFrame:
 
 def _colliding(sk: DataFrame, bits: int) -> DataFrame:
     """(a, b), a > b: texts that meet in a lane. Texts of one fingerprint are a class, which its least text stands for in the balls."""
-    lanes = sk.select("t", F.posexplode("sk").alias("lane", "fp")).withColumn("fp", F.shiftrightunsigned("fp", 64 - bits))
+    lanes = sk.select("t", F.posexplode("sk").alias("lane", "fp"))
     classes = cut(lanes.groupBy("lane", "fp").agg(F.min("t").alias("least"), F.count("*").alias("n")), "classes")
     within = lanes.join(classes.where("n > 1"), ["lane", "fp"]).select(F.col("t").alias("a"), F.col("least").alias("b"))
     n = classes.groupBy("lane").count().agg(F.max("count")).first()[0] or 0
