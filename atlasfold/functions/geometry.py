@@ -395,3 +395,8 @@ def encoder_noise(dx, dy, dth, rate, seed: int, radius: float = 0.2) -> tuple[Co
         (w[0] + w[3] - w[1] - w[2]) / (4 * root),
         (w[0] + w[1] + w[2] + w[3]) / (4 * radius),
     )
+
+
+def screen_to_world(px, py, width, height, scale, x_offset=0.0, y_offset=0.0, robot=(0.0, 0.0)) -> tuple[Column, Column]:
+    """Where a pixel of a view lies in the world: pixels run down from the upper left, the view's middle is at its offsets (plus the robot it follows)."""
+    return (c(px) - 0.5 * c(width)) * c(scale) + c(x_offset) + c(robot[0]), -(c(py) - 0.5 * c(height)) * c(scale) + c(y_offset) + c(robot[1])

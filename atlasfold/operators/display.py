@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -40,3 +40,29 @@ def adjacency(odometry: DataFrame, constraints: DataFrame | None = None) -> Data
     if constraints is not None:
         links = links.unionByName(constraints.select("graph_id", F.col("anchor_id").alias("i"), F.col("constrained_id").alias("j")))
     return links.unionByName(links.select("graph_id", F.col("j").alias("i"), F.col("i").alias("j"))).distinct()
+
+
+#: How far out a drawn rectangle may reach, how long a message is shown, and the most pictures a second.
+FAR, TIMEOUT, MAX_FPS = 1e6, 1.0, 60.0
+
+
+def drawn_rectangle(x0, y0, x1, y1) -> tuple[Column, Column, Column, Column]:
+    """A rectangle's lower left and upper right, the one no lower and the other no higher than FAR."""
+    low, high = (lambda v: F.greatest(F.col(v), F.lit(-FAR))), (lambda v: F.least(F.col(v), F.lit(FAR)))
+    return low(x0), low(y0), high(x1), high(y1)
+
+
+def compiled(messages: DataFrame, now, publisher: str, order: list[str], at: str, take: list[str], timeout: float = TIMEOUT, persistent: str | None = None) -> DataFrame:
+    """What is shown at ``now``: the latest message of each publisher, unless it is ``timeout`` seconds old or older; ``persistent`` ones stay."""
+    kept = [at, *take] + ([persistent] if persistent else [])
+    shown = latest(messages.where(F.col(at) <= now), publisher, order, list(dict.fromkeys(kept)))
+    fresh = F.unix_micros(now) - F.unix_micros(at) < timeout * 1e6
+    return shown.where(fresh | F.col(persistent) if persistent else fresh).select(publisher, *take)
+
+
+def throttled(messages: DataFrame, at: str, by: list[str], fps: float = MAX_FPS) -> DataFrame:
+    """The first message of every picture's slot of time, by ``by``: at most ``fps`` a second."""
+    slot = F.floor(F.unix_micros(at) * fps / 1e6)
+    others = [k for k in messages.columns if k not in by]
+    first = messages.groupBy(*by, slot.alias("_slot")).agg(F.min(F.struct(at, *[k for k in others if k != at])).alias("_m"))
+    return first.select(*by, *[F.col(f"_m.{k}").alias(k) for k in others]).select(*messages.columns)

@@ -14,6 +14,8 @@ from .solve import fit_segment
 MATCH = 50.0
 #: Fixed value: how far, in metres, the two points that propose a line may lie apart.
 RADIUS = 0.4
+#: How far off a line points still count against it, and the largest cosine of a line and a normal across it.
+LOCAL, ALONG = 0.5, 0.5
 
 
 def endpoint_covariance(points: DataFrame, keys: list[str], x0, y0) -> DataFrame:
@@ -42,13 +44,10 @@ def ellipse_polygon(moments: DataFrame, step_deg: int = 15) -> DataFrame:
     return p.withColumns({"ex": F.col("mx") + u * F.cos("angle") - v * F.sin("angle"), "ey": F.col("my") + u * F.sin("angle") + v * F.cos("angle")})
 
 
-def match(new: DataFrame, master: DataFrame, keys: list[str], reach: float) -> DataFrame:
-    """Each new segment's first master segment (least id) that it may merge with: (keys, new_id, master_id, t1, t2).
+def meeting(new: DataFrame, master: DataFrame, keys: list[str], reach: float) -> DataFrame:
+    """(keys, new_id, master_id) of segments that may come within half of ``reach`` of each other.
 
-    Segments have ends x0, y0, x1, y1 and, for either end, a covariance c0, c1 (variance, isotropic).
-    A pair matches if their spans overlap, both ends agree by chi-squared and directions by |cos| > 0.5.
-    A pair that matches has points less than the ends' bound apart, so ``reach`` is to be twice that bound: pairs
-    come from cells ``reach`` wide along either segment, the new one's with their neighbours, and ids alone meet there.
+    Cells are ``reach`` wide along either segment, the new one's with their neighbours; ids alone meet there.
     """
 
     def celled(df, name, pad):
@@ -60,7 +59,17 @@ def match(new: DataFrame, master: DataFrame, keys: list[str], reach: float) -> D
         cells = F.array_distinct(F.flatten(F.array(*around)))
         return df.select(*keys, F.col("seg_id").alias(name), F.explode(cells).alias("_c"))
 
-    met = celled(new, "new_id", (-1, 0, 1)).join(celled(master, "master_id", (0,)), [*keys, "_c"]).select(*keys, "new_id", "master_id").distinct()
+    return celled(new, "new_id", (-1, 0, 1)).join(celled(master, "master_id", (0,)), [*keys, "_c"]).select(*keys, "new_id", "master_id").distinct()
+
+
+def match(new: DataFrame, master: DataFrame, keys: list[str], reach: float) -> DataFrame:
+    """Each new segment's first master segment (least id) that it may merge with: (keys, new_id, master_id, t1, t2).
+
+    Segments have ends x0, y0, x1, y1 and, for either end, a covariance c0, c1 (variance, isotropic).
+    A pair matches if their spans overlap, both ends agree by chi-squared and directions by |cos| > 0.5.
+    A pair that matches has points less than the ends' bound apart, so ``reach`` is to be twice that bound.
+    """
+    met = meeting(new, master, keys, reach)
     nd, md = (F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")), length(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))
     n = new.select(*keys, F.col("seg_id").alias("new_id"), F.col("x0").alias("nx0"), F.col("y0").alias("ny0"), F.col("x1").alias("nx1"), F.col("y1").alias("ny1"), F.col("c0").alias("nc0"), F.col("c1").alias("nc1"))
     m = master.select(*keys, F.col("seg_id").alias("master_id"), "x0", "y0", "c0", "c1", nd[0].alias("dx"), nd[1].alias("dy"), (md * md).alias("dd"))
@@ -133,52 +142,91 @@ def partners(xy: np.ndarray, draws: int, g: np.random.Generator, radius: float =
     return np.stack([first, second], 1)
 
 
-def find_lines(xy: np.ndarray, sigma: float, inliers: int, iterations: int, seed: int) -> list[tuple]:
-    """Segments (x0, y0, x1, y1, n) by sequential RANSAC with refitting; a seeded generator."""
+def line_segments(xy: np.ndarray, sigma: float, inliers: int, iterations: int, seed: int, normals: np.ndarray | None = None, sources: np.ndarray | None = None, share: float = 0.0) -> list[tuple[tuple, np.ndarray]]:
+    """(ends, own points) of segments by sequential RANSAC with refitting; a seeded generator.
+
+    Of the lines drawn, the one with most inliers wins that has enough of them and, of inliers and outliers, a ``share`` that
+    are inliers. Inliers are near and, where normals are given, have one that is across the line. Outliers are farther off
+    but within LOCAL, measured along the ray where the points' sources are given.
+    """
     g = np.random.default_rng(seed)
     out = []
+
+    def near(xy, normals, a, u):
+        off = np.abs(u[0] * (xy[:, 1] - a[1]) - u[1] * (xy[:, 0] - a[0]))
+        hit = off < 3 * sigma
+        return (hit if normals is None else hit & (np.abs(normals @ u) <= ALONG)), off
+
     while len(xy) >= max(inliers, 2):
         i = partners(xy, iterations, g)
-        a, b = xy[i[:, 0]], xy[i[:, 1]]
-        d = b - a
-        n = np.hypot(*d.T)
-        good = np.flatnonzero(n > 1e-9)
+        rays = None
+        if sources is not None:
+            rays = xy - sources
+            rays = rays / np.maximum(np.hypot(*rays.T), 1e-12)[:, None]
         best, held = 0, None
-        for k in good:
-            off = np.abs(d[k, 0] * (xy[:, 1] - a[k, 1]) - d[k, 1] * (xy[:, 0] - a[k, 0])) / n[k]
-            hit = off < 3 * sigma
-            if hit.sum() > best:
-                best, held = int(hit.sum()), hit
-        if best < inliers:
+        for a, b in zip(xy[i[:, 0]], xy[i[:, 1]], strict=True):
+            u = (b - a) / np.hypot(*(b - a))
+            hit, off = near(xy, normals, a, u)
+            n = int(hit.sum())
+            if n <= best or n < inliers:
+                continue
+            far = off if rays is None else off / np.maximum(np.abs(rays[:, 1] * u[0] - rays[:, 0] * u[1]), 0.01)
+            outliers = int(((off >= 3 * sigma) & (far < LOCAL)).sum())
+            if n >= share * (n + outliers):
+                best, held = n, hit
+        if held is None:
             break
         for _ in range(20):  # refit until the inliers stay
             own = xy[held]
             mean = own.mean(0)
             _, v = np.linalg.eigh(np.cov((own - mean).T))
             u = v[:, 1]
-            off = np.abs(u[0] * (xy[:, 1] - mean[1]) - u[1] * (xy[:, 0] - mean[0]))
-            new = off < 3 * sigma
+            new, _ = near(xy, normals, mean, u)
             if (new == held).all() or new.sum() < inliers:
                 break
             held = new
         t = (xy[held] - mean) @ u
         p, q = mean + t.min() * u, mean + t.max() * u
-        out.append((float(p[0]), float(p[1]), float(q[0]), float(q[1]), int(held.sum())))
+        out.append(((float(p[0]), float(p[1]), float(q[0]), float(q[1])), xy[held]))
         xy = xy[~held]
+        normals, sources = (x if x is None else x[~held] for x in (normals, sources))
     return out
 
 
-def ransac(points: DataFrame, tile: float, sigma: float = 0.04, inliers: int = 150, iterations: int = 2000) -> DataFrame:
-    """Lines of each graph's tiles (graph_id, tx, ty, line_id, x0, y0, x1, y1, n). A tile bounds a task's group; its id seeds its draws."""
+def find_lines(xy: np.ndarray, sigma: float, inliers: int, iterations: int, seed: int, **tests) -> list[tuple]:
+    """Segments (x0, y0, x1, y1, n); ``tests`` as for line_segments."""
+    return [(*ends, len(own)) for ends, own in line_segments(xy, sigma, inliers, iterations, seed, **tests)]
+
+
+def tiles(points: DataFrame, tile: float, halo: float) -> DataFrame:
+    """Points by tile (tx, ty), those within ``halo`` of a border in the tiles across it too."""
+    near = lambda k: F.explode(F.sequence(F.floor((F.col(k) - halo) / tile).cast("int"), F.floor((F.col(k) + halo) / tile).cast("int")))
+    extra = [k for k in ("nx", "ny", "sx", "sy") if k in points.columns]
+    return points.select("graph_id", "wx", "wy", *extra).withColumn("tx", near("wx")).withColumn("ty", near("wy"))
+
+
+def find_segments(frame: pd.DataFrame, tile: float, sigma: float, inliers: int, iterations: int, share: float) -> tuple[int, int, int, list]:
+    """(graph_id, tx, ty, segments) of a tile with its halo: those whose middle is in the tile itself, so a short line across a border counts once."""
+    frame = frame.sort_values(["wx", "wy"])
+    g, tx, ty = (int(frame[k].iloc[0]) for k in ("graph_id", "tx", "ty"))
+    two = lambda a, b: frame[[a, b]].to_numpy(float) if a in frame else None
+    found = line_segments(two("wx", "wy"), sigma, inliers, iterations, abs(hash((g, tx, ty))) % (1 << 32), two("nx", "ny"), two("sx", "sy"), share)
+    own = [x for x in found if (np.floor((x[0][0] + x[0][2]) / 2 / tile), np.floor((x[0][1] + x[0][3]) / 2 / tile)) == (tx, ty)]
+    return g, tx, ty, own
+
+
+def ransac(points: DataFrame, tile: float, sigma: float = 0.04, inliers: int = 150, iterations: int = 2000, share: float = 0.8, halo: float = 0.5) -> DataFrame:
+    """Lines of each graph's tiles (graph_id, tx, ty, line_id, x0, y0, x1, y1, n). A tile bounds a task's group; its id seeds its draws.
+
+    ``points``: graph_id, wx, wy, and where there are any, normals nx, ny and sources sx, sy. A line longer than the halo
+    that crosses a border comes in parts that overlap there; linemap.self_merge joins them.
+    """
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["wx", "wy"])
-        g, tx, ty = (int(frame[k].iloc[0]) for k in ("graph_id", "tx", "ty"))
-        rows = find_lines(frame[["wx", "wy"]].to_numpy(), sigma, inliers, iterations, abs(hash((g, tx, ty))) % (1 << 32))
-        return pd.DataFrame([(g, tx, ty, k, *r) for k, r in enumerate(rows)], columns=["graph_id", "tx", "ty", "line_id", "x0", "y0", "x1", "y1", "n"])
+        g, tx, ty, found = find_segments(frame, tile, sigma, inliers, iterations, share)
+        return pd.DataFrame([(g, tx, ty, k, *ends, len(own)) for k, (ends, own) in enumerate(found)], columns=["graph_id", "tx", "ty", "line_id", "x0", "y0", "x1", "y1", "n"])
 
-    tiled = points.select("graph_id", "wx", "wy", F.floor(F.col("wx") / tile).cast("int").alias("tx"), F.floor(F.col("wy") / tile).cast("int").alias("ty"))
-    return tiled.groupBy("graph_id", "tx", "ty").applyInPandas(run, "graph_id long, tx int, ty int, line_id int, x0 double, y0 double, x1 double, y1 double, n int")
+    return tiles(points, tile, halo).groupBy("graph_id", "tx", "ty").applyInPandas(run, "graph_id long, tx int, ty int, line_id int, x0 double, y0 double, x1 double, y1 double, n int")
 
 
 def bootstrap(points: DataFrame, samples: int = 1000) -> DataFrame:

@@ -124,6 +124,37 @@ pc as (select *, (power(x0 + t1 * (x1 - x0) - nx0, 2) + power(y0 + t1 * (y1 - y0
  abs(((x1 - x0) * (nx1 - nx0) + (y1 - y0) * (ny1 - ny0)) / sqrt((power(x1 - x0, 2) + power(y1 - y0, 2)) * (power(nx1 - nx0, 2) + power(ny1 - ny0, 2)))) dc from pr),
 mt as (select * from pc where not ((t1 < 0 and t2 < 0) or (t1 > 1 and t2 > 1)) and q1 < 50 and q2 < 50 and dc > 0.5 qualify row_number() over (partition by graph_id, new_id order by master_id) = 1)"""
 
+def _chi(t: str, end: int) -> str:
+    s = {k: f"(case when {t} < 0 then m.c0{k} when {t} > 1 then m.c1{k} else (1 - {t}) * m.c0{k} + {t} * m.c1{k} end + n.c{end}{k})" for k in ("xx", "xy", "yy")}
+    fx, fy = (f"(m.{k}0 + {t} * (m.{k}1 - m.{k}0) - n.{k}{end})" for k in "xy")
+    return f"({s['yy']} * {fx} * {fx} - 2 * {s['xy']} * {fx} * {fy} + {s['xx']} * {fy} * {fy}) / ({s['xx']} * {s['yy']} - {s['xy']} * {s['xy']})"
+
+
+def _lines(which: str, later: str = "") -> str:
+    """The line map ln and its matches lm between n and m, as ``which`` says."""
+    t = lambda e: f"((n.x{e} - m.x0) * (m.x1 - m.x0) + (n.y{e} - m.y0) * (m.y1 - m.y0)) / (power(m.x1 - m.x0, 2) + power(m.y1 - m.y0, 2))"
+    return SEGS.split("""),
+pr as""")[0] + f"""), ln as (select *, 0.002 + seg_id % 3 * 0.001 c0xx, 0.0005 c0xy, 0.003 c0yy, 0.003 c1xx, -0.0005 c1xy, 0.002 + seg_id % 3 * 0.001 c1yy, (x0 + x1) / 2 mx, (y0 + y1) / 2 my,
+ power((x0 + x1) / 2, 2) + power(x1 - x0, 2) / 12 + 1e-4 sxx, (x0 + x1) / 2 * ((y0 + y1) / 2) + (x1 - x0) * (y1 - y0) / 12 sxy, power((y0 + y1) / 2, 2) + power(y1 - y0, 2) / 12 + 1e-4 syy from en),
+lt as (select n.graph_id, n.seg_id new_id, m.seg_id master_id, {t(0)} t1, {t(1)} t2 from ln n join ln m on n.graph_id = m.graph_id and {which}),
+lq as (select l.*, {_chi('t1', 0)} q1, {_chi('t2', 1)} q2, abs((m.x1 - m.x0) * (n.x1 - n.x0) + (m.y1 - m.y0) * (n.y1 - n.y0)) / sqrt((power(m.x1 - m.x0, 2) + power(m.y1 - m.y0, 2)) * (power(n.x1 - n.x0, 2) + power(n.y1 - n.y0, 2))) dc
+ from lt l join ln n on n.graph_id = l.graph_id and n.seg_id = new_id join ln m on m.graph_id = l.graph_id and m.seg_id = master_id),
+la as (select graph_id, new_id, master_id, t1, t2 from lq where not ((t1 < 0 and t2 < 0) or (t1 > 1 and t2 > 1)) and q1 < 50 and q2 < 50 and dc > 0.5 qualify row_number() over (partition by graph_id, new_id order by master_id) = 1),
+lm as (select * from la {later})"""
+
+
+_SUMS = ("c0xx", "c0yy", "c1xx", "c1yy", "mx", "my", "sxx", "sxy", "syy")
+MERGED = f""", tk as (select lm.graph_id, master_id seg_id, least(0, min(t1), min(t2)) lo, greatest(1, max(t1), max(t2)) hi, sum(n.mass) nm, {', '.join(f'sum(n.mass * n.{k}) s_{k}' for k in _SUMS)} from lm join ln n on n.graph_id = lm.graph_id and n.seg_id = new_id group by 1, 2),
+kept as (select ln.* from ln where not exists (select 1 from lm where lm.graph_id = ln.graph_id and lm.new_id = ln.seg_id)),
+av as (select k.graph_id, k.seg_id, x0, y0, x1, y1, lo, hi, mass + nm mass, {', '.join(f'(mass * {k} + s_{k}) / (mass + nm) {k}' for k in _SUMS)} from kept k join tk using (graph_id, seg_id)),
+ax as (select *, 0.5 * atan2(2 * (sxy - mx * my), sxx - mx * mx - syy + my * my) a, sqrt(power(x1 - x0, 2) + power(y1 - y0, 2)) len, ((x1 - x0) * (mx - x0) + (y1 - y0) * (my - y0)) / (power(x1 - x0, 2) + power(y1 - y0, 2)) t from av),
+ay as (select *, case when cos(a) * (x1 - x0) + sin(a) * (y1 - y0) < 0 then -len else len end side from ax),
+gr as (select graph_id, seg_id, mx + (lo - t) * side * cos(a) x0, my + (lo - t) * side * sin(a) y0, mx + (hi - t) * side * cos(a) x1, my + (hi - t) * side * sin(a) y1, mass, {', '.join(_SUMS)} from ay
+ union all select graph_id, seg_id, x0, y0, x1, y1, mass, {', '.join(_SUMS)} from kept where not exists (select 1 from tk where tk.graph_id = kept.graph_id and tk.seg_id = kept.seg_id))
+select graph_id, seg_id, {cols('; '.join(f'{k}={k}' for k in ('x0', 'y0', 'x1', 'y1', 'mass', *_SUMS)), 4)} from gr"""
+ODD_EVEN = _lines("n.seg_id % 2 = 1 and m.seg_id % 2 = 0")
+STAMPED = "a as (select user_id::bigint user_id, event_id::bigint event_id, ts, event_type, value from events)"
+
 SUFFIX = f"""with {P}, m as ({moved(2)}), l as (select graph_id, x lx, y ly, mx lmx, my lmy from m where pose_id = 9),
 k as (select m.*, lx, ly, lmx, lmy from m left join l using (graph_id))
 select {IDS}, {cols('''x=case when pose_id between 5 and 9 then mx when pose_id > 9 and lx is not null then lmx + (x - lmx) * cos(dth) - (y - lmy) * sin(dth) + lmx - lx else x end;
@@ -199,6 +230,14 @@ select {IDO}, {cols('nx=x / sqrt(x * x + y * y); ny=y / sqrt(x * x + y * y)')} f
     "merge_segments": f"""with {SEGS}, tk as (select mt.graph_id, master_id seg_id, least(0, min(t1), min(t2)) lo, greatest(1, max(t1), max(t2)) hi, sum(n.mass) nm from mt join en n on n.graph_id = mt.graph_id and n.seg_id = mt.new_id group by 1, 2),
 al as (select en.*, coalesce(lo, 0) lo, coalesce(hi, 1) hi, coalesce(nm, 0) nm from en left join tk using (graph_id, seg_id) where not exists (select 1 from mt where mt.graph_id = en.graph_id and mt.new_id = en.seg_id))
 select graph_id, seg_id, {cols('x0=x0 + lo * (x1 - x0); y0=y0 + lo * (y1 - y0); x1=x0 + hi * (x1 - x0); y1=y0 + hi * (y1 - y0); mass=mass + nm; c0=0.002; c1=0.003', 5)} from (select graph_id, seg_id, x0, y0, x1, y1, lo, hi, mass, nm from al) al""",
+    "match_lines": f"with {ODD_EVEN} select graph_id, new_id, master_id, {cols('t1=t1; t2=t2', 5)} from lm",
+    "merge_lines": f"with {ODD_EVEN}{MERGED}",
+    "self_merge_round": f"with {_lines('m.seg_id > n.seg_id', 'where not exists (select 1 from la o where o.graph_id = la.graph_id and o.new_id = la.master_id)')}{MERGED}",
+    "screen_points": f"select event_id::bigint event_id, {cols('x=(value - 320) * 0.025 + 1.75; y=-((event_id % 480) - 240) * 0.025 - 1.5')} from events",
+    "drawn_rectangles": f"select o_orderkey::bigint o_orderkey, {cols('x0=greatest(p * -20, -1000000); y0=greatest(p - 100000, -1000000); x1=least(p * 10, 1000000); y1=least(p / 3, 1000000)', 3)} from (select o_orderkey, o_totalprice::double p from orders)",
+    "display_compiled": f"""with {STAMPED}, w as (select min(ts) + interval 1 day t from a), l as (select a.*, t from a, w where ts <= t qualify row_number() over (partition by user_id order by ts desc, event_id desc) = 1)
+select user_id, event_id, {rnd('value')} as value from l where event_type = 'purchase' or epoch_us(t) - epoch_us(ts) < 7200000000""",
+    "display_throttled": f"with {STAMPED} select event_type, event_id from a qualify row_number() over (partition by event_type, floor(epoch_us(ts) * 0.0009765625 / 1e6) order by ts, event_id) = 1",
     "motion_sd": f"with {EDGES}, q as (select *, sqrt(lx * lx + ly * ly) radial from e) select {IDS}, {cols('sd_radial=least(greatest(radial * 0.2, 0.01), 0.5); sd_tangential=least(greatest(radial * 0.2, 0.01), 0.5); sd_angular=least(greatest(abs(rotation) * 0.2, 0.005), 0.5)', 5)} from q",
     "polar_scan": f"""with a as (select vec_id::bigint vec_id, i beam, abs(embedding[i + 1]::double) * 4 r, -1.5 + i * (3.0 / 63) a from embeddings, range(64) t(i) where i between 2 and 61)
 select vec_id, beam, {cols('range=r; px=0.15 + r * cos(a); py=r * sin(a)')} from a where r between 0.2 and 6.0""",

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..functions import residuals as r
-from ..operators import correct, display, grid, lines, match, select, sensors, solve
+from ..operators import correct, display, grid, linemap, lines, match, select, sensors, solve
 from ..schema import VALID, Config, Correction
 from ..snapshot import snapshot
 from ..sources import fixtures as fx
@@ -295,17 +295,77 @@ def _map_segments(spark, sf) -> tuple[DataFrame, DataFrame]:
 
 
 def segment_match(spark, sf):
-    m = lines.match(*_map_segments(spark, sf), ["graph_id"], 1.0)
+    m = lines.match(*_map_segments(spark, sf), ["graph_id"], 1.2)
     return out(m, ["graph_id", "new_id", "master_id"], ["t1", "t2"], 5)
 
 
 def merge_segments(spark, sf):
     new, master = _map_segments(spark, sf)
     # the merge reads the matches three times
-    m = lines.merge(new, master, snapshot(lines.match(new, master, ["graph_id"], 1.0)), ["graph_id"])
+    m = lines.merge(new, master, snapshot(lines.match(new, master, ["graph_id"], 1.2)), ["graph_id"])
     return out(m, ["graph_id", "seg_id"], ["x0", "y0", "x1", "y1", "mass", "c0", "c1"], 5)
 
 
+def _line_map(spark, sf) -> DataFrame:
+    """The scans' segments with covariances that lean either way, and the moments of points spread evenly along them."""
+    new, master = _map_segments(spark, sf)
+    dx, dy, mx, my = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"), (F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2
+    own = F.col("seg_id") % 3 * 0.001
+    return new.unionByName(master).select(
+        "graph_id", "seg_id", *linemap.ENDS, "mass", (own + 0.002).alias("c0xx"), F.lit(0.0005).alias("c0xy"), F.lit(0.003).alias("c0yy"), F.lit(0.003).alias("c1xx"), F.lit(-0.0005).alias("c1xy"), (own + 0.002).alias("c1yy"),
+        mx.alias("mx"), my.alias("my"), (mx * mx + dx * dx / 12 + 1e-4).alias("sxx"), (mx * my + dx * dy / 12).alias("sxy"), (my * my + dy * dy / 12 + 1e-4).alias("syy"),
+    )
+
+
+_LINE = [*linemap.ENDS, "mass", "c0xx", "c0yy", "c1xx", "c1yy", "mx", "my", "sxx", "sxy", "syy"]
+
+
+def match_lines(spark, sf):
+    m = _line_map(spark, sf)
+    return out(linemap.match(m.where("seg_id % 2 = 1"), m.where("seg_id % 2 = 0"), ["graph_id"], 1.5), ["graph_id", "new_id", "master_id"], ["t1", "t2"], 5)
+
+
+def merge_lines(spark, sf):
+    m = _line_map(spark, sf)
+    new, master = m.where("seg_id % 2 = 1"), m.where("seg_id % 2 = 0")
+    merged = linemap.merge(new, master, snapshot(linemap.match(new, master, ["graph_id"], 1.5)), ["graph_id"])
+    return out(merged, ["graph_id", "seg_id"], _LINE, 4)
+
+
+def self_merge_round(spark, sf):
+    """The first of the rounds in which a map is merged with itself."""
+    return out(linemap.merge_round(snapshot(_line_map(spark, sf)), ["graph_id"], 1.5)[0], ["graph_id", "seg_id"], _LINE, 4)
+
+
+def screen_points(spark, sf):
+    e = table(spark, sf, "events").select(F.col("event_id").cast("long").alias("event_id"), "value", (F.col("event_id") % 480).alias("row"))
+    x, y = g.screen_to_world("value", "row", 640.0, 480.0, 0.025, 1.5, -2.0, (0.25, 0.5))
+    return e.select("event_id", rnd(x).alias("x"), rnd(y).alias("y"))
+
+
+def drawn_rectangles(spark, sf):
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").cast("long").alias("o_orderkey"), F.col("o_totalprice").cast("double").alias("p"))
+    o = o.withColumns({"a": F.col("p") * -20, "b": F.col("p") - 1e5, "c": F.col("p") * 10, "d": F.col("p") / 3})
+    return o.select("o_orderkey", *[rnd(v, 3).alias(k) for k, v in zip(("x0", "y0", "x1", "y1"), display.drawn_rectangle("a", "b", "c", "d"), strict=True)])
+
+
+def _stamped(spark, sf) -> DataFrame:
+    e = table(spark, sf, "events")
+    return e.select(F.col("user_id").cast("long").alias("user_id"), F.col("event_id").cast("long").alias("event_id"), F.col("ts").cast("timestamp").alias("ts"), "event_type", "value")
+
+
+def display_compiled(spark, sf):
+    """What is shown a day after the first event, of users heard from in the last two hours; purchases stay."""
+    e = _stamped(spark, sf).withColumn("stays", F.col("event_type") == "purchase")
+    now = F.lit(e.agg(F.min("ts")).first()[0]) + F.expr("interval 1 day")
+    return display.compiled(e, now, "user_id", ["ts", "event_id"], "ts", ["event_id", "value"], 7200.0, "stays").select("user_id", "event_id", rnd("value").alias("value"))
+
+
+def display_throttled(spark, sf):
+    e = _stamped(spark, sf).select("event_type", "ts", "event_id")
+    return display.throttled(e, "ts", ["event_type"], 0.0009765625).select("event_type", "event_id")
+
+
 def motion_sd(spark, sf):
     e = sensors.motion_noise(sensors.edges(fx.poses(spark, sf)))
     return out(e, ["graph_id", "pose_id"], ["sd_radial", "sd_tangential", "sd_angular"], 5)
@@ -442,6 +502,11 @@ def residual_cumulative(spark, sf):
 # without SQL: kernels and sequential operators
 
 
+def seen_points(spark, sf) -> DataFrame:
+    """World points with their normals and where they were seen from."""
+    return world_normals(spark, sf).select("graph_id", "wx", "wy", F.col("wnx").alias("nx"), F.col("wny").alias("ny"), F.col("x").alias("sx"), F.col("y").alias("sy"))
+
+
 def batch_localize(spark, sf):
     from ..operators.localize import localize
 
@@ -463,7 +528,13 @@ def joint_solve(spark, sf):
 
 
 def ransac(spark, sf):
-    return lines.ransac(fx.world(spark, sf).select("graph_id", "wx", "wy"), 4.0, inliers=12)
+    return lines.ransac(seen_points(spark, sf), 4.0, inliers=12)
+
+
+def curate(spark, sf):
+    """The line map of each graph's scans, from points to lines merged with themselves."""
+    found, _ = linemap.curate(seen_points(spark, sf), res=RES, tile=4.0, inliers=12, share=0.5)
+    return found.select("graph_id", "seg_id", *[rnd(k).alias(k) for k in (*linemap.ENDS, "mass", *linemap.COVS)])
 
 
 def scan_normals(spark, sf):
@@ -568,7 +639,8 @@ backprop cov_scale scan_normals_window nn_l2 nn_normal radius_search visual_odom
 sdf_grid sdf_merge consistency consistency_hist endpoint_cov scatter cov_ellipse segment_match merge_segments motion_sd polar_scan range_correction
 latest_per_publisher display_lines adjacency raster modifier_decode argb_unpack event_windows vector_ops cov_rotate
 scalar_more pose_differences scan_bounds sdf_normalised message_window keyframe_poses drags residual_cumulative
-segment_fit joint_solve ransac scan_normals gate_keyframes bootstrap_cov replay stream_corrections batch_localize"""
+match_lines merge_lines self_merge_round screen_points drawn_rectangles display_compiled display_throttled
+segment_fit joint_solve ransac scan_normals gate_keyframes bootstrap_cov replay stream_corrections batch_localize curate"""
 
 
 def queries() -> dict[str, Query]:

@@ -1,6 +1,7 @@
 """Kernels against NumPy: segment fits, the chain solver, RANSAC, and the correction arithmetic."""
 
 import math
+import os
 
 import numpy as np
 import pytest
@@ -174,3 +175,85 @@ def test_cyclic_reduction_is_a_dense_solve(n):
     got = solve.Chain._sweep(diag, up, rhs)
     want = np.linalg.solve(dense[3:, 3:], rhs[1:].ravel())
     assert np.allclose(got[1:].ravel(), want, atol=1e-9) and not got[0].any()
+
+
+def test_lines_are_judged_by_normals_and_by_what_lies_beside_them():
+    g = np.random.default_rng(7)
+    wall = np.stack([g.uniform(0, 3, 200), g.normal(0, 0.01, 200)], 1)
+    beside = np.stack([g.uniform(0, 3, 150), g.uniform(0.15, 0.45, 150)], 1)
+    across, along = np.tile([0.0, 1.0], (200, 1)), np.tile([1.0, 0.0], (200, 1))
+    assert len(lines.find_lines(wall, 0.04, 150, 200, 1, normals=across, share=0.8)) == 1
+    assert not lines.find_lines(wall, 0.04, 150, 200, 1, normals=along)
+    both = np.concatenate([wall, beside])
+    assert len(lines.find_lines(both, 0.04, 190, 200, 1)) == 1
+    assert not lines.find_lines(both, 0.04, 190, 200, 1, share=0.8)
+    # seen along a ray that runs beside the wall, the same points are far off
+    sources = both + np.array([[-9.0, 0.3]])
+    assert len(lines.find_lines(both, 0.04, 190, 200, 1, sources=sources, share=0.8)) == 1
+
+
+def test_a_line_across_a_tile_border_is_found_once(spark):
+    g = np.random.default_rng(8)
+    xy = np.stack([g.uniform(3.7, 4.3, 60), g.normal(1, 0.005, 60)], 1)
+    points = spark.createDataFrame([(1, float(x), float(y)) for x, y in xy], "graph_id long, wx double, wy double")
+    found = lines.ransac(points, 4.0, inliers=50, iterations=100).collect()
+    assert [r.n for r in found] == [60]
+
+
+def test_curation_joins_what_tiles_split(spark):
+    from atlasfold.operators import linemap
+
+    g = np.random.default_rng(9)
+    xy = np.stack([g.uniform(0, 10, 1500), g.normal(1, 0.004, 1500)], 1)
+    points = spark.createDataFrame([(1, float(x), -1.0, float(x), float(y), 0.0, -1.0) for x, y in xy], "graph_id long, sx double, sy double, wx double, wy double, nx double, ny double")
+    split = linemap.extract(points, 4.0, inliers=40, iterations=100, samples=50)
+    parts = split.collect()
+    assert len(parts) >= 3 and len({r.seg_id for r in parts}) == len(parts)
+    # wide enough for the ends of parts to agree
+    wide = split.withColumns({k: split[k] + 1e-3 for k in ("c0xx", "c0yy", "c1xx", "c1yy")})
+    whole = linemap.self_merge(wide, ["graph_id"], 2.0)
+    (one,) = whole.collect()
+    assert one.mass == sum(r.mass for r in parts) and abs(abs(one.x1 - one.x0) - 10) < 0.3 and abs(one.y0 - 1) < 0.02 and abs(one.y1 - 1) < 0.02
+    assert not linemap.match(whole, whole, ["graph_id"], 2.0, later=True).count()
+    assert not linemap.self_merge(wide.limit(0), ["graph_id"], 2.0).count()
+    # a second run over the same wall takes the master up
+    again, cells = linemap.curate(points, res=0.25, tile=20.0, inliers=40, iterations=100, samples=50, share=0.0)
+    master = again.withColumns({k: again[k] + 1e-3 for k in ("c0xx", "c0yy", "c1xx", "c1yy")})
+    grown, merged = linemap.curate(points, master, cells, res=0.25, tile=20.0, inliers=40, iterations=100, samples=50, share=0.0)
+    assert merged.count() == cells.count() and grown.agg({"mass": "sum"}).first()[0] >= 1.5 * master.agg({"mass": "sum"}).first()[0]
+
+
+def test_settings_are_read_without_running_code(tmp_path):
+    from atlasfold.sources.config import ConfigError, Settings, config
+
+    base, more = tmp_path / "base.cfg", tmp_path / "more.cfg"
+    base.write_text("""-- shared
+function twice(x)
+  if (x) then return 2 * x; else return 0; end
+end
+--[[ a longer
+note ]]
+half = pi / 2;
+Engine = { name = "a \\"b\\""; debug = on, limits = {-1.5, 2e1}; at = vec2(1, -2 + 0.5); turn = deg2rad(90.0);
+  n = 7, hex = 0x10; q = {w = 1, x = 0, y = 0, z = 0}; nested = { depth = 2 ^ 3; }; power = -2 ^ 2 };
+""")
+    more.write_text("Engine.n = 8\nEngine.nested.depth = sq(3) - 1\nverify = 0.125; min_inliers = 9")
+    s = Settings(str(base), str(more))
+    e = s.sub("Engine")
+    assert e.text("name") == 'a "b"' and e.flag("debug") and e.integer("n") == 8 and e.integer("hex") == 16 and e.real("power") == -4
+    assert e.bounds("limits") == (-1.5, 20.0) and e.vector("at") == (1.0, -1.5) and e.vector("q", "wxyz") == (1.0, 0.0, 0.0, 0.0)
+    assert math.isclose(e.real("turn"), s.real("half")) and e.sub("nested").positive("depth") == 8 and e.text("none", "x") == "x"
+    c = config(s)
+    assert c.verify == 0.125 and c.min_inliers == 9 and c.inlier == 0.03
+    for bad in (lambda: e.text("n"), lambda: e.integer("turn"), lambda: e.integer("n", most=7), lambda: e.positive("power"), lambda: e.flag("missing"), lambda: e.real("debug")):
+        with pytest.raises(ConfigError):
+            bad()
+    assert not s.modified()
+    os.utime(more, ns=(0, 0))
+    assert s.modified()
+    s.reload()
+    assert not s.modified()
+    for text in ("x = twice(2)", "x = ", "x = {1, 2", "function f() x = 1", "a.b = 1", "x = $"):
+        more.write_text(text)
+        with pytest.raises(ConfigError):
+            Settings(str(base), str(more))
