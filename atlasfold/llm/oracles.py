@@ -34,4 +34,35 @@ select page_id, host, path, rule, coalesce(v, case when host in (select host fro
 from s left join fit using (page_id)
 """
 
-SQL = {"op1_decontaminate": OP1, "op6_warc": OP6, "op8_url_filter": OP8}
+OP11 = r"""
+with d as (select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') w from documents where text is not null),
+g as (select count(*) n_docs, sum(len(w))::hugeint n_terms from d where len(w) > 0),
+b as (select item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) t from benchmark where text is not null),
+p as (select doc_id, t, count(*) tf from (select doc_id, unnest(w) t from d) where t in (select t from b) group by all),
+f as (select t, floor(1000 * ln((2 * n_docs + 2)::double / (2 * df + 1)::double))::bigint weight from (select t, count(*) df from p group by 1), g),
+m as (select doc_id, 25 + (75 * len(w) * n_docs) // n_terms m from d, g where len(w) > 0),
+s as (select item_id, doc_id, sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * m)))::bigint score from b join p using (t) join f using (t) join m using (doc_id) group by all),
+r as (select item_id, row_number() over (partition by item_id order by score desc, doc_id) as rank, doc_id, score from s where score > 0)
+select item_id, rank::int as rank, doc_id, score from r where rank <= 10
+"""
+
+OP13 = r"""
+with d as (select coalesce(lang, '') lang, coalesce(source, '') source, row_number() over () i,
+                  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') w from documents),
+t as (select lang, source, i, unnest(w) term from d),
+k as (select lang, term, count(*)::hugeint n from t group by 1, 2 having count(distinct i) >= 3),
+v as (select lang, count(*) v, sum(n) n from k group by 1),
+g as (select lang, source from d group by 1, 2),
+c as (select lang, source, term, count(*)::hugeint c from t join k using (lang, term) group by 1, 2, 3),
+n as (select lang, source, coalesce(sum(c), 0) n from g left join c using (lang, source) group by 1, 2),
+p as (select g.lang, g.source, k.term, 1 + (1000000000 * (coalesce(c, 0) + 1)) // (n.n + v.v) p, coalesce(c, 0) c, 1 + (1000000000 * (k.n + 1)) // (v.n + v.v) q
+      from g join k using (lang) join n on n.lang = g.lang and n.source = g.source join v on v.lang = g.lang left join c on c.lang = g.lang and c.source = g.source and c.term = k.term),
+x as (select a.lang, a.source, b.source item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) value from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by 1, 2, 3),
+pairs as (select a.lang, a.source, 'pair' part, b.source item, coalesce(value, 0)::bigint value
+          from g a join g b on a.lang = b.lang and a.source <> b.source left join x on x.lang = a.lang and x.source = a.source and x.item = b.source),
+terms as (select lang, source, 'term' part, term item, (((p - q) * (p - q)) // q)::bigint value from p where c > 0 and p > q),
+r as (select *, row_number() over (partition by lang, source, part order by value desc, item) as rank from (from pairs union all from terms))
+select lang, source, part, item, value, rank::int as rank from r where part = 'pair' or rank <= 200
+"""
+
+SQL = {"op1_decontaminate": OP1, "op6_warc": OP6, "op8_url_filter": OP8, "op11_ranking": OP11, "op13_divergence": OP13}
