@@ -84,19 +84,22 @@ def distance(p: str, q: str) -> Column:
     return F.expr(f"(({p} - {q}) * ({p} - {q})) div {q}")
 
 
-def audit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", least_documents: int = 3, top: int = 200) -> DataFrame:
-    """(lang, source, part, item, value, rank): part ``pair`` has every other source of the lang, part ``term`` the ``top`` terms over their share in the lang."""
+def audit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", least_documents: int = 3, top: int = 200, light: int = LIGHT, tile: int = TILE, held: int = HELD) -> DataFrame:
+    """(lang, source, part, item, value, rank): part ``pair`` has every other source of the lang, part ``term`` the ``top`` terms over their share in the lang.
+
+    ``light``, ``tile`` and ``held`` (see LIGHT, TILE, HELD) change how the work is split, not the result.
+    """
     found = cut(counts(docs, text_col, lang_col, source_col), "counts")
     per_term = found.where("term is not null").groupBy("lang", "term").agg(F.sum("df").alias("df"), F.sum("n").alias("in_lang"), F.count("*").alias("held"), F.collect_list(F.struct("source", "n")).alias("postings"))
     kept = cut(per_term.where(F.col("df") >= least_documents).select("lang", "term", "in_lang", "held", "postings"), "kept")
-    langs = kept.groupBy("lang").agg(F.count("*").alias("terms"), F.sum("in_lang").alias("total_in_lang"), F.sum((F.col("held") <= LIGHT).cast("long")).alias("light"))
+    langs = kept.groupBy("lang").agg(F.count("*").alias("terms"), F.sum("in_lang").alias("total_in_lang"), F.sum((F.col("held") <= light).cast("long")).alias("light"))
     own = kept.select("lang", F.explode("postings").alias("x")).select("lang", "x.*").groupBy("lang", "source").agg(F.sum("n").alias("total"))
     groups = found.where("term is null").select("lang", "source").join(own, ["lang", "source"], "left").join(langs, "lang", "left")
     groups = groups.select("lang", "source", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("total", "terms", "total_in_lang", "light")])
     groups = cut(groups.withColumn("p0", F.when(F.col("terms") > 0, chance("0L", "total", "terms")).otherwise(1)), "groups")
     remove_cuts(found)
 
-    pairs = _ranked(pair_values(kept, groups), "pair")
+    pairs = _ranked(pair_values(kept, groups, light, tile, held), "pair")
     each = kept.select("lang", "term", "in_lang", F.explode("postings").alias("x")).select("lang", "term", "in_lang", "x.source", "x.n").join(groups, ["lang", "source"])
     each = each.withColumn("p", chance("n", "total", "terms")).withColumn("q", chance("in_lang", "total_in_lang", "terms")).where("p > q")
     terms = _ranked(each.select("lang", "source", F.col("term").alias("item"), distance("p", "q").alias("value")), "term", top)
@@ -120,37 +123,38 @@ Rows = tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
 class Sums:
-    """Sums of pairs of groups of one language, in tiles of TILE x TILE."""
+    """Sums of pairs of groups of one language, in tiles of ``side`` x ``side``, of which it holds ``most``."""
 
-    def __init__(self, sources: int):
-        self.sources, self.tiles = sources, {}
+    def __init__(self, sources: int, side: int, most: int):
+        self.sources, self.side, self.most, self.tiles = sources, side, most, {}
 
     def tile(self, i: int, j: int) -> np.ndarray:
         if (i, j) not in self.tiles:
-            self.tiles[i, j] = np.zeros((min(TILE, self.sources - i * TILE), min(TILE, self.sources - j * TILE)), np.int64)
+            self.tiles[i, j] = np.zeros((min(self.side, self.sources - i * self.side), min(self.side, self.sources - j * self.side)), np.int64)
         return self.tiles[i, j]
 
     def rows(self) -> Iterator[Rows]:
         """The sums so far as (s, t, sum), which are then forgotten."""
         for (i, j), tile in self.tiles.items():
             s, t = np.nonzero(tile)
-            yield s + i * TILE, t + j * TILE, tile[s, t]
+            yield s + i * self.side, t + j * self.side, tile[s, t]
         self.tiles = {}
 
     def over(self) -> Iterator[Rows]:
-        """The same where more than HELD tiles are held."""
-        if len(self.tiles) > HELD:
+        """The same where too many tiles are held."""
+        if len(self.tiles) > self.most:
             yield from self.rows()
 
 
 def dense(sums: Sums, term: np.ndarray, group: np.ndarray, p: np.ndarray, p0: np.ndarray) -> Iterator[Rows]:
     """Adds f of all pairs of groups over the terms numbered in ``term`` (ascending), each with the groups and chances of its postings."""
-    side = min(TILE, len(p0))
-    width, last = max(1, CELLS // (side * side)), int(term[-1]) + 1 if len(term) else 0
+    side = sums.side
+    cells = min(side, len(p0)) ** 2
+    width, last = max(1, CELLS // max(1, cells)), int(term[-1]) + 1 if len(term) else 0
     mine = []
-    for i in range(0, len(p0), TILE):
-        own = np.flatnonzero(group // TILE == i // TILE)
-        mine.append((term[own], group[own] - i, p[own], p0[i : i + TILE]))
+    for i in range(0, len(p0), side):
+        own = np.flatnonzero(group // side == i // side)
+        mine.append((term[own], group[own] - i, p[own], p0[i : i + side]))
 
     def table(i: int, at: int) -> np.ndarray:
         terms, column, chance, rest = mine[i]
@@ -168,38 +172,40 @@ def dense(sums: Sums, term: np.ndarray, group: np.ndarray, p: np.ndarray, p0: np
             yield from sums.over()
 
 
-def sparse(sums: Sums, starts: np.ndarray, held: np.ndarray, group: np.ndarray, p: np.ndarray, p0: np.ndarray) -> Iterator[Rows]:
+def sparse(sums: Sums, starts: np.ndarray, held: np.ndarray, group: np.ndarray, p: np.ndarray, p0: np.ndarray, light: int) -> Iterator[Rows]:
     """Adds what pairs of postings of light terms change beyond what each changes alone; terms of ``held`` postings from ``starts`` on."""
-    n = -(-len(p0) // TILE)
-    for k in range(2, LIGHT + 1):
+    side = sums.side
+    n = -(-len(p0) // side)
+    for k in range(2, light + 1):
         first = starts[held == k]
         for a, b in ((a, b) for a in range(k) for b in range(k) if a != b):
             s, t = first + a, first + b
             ps, pt, s0, t0 = p[s], p[t], p0[group[s]], p0[group[t]]
             more, s, t = f(ps, pt) - f(ps, t0) - f(s0, pt) + f(s0, t0), group[s], group[t]
-            key = s // TILE * n + t // TILE
+            key = s // side * n + t // side
             for x in np.unique(key):
                 own = key == x
-                np.add.at(sums.tile(int(x) // n, int(x) % n), (s[own] % TILE, t[own] % TILE), more[own])
+                np.add.at(sums.tile(int(x) // n, int(x) % n), (s[own] % side, t[own] % side), more[own])
                 yield from sums.over()
 
 
 def alone(sums: Sums, group: np.ndarray, p: np.ndarray, times: np.ndarray, p0: np.ndarray) -> Iterator[Rows]:
     """Adds what postings of light terms change against groups that lack the term: a group's chance p, as often as it has it."""
+    side = sums.side
     for s in np.unique(group):
         own = np.flatnonzero(group == s)
-        i, row = int(s) // TILE, int(s) % TILE
-        for at in range(0, len(p0), TILE):
-            q0, j = p0[at : at + TILE], at // TILE
-            for few in range(0, len(own), CELLS // TILE):
-                part = own[few : few + CELLS // TILE]
+        i, row = int(s) // side, int(s) % side
+        for at in range(0, len(p0), side):
+            q0, j = p0[at : at + side], at // side
+            for few in range(0, len(own), CELLS // side):
+                part = own[few : few + CELLS // side]
                 ps, n = p[part][:, None], times[part][:, None]
                 sums.tile(i, j)[row, :] += ((f(ps, q0[None, :]) - f(p0[s], q0)[None, :]) * n).sum(0)
                 sums.tile(j, i)[:, row] += ((f(q0[None, :], ps) - f(q0, p0[s])[None, :]) * n).sum(0)
             yield from sums.over()
 
 
-def pair_values(kept: DataFrame, groups: DataFrame) -> DataFrame:
+def pair_values(kept: DataFrame, groups: DataFrame, light: int, tile: int, held: int) -> DataFrame:
     """(lang, source, item, value) of every ordered pair of groups of a language."""
     spark = kept.sparkSession
     listed: dict[str, list] = {}
@@ -215,27 +221,27 @@ def pair_values(kept: DataFrame, groups: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array([lang] * len(rows[0]), pa.string()), *map(pa.array, rows)], ["lang", "s", "t", "value"])
 
     def by_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = {lang: Sums(len(x[2])) for lang, x in sent.value.items()}
+        sums = {lang: Sums(len(x[2]), tile, held) for lang, x in sent.value.items()}
         for batch in batches:
             for lang, part in _by_lang(batch):
                 numbers, total, p0, terms = sent.value[lang]
-                held = part.column("held").to_numpy()
+                n = part.column("held").to_numpy()
                 source = part.column("source").flatten().to_pylist()
                 group = np.fromiter(map(numbers.__getitem__, source), np.int64, len(source))
                 p = _chances(part.column("n").flatten().to_numpy(), total[group], terms)
-                heavy = held > LIGHT
-                own = np.repeat(heavy, held)
-                term = np.repeat(np.arange(heavy.sum()), held[heavy])
+                heavy = n > light
+                own = np.repeat(heavy, n)
+                term = np.repeat(np.arange(heavy.sum()), n[heavy])
                 for rows in dense(sums[lang], term, group[own], p[own], p0):
                     yield batch_of(lang, rows)
-                for rows in sparse(sums[lang], np.cumsum(held) - held, held, group, p, p0):
+                for rows in sparse(sums[lang], np.cumsum(n) - n, n, group, p, p0, light):
                     yield batch_of(lang, rows)
         for lang in sums:
             for rows in sums[lang].rows():
                 yield batch_of(lang, rows)
 
     def by_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = {lang: Sums(len(x[2])) for lang, x in sent.value.items()}
+        sums = {lang: Sums(len(x[2]), tile, held) for lang, x in sent.value.items()}
         for batch in batches:
             for lang, part in _by_lang(batch):
                 numbers, total, p0, terms = sent.value[lang]
@@ -249,7 +255,7 @@ def pair_values(kept: DataFrame, groups: DataFrame) -> DataFrame:
 
     schema = "lang string, s long, t long, value long"
     postings = kept.select("lang", "held", F.col("postings.source").alias("source"), F.col("postings.n").alias("n"))
-    histogram = kept.where(F.col("held") <= LIGHT).select("lang", F.explode("postings").alias("x")).select("lang", "x.*")
+    histogram = kept.where(F.col("held") <= light).select("lang", F.explode("postings").alias("x")).select("lang", "x.*")
     histogram = histogram.groupBy("lang", "source", "n").agg(F.count("*").alias("times"))
     parts = postings.mapInArrow(by_terms, schema).union(histogram.mapInArrow(by_counts, schema))
     summed = cut(parts.groupBy("lang", "s", "t").agg(F.sum(F.col("value").cast("decimal(38,0)")).alias("value")), "sums")
