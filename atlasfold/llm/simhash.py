@@ -19,10 +19,9 @@ the members and no group's pairs are listed.
 similarity of 0.8 or more. Such texts' bits differ too often for one ball of
 64 bits, so it keeps several independent fingerprints a text ("lanes"), cut to
 as many bits as keep chance meetings few, with as many lanes as reach RECALL
-for a pair at 0.8 exactly. Balls are met in every lane, colliding pairs must
-agree over the whole of their lanes, and what is left is verified on the
-shingles: every text against its least neighbour first, then whatever links
-texts that are still in different components.
+for a pair at 0.8 exactly. Balls are met in every lane; colliding pairs that
+don't differ over all lanes as chance does join texts to crowds, and inside a
+crowd every pair is settled on its shingles (``crowds``) before any is let go.
 
 Defined results: null, empty and wordless texts have fingerprint zero and are
 linked like any other; repeated rows and ids keep their rows; a null id takes
@@ -43,17 +42,16 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, cut, remove_cuts, slices, unused, utf8
 from .components import components
+from .crowds import SIMILARITY, forest, links_within
 
 SEED = 42
 RADIUS = 4
 #: Variants that one prefix is meant to have at most, on average.
 PREFIX_VARIANTS = 1 << 20
-#: The near-copy search: Jaccard similarity, chance to meet a pair that has it exactly, and what is added to the
+#: The near-copy search: chance to meet a pair that has SIMILARITY exactly, and what is added to the
 #: logarithm of the number of texts for the bits of a lane.
-SIMILARITY, RECALL, MARGIN = 0.8, 0.98, 16
+RECALL, MARGIN = 0.98, 16
 MIN_BITS, MAX_LANES = 34, 96
-#: Standard deviations over its mean that the distance of a pair may have over all lanes.
-DEVIATIONS = 5
 
 
 def fingerprint(text: bytes, shingle: int = 4) -> int:
@@ -132,16 +130,6 @@ def sketch(hashes: np.ndarray, lanes: int) -> np.ndarray:
     return out
 
 
-def jaccard(x: np.ndarray, y: np.ndarray) -> float:
-    """Of two sets in ascending order; texts without shingles are alike."""
-    if not len(x) and not len(y):
-        return 1.0
-    both = np.concatenate([x, y])
-    both.sort()
-    shared = int((both[1:] == both[:-1]).sum())
-    return shared / (len(x) + len(y) - shared)
-
-
 def masks(width: int, most: int) -> np.ndarray:
     """All values of ``width`` bits with at most ``most`` (0 to 2) bits set, fewest first."""
     one = np.uint64(1) << np.arange(width, dtype=np.uint64)
@@ -159,30 +147,12 @@ def prefix_bits(n: int, width: int = 64, least: int = 2) -> int:
     return min(24, max(least, math.ceil(math.log2(max(1, n) * len(masks(width, 2)) / PREFIX_VARIANTS))))
 
 
-def forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
-    """Which of the links (a < b, of nodes under ``n``) join all that the links join and no more: links to the least nodes first."""
-    label, left, kept = np.arange(n), np.arange(len(a)), []
-    while len(left):
-        x, y = label[a[left]], label[b[left]]
-        low, high = np.minimum(x, y), np.maximum(x, y)
-        apart = low != high
-        left, low, high = left[apart], low[apart], high[apart]
-        order = np.lexsort((b[left], a[left], low, high))
-        node, first = np.unique(high[order], return_index=True)
-        kept.append(left[order[first]])
-        up = np.arange(n)
-        up[node] = low[order[first]]
-        while not np.array_equal(up, up[up]):
-            up = up[up]
-        label = up[label]
-    return np.concatenate(kept) if kept else left
-
-
 def meet(prefix: int, fps: np.ndarray, bits: int, width: int = 64) -> tuple[np.ndarray, np.ndarray]:
     """Links (a, b) between distinct fingerprints whose leading ``width`` bits share a variant under ``prefix``.
 
     From chains along each variant's members, the links that a forest needs. Bits beyond ``width`` must agree as they do
-    for texts at SIMILARITY, give or take three standard deviations.
+    for texts at SIMILARITY, give or take three standard deviations. The links tell what is connected within the radius;
+    whether two texts are alike is for those to settle who read what is connected.
     """
     whole, fps = fps, fps >> np.uint64(64 - width)
     low = np.uint64(width - bits)
@@ -291,15 +261,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def _sketches(texts: DataFrame, shingle: int, lanes: int) -> DataFrame:
-    """t and sk (a long a lane) of every row of (t, _text)."""
+    """t, n (distinct shingles) and sk (a long a lane) of every row of (t, _text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "_text"):
-                sk = [sketch(shingle_hashes(x, shingle), lanes) for x in utf8(part, "_text")]
-                yield pa.RecordBatch.from_arrays([part.column("t"), pa.array(sk, pa.list_(pa.int64()))], ["t", "sk"])
+                own = [(len(h), sketch(h, lanes)) for h in (shingle_hashes(x, shingle) for x in utf8(part, "_text"))]
+                yield pa.RecordBatch.from_arrays([part.column("t"), pa.array([n for n, _ in own], pa.int64()), pa.array([sk for _, sk in own], pa.list_(pa.int64()))], ["t", "n", "sk"])
 
-    return texts.mapInArrow(run, "t long, sk array<long>")
+    return texts.mapInArrow(run, "t long, n long, sk array<long>")
 
 
 def _colliding(sk: DataFrame, bits: int) -> DataFrame:
@@ -319,50 +289,33 @@ def _colliding(sk: DataFrame, bits: int) -> DataFrame:
 
 
 def _agreeing(pairs: DataFrame, sk: DataFrame, lanes: int) -> DataFrame:
-    """The pairs whose distance over all lanes fits SIMILARITY or more."""
-    p, n = differing(SIMILARITY), 64 * lanes
-    most = math.ceil(n * p + DEVIATIONS * math.sqrt(n * p * (1 - p)))
+    """The pairs whose distance over all lanes is nearer to that at SIMILARITY than to chance, which is half the bits."""
+    most = math.floor(64 * lanes * (differing(SIMILARITY) + 0.5) / 2)
     both = pairs.join(sk.select(F.col("t").alias("a"), F.col("sk").alias("x")), "a").join(sk.select(F.col("t").alias("b"), F.col("sk").alias("y")), "b")
     apart = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, d: s + d)
     return both.where(apart <= most).select("a", "b")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
-    """The pairs whose sets of shingles have SIMILARITY or more."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "y"):
-                right = [jaccard(shingle_hashes(x, shingle), shingle_hashes(y, shingle)) >= SIMILARITY for x, y in zip(utf8(part, "x"), utf8(part, "y"), strict=True)]
-                yield part.select(["a", "b"]).filter(pa.array(right, pa.bool_()))
-
-    # no hash tables of texts: what a partner brings grows with the input
-    both = pairs.join(texts.select(F.col("t").alias("a"), F.col("_text").alias("x")).hint("merge"), "a")
-    both = both.join(texts.select(F.col("t").alias("b"), F.col("_text").alias("y")).hint("merge"), "b")
-    return both.mapInArrow(run, "a long, b long")
-
-
 def similar(texts: DataFrame, shingle: int = 5) -> DataFrame:
     """(node, root) of every text that is in a component with another, by links of SIMILARITY or more.
 
-    ``texts`` has distinct t (a hash) and _text. A pair is lost only if no lane meets it, which for one at SIMILARITY has
-    the chance 1 - RECALL, or if it meets in classes of equal fingerprints whose least texts aren't alike.
+    ``texts`` has distinct t (a hash) and _text. What meets in a lane and agrees over all is joined to crowds, however
+    thinned; inside a crowd all texts are compared, so a pair is lost only if no lane meets it, which for one at
+    SIMILARITY has the chance 1 - RECALL, and nothing else joins its crowds.
     """
     bits, lanes = lane_shape(texts.count())
     sk = cut(_sketches(texts, shingle, lanes), "sketches")
     met = _colliding(sk, bits)
     pairs = cut(_agreeing(met, sk, lanes), "pairs")
-    remove_cuts(met, sk)
-    first = cut(_verified(pairs.groupBy("a").agg(F.min("b").alias("b")), texts, shingle), "verified")
-    reached = components(first)
-    named = pairs.join(reached.select(F.col("node").alias("a"), F.col("root").alias("x")), "a", "left")
-    named = named.join(reached.select(F.col("node").alias("b"), F.col("root").alias("y")), "b", "left")
-    # what was tried before is a text's least neighbour
-    tried = pairs.groupBy("a").agg(F.min("b").alias("b"))
-    rest = named.where(F.coalesce("x", "a") != F.coalesce("y", "b")).join(tried, ["a", "b"], "left_anti").select("a", "b")
-    more = cut(_verified(rest, texts, shingle), "verified")
-    out = components(first.union(more))
-    remove_cuts(pairs, first, reached, more)
+    crowds = components(pairs)
+    degree = pairs.select(F.explode(F.array("a", "b")).alias("t")).groupBy("t").agg(F.count("*").alias("degree"))
+    # a component lists what is not its root
+    members = crowds.select(F.col("node").alias("t"), F.col("root").alias("crowd")).union(crowds.select("root").distinct().selectExpr("root", "root as crowd"))
+    members = members.join(degree, "t").join(sk.select("t", "n"), "t")
+    found = links_within(members, texts, lambda text: shingle_hashes(text, shingle))
+    remove_cuts(met, sk, pairs, crowds)
+    out = components(found)
+    remove_cuts(found)
     return out
 
 

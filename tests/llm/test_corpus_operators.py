@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from atlasfold.llm import components, passages, quality, simhash, urlfilter, warc
+from atlasfold.llm import components, crowds, passages, quality, simhash, urlfilter, warc
 
 ODD = [None, "", " ", "\n\n", "x", "same words here", "same words here", "a  b\t\n c\x0bd", "Ünï cödé 漢字 😀"]
 
@@ -162,6 +162,45 @@ def test_near_copies_are_those_of_the_brute_force(spark, make):
     assert want <= kept and len(kept - want) <= 0.05 * groups, (len(kept - want), groups)
 
 
+@pytest.mark.parametrize("texts", [256, 16])
+def test_crowded_families_lose_no_twin(make, texts, monkeypatch):
+    """Members 5 words off one base are alike to few; each has a twin that is. All meet in the same crowds."""
+    monkeypatch.setattr(crowds, "TEXTS", texts)
+    g = random.Random(29)
+    base, docs = say(g, 300).split(), []
+
+    def edited(words, n):
+        out = list(words)
+        for at in g.sample(range(len(out)), n):
+            out[at] = f"e{g.randrange(10**9)}"
+        return out
+
+    for _ in range(300):
+        member = edited(base, 11)
+        docs += [" ".join(member), " ".join(edited(member, 4))]
+    docs += [" ".join(edited(base, 1)) for _ in range(40)]
+    sets = [five(t) for t in docs]
+    near = [(i, j) for i in range(len(docs)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    root = union_find(range(len(docs)), near)
+    want = {min(i for i in root if root[i] == x) for x in set(root.values())}
+    kept = {r["doc_id"] for r in rows(simhash.keep_one(make(docs)))}
+    assert len(want) > 100 and want <= kept and len(kept - want) <= 0.02 * len(want)
+
+
+def test_alike_is_brute_force(monkeypatch):
+    monkeypatch.setattr(crowds, "CELLS", 1000)
+    g = np.random.default_rng(1)
+    base = g.integers(0, 1 << 62, 300, dtype=np.uint64)
+    sets = [np.zeros(0, np.uint64)] * 2
+    for k in range(120):
+        x = base.copy()
+        x[g.choice(300, k // 2, replace=False)] = g.integers(0, 1 << 62, k // 2, dtype=np.uint64)
+        sets.append(np.unique(x[: 300 - k]))
+    want = {(i, j) for j in range(len(sets)) for i in range(j) if crowds.jaccard(sets[i], sets[j]) >= 0.8}
+    assert len(want) > 100 and set(zip(*map(np.ndarray.tolist, crowds.alike(sets, len(sets))), strict=True)) == want
+    assert set(zip(*map(np.ndarray.tolist, crowds.alike(sets, 50)), strict=True)) == {(i, j) for i, j in want if i < 50 <= j}
+
+
 def test_lanes_reach_their_recall_and_grow_with_the_input():
     g = np.random.default_rng(5)
     bits, lanes = simhash.lane_shape(10_000)
@@ -171,7 +210,7 @@ def test_lanes_reach_their_recall_and_grow_with_the_input():
         a, b = (simhash.sketch(np.unique(np.concatenate([both, z])), lanes).view(np.uint64) >> np.uint64(64 - bits) for z in (x, y))
         met += bool((np.bitwise_count(a ^ b) <= simhash.RADIUS).any())
     assert met >= 0.94 * 200
-    assert simhash.lane_shape(10**9)[1] > lanes and simhash.jaccard(np.zeros(0, np.uint64), np.zeros(0, np.uint64)) == 1.0
+    assert simhash.lane_shape(10**9)[1] > lanes and crowds.jaccard(np.zeros(0, np.uint64), np.zeros(0, np.uint64)) == 1.0
 
 
 # passages
