@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .geometry import c, dot, relative_pose, wrap
+from .geometry import c, dot, relative_pose, rotate, wrap
 
 #: Fixed value: what a point in front of a wall costs at most, in metres.
 MAX_OBSTACLE = 0.5
@@ -83,3 +83,9 @@ def root_sum(x) -> Column:
 
 def root_mean(x) -> Column:
     return F.sqrt(F.avg(c(x) * c(x)))
+
+
+def point_to_object(wx, wy, ox, oy, oth, nx, ny, offset, sd, factor=1.0) -> Column:
+    """A world point against a line in the frame of an object's pose."""
+    lx, ly = rotate(c(wx) - c(ox), c(wy) - c(oy), -c(oth))
+    return point_to_line(lx, ly, nx, ny, offset, sd, factor)

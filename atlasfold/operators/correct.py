@@ -40,6 +40,19 @@ def point_motion(source: tuple[float, float], target: tuple[float, float]) -> tu
     return 0.0, source, target
 
 
+def closest_pair_motion(found: DataFrame) -> DataFrame:
+    """(graph_id, sel_id, constrained_id, anchor_id, dx, dy) from the closest observations of two picks, 0 and 1, of a selection.
+
+    The observation of the later pose is moved onto the other one; of one pose's two, that of pick 0.
+    """
+    ends = [found.where(F.col("pick_id") == k).select("graph_id", "sel_id", *[F.col(c).alias(f"{c}{k}") for c in ("pose_id", "wx", "wy")]) for k in (0, 1)]
+    both = ends[0].join(ends[1], ["graph_id", "sel_id"])
+    later = F.col("pose_id0") >= F.col("pose_id1")
+    sign = F.when(later, 1.0).otherwise(-1.0)
+    ids = [F.when(later, F.col(f"pose_id{a}")).otherwise(F.col(f"pose_id{b}")) for a, b in ((0, 1), (1, 0))]
+    return both.select("graph_id", "sel_id", ids[0].alias("constrained_id"), ids[1].alias("anchor_id"), (sign * (F.col("wx1") - F.col("wx0"))).alias("dx"), (sign * (F.col("wy1") - F.col("wy0"))).alias("dy"))
+
+
 def corner_motion(source: Points, target: Points) -> tuple[float, tuple[float, float], tuple[float, float]]:
     """The rigid motion that takes matched points onto each other best, in closed form."""
     n = len(source)

@@ -5,28 +5,55 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geometry import segment_distance, segment_distance_compat
+from ..functions.geometry import length, segment_distance, segment_distance_compat
 from .match import pairs
 
-#: Segments that a selection may have to be sent to all tasks.
-MAX_SEGMENTS = 10_000
+#: Segments that a selection may have to be sent to all tasks; more are met cell by cell, of so many metres a side.
+MAX_SEGMENTS, CELL = 10_000, 1.0
 
 
 def observed(points: DataFrame, segments: DataFrame, threshold: float = 0.03, compat: bool = False) -> DataFrame:
     """World points within ``threshold`` of a segment, a row for each segment they lie at.
 
     ``segments`` is a stated query set (sel_id, x0, y0, x1, y1), sent to all tasks behind a check
-    of its size; each point is first held against the segments' bounding boxes.
+    of its size; each point is first held against the segments' bounding boxes. A larger set is
+    joined on the cells that its segments pass through.
     """
-    n = segments.limit(MAX_SEGMENTS + 1).count()
-    if n > MAX_SEGMENTS:
-        raise ValueError(f"over {MAX_SEGMENTS} segments: select in blocks")
-    near = (
-        F.col("wx").between(F.least("x0", "x1") - threshold - (1.0 if compat else 0.0), F.greatest("x0", "x1") + threshold + (1.0 if compat else 0.0))
-        & F.col("wy").between(F.least("y0", "y1") - threshold - (1.0 if compat else 0.0), F.greatest("y0", "y1") + threshold + (1.0 if compat else 0.0))
-    )
-    distance = segment_distance_compat if compat else segment_distance
-    return points.join(F.broadcast(segments), near).where(distance("wx", "wy", "x0", "y0", "x1", "y1") < threshold)
+    reach = threshold + (1.0 if compat else 0.0)
+    distance = (segment_distance_compat if compat else segment_distance)("wx", "wy", "x0", "y0", "x1", "y1") < threshold
+    if segments.limit(MAX_SEGMENTS + 1).count() > MAX_SEGMENTS:
+        cell = {"_cx": F.floor(F.col("wx") / CELL), "_cy": F.floor(F.col("wy") / CELL)}
+        return points.withColumns(cell).join(passed_cells(segments, reach), ["_cx", "_cy"]).drop("_cx", "_cy").where(distance)
+    near = F.col("wx").between(F.least("x0", "x1") - reach, F.greatest("x0", "x1") + reach) & F.col("wy").between(F.least("y0", "y1") - reach, F.greatest("y0", "y1") + reach)
+    return points.join(F.broadcast(segments), near).where(distance)
+
+
+def passed_cells(segments: DataFrame, reach: float) -> DataFrame:
+    """The segments, each once for every cell (_cx, _cy) that lies within ``reach`` of a piece of it of a cell's length."""
+    pieces = F.greatest(F.lit(1), F.ceil(length(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")) / CELL).cast("int"))
+    cut = segments.withColumn("_n", pieces).withColumn("_k", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    for axis in ("x", "y"):
+        at = [F.col(f"{axis}0") + (F.col("_k") + end) / F.col("_n") * (F.col(f"{axis}1") - F.col(f"{axis}0")) for end in (0, 1)]
+        cells = F.sequence(F.floor((F.least(*at) - reach) / CELL), F.floor((F.greatest(*at) + reach) / CELL))
+        cut = cut.withColumn(f"_c{axis}", F.explode(cells))
+    return cut.drop("_n", "_k").distinct()
+
+
+def closest_observations(points: DataFrame, picks: DataFrame) -> DataFrame:
+    """(graph_id, sel_id, pick_id, pose_id, obs_id, wx, wy, d): the observation of every graph that is nearest to each pick (sel_id, pick_id, qx, qy), however far.
+
+    Picks are a stated query set, sent to all tasks behind a check of its size, or in blocks beyond it; each task keeps
+    the least of each, so what is shuffled is the picks times the tasks. Ties go to the first pose, then observation.
+    """
+    own = points.select("graph_id", "pose_id", "obs_id", "wx", "wy").where("wx is not null and wy is not null")
+    d = length(F.col("wx") - F.col("qx"), F.col("wy") - F.col("qy"))
+    blocks, found = max(1, -(-picks.count() // MAX_SEGMENTS)), None
+    for k in range(blocks):
+        block = picks.select("sel_id", "pick_id", "qx", "qy").where(F.pmod(F.xxhash64("sel_id", "pick_id"), F.lit(blocks)) == k)
+        best = own.join(F.broadcast(block)).withColumn("d", d).groupBy("graph_id", "sel_id", "pick_id").agg(F.min(F.struct("d", "pose_id", "obs_id", "wx", "wy")).alias("n"))
+        best = best.select("graph_id", "sel_id", "pick_id", "n.pose_id", "n.obs_id", "n.wx", "n.wy", "n.d")
+        found = best if found is None else found.union(best)
+    return found
 
 
 def selected_poses(points: DataFrame, segments: DataFrame, threshold: float = 0.03, more_than: int = 5) -> DataFrame:

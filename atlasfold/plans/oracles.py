@@ -165,6 +165,17 @@ PICKS = ", ".join(f"({k}, {i}, {x + 0.25 * i!r}, {y - 0.4 * k!r})" for k, (x, y)
 BINS = ", ".join(f"({b}, {0.01 * (b % 5) - 0.02!r})" for b in range(-30, 30) if b % 3)
 DIR = math.atan2(0.6, 1.9)
 
+#: What a trajectory's odometry gathers: world noise of every step, and its sum at a pose that lies (dx, dy) on.
+COVS = ("c00", "c01", "c02", "c11", "c12", "c22")
+NOISE = "n as (select graph_id, pose_id, x, y, var_r vr, var_t * (power(cos(thp), 2) + 2 * power(sin(thp), 2)) nxx, -var_t * cos(thp) * sin(thp) nxy, var_t * (power(sin(thp), 2) + 2 * power(cos(thp), 2)) nyy from (select *, th - dth thp from p join o using (graph_id, pose_id, var_t, var_r)))"
+GATHERED = "sum(nxx + vr * {dy} * {dy}) c00, sum(nxy - vr * {dx} * {dy}) c01, -sum(vr * {dy}) c02, sum(nyy + vr * {dx} * {dx}) c11, sum(vr * {dx}) c12, sum(vr) c22"
+CLOSEST = "k as (select k sel_id, i pick_id, 0.37 + 1.1 * k - 0.8 * i qx, -0.21 + 0.45 * k * (1 - 2 * i) qy from range(6) a(k), range(2) b(i) union all values (9, 0, 4000.0, -900.0), (9, 1, -5000.0, 70.0)), n as (select graph_id, sel_id::bigint sel_id, pick_id::bigint pick_id, pose_id, obs_id, wx, wy, sqrt(power(wx - qx::double, 2) + power(wy - qy::double, 2)) d from w, k qualify row_number() over (partition by graph_id, sel_id, pick_id order by d, pose_id, obs_id) = 1)"
+#: Relative poses summed (ax, ay, ath) and composed (x, y, th), and points under both.
+STEPS = f"""{O}, {S}, st as (select graph_id, pose_id, dx, dth / 4 dy, dth, sum(dx) over q ax, sum(dth / 4) over q ay, sum(dth) over q th from o window q as (partition by graph_id order by pose_id)),
+mv as (select *, th - dth before, sum(dx * cos(th - dth) - dy * sin(th - dth)) over q x, sum(dx * sin(th - dth) + dy * cos(th - dth)) over q y from st window q as (partition by graph_id order by pose_id)),
+l as (select s.graph_id, s.pose_id, s.obs_id, ax, ay, x, y, ax + px * cos(th) - py * sin(th) sx, ay + px * sin(th) + py * cos(th) sy, x + px * cos(th) - py * sin(th) gx, y + px * sin(th) + py * cos(th) gy from s join mv using (graph_id, pose_id))"""
+OFF = "(0.8 * {x} + 0.6 * {y} - 1.2)"
+
 SQL = {
     "odometry_prefix": f"with {P} select {IDS}, {cols('x=x; y=y; th=th', 5)} from p",
     "pose_edges": f"with {EDGES} select {IDS}, {cols('radial=sqrt(lx * lx + ly * ly); direction=case when sqrt(lx * lx + ly * ly) > 0 then atan2(ly, lx) end; rotation=rotation', 5)} from e",
@@ -262,6 +273,26 @@ select l_orderkey, l_linenumber, (case when abs(s) > abs(r) then s else r end)::
     "sdf_normalised": f"with {SDF}, t as (select *, max(value) over (partition by graph_id) mv, max(weight) over (partition by graph_id) mw from g) select graph_id, ix::bigint ix, iy::bigint iy, {cols('value=case when mv > 0 then value * 255 / mv else value end; weight=case when mw > 0 then weight * 255 / mw else weight end', 4)} from t",
     "message_window": "with l as (select * from (select *, min(ts) over (partition by user_id) t0 from events) where ts >= t0 + interval 3600 second) select user_id::bigint user_id, event_id::bigint event_id from l qualify row_number() over (partition by user_id order by ts, event_id) <= 40",
     "keyframe_poses": f"with {O} select {IDS} from o where (graph_id, ts) in (select (graph_id, ts) from o where dx > 1)",
+    "motion_scan": f"with {P}, {NOISE}, q as (select a.graph_id, a.pose_id, a.x, a.y, a.th, {GATHERED.format(dx='(a.x - k.x)', dy='(a.y - k.y)')} from p a join n k on k.graph_id = a.graph_id and k.pose_id <= a.pose_id group by all) select {IDS}, {cols('x=x; y=y; th=th; ' + '; '.join(f'{c}={c}' for c in COVS), 5)} from q",
+    "loop_constraints": f"""with {P}, {NOISE}, q as (select a.graph_id, a.pose_id i, b.pose_id j, a.th ta, b.th - a.th turn, b.x - a.x wx, b.y - a.y wy, {GATHERED.format(dx='(b.x - k.x)', dy='(b.y - k.y)')}
+ from p a join p b on b.graph_id = a.graph_id and b.pose_id = a.pose_id + 20 join n k on k.graph_id = a.graph_id and k.pose_id > a.pose_id and k.pose_id <= b.pose_id group by all),
+t as (select graph_id, i, j, turn, cos(ta) c, sin(ta) s, sqrt(wx * wx + wy * wy) radial, cos(ta) * wx + sin(ta) * wy lx, cos(ta) * wy - sin(ta) * wx ly, {', '.join(COVS)} from q),
+v as (select *, lx / radial ux, ly / radial uy, c * c * c00 + 2 * c * s * c01 + s * s * c11 m00, c * s * (c11 - c00) + (c * c - s * s) * c01 m01, s * s * c00 - 2 * c * s * c01 + c * c * c11 m11, c * c02 + s * c12 m02, c * c12 - s * c02 m12 from t)
+select graph_id::bigint graph_id, i::bigint i, j::bigint j, {cols('radial=radial; sd_radial=least(greatest(sqrt(5.991 * (ux * ux * m00 + 2 * ux * uy * m01 + uy * uy * m11)), 0.05), 2.0); sd_tangential=least(greatest(sqrt(5.991 * (uy * uy * m00 - 2 * ux * uy * m01 + ux * ux * m11)), 0.05), 2.0); sd_angular=least(greatest(sqrt(c22), 0.01), 0.5); c00=m00; c01=m01; c02=m02; c11=m11; c12=m12; c22=c22', 5)} from v""",
+    "crowd_select": f"""with {W}, g as (select graph_id * 100000 + pose_id sel_id, lag(x) over q x0, lag(y) over q y0, x x1, y y1 from p window q as (partition by graph_id order by pose_id)),
+d as (select w.graph_id, w.pose_id, sel_id, ((wx - x0) * (x1 - x0) + (wy - y0) * (y1 - y0)) / nullif(power(x1 - x0, 2) + power(y1 - y0, 2), 0) t, wx, wy, x0, y0, x1, y1 from w join g on wx between least(x0, x1) - 0.02 and greatest(x0, x1) + 0.02 and wy between least(y0, y1) - 0.02 and greatest(y0, y1) + 0.02),
+h as (select *, least(greatest(coalesce(t, 0), 0), 1) u from d)
+select {IDS}, count(*) n, min(sel_id)::bigint as first, max(sel_id)::bigint as last from h where sqrt(power(wx - x0 - u * (x1 - x0), 2) + power(wy - y0 - u * (y1 - y0), 2)) < 0.02 group by 1, 2""",
+    "closest_observations": f"with {W}, {CLOSEST} select graph_id, sel_id, pick_id, pose_id::bigint pose_id, obs_id::bigint obs_id, {rnd('d', 4)} d from n",
+    "closest_pair_motion": f"with {W}, {CLOSEST}, b as (select x.graph_id, x.sel_id, x.pose_id pa, y.pose_id pb, y.wx - x.wx dx, y.wy - x.wy dy, x.pose_id >= y.pose_id later from n x join n y on y.graph_id = x.graph_id and y.sel_id = x.sel_id and x.pick_id = 0 and y.pick_id = 1) select graph_id, sel_id, (case when later then pa else pb end)::bigint constrained_id, (case when later then pb else pa end)::bigint anchor_id, {cols('dx=case when later then dx else -dx end; dy=case when later then dy else -dy end', 4)} from b",
+    "residual_relative": f"""with {STEPS}, r as (select graph_id, pose_id, {OFF.format(x='sx', y='sy')} * 10 r, {OFF.format(x='gx', y='gy')} * 0.5 g, {OFF.format(x='ax', y='ay')} o, (0 - sx) * (3 - sx) + (2 - sy) * (-2 - sy) > 0 beside from l)
+select {IDS}, {cols('summed=sqrt(sum(r * r)); through=sqrt(sum(case when beside or o * r > 0 then 0 else r * r end)); composed=sqrt(sum(g * g))', 4)} from r group by 1, 2""",
+    "relative_gradients": f"""with {STEPS}, r as (select graph_id, pose_id, {OFF.format(x='sx', y='sy')} * 0.25 r, {OFF.format(x='gx', y='gy')} * 0.25 g, 0.6 * (sx - ax) - 0.8 * (sy - ay) st, 0.6 * (gx - x) - 0.8 * (gy - y) gt from l),
+e as (select graph_id, pose_id, sum(r) r, sum(r * st) rt, sum(g) g, sum(g * gt) gt from r group by 1, 2),
+z as (select k.graph_id, k.pose_id, k.x, k.y, k.before, sum(e.r) r, sum(e.rt) rt, sum(e.g) g, sum(e.gt + e.g * (0.6 * (i.x - k.x) - 0.8 * (i.y - k.y))) gt from mv k join mv i on i.graph_id = k.graph_id and i.pose_id >= k.pose_id join e on e.graph_id = i.graph_id and e.pose_id = i.pose_id group by all),
+f as (select mv.graph_id, mv.pose_id, coalesce(r, 0) r, coalesce(rt, 0) rt, coalesce(g, 0) g, coalesce(gt, 0) gt, mv.before from mv left join z using (graph_id, pose_id) where mv.graph_id in (select graph_id from s))
+select {IDS}, {cols('gx=0.8 * r; gy=0.6 * r; gth=rt; tx=g * (0.8 * cos(before) + 0.6 * sin(before)); ty=g * (0.6 * cos(before) - 0.8 * sin(before)); tth=gt', 3)} from f""",
+    "residual_object": f"with {W}, b as (select graph_id, x ox, y oy, th oth from p where pose_id = 10), q as (select w.graph_id, w.pose_id, obs_id, cos(oth) * (wx - ox) + sin(oth) * (wy - oy) lx, cos(oth) * (wy - oy) - sin(oth) * (wx - ox) ly from w join b using (graph_id)) select {IDO}, {rnd('(0.6 * lx - 0.8 * ly + 0.3) * 10', 4)} r from q",
     "drags": "select event_id::bigint event_id, sqrt(power(value / 50, 2) + 0.25) > 1.0 dragged from events",
     "residual_cumulative": f"with {P} select {IDS}, {cols('r0=(x - 1.0) / 0.05; r1=(y + 0.5) / 0.04; r2=(th - 0.25) / 0.02', 3)} from p",
     "argb_unpack": """select o_orderkey::bigint o_orderkey, ((v >> 24) & 255)::bigint alpha, ((v >> 16) & 255)::bigint red, ((v >> 8) & 255)::bigint green, (v & 255)::bigint blue from (select o_orderkey, ((o_orderkey::bigint * 2654435761) % 4294967296)::bigint v from orders)""",

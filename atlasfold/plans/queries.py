@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..functions import residuals as r
-from ..operators import correct, display, grid, linemap, lines, match, select, sensors, solve
+from ..operators import correct, display, grid, linemap, lines, match, motion, refine, relative, select, sensors, solve
 from ..schema import VALID, Config, Correction
-from ..snapshot import snapshot
+from ..snapshot import cut, snapshot
 from ..sources import fixtures as fx
 from ..sources.fixtures import table
 
@@ -499,6 +499,82 @@ def residual_cumulative(spark, sf):
     return out(fx.poses(spark, sf).withColumns({"r0": a, "r1": b, "r2": d}), ["graph_id", "pose_id"], ["r0", "r1", "r2"], 3)
 
 
+def crowd_select(spark, sf):
+    """Observations at the motions of all trajectories: more segments than are sent to every task."""
+    p = fx.poses(spark, sf)
+    ends = sensors.edges(p).select((F.col("graph_id") * 100_000 + F.col("pose_id")).alias("sel_id"), "x0", "y0", F.col("x").alias("x1"), F.col("y").alias("y1"))
+    found = select.observed(fx.world(spark, sf).select("graph_id", "pose_id", "obs_id", "wx", "wy"), ends, 0.02)
+    return found.groupBy("graph_id", "pose_id").agg(F.count("*").alias("n"), F.min("sel_id").alias("first"), F.max("sel_id").alias("last")).select("graph_id", F.col("pose_id").cast("long").alias("pose_id"), "n", "first", "last")
+
+
+def _picks(spark):
+    return spark.createDataFrame([(k, i, 0.37 + 1.1 * k - 0.8 * i, -0.21 + 0.45 * k * (1 - 2 * i)) for k in range(6) for i in range(2)] + [(9, 0, 4000.0, -900.0), (9, 1, -5000.0, 70.0)], "sel_id int, pick_id int, qx double, qy double")
+
+
+def closest_observations(spark, sf):
+    found = select.closest_observations(fx.world(spark, sf), _picks(spark))
+    return out(found, ["graph_id", "sel_id", "pick_id", "pose_id", "obs_id"], ["d"], 4)
+
+
+def closest_pair_motion(spark, sf):
+    found = correct.closest_pair_motion(select.closest_observations(fx.world(spark, sf), _picks(spark)))
+    return out(found, ["graph_id", "sel_id", "constrained_id", "anchor_id"], ["dx", "dy"], 4)
+
+
+def _lined(spark, sf) -> DataFrame:
+    """Scans whose points each have a wall: a slanted one, behind a segment of it."""
+    ends = {"x0": 0.0, "y0": 2.0, "x1": 3.0, "y1": -2.0, "nx": 0.8, "ny": 0.6, "offset": -1.2}
+    return fx.scans(spark, sf).select("graph_id", "pose_id", "obs_id", "px", "py").withColumns({k: F.lit(v) for k, v in ends.items()})
+
+
+def _steps(spark, sf) -> DataFrame:
+    return fx.odometry(spark, sf).select("graph_id", "pose_id", "dx", (F.col("dth") / 4).alias("dy"), "dth")
+
+
+def residual_relative(spark, sf):
+    """Of every pose with a scan: its points against a wall under summed motions, seen through it, and under composed motions."""
+    steps, points = _steps(spark, sf), _lined(spark, sf)
+    plain, turned = relative.summed(steps), relative.composed(steps)
+    roots = [relative.per_pose(x).select("graph_id", "pose_id", F.col("root").alias(name)) for name, x in (
+        ("summed", relative.point_residuals(plain, points, 0.05, 0.5)), ("through", relative.point_residuals(plain, points, 0.05, 0.5, True)), ("composed", relative.point_residuals(turned, points, 1.0, 0.5)))]
+    return out(roots[0].join(roots[1], ["graph_id", "pose_id"]).join(roots[2], ["graph_id", "pose_id"]), ["graph_id", "pose_id"], ["summed", "through", "composed"], 4)
+
+
+def relative_gradients(spark, sf):
+    """Of the summed half squares of the same points by every relative pose: under summed and under composed motions."""
+    steps, points = _steps(spark, sf), _lined(spark, sf)
+    plain = relative.gradients(steps, relative.per_pose(relative.point_residuals(relative.summed(steps), points, 1.0, 0.5)), False)
+    turned = relative.gradients(steps, relative.per_pose(relative.point_residuals(relative.composed(steps), points, 1.0, 0.5)), True)
+    both = plain.join(turned.toDF("graph_id", "pose_id", "tx", "ty", "tth"), ["graph_id", "pose_id"])
+    return out(both.join(points.select("graph_id").distinct(), "graph_id", "left_semi"), ["graph_id", "pose_id"], ["gx", "gy", "gth", "tx", "ty", "tth"], 3)
+
+
+def residual_object(spark, sf):
+    """World points against a line in the frame of an object that stands at each graph's tenth pose."""
+    p = fx.poses(spark, sf).where("pose_id = 10").select("graph_id", F.col("x").alias("ox"), F.col("y").alias("oy"), F.col("th").alias("oth"))
+    w = fx.world(spark, sf).join(p, "graph_id")
+    return out(w.withColumn("r", r.point_to_object("wx", "wy", "ox", "oy", "oth", 0.6, -0.8, 0.3, 0.05, 0.5)), ["graph_id", "pose_id", "obs_id"], ["r"], 4)
+
+
+def step_motions(spark, sf) -> DataFrame:
+    """The odometry as motions, noisier across than along."""
+    nought = F.lit(0.0)
+    return fx.odometry(spark, sf).select("graph_id", "pose_id", F.col("dx").alias("x"), F.col("dy").alias("y"), F.col("dth").alias("th"), F.col("var_t").alias("c00"), nought.alias("c01"), nought.alias("c02"), (2 * F.col("var_t")).alias("c11"), nought.alias("c12"), F.col("var_r").alias("c22"))
+
+
+def motion_scan(spark, sf):
+    """Every pose with the covariance that its odometry has gathered."""
+    return out(motion.composed(step_motions(spark, sf), block=16), ["graph_id", "pose_id"], list(motion.MOTION), 5)
+
+
+def loop_constraints(spark, sf):
+    """The constraint between each pose and the one 20 steps on."""
+    p = cut(motion.composed(step_motions(spark, sf), block=16), "prefixes")
+    pairs = p.select("graph_id", F.col("pose_id").alias("i"), (F.col("pose_id") + 20).alias("j"))
+    found = motion.loop_constraints(p, pairs, trans=(0.05, 2.0), ang=(0.01, 0.5))
+    return out(found, ["graph_id", "i", "j"], ["radial", "sd_radial", "sd_tangential", "sd_angular", *motion.COVARIANCE], 5)
+
+
 # without SQL: kernels and sequential operators
 
 
@@ -527,6 +603,29 @@ def joint_solve(spark, sf):
     return solve.joint_solve(p, t)
 
 
+def odometry_terms(poses: DataFrame, sd=(0.03, 0.03, 0.01)) -> DataFrame:
+    """Rows of the residual ``pose_edge``: the motion between successive poses as it is now."""
+    names = ("sd_radial", "sd_tangential", "sd_angular")
+    return sensors.edges(poses).select("graph_id", (F.col("pose_id") - 1).alias("i"), F.col("pose_id").alias("j"), "radial", F.coalesce("direction", F.lit(0.0)).alias("direction"), "rotation", *[F.lit(v).alias(n) for n, v in zip(names, sd, strict=True)])
+
+
+def match_terms(points: DataFrame, matches: DataFrame, sd: float, factor: float = 1.0) -> DataFrame:
+    """Rows of the residual ``point_to_point``: every match's points and normals in their own frames, each pair of scans weighing one."""
+    a = points.select("graph_id", "pose_id", "obs_id", "px", "py", "nx", "ny")
+    b = points.select("graph_id", F.col("pose_id").alias("to_pose"), F.col("obs_id").alias("to_obs"), F.col("px").alias("qx"), F.col("py").alias("qy"), F.col("nx").alias("mx"), F.col("ny").alias("my"))
+    both = matches.select("graph_id", "pose_id", "obs_id", "to_pose", "to_obs", "n_matches").join(a, ["graph_id", "pose_id", "obs_id"]).join(b, ["graph_id", "to_pose", "to_obs"])
+    return both.select("graph_id", F.col("pose_id").alias("i"), F.col("to_pose").alias("j"), "px", "py", "nx", "ny", "qx", "qy", "mx", "my", F.lit(sd).alias("sd"), F.lit(factor).alias("factor"), (1 / F.col("n_matches")).alias("weight"))
+
+
+def loop_refine(spark, sf):
+    """Trajectories with scans, refined under their odometry and the matches between all their scans: loops included."""
+    points = snapshot(world_normals(spark, sf))
+    matches = match.all_pairs(points, 0.4, window=60, angle_deg=60.0, cap=5, more_than=2)
+    p = fx.poses(spark, sf).join(points.select("graph_id").distinct(), "graph_id", "left_semi")
+    found = refine.refine(p, {"pose_edge": odometry_terms(p), "point_to_point": snapshot(match_terms(points, matches, 0.5))})
+    return found.select("graph_id", F.col("pose_id").cast("long").alias("pose_id"), *[rnd(k, 5).alias(k) for k in ("x", "y", "th", "cost_before", "cost_after")])
+
+
 def ransac(spark, sf):
     return lines.ransac(seen_points(spark, sf), 4.0, inliers=12)
 
@@ -638,9 +737,10 @@ pill_select verify_points selection_overlap order_bounds contiguous_groups pose_
 backprop cov_scale scan_normals_window nn_l2 nn_normal radius_search visual_odometry stf_pairs residual_rms residual_pose residual_human residual_wall residual_glob
 sdf_grid sdf_merge consistency consistency_hist endpoint_cov scatter cov_ellipse segment_match merge_segments motion_sd polar_scan range_correction
 latest_per_publisher display_lines adjacency raster modifier_decode argb_unpack event_windows vector_ops cov_rotate
-scalar_more pose_differences scan_bounds sdf_normalised message_window keyframe_poses drags residual_cumulative
+scalar_more pose_differences scan_bounds sdf_normalised message_window keyframe_poses drags residual_cumulative motion_scan loop_constraints
+crowd_select closest_observations closest_pair_motion residual_relative relative_gradients residual_object
 match_lines merge_lines self_merge_round screen_points drawn_rectangles display_compiled display_throttled
-segment_fit joint_solve ransac scan_normals gate_keyframes bootstrap_cov replay stream_corrections batch_localize curate"""
+segment_fit joint_solve loop_refine ransac scan_normals gate_keyframes bootstrap_cov replay stream_corrections batch_localize curate"""
 
 
 def queries() -> dict[str, Query]:
