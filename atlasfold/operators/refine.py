@@ -138,9 +138,10 @@ def conjugate_gradients(system: DataFrame, stretch: int = 128, tolerance: float
     state = state.withColumns(nought | {r: -F.col(g) for r, g in zip(three("r"), SLOPE, strict=True)}).drop(*SLOPE).withColumn("rho", F.lit(0.0))
     state = cut(_preconditioned(state), "gradients")
     start = cut(state.groupBy("graph_id").agg(F.sum(_inner(three("r"), three("r"))).alias("start")), "start")
-    for _ in range(most):
+    for k in range(most):
         now = state.groupBy("graph_id").agg(F.sum(_inner(three("r"), three("z"))).alias("now"), F.sum(_inner(three("r"), three("r"))).alias("left"))
-        if not now.join(start, "graph_id").where(F.col("left") > tolerance**2 * F.col("start")).limit(1).count():
+        # further steps do no harm: whether all are there is asked now and then
+        if k % 3 == 0 and not now.join(start, "graph_id").where(F.col("left") > tolerance**2 * F.col("start")).limit(1).count():
             break
         beta = F.when(F.col("rho") > 0, F.col("now") / F.col("rho")).otherwise(0.0)
         going = state.join(now.drop("left"), "graph_id").withColumns({p: F.col(z) + beta * F.col(p) for p, z in zip(three("p"), three("z"), strict=True)})
@@ -161,7 +162,7 @@ def conjugate_gradients(system: DataFrame, stretch: int = 128, tolerance: float
     return out
 
 
-def refine(poses: DataFrame, terms: Mapping[str, DataFrame], rounds: int = 8, settled: float = 1e-8, stretch: int = 128, registry: Mapping[str, Residual] = REGISTRY) -> DataFrame:
+def refine(poses: DataFrame, terms: Mapping[str, DataFrame], rounds: int = 8, settled: float = 1e-8, stretch: int = 128, tolerance: float = 1e-3, registry: Mapping[str, Residual] = REGISTRY) -> DataFrame:
     """(graph_id, pose_id, x, y, th, cost_before, cost_after): Levenberg-Marquardt over every graph at once, at most ``rounds`` steps.
 
     ``terms`` has a table for each residual of the registry that takes part: graph_id, i, j (where it is about two
@@ -177,7 +178,7 @@ def refine(poses: DataFrame, terms: Mapping[str, DataFrame], rounds: int = 8, se
         free = normal_equations(now, terms, registry).join(fixed, "graph_id").where("i != fixed and j != fixed").join(status.select("graph_id", "damp"), "graph_id")
         damped = {a: F.when(F.col("i") == F.col("j"), F.col(a) * (1 + F.col("damp")) + 1e-9).otherwise(F.col(a)) for a in ("a0", "a4", "a8")}
         system = cut(free.withColumns(damped).select("graph_id", "i", "j", *BLOCK, *SLOPE), "system")
-        step = conjugate_gradients(system, stretch)
+        step = conjugate_gradients(system, stretch, tolerance)
         moved = now.join(step.withColumnRenamed("pose_id", "_p"), (now["graph_id"] == step["graph_id"]) & (now["pose_id"] == F.col("_p")), "left").drop(step["graph_id"], "_p").fillna(0.0, three("s"))
         tried = cut(moved.select("graph_id", "pose_id", *POSE, *[(F.col(k) + F.col(s)).alias(f"new_{k}") for k, s in zip(POSE, three("s"), strict=True)]), "tried")
         trial = tried.select("graph_id", "pose_id", "new_x", "new_y", "new_th").toDF("graph_id", "pose_id", *POSE)

@@ -292,6 +292,7 @@ e as (select graph_id, pose_id, sum(r) r, sum(r * st) rt, sum(g) g, sum(g * gt)
 z as (select k.graph_id, k.pose_id, k.x, k.y, k.before, sum(e.r) r, sum(e.rt) rt, sum(e.g) g, sum(e.gt + e.g * (0.6 * (i.x - k.x) - 0.8 * (i.y - k.y))) gt from mv k join mv i on i.graph_id = k.graph_id and i.pose_id >= k.pose_id join e on e.graph_id = i.graph_id and e.pose_id = i.pose_id group by all),
 f as (select mv.graph_id, mv.pose_id, coalesce(r, 0) r, coalesce(rt, 0) rt, coalesce(g, 0) g, coalesce(gt, 0) gt, mv.before from mv left join z using (graph_id, pose_id) where mv.graph_id in (select graph_id from s))
 select {IDS}, {cols('gx=0.8 * r; gy=0.6 * r; gth=rt; tx=g * (0.8 * cos(before) + 0.6 * sin(before)); ty=g * (0.6 * cos(before) - 0.8 * sin(before)); tth=gt', 3)} from f""",
+    "message_log": f"select 'user/' || event_type topic, event_id::bigint event_id, {rnd('value')} as value, 'user' frame_id, (2 * json_extract_string(props, '$.k')::int)::bigint twice_k, 0::bigint seq_off from events where event_type in ('purchase', 'view') and ts >= (select min(ts) from events) + interval 6 hour and ts < (select min(ts) from events) + interval 240 hour",
     "residual_object": f"with {W}, b as (select graph_id, x ox, y oy, th oth from p where pose_id = 10), q as (select w.graph_id, w.pose_id, obs_id, cos(oth) * (wx - ox) + sin(oth) * (wy - oy) lx, cos(oth) * (wy - oy) - sin(oth) * (wx - ox) ly from w join b using (graph_id)) select {IDO}, {rnd('(0.6 * lx - 0.8 * ly + 0.3) * 10', 4)} r from q",
     "drags": "select event_id::bigint event_id, sqrt(power(value / 50, 2) + 0.25) > 1.0 dragged from events",
     "residual_cumulative": f"with {P} select {IDS}, {cols('r0=(x - 1.0) / 0.05; r1=(y + 0.5) / 0.04; r2=(th - 0.25) / 0.02', 3)} from p",

@@ -556,6 +556,34 @@ def residual_object(spark, sf):
     return out(w.withColumn("r", r.point_to_object("wx", "wy", "ox", "oy", "oth", 0.6, -0.8, 0.3, 0.05, 0.5)), ["graph_id", "pose_id", "obs_id"], ["r"], 4)
 
 
+#: What a message of the log below is made of.
+EVENT = "Header header\nfloat64 value  # as it was\nint64 event_id\nint32[] keys\n====\nMSG: std_msgs/Header\nuint32 seq\ntime stamp\nstring frame_id"
+
+
+def message_log(spark, sf):
+    """The events as a recorded log, a topic for each type, read back: purchases and views of a span of time, decoded."""
+    import struct
+
+    from ..sources import bag
+
+    e = table(spark, sf, "events").select("event_id", "event_type", "value", F.get_json_object("props", "$.k").cast("int").alias("k"), (F.unix_micros(F.col("ts").cast("timestamp")) * 1000).alias("time_ns"))
+
+    def pack(frames):
+        for f in frames:
+            own = zip(f["event_id"].tolist(), f["time_ns"].tolist(), f["value"].tolist(), f["k"].tolist(), strict=True)
+            f["data"] = [struct.pack("<IIII4sdqIii", i, *divmod(t, 1_000_000_000), 4, b"user", v, i, 2, k, 2 * k) for i, t, v, k in own]
+            yield f[["topic", "type", "time_ns", "data"]]
+
+    e = e.withColumns({"topic": F.concat(F.lit("user/"), "event_type"), "type": F.lit("log/Event")})
+    messages = e.mapInPandas(pack, "topic string, type string, time_ns long, data binary")
+    first = e.agg(F.min("time_ns")).first()[0] or 0
+    log = bag.read_log(spark, *bag.write_log(messages.sortWithinPartitions("time_ns"), {"log/Event": EVENT}, "bz2", 64 << 10))
+    hour = 3600 * 10**9
+    kept = log.where(F.col("topic").isin("user/purchase", "user/view") & (F.col("time_ns") >= first + 6 * hour) & (F.col("time_ns") < first + 240 * hour))
+    found = bag.decoded(kept, EVENT).select("topic", "message.*")
+    return found.select("topic", "event_id", rnd("value").alias("value"), F.col("header.frame_id").alias("frame_id"), F.element_at("keys", 2).cast("long").alias("twice_k"), (F.col("header.seq") - F.col("event_id")).alias("seq_off"))
+
+
 def step_motions(spark, sf) -> DataFrame:
     """The odometry as motions, noisier across than along."""
     nought = F.lit(0.0)
@@ -738,7 +766,7 @@ backprop cov_scale scan_normals_window nn_l2 nn_normal radius_search visual_odom
 sdf_grid sdf_merge consistency consistency_hist endpoint_cov scatter cov_ellipse segment_match merge_segments motion_sd polar_scan range_correction
 latest_per_publisher display_lines adjacency raster modifier_decode argb_unpack event_windows vector_ops cov_rotate
 scalar_more pose_differences scan_bounds sdf_normalised message_window keyframe_poses drags residual_cumulative motion_scan loop_constraints
-crowd_select closest_observations closest_pair_motion residual_relative relative_gradients residual_object
+crowd_select closest_observations closest_pair_motion residual_relative relative_gradients residual_object message_log
 match_lines merge_lines self_merge_round screen_points drawn_rectangles display_compiled display_throttled
 segment_fit joint_solve loop_refine ransac scan_normals gate_keyframes bootstrap_cov replay stream_corrections batch_localize curate"""
 
