@@ -5,9 +5,15 @@
 equal payloads of at least ``least_bytes`` keep one response, that with the
 largest id, and the others become revisit records that refer to it. Revisit
 records that the input already has are joined to the original responses by
-digest. ``rewrite`` then streams every archive through one task, about one each, which copies
+digest, whatever their size. ``rewrite`` then streams every archive through one task, which copies
 payloads of responses and writes fresh headers; payloads are never shuffled.
 
+Archives of other writers may be read too (``headers``, ``rewrite``). Their responses are known by their
+payload's SHA-1, declared or not; unless they become revisits, their records are copied as they are, as
+is every record that is neither response nor revisit (warcinfo, request, ...). A response whose declared
+digest is not its payload's, as stored, takes no part and is copied; if it is one of ours, that raises.
+A revisit needs no more than a digest; it stays as it is if no response in the archives has that.
+
 Files are written under the session's shared folder (or any folder that
 ``pyarrow.fs`` opens) under names made anew at each attempt, and only those
 in the manifest, which Spark's committer writes, are ever read: a lost
@@ -15,13 +21,15 @@ executor leaves an unread file, not a wrong record.
 
 Defined results: null html is an empty payload; null page ids and repeated rows
 are records of their own (a null id is the smallest); of equal payloads with equal largest ids
-one response stays, the record first in the archives; empty tables give no record; other columns are ignored.
+one response stays, that of the greatest record id, which is made anew in every run; the length of a
+revisit of another writer is its response's, null without one; empty tables give no record; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import io
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -35,12 +43,14 @@ from .common import cut, shared_dir
 #: Uncompressed bytes after which a writer begins another file.
 FILE_BYTES = 32 << 20
 LEAST_BYTES = 1000
+#: Tasks that archives are dealt to at most; beyond that a task streams several, one after another.
+MAX_TASKS = 100_000
 LEVEL = 1
 #: Fixed values of the format.
 VERSION = b"WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MANIFEST = "path string, record long, page_id long, kind string, payload_bytes long, digest string, record_id string, refers_to string"
-#: Fixed value: what a record is dated where the input has no date, so that equal runs give equal archives.
+#: Fixed value: what a record is dated, as the input has no date.
 DATE = "1970-01-01T00:00:00Z"
 
 
@@ -72,33 +82,67 @@ def response(page: str, url: str, payload: bytes, digest: str, rid: str) -> byte
     return member(head, http(payload) + payload)
 
 
-def revisit(page: str, url: str, length: int, digest: str, rid: str, to: str, to_page: str) -> bytes:
+def revisit(page: str, url: str, length: int, digest: str, rid: str, to: str, to_page: str, date: str = DATE) -> bytes:
     head = [
-        ("WARC-Type", "revisit"), ("WARC-Record-ID", rid), ("WARC-Date", DATE), ("WARC-Target-URI", url), ("WARC-Payload-Digest", base32(digest)),
+        ("WARC-Type", "revisit"), ("WARC-Record-ID", rid), ("WARC-Date", date), ("WARC-Target-URI", url), ("WARC-Payload-Digest", base32(digest)),
         ("WARC-Refers-To", to), ("WARC-Profile", PROFILE), ("X-Page-ID", page), ("X-Refers-To-Page-ID", to_page), ("X-Payload-Length", str(length)),
         ("Content-Type", "application/http; msgtype=response"),
     ]
     return member(head, b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n")
 
 
-def records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Header fields (names lower-cased) and block of each record of an archive of gzip members."""
-    view, at = memoryview(data), 0
-    while at < len(view):
-        unpack, pieces = zlib.decompressobj(31), []
+def records(source) -> Iterator[tuple[dict[str, str], bytes, bytes]]:
+    """Header fields (names lower-cased), block, and gzip member of each record of an archive, from its bytes or an open file."""
+    read = io.BytesIO(source).read if isinstance(source, bytes | memoryview) else source.read
+    view, at = memoryview(read(1 << 20)), 0
+    while len(view):
+        unpack, pieces, own = zlib.decompressobj(31), [], []
         while not unpack.eof:
-            if at >= len(view):
-                raise ValueError("the archive ends within a record")
+            if at == len(view):
+                view, at = memoryview(read(1 << 20)), 0
+                if not len(view):
+                    raise ValueError("the archive ends within a record")
             some = view[at : at + 16_384]
             pieces.append(unpack.decompress(some))
-            at += len(some) - len(unpack.unused_data)
+            used = len(some) - len(unpack.unused_data)
+            own.append(bytes(some[:used]))
+            at += used
         raw = b"".join(pieces)
         head, _, rest = raw.partition(b"\r\n\r\n")
         lines = head.split(b"\r\n")
         if not lines[0].startswith(b"WARC/"):
             raise ValueError("not a WARC record")
         fields = {k.strip().lower().decode(): v.strip().decode("utf-8", "replace") for k, _, v in (x.partition(b":") for x in lines[1:])}
-        yield fields, rest[: int(fields["content-length"])]
+        yield fields, rest[: int(fields["content-length"])], b"".join(own)
+        if at == len(view):
+            view, at = memoryview(read(1 << 20)), 0
+
+
+def declared(f: dict[str, str]) -> str | None:
+    """The payload's SHA-1 in hex, if the header has one."""
+    kind, _, value = f.get("warc-payload-digest", "").partition(":")
+    if kind.lower() != "sha1":
+        return None
+    try:
+        return bytes.fromhex(value).hex() if len(value) == 40 else base64.b32decode(value.upper()).hex()
+    except ValueError:
+        return None
+
+
+def described(where: str, f: dict[str, str], block: bytes) -> tuple[int | None, str, int | None, str | None]:
+    """Page id, type, payload bytes and digest of a record; without a digest it takes no part."""
+    page, kind, digest = int(f["x-page-id"]) if f.get("x-page-id") else None, f["warc-type"], declared(f)
+    if kind == "response":
+        body = payload(block)
+        real = hashlib.sha1(body).hexdigest()
+        if digest not in (None, real):
+            if "x-page-id" in f:
+                raise ValueError(f"{where}: the payload doesn't match its digest")
+            return page, kind, len(body), None
+        return page, kind, len(body), real
+    if kind == "revisit":
+        return page, kind, int(f["x-payload-length"]) if f.get("x-payload-length") else None, digest
+    return page, kind, None, None
 
 
 def payload(block: bytes) -> bytes:
@@ -177,33 +221,25 @@ def write(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
     return _manifest(cols.mapInArrow(run, MANIFEST), folder)
 
 
-def _header_rows(path: str, data: bytes) -> list[tuple]:
-    """The manifest's rows of one archive, from its records; a payload that doesn't match its digest raises."""
+def _header_rows(path: str, source) -> list[tuple]:
+    """The manifest's rows of one archive, from its records."""
     found = []
-    for n, (f, block) in enumerate(records(data)):
-        digest = base64.b32decode(f["warc-payload-digest"].removeprefix("sha1:")).hex()
-        page = int(f["x-page-id"]) if f.get("x-page-id") else None
-        if f["warc-type"] == "response":
-            body = payload(block)
-            if hashlib.sha1(body).hexdigest() != digest:
-                raise ValueError(f"record {n} of {path}: the payload doesn't match its digest")
-            found.append((path, n, page, "response", len(body), digest, f["warc-record-id"], None))
-        else:
-            found.append((path, n, page, f["warc-type"], int(f.get("x-payload-length", 0)), digest, f["warc-record-id"], f["warc-refers-to"]))
+    for n, (f, block, _) in enumerate(records(source)):
+        page, kind, length, digest = described(f"record {n} of {path}", f, block)
+        found.append((path, n, page, kind, length, digest, f.get("warc-record-id"), f.get("warc-refers-to")))
     return found
 
 
-def _data(path: str) -> bytes:
+def _file(path: str):
     from pyarrow import fs
 
     store, base = fs.FileSystem.from_uri(path)
-    with store.open_input_file(base) as f:
-        return f.read()
+    return store.open_input_stream(base, compression=None)
 
 
 def _dealt(paths: DataFrame) -> DataFrame:
-    """Distinct paths of archives, about one a task: dealt by number, which adaptive execution leaves as it is."""
-    return paths.repartition(max(1, paths.count()))
+    """Distinct paths of archives, about one a task up to MAX_TASKS: dealt by number, which adaptive execution leaves as it is."""
+    return paths.repartition(max(1, min(MAX_TASKS, paths.count())))
 
 
 def headers(archives: DataFrame) -> DataFrame:
@@ -224,87 +260,89 @@ def scan(manifest: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path in batch.column("path").to_pylist():
-                if found := _header_rows(path, _data(path)):
+                with _file(path) as f:
+                    found = _header_rows(path, f)
+                if found:
                     yield _rows(found)
 
     return cut(_dealt(manifest.select("path").distinct()).mapInArrow(run, MANIFEST), "headers")
 
 
 def resolve(manifest: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
-    """(path, record, to_id, to_page) of the records that become revisits. Only headers move.
+    """(path, record, to_id, to_page, bytes) of the records that become revisits, or refer anew. Only headers move.
 
     A revisit in the input takes part like a response of its payload, but only a response can be kept;
     a revisit with no response of its digest in the archives stays as it is.
     """
-    order = F.struct("page_id", F.col("record_id").alias("id"))
-    best = manifest.where((F.col("kind") == "response") & (F.col("payload_bytes") >= least_bytes)).groupBy("digest").agg(F.max(order).alias("best"), F.count("*").alias("n"))
-    both = manifest.where(F.col("payload_bytes") >= least_bytes).select("path", "record", "record_id", "kind", "digest")
-    joined = both.join(best, "digest").where(F.col("record_id") != F.col("best.id"))
-    return joined.select("path", "record", F.col("best.id").alias("to_id"), F.col("best.page_id").alias("to_page"))
+    order = F.struct("page_id", F.col("record_id").alias("id"), F.col("payload_bytes").alias("bytes"))
+    best = manifest.where("kind = 'response' and digest is not null").groupBy("digest").agg(F.max(order).alias("best"))
+    both = manifest.where((F.col("kind") == "revisit") | ((F.col("kind") == "response") & (F.col("payload_bytes") >= least_bytes))).select("path", "record", "record_id", "digest")
+    joined = both.join(best, "digest").where(~F.col("record_id").eqNullSafe(F.col("best.id")))
+    return joined.select("path", "record", F.col("best.id").alias("to_id"), F.col("best.page_id").alias("to_page"), F.col("best.bytes").alias("bytes"))
 
 
 def rewrite(manifest: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
-    """Deduplicated archives with fresh headers; gives their manifest. One task streams one archive."""
+    """Deduplicated archives with fresh headers; gives their manifest. One task streams an archive, and holds a record of it."""
     spark = manifest.sparkSession
     folder = _folder(spark, "dedup")
     # per archive, the numbers of its records that turn, at most a file's worth
-    turns = resolve(manifest, least_bytes).groupBy("path").agg(F.collect_list(F.struct("record", "to_id", "to_page")).alias("turns"))
+    turns = resolve(manifest, least_bytes).groupBy("path").agg(F.collect_list(F.struct("record", "to_id", "to_page", "bytes")).alias("turns"))
     paths = manifest.select("path").distinct()
-    plan = paths.join(turns, "path", "left").select("path", F.col("turns.record").alias("rec"), F.col("turns.to_id").alias("to_id"), F.col("turns.to_page").alias("to_page"))
+    plan = paths.join(turns, "path", "left").select("path", *[F.col(f"turns.{k}").alias(k) for k in ("record", "to_id", "to_page", "bytes")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = _Writer(folder)
         try:
             for batch in batches:
-                for path, rec, ids, pages in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                    data = _data(path)
-                    turn = {n: (i, p) for n, i, p in zip(rec or (), ids or (), pages or (), strict=True)}
+                for path, *listed in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+                    turn = {n: x for n, *x in zip(*(x or () for x in listed), strict=True)}
                     found = []
-                    for n, (f, block) in enumerate(records(data)):
-                        digest = base64.b32decode(f["warc-payload-digest"].removeprefix("sha1:")).hex()
-                        page, url, rid = f["x-page-id"], f["warc-target-uri"], f["warc-record-id"]
-                        body = payload(block)
-                        length = int(f.get("x-payload-length", len(body)))
-                        if n in turn:
-                            to, to_page = turn[n]
-                            new, kind = revisit(page, url, length, digest, rid, to, "" if to_page is None else str(to_page)), "revisit"
-                        elif f["warc-type"] == "revisit":
-                            to, to_page = f["warc-refers-to"], f.get("x-refers-to-page-id", "")
-                            new, kind = revisit(page, url, length, digest, rid, to, to_page), "revisit"
-                        else:
-                            to, to_page, new, kind = None, None, response(page, url, body, digest, rid), "response"
-                        at, k = out.add(new, len(block))
-                        found.append((at, k, int(page) if page else None, kind, length, digest, rid, None if to_page in (None, "") else str(to_page)))
+                    with _file(path) as f:
+                        for n, (f, block, member_bytes) in enumerate(records(f)):
+                            page, kind, length, digest = described(f"record {n} of {path}", f, block)
+                            named, url, rid, to, to_page = "" if page is None else str(page), f.get("warc-target-uri", ""), f.get("warc-record-id"), f.get("warc-refers-to"), f.get("x-refers-to-page-id")
+                            new = member_bytes
+                            if n in turn:
+                                to, to_page, length = turn[n]
+                                to_page, kind = "" if to_page is None else str(to_page), "revisit"
+                                new = revisit(named, url, length, digest, rid, to, to_page, f.get("warc-date", DATE))
+                            elif "x-page-id" in f and kind == "revisit":
+                                new = revisit(named, url, length, digest, rid, to, to_page or "", f.get("warc-date", DATE))
+                            elif "x-page-id" in f and kind == "response":
+                                new = response(named, url, payload(block), digest, rid)
+                            at, k = out.add(new, len(block))
+                            found.append((at, k, page, kind, length, digest, rid, to_page or None))
+                            if len(found) == 10_000:
+                                yield _rows(found)
+                                found = []
                     if found:
                         yield _rows(found)
         finally:
             out.close()
 
-    return _manifest(plan.repartition(max(1, paths.count())).mapInArrow(run, MANIFEST), folder)
+    return _manifest(_dealt(plan).mapInArrow(run, MANIFEST), folder)
 
 
 def read(manifest: DataFrame) -> DataFrame:
-    """Every record of the manifest's archives, read back from the files: page_id, url, kind, payload (null for a revisit), payload_bytes, digest, refers_to page."""
+    """Every response and revisit of the manifest's archives, read back from the files: page_id, url, kind, payload (null for a revisit), payload_bytes, digest, refers_to page."""
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("kind", pa.string()), ("payload", pa.binary()), ("payload_bytes", pa.int64()), ("digest", pa.string()), ("refers_to", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path in batch.column("path").to_pylist():
-                data = _data(path)
                 found, held = [], 0
-                for f, block in records(data):
-                    digest = base64.b32decode(f["warc-payload-digest"].removeprefix("sha1:")).hex()
-                    page, kind = int(f["x-page-id"]) if f["x-page-id"] else None, f["warc-type"]
-                    body = payload(block) if kind == "response" else None
-                    if body is not None and hashlib.sha1(body).hexdigest() != digest:
-                        raise ValueError(f"{f['warc-record-id']} of {path}: the payload doesn't match its digest")
-                    length = len(body) if body is not None else int(f["x-payload-length"])
-                    to = f.get("x-refers-to-page-id", "")
-                    found.append((page, f["warc-target-uri"], kind, body, length, digest, int(to) if to else None))
-                    held += len(body or b"")
-                    if held > 4 << 20:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*found, strict=True), schema, strict=True)], schema=schema)
-                        found, held = [], 0
+                with _file(path) as source:
+                    for n, (f, block, _) in enumerate(records(source)):
+                        page, kind, length, digest = described(f"record {n} of {path}", f, block)
+                        if kind not in ("response", "revisit"):
+                            continue
+                        body = payload(block) if kind == "response" else None
+                        to = f.get("x-refers-to-page-id", "")
+                        found.append((page, f.get("warc-target-uri", ""), kind, body, length, digest, int(to) if to else None))
+                        held += len(body or b"")
+                        if held > 4 << 20:
+                            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*found, strict=True), schema, strict=True)], schema=schema)
+                            found, held = [], 0
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*found, strict=True), schema, strict=True)], schema=schema)
 

@@ -302,6 +302,48 @@ def test_no_documents_no_passages(make):
 # warc
 
 
+def test_archives_of_other_writers(spark, tmp_path):
+    """warcinfo and request records, responses without a page id or a digest or with another one, and bare revisits."""
+    big, other, small = b"<p>big</p>" * 300, b"<p>other</p>" * 300, b"tiny"
+    sha = lambda x: warc.base32(warc.hashlib.sha1(x).hexdigest())
+    head = b"HTTP/1.1 200 OK\r\nServer: elsewhere\r\n\r\n"
+
+    def record(kind, rid, block=b"", **more):
+        return warc.member([("WARC-Type", kind), ("WARC-Record-ID", rid), ("WARC-Date", "2020-02-02T00:00:00Z"), *[(k.replace("_", "-"), v) for k, v in more.items()]], block)
+
+    one = [
+        record("warcinfo", "<w>", b"software: x"), record("request", "<q>", b"GET / HTTP/1.1", WARC_Target_URI="http://a/"),
+        record("response", "<a1>", head + big, WARC_Target_URI="http://a/1", WARC_Payload_Digest=sha(big)),
+        record("response", "<a2>", head + big, WARC_Target_URI="http://a/2"),
+        record("revisit", "<r1>", b"HTTP/1.1 200 OK\r\n\r\n", WARC_Target_URI="http://a/3", WARC_Payload_Digest=sha(big)),
+        record("revisit", "<r2>", b"", WARC_Target_URI="http://a/4", WARC_Payload_Digest=sha(b"nowhere"), WARC_Refers_To="<gone>"),
+        record("revisit", "<r3>"),
+    ]
+    two = [
+        record("response", "<b1>", head + other, WARC_Payload_Digest="sha256:abc"), record("response", "<b2>", head + other, WARC_Payload_Digest=sha(b"chunked otherwise")),
+        record("response", "<b3>", head + small), record("response", "<b4>", head + small), record("revisit", "<r4>", WARC_Payload_Digest=warc.hashlib.sha1(small).hexdigest().join(["sha1:", ""])),
+    ]
+    for name, own in (("one", one), ("two", two)):
+        (tmp_path / f"{name}.warc.gz").write_bytes(b"".join(own))
+    found = warc.headers(spark.read.format("binaryFile").load(str(tmp_path)).select("path", "content"))
+    kinds = {r["record_id"]: (r["kind"], r["payload_bytes"]) for r in rows(found)}
+    assert kinds["<w>"] == ("warcinfo", None) and kinds["<r1>"] == ("revisit", None) and kinds["<b1>"] == ("response", len(other)) and len(kinds) == 12
+    out = warc.rewrite(found)
+    done = {r["record_id"]: r for r in rows(out)}
+    assert {k: r["kind"] for k, r in done.items()} == {k: "revisit" if k == "<a1>" else v[0] for k, v in kinds.items()}
+    raw = {f["warc-record-id"]: (f, block, own) for r in rows(out.select("path").distinct()) for f, block, own in warc.records(warc._file(r["path"]))}
+    before = {f["warc-record-id"]: own for f, _, own in warc.records(b"".join(one + two))}
+    turned = {"<a1>": ("<a2>", str(len(big))), "<r1>": ("<a2>", str(len(big))), "<r4>": ("<b4>", str(len(small)))}
+    for k, (f, _, own) in raw.items():
+        if k in turned:
+            assert (f["warc-refers-to"], f["x-payload-length"], f["warc-date"]) == (*turned[k], "2020-02-02T00:00:00Z")
+        else:
+            assert own == before[k]
+    again = {r["record_id"]: r["kind"] for r in rows(warc.rewrite(warc.scan(out)))}
+    assert again == {k: r["kind"] for k, r in done.items()}
+    assert len(rows(warc.read(out))) == 10
+
+
 def test_archives_round_trip_and_resolve(spark):
     g = random.Random(8)
     big = [say(g, 400) for _ in range(6)]
