@@ -126,20 +126,58 @@ def prune(segments: DataFrame, grid: DataFrame, res: float, keys: list[str], sha
     return out.where(length(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")) > least)
 
 
+#: Pairs of points in neighbouring cells up to which it is settled beforehand which points have any near.
+EXACT = 1 << 24
+
+
 def partners(xy: np.ndarray, draws: int, g: np.random.Generator, radius: float = RADIUS) -> np.ndarray:
-    """(draws, 2): a point that has others within the radius, and one of those, uniformly; no rows if no point has."""
+    """(draws, 2): a point that has others within the radius, and one of those, uniformly; no rows if no point has.
 
-    def near(i):
-        d = np.hypot(*(xy[i][:, None] - xy[None]).transpose(2, 0, 1))
+    Points are sorted by cells as wide as the radius, so a point's neighbours lie in three runs of them; partners are drawn
+    from the runs until they are near. Tables hold a row a draw, never points by points. Where cells are crowded a point
+    without anyone near may have cost some draws, which are then fewer.
+    """
+    cell = np.floor((xy - xy.min(0)) / radius).astype(np.int64) + 1
+    high = int(cell[:, 1].max()) + 2
+    key = cell[:, 0] * high + cell[:, 1]
+    order = np.argsort(key, kind="stable")
+    ranked = key[order]
+    lows, sizes = [], []
+    for side in (-1, 0, 1):
+        low = np.searchsorted(ranked, key + side * high - 1)
+        lows.append(low)
+        sizes.append(np.searchsorted(ranked, key + side * high + 1, "right") - low)
+    lows, sizes = np.array(lows), np.array(sizes)
+    total = sizes.sum(0)
+
+    def near(i, j):
+        d = np.hypot(*(xy[i] - xy[j]).T)
         return (d > 1e-9) & (d <= radius)
 
-    local = np.concatenate([near(np.arange(k, min(k + 256, len(xy)))).any(1) for k in range(0, len(xy), 256)])
-    ones = np.flatnonzero(local)
-    if not len(ones):
-        return np.zeros((0, 2), np.int64)
-    first = g.choice(ones, draws)
-    second = np.concatenate([(g.random((len(i), len(xy))) * near(i)).argmax(1) for k in range(0, draws, 256) if len(i := first[k : k + 256])])
-    return np.stack([first, second], 1)
+    def taken(i, k):
+        """The k-th point of those in the runs of each i."""
+        one, two = sizes[0, i], sizes[0, i] + sizes[1, i]
+        at = np.where(k < one, lows[0, i] + k, np.where(k < two, lows[1, i] + k - one, lows[2, i] + k - two))
+        return order[at]
+
+    local = np.arange(len(xy))
+    if total.sum() <= EXACT:
+        i = np.repeat(local, total)
+        k = np.arange(len(i)) - np.repeat(np.cumsum(total) - total, total)
+        local = np.unique(i[near(i, taken(i, k))])
+        if not len(local):
+            return np.zeros((0, 2), np.int64)
+    first, second = g.choice(local, draws), np.full(draws, -1)
+    still = np.arange(draws)
+    for _ in range(200):
+        i = first[still]
+        j = taken(i, (g.random(len(i)) * total[i]).astype(np.int64))
+        good = near(i, j)
+        second[still[good]] = j[good]
+        still = still[~good]
+        if not len(still):
+            break
+    return np.stack([first, second], 1)[second >= 0]
 
 
 def line_segments(xy: np.ndarray, sigma: float, inliers: int, iterations: int, seed: int, normals: np.ndarray | None = None, sources: np.ndarray | None = None, share: float = 0.0) -> list[tuple[tuple, np.ndarray]]:
@@ -159,6 +197,8 @@ def line_segments(xy: np.ndarray, sigma: float, inliers: int, iterations: int, s
 
     while len(xy) >= max(inliers, 2):
         i = partners(xy, iterations, g)
+        if not len(i):
+            break
         rays = None
         if sources is not None:
             rays = xy - sources

@@ -176,7 +176,9 @@ def refine(poses: DataFrame, terms: Mapping[str, DataFrame], rounds: int = 8, se
         if not status.where((F.col("gain") > settled) & (F.col("damp") < 1e8) & (F.col("cost") > 0)).limit(1).count():
             break
         free = normal_equations(now, terms, registry).join(fixed, "graph_id").where("i != fixed and j != fixed").join(status.select("graph_id", "damp"), "graph_id")
-        damped = {a: F.when(F.col("i") == F.col("j"), F.col(a) * (1 + F.col("damp")) + 1e-9).otherwise(F.col(a)) for a in ("a0", "a4", "a8")}
+        # alike along x and y, so that no choice of axes matters
+        share = {"a0": (F.col("a0") + F.col("a4")) / 2, "a4": (F.col("a0") + F.col("a4")) / 2, "a8": F.col("a8")}
+        damped = {a: F.when(F.col("i") == F.col("j"), F.col(a) + F.col("damp") * share[a] + 1e-9).otherwise(F.col(a)) for a in share}
         system = cut(free.withColumns(damped).select("graph_id", "i", "j", *BLOCK, *SLOPE), "system")
         step = conjugate_gradients(system, stretch, tolerance)
         moved = now.join(step.withColumnRenamed("pose_id", "_p"), (now["graph_id"] == step["graph_id"]) & (now["pose_id"] == F.col("_p")), "left").drop(step["graph_id"], "_p").fillna(0.0, three("s"))

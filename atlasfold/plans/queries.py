@@ -655,12 +655,13 @@ def loop_refine(spark, sf):
 
 
 def ransac(spark, sf):
-    return lines.ransac(seen_points(spark, sf), 4.0, inliers=12)
+    """The walls of the wall points, tile by tile."""
+    return lines.ransac(fx.walls(spark, sf), 4.0, inliers=40, share=0.6)
 
 
 def curate(spark, sf):
-    """The line map of each graph's scans, from points to lines merged with themselves."""
-    found, _ = linemap.curate(seen_points(spark, sf), res=RES, tile=4.0, inliers=12, share=0.5)
+    """The line map of each graph's wall points, from points to lines merged with themselves."""
+    found, _ = linemap.curate(fx.walls(spark, sf), res=RES, tile=4.0, inliers=6, share=0.3)
     return found.select("graph_id", "seg_id", *[rnd(k).alias(k) for k in (*linemap.ENDS, "mass", *linemap.COVS)])
 
 

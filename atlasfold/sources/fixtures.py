@@ -7,7 +7,7 @@ poses of user g.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import to_world
@@ -66,6 +66,29 @@ def scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.withColumns({"nx": F.cos(a), "ny": F.sin(a)})
 
 
+#: Walls of a graph, their length, and how far points may lie off them.
+WALLS, WALL_LENGTH, WALL_NOISE = 7, 3.0, 0.05
+
+
+def wall(graph: Column, number: Column) -> tuple[Column, Column, Column]:
+    """Where a wall starts, and its direction."""
+    return number * 2.3, F.pmod(graph * 2 + number * 3, F.lit(5)) * 1.7, number * 0.9 + graph
+
+
+def walls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as points seen on walls: (graph_id, wall, wx, wy, nx, ny, sx, sy), sources a metre off."""
+    i = table(spark, sf_dir, "lineitem").select(
+        F.pmod("l_suppkey", F.lit(4)).cast("long").alias("graph_id"),
+        F.pmod("l_linenumber", F.lit(WALLS)).cast("long").alias("wall"),
+        (F.pmod(F.col("l_orderkey") * 7919 + F.col("l_partkey") * 31, F.lit(9973)) / 9973.0).alias("t"),
+        ((F.pmod(F.col("l_partkey") * 17 + F.col("l_orderkey"), F.lit(61)) - 30) / 30.0 * WALL_NOISE).alias("off"),
+    )
+    x0, y0, a = wall(F.col("graph_id"), F.col("wall"))
+    u, v = F.cos(a), F.sin(a)
+    i = i.withColumns({"nx": -v, "ny": u, "wx": x0 + F.col("t") * WALL_LENGTH * u - F.col("off") * v, "wy": y0 + F.col("t") * WALL_LENGTH * v + F.col("off") * u})
+    return i.select("graph_id", "wall", "wx", "wy", "nx", "ny", (F.col("wx") + F.col("nx")).alias("sx"), (F.col("wy") + F.col("ny")).alias("sy"))
+
+
 def world(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scans seen from their poses: (graph_id, pose_id, obs_id, px, py, nx, ny, x, y, th, wx, wy)"""
     p = poses(spark, sf_dir).select("graph_id", "pose_id", "x", "y", "th")
