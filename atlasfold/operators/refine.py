@@ -4,13 +4,14 @@ Loop closures break the band that a chain has, so the normal equations are kept
 as a table of 3x3 blocks (graph_id, i, j) and never as one graph's matrix. A
 product with a vector is a join on j and a sum by i; a graph's steps and
 residual norms are sums by graph. All graphs advance together, every round of
-a loop is one written table.
+a loop is one written table. Graphs of up to DIRECT poses are spared that: their
+systems are bounded, so each is solved whole where it is summed.
 
 The preconditioner cuts trajectories into stretches of ``stretch`` poses and
 solves the chain's own blocks of each exactly; it is positive definite because
 every residual adds its whole diagonal to it. Odometry is nearly all of a
-graph, so few rounds are left for the loops. No graph is one group: a task
-holds one stretch.
+graph, so few rounds are left for the loops. A task holds one stretch, or one
+graph of at most DIRECT poses.
 
 Defined results: poses that no residual mentions, and the first pose of every
 graph, stay as they are; residual rows with an unknown pose are left out; null
@@ -35,6 +36,8 @@ from .solve import _reduced
 POSE = ("x", "y", "th")
 BLOCK = [f"a{k}" for k in range(9)]
 SLOPE = ["g0", "g1", "g2"]
+#: Poses of a graph whose system is solved in one piece: 768 unknowns, some five megabytes.
+DIRECT = 256
 
 
 def three(name: str) -> list[str]:
@@ -125,6 +128,34 @@ def _preconditioned(state: DataFrame) -> DataFrame:
     return state.groupBy("graph_id", "stretch").applyInPandas(run, state.schema)
 
 
+def direct_steps(system: DataFrame) -> DataFrame:
+    """What ``conjugate_gradients`` gives, from each graph's whole system: for graphs of bounded size."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        ids = np.unique(frame["i"].to_numpy())
+        i, j = (np.searchsorted(ids, frame[k].to_numpy()) for k in ("i", "j"))
+        whole = np.zeros((len(ids), 3, len(ids), 3))
+        whole[i, :, j, :] = frame[BLOCK].to_numpy(float).reshape(-1, 3, 3)
+        own = i == j
+        right = np.zeros((len(ids), 3))
+        right[i[own]] = -frame.loc[own, SLOPE].to_numpy(float)
+        step = np.linalg.solve(whole.reshape(right.size, right.size), right.ravel()).reshape(-1, 3)
+        return pd.DataFrame({"graph_id": frame["graph_id"].iloc[0], "pose_id": ids, "s0": step[:, 0], "s1": step[:, 1], "s2": step[:, 2]})
+
+    return system.groupBy("graph_id").applyInPandas(run, "graph_id long, pose_id long, s0 double, s1 double, s2 double")
+
+
+def steps(system: DataFrame, stretch: int, tolerance: float, direct: int) -> tuple[DataFrame, list[DataFrame]]:
+    """The step of every graph, small ones directly and the others by gradients, and the cuts it reads."""
+    sizes = cut(system.where("i = j").groupBy("graph_id").agg((F.count("*") <= direct).alias("small")), "sizes")
+    held = [sizes]
+    out = direct_steps(system.join(sizes.where("small"), "graph_id", "left_semi"))
+    if sizes.where("not small").limit(1).count():
+        held.append(conjugate_gradients(system.join(sizes.where("not small"), "graph_id", "left_semi"), stretch, tolerance))
+        out = out.union(held[-1])
+    return out, held
+
+
 def conjugate_gradients(system: DataFrame, stretch: int = 128, tolerance: float = 1e-10, most: int = 200) -> DataFrame:
     """(graph_id, pose_id, s0, s1, s2) with blocks * s = -gradient, to a relative residual of ``tolerance`` in every graph; a cut.
 
@@ -162,7 +193,7 @@ def conjugate_gradients(system: DataFrame, stretch: int = 128, tolerance: float
     return out
 
 
-def refine(poses: DataFrame, terms: Mapping[str, DataFrame], rounds: int = 8, settled: float = 1e-8, stretch: int = 128, tolerance: float = 1e-3, registry: Mapping[str, Residual] = REGISTRY) -> DataFrame:
+def refine(poses: DataFrame, terms: Mapping[str, DataFrame], rounds: int = 8, settled: float = 1e-5, stretch: int = 128, tolerance: float = 1e-3, direct: int = DIRECT, registry: Mapping[str, Residual] = REGISTRY) -> DataFrame:
     """(graph_id, pose_id, x, y, th, cost_before, cost_after): Levenberg-Marquardt over every graph at once, at most ``rounds`` steps.
 
     ``terms`` has a table for each residual of the registry that takes part: graph_id, i, j (where it is about two
@@ -180,7 +211,7 @@ def refine(poses: DataFrame, terms: Mapping[str, DataFrame], rounds: int = 8, se
         share = {"a0": (F.col("a0") + F.col("a4")) / 2, "a4": (F.col("a0") + F.col("a4")) / 2, "a8": F.col("a8")}
         damped = {a: F.when(F.col("i") == F.col("j"), F.col(a) + F.col("damp") * share[a] + 1e-9).otherwise(F.col(a)) for a in share}
         system = cut(free.withColumns(damped).select("graph_id", "i", "j", *BLOCK, *SLOPE), "system")
-        step = conjugate_gradients(system, stretch, tolerance)
+        step, held = steps(system, stretch, tolerance, direct)
         moved = now.join(step.withColumnRenamed("pose_id", "_p"), (now["graph_id"] == step["graph_id"]) & (now["pose_id"] == F.col("_p")), "left").drop(step["graph_id"], "_p").fillna(0.0, three("s"))
         tried = cut(moved.select("graph_id", "pose_id", *POSE, *[(F.col(k) + F.col(s)).alias(f"new_{k}") for k, s in zip(POSE, three("s"), strict=True)]), "tried")
         trial = tried.select("graph_id", "pose_id", "new_x", "new_y", "new_th").toDF("graph_id", "pose_id", *POSE)
@@ -188,7 +219,7 @@ def refine(poses: DataFrame, terms: Mapping[str, DataFrame], rounds: int = 8, se
         after = cut(seen.select("graph_id", "before", F.when(F.col("better"), F.col("new")).otherwise(F.col("cost")).alias("cost"), F.when(F.col("better"), F.greatest(F.col("damp") / 5, F.lit(1e-12))).otherwise(F.col("damp") * 10).alias("damp"), F.when(F.col("better"), (F.col("cost") - F.col("new")) / F.col("cost")).when(F.col("new").isNull(), 0.0).otherwise(1.0).alias("gain"), "better"), "status")
         taken = tried.join(after.select("graph_id", "better"), "graph_id")
         then = cut(taken.select("graph_id", "pose_id", *[F.when(F.col("better"), F.col(f"new_{k}")).otherwise(F.col(k)).alias(k) for k in POSE]), "poses")
-        remove(system, step, tried, now, status)
+        remove(system, *held, tried, now, status)
         now, status = then, after.drop("better")
         status.folder = after.folder
         fixed = now.groupBy("graph_id").agg(F.min("pose_id").cast("long").alias("fixed"))

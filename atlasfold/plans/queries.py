@@ -645,12 +645,24 @@ def match_terms(points: DataFrame, matches: DataFrame, sd: float, factor: float
     return both.select("graph_id", F.col("pose_id").alias("i"), F.col("to_pose").alias("j"), "px", "py", "nx", "ny", "qx", "qy", "mx", "my", F.lit(sd).alias("sd"), F.lit(factor).alias("factor"), (1 / F.col("n_matches")).alias("weight"))
 
 
-def loop_refine(spark, sf):
-    """Trajectories with scans, refined under their odometry and the matches between all their scans: loops included."""
+def _loops(spark, sf):
+    """Trajectories with scans, and what holds them: their odometry, and the matches between all their scans."""
     points = snapshot(world_normals(spark, sf))
     matches = match.all_pairs(points, 0.4, window=60, angle_deg=60.0, cap=5, more_than=2)
-    p = fx.poses(spark, sf).join(points.select("graph_id").distinct(), "graph_id", "left_semi")
-    found = refine.refine(p, {"pose_edge": odometry_terms(p), "point_to_point": snapshot(match_terms(points, matches, 0.5))})
+    p = snapshot(fx.poses(spark, sf).join(points.select("graph_id").distinct(), "graph_id", "left_semi"))
+    return p, {"pose_edge": snapshot(odometry_terms(p)), "point_to_point": snapshot(match_terms(points, matches, 0.5))}
+
+
+def loop_step(spark, sf):
+    """The first step of their refinement, by conjugate gradients over stretches of 32 poses."""
+    p, terms = _loops(spark, sf)
+    system = cut(refine.normal_equations(p, terms).where("i > 0 and j > 0"), "system")
+    return out(refine.conjugate_gradients(system, 32, 1e-9), ["graph_id", "pose_id"], ["s0", "s1", "s2"], 5)
+
+
+def loop_refine(spark, sf):
+    """They are refined, loops included."""
+    found = refine.refine(*_loops(spark, sf))
     return found.select("graph_id", F.col("pose_id").cast("long").alias("pose_id"), *[rnd(k, 5).alias(k) for k in ("x", "y", "th", "cost_before", "cost_after")])
 
 
@@ -769,7 +781,7 @@ latest_per_publisher display_lines adjacency raster modifier_decode argb_unpack
 scalar_more pose_differences scan_bounds sdf_normalised message_window keyframe_poses drags residual_cumulative motion_scan loop_constraints
 crowd_select closest_observations closest_pair_motion residual_relative relative_gradients residual_object message_log
 match_lines merge_lines self_merge_round screen_points drawn_rectangles display_compiled display_throttled
-segment_fit joint_solve loop_refine ransac scan_normals gate_keyframes bootstrap_cov replay stream_corrections batch_localize curate"""
+segment_fit joint_solve loop_step loop_refine ransac scan_normals gate_keyframes bootstrap_cov replay stream_corrections batch_localize curate"""
 
 
 def queries() -> dict[str, Query]:

@@ -119,10 +119,11 @@ def test_conjugate_gradients_equal_a_dense_solve(spark):
             assert np.allclose([found[graph, k] for k in range(1, 16)], want, rtol=1e-7, atol=1e-9)
 
 
-def test_refined_loops_equal_a_dense_solve(spark):
+@pytest.mark.parametrize("direct", [256, 0])
+def test_refined_loops_equal_a_dense_solve(spark, direct):
     poses, edges = world(3)
     p, terms = frames(spark, poses, edges)
-    found = rows(refine.refine(p, terms, rounds=8, stretch=6))
+    found = rows(refine.refine(p, terms, rounds=8 if direct else 6, settled=1e-9, stretch=6, direct=direct))
     assert {(r["graph_id"], r["pose_id"]) for r in found} == {x[:2] for x in poses}
     targets = [tuple(r) for r in terms["colocation"].collect()]
     for graph in range(2):
