@@ -13,6 +13,7 @@ headers of unwanted ones are touched.
 Rows are (topic, type, conn, time_ns, data, file, chunk); ``time_ns`` counts
 from the epoch. Messages come ordered by time within a chunk; ``in_order`` is
 the merge over chunks and files, a sort by range that no single task does.
+``subscribe`` reads bags as they come into a folder, as a stream with offsets.
 ``decoded`` turns data into columns by the definition the bag carries.
 
 Defined results: a bag without messages gives no rows; empty data stays empty;
@@ -32,7 +33,8 @@ from dataclasses import dataclass
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
+from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
 from ..snapshot import cut, shared_dir
 
@@ -213,6 +215,9 @@ class BagSource(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return BagReader(self.options)
 
+    def streamReader(self, schema) -> DataSourceStreamReader:
+        return BagSubscription(self.options)
+
 
 def read_log(spark: SparkSession, *paths: str) -> DataFrame:
     """The messages of bags or folders of bags; filters on topic and time_ns reach their indexes."""
@@ -419,3 +424,56 @@ def connections(*paths: str) -> list[Connection]:
     """What the bags record, each topic once."""
     found = {c.topic: c for path in paths for file in bag_files(path) for c in read_index(file)[0].values()}
     return [found[k] for k in sorted(found)]
+
+
+# subscriptions
+
+
+class BagSubscription(DataSourceStreamReader):
+    """Bags that come into a folder, in order of their names; an offset is the name of the last one read.
+
+    Between two offsets the same chunks are planned and read whenever they are asked for, so a restart from a
+    checkpoint loses and repeats nothing. With ``newest`` a chunk gives of each topic only its newest message.
+    """
+
+    def __init__(self, options):
+        self.path, self.newest = options["path"], str(options.get("newest", "false")).lower() == "true"
+        self.topics = {x for x in options.get("topics", "").split(",") if x}
+
+    def initialOffset(self) -> dict:
+        return {"after": ""}
+
+    def latestOffset(self) -> dict:
+        files = bag_files(self.path)
+        return {"after": files[-1].rpartition("/")[2] if files else ""}
+
+    def partitions(self, start: dict, end: dict):
+        out = []
+        for file in bag_files(self.path):
+            if start["after"] < file.rpartition("/")[2] <= end["after"]:
+                known, chunks = read_index(file)
+                wanted = {c.conn: (c.topic, c.type) for c in known.values() if not self.topics or c.topic in self.topics}
+                out += [ChunkPartition(file, c.at, wanted, 0, (1 << 63) - 1) for c in chunks if any(c.counts.get(k) for k in wanted)]
+        return out
+
+    def read(self, part: ChunkPartition) -> Iterator[pa.RecordBatch]:
+        last: dict[str, pa.RecordBatch] = {}
+        for batch in chunk_rows(part):
+            if not self.newest:
+                yield batch
+                continue
+            for i, topic in enumerate(batch.column("topic").to_pylist()):
+                last[topic] = batch.slice(i, 1)
+        yield from last.values()
+
+
+def subscribe(spark: SparkSession, folder: str, topics: list[str] | None = None, newest: bool = False) -> DataFrame:
+    """A stream of the messages of bags that come into a folder. Later ones must have greater names, and come whole."""
+    spark.dataSource.register(BagSource)
+    return spark.readStream.format("bag").option("path", folder).option("topics", ",".join(topics or ())).option("newest", newest).load()
+
+
+def conflated(messages: DataFrame) -> DataFrame:
+    """Of each topic the newest message: what a queue of depth one holds. For a batch, or each batch of a stream."""
+    row = F.struct("time_ns", "file", "chunk", "conn", "type", "data")
+    return messages.groupBy("topic").agg(F.max_by(row, F.struct("time_ns", "file", "chunk")).alias("m")).select("topic", "m.*")

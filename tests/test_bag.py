@@ -84,3 +84,32 @@ def test_what_is_no_closed_bag_raises(tmp_path):
         bag.read_index(str(tmp_path / "b.bag"))
     with pytest.raises(ValueError, match="definition"):
         bag.spark_type(bag.parse_definition("Unknown x"), "Unknown")
+
+
+def put(folder, name, messages):
+    pieces = list(bag.bag_bytes(iter(messages), {}, "none", 300))
+    (folder / f".{name}").write_bytes(pieces[-1] + b"".join(pieces[1:-1]))
+    (folder / f".{name}").rename(folder / name)
+
+
+def test_a_subscription_goes_on_where_it_was(spark, tmp_path):
+    came, seen = tmp_path / "in", {"all": [], "newest": []}
+    came.mkdir()
+    sent = [(("a", "b", "c")[i % 3], "t", 10**9 * i + 3, str(i).encode()) for i in range(120)]
+
+    def run(kind):
+        stream = bag.subscribe(spark, str(came), ["a", "b"], kind == "newest")
+        keep = lambda df, _: seen[kind].append(rows((bag.conflated(df) if kind == "newest" else df).select("topic", "time_ns", "data")))
+        q = stream.writeStream.foreachBatch(keep).option("checkpointLocation", str(tmp_path / kind)).trigger(availableNow=True).start()
+        assert q.awaitTermination(120)
+
+    for k in range(3):
+        put(came, f"{k}0.bag", sent[40 * k : 40 * k + 30])
+        put(came, f"{k}1.bag", sent[40 * k + 30 : 40 * k + 40])
+        for kind in seen:
+            run(kind)
+        run("all")  # nothing new: nothing comes again
+    got = sorted((r["topic"], r["time_ns"], bytes(r["data"])) for batch in seen["all"] for r in batch)
+    assert got == sorted((t, w, d) for t, _, w, d in sent if t != "c")
+    newest = [sorted((r["topic"], r["time_ns"]) for r in batch) for batch in seen["newest"] if batch]
+    assert newest == [sorted((t, max(w for u, _, w, _ in sent[40 * k : 40 * k + 40] if u == t)) for t in "ab") for k in range(3)]
