@@ -2,8 +2,8 @@
 
 A motion is (x, y, th) in the frame of the pose before, with the covariance of
 the three. Composing two is associative, errors included (to first order), so
-a trajectory is scanned block by block: each block of BLOCK poses in a task of
-its own, then the blocks' totals in the same way, then totals back onto the
+a trajectory is scanned block by block: each block of BLOCK poses where the
+shuffle has put it, then the blocks' totals in the same way, then totals back onto the
 blocks. No trajectory is one group or one window.
 
 Defined results: pose ids need not follow each other, but must be distinct in a
@@ -14,6 +14,8 @@ are dropped.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -45,12 +47,15 @@ def compose(a: dict, b: dict, sin=np.sin, cos=np.cos) -> dict:
     return out
 
 
-def _scanned(own: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-    """Inclusive prefixes, by doubling: each step composes what lies 1, 2, 4, ... places before."""
-    n, step = len(own["x"]), 1
-    while step < n:
-        joined = compose({k: v[:-step] for k, v in own.items()}, {k: v[step:] for k, v in own.items()})
-        own = {k: np.concatenate([v[:step], joined[k]]) for k, v in own.items()}
+def _scanned(own: dict[str, np.ndarray], place: np.ndarray) -> dict[str, np.ndarray]:
+    """Inclusive prefixes of runs of rows, ``place`` counting from 0 in each, by doubling: a step composes what lies 1, 2, 4, ... places before."""
+    step = 1
+    while step <= place.max(initial=0):
+        at = np.flatnonzero(place >= step)
+        joined = compose({k: v[at - step] for k, v in own.items()}, {k: v[at] for k, v in own.items()})
+        own = {k: v.copy() for k, v in own.items()}
+        for k, v in joined.items():
+            own[k][at] = v
         step *= 2
     return own
 
@@ -63,18 +68,29 @@ def composed(motions: DataFrame, block: int = BLOCK) -> DataFrame:
     before = [f"_{k}" for k in MOTION]
     schema = f"graph_id long, block long, pose_id long, {', '.join(f'{k} double' for k in (*MOTION, *before))}"
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("pose_id").reset_index(drop=True)
-        found = _scanned({k: frame[k].to_numpy(float) for k in MOTION})
-        for k in MOTION:
-            frame[k] = found[k]
-            frame[f"_{k}"] = np.concatenate([[0.0], found[k][:-1]])
-        return frame
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, held = None, None  # the block that the last rows were of, and its prefix
+        for frame in frames:
+            if not len(frame):
+                continue
+            ids = frame[["graph_id", "block"]].to_numpy()
+            fresh = np.concatenate([[tuple(ids[0]) != key], (ids[1:] != ids[:-1]).any(1)])
+            start = np.maximum.accumulate(np.where(fresh, np.arange(len(ids)), 0))
+            found = _scanned({k: frame[k].to_numpy(float) for k in MOTION}, np.arange(len(ids)) - start)
+            before = {k: np.where(fresh, 0.0, np.concatenate([[0.0], v[:-1]])) for k, v in found.items()}
+            if not fresh[0]:
+                going = slice(0, int(fresh.argmax()) or len(ids))
+                carried = {k: np.full(going.stop, v) for k, v in held.items()}
+                for own in (found, before):
+                    for k, v in compose(carried, {k: v[going] for k, v in own.items()}).items():
+                        own[k][going] = v
+            key, held = tuple(ids[-1]), {k: v[-1] for k, v in found.items()}
+            yield frame[["graph_id", "block", "pose_id"]].assign(**found, **{f"_{k}": v for k, v in before.items()})
 
     def level(own: DataFrame) -> DataFrame:
         """Prefixes including a row and without it."""
         keyed = own.withColumn("block", F.floor(F.col("pose_id") / block))
-        inner = cut(keyed.groupBy("graph_id", "block").applyInPandas(run, schema), "motion")
+        inner = cut(keyed.select("graph_id", "block", "pose_id", *MOTION).repartition("graph_id", "block").sortWithinPartitions("graph_id", "block", "pose_id").mapInPandas(run, schema), "motion")
         if not inner.where("block > 0").limit(1).count():
             return inner
         last = F.max_by(F.struct(*MOTION), "pose_id")

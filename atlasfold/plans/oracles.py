@@ -273,12 +273,12 @@ select l_orderkey, l_linenumber, (case when abs(s) > abs(r) then s else r end)::
     "sdf_normalised": f"with {SDF}, t as (select *, max(value) over (partition by graph_id) mv, max(weight) over (partition by graph_id) mw from g) select graph_id, ix::bigint ix, iy::bigint iy, {cols('value=case when mv > 0 then value * 255 / mv else value end; weight=case when mw > 0 then weight * 255 / mw else weight end', 4)} from t",
     "message_window": "with l as (select * from (select *, min(ts) over (partition by user_id) t0 from events) where ts >= t0 + interval 3600 second) select user_id::bigint user_id, event_id::bigint event_id from l qualify row_number() over (partition by user_id order by ts, event_id) <= 40",
     "keyframe_poses": f"with {O} select {IDS} from o where (graph_id, ts) in (select (graph_id, ts) from o where dx > 1)",
-    "motion_scan": f"with {P}, {NOISE}, q as (select a.graph_id, a.pose_id, a.x, a.y, a.th, {GATHERED.format(dx='(a.x - k.x)', dy='(a.y - k.y)')} from p a join n k on k.graph_id = a.graph_id and k.pose_id <= a.pose_id group by all) select {IDS}, {cols('x=x; y=y; th=th; ' + '; '.join(f'{c}={c}' for c in COVS), 5)} from q",
+    "motion_scan": f"with {P}, {NOISE}, q as (select a.graph_id, a.pose_id, a.x, a.y, a.th, {GATHERED.format(dx='(a.x - k.x)', dy='(a.y - k.y)')} from p a join n k on k.graph_id = a.graph_id and k.pose_id <= a.pose_id group by all) select {IDS}, {cols('x=x; y=y; th=th; ' + '; '.join(f'{c}={c}' for c in COVS[:-1]), 5)}, {rnd('c22', 9)} c22 from q",
     "loop_constraints": f"""with {P}, {NOISE}, q as (select a.graph_id, a.pose_id i, b.pose_id j, a.th ta, b.th - a.th turn, b.x - a.x wx, b.y - a.y wy, {GATHERED.format(dx='(b.x - k.x)', dy='(b.y - k.y)')}
  from p a join p b on b.graph_id = a.graph_id and b.pose_id = a.pose_id + 20 join n k on k.graph_id = a.graph_id and k.pose_id > a.pose_id and k.pose_id <= b.pose_id group by all),
 t as (select graph_id, i, j, turn, cos(ta) c, sin(ta) s, sqrt(wx * wx + wy * wy) radial, cos(ta) * wx + sin(ta) * wy lx, cos(ta) * wy - sin(ta) * wx ly, {', '.join(COVS)} from q),
 v as (select *, lx / radial ux, ly / radial uy, c * c * c00 + 2 * c * s * c01 + s * s * c11 m00, c * s * (c11 - c00) + (c * c - s * s) * c01 m01, s * s * c00 - 2 * c * s * c01 + c * c * c11 m11, c * c02 + s * c12 m02, c * c12 - s * c02 m12 from t)
-select graph_id::bigint graph_id, i::bigint i, j::bigint j, {cols('radial=radial; sd_radial=least(greatest(sqrt(5.991 * (ux * ux * m00 + 2 * ux * uy * m01 + uy * uy * m11)), 0.05), 2.0); sd_tangential=least(greatest(sqrt(5.991 * (uy * uy * m00 - 2 * ux * uy * m01 + ux * ux * m11)), 0.05), 2.0); sd_angular=least(greatest(sqrt(c22), 0.01), 0.5); c00=m00; c01=m01; c02=m02; c11=m11; c12=m12; c22=c22', 5)} from v""",
+select graph_id::bigint graph_id, i::bigint i, j::bigint j, {cols('radial=radial; sd_radial=least(greatest(sqrt(5.991 * (ux * ux * m00 + 2 * ux * uy * m01 + uy * uy * m11)), 0.05), 2.0); sd_tangential=least(greatest(sqrt(5.991 * (uy * uy * m00 - 2 * ux * uy * m01 + ux * ux * m11)), 0.05), 2.0); sd_angular=least(greatest(sqrt(c22), 0.01), 0.5); c00=m00; c01=m01; c02=m02; c11=m11; c12=m12', 5)}, {rnd('c22', 9)} c22 from v""",
     "crowd_select": f"""with {W}, g as (select graph_id * 100000 + pose_id sel_id, lag(x) over q x0, lag(y) over q y0, x x1, y y1 from p window q as (partition by graph_id order by pose_id)),
 d as (select w.graph_id, w.pose_id, sel_id, ((wx - x0) * (x1 - x0) + (wy - y0) * (y1 - y0)) / nullif(power(x1 - x0, 2) + power(y1 - y0, 2), 0) t, wx, wy, x0, y0, x1, y1 from w join g on wx between least(x0, x1) - 0.02 and greatest(x0, x1) + 0.02 and wy between least(y0, y1) - 0.02 and greatest(y0, y1) + 0.02),
 h as (select *, least(greatest(coalesce(t, 0), 0), 1) u from d)

@@ -592,7 +592,9 @@ def step_motions(spark, sf) -> DataFrame:
 
 def motion_scan(spark, sf):
     """Every pose with the covariance that its odometry has gathered."""
-    return out(motion.composed(step_motions(spark, sf), block=16), ["graph_id", "pose_id"], list(motion.MOTION), 5)
+    found = motion.composed(step_motions(spark, sf), block=16)
+    # c22 is a sum of multiples of 2e-9
+    return found.select("graph_id", "pose_id", *[rnd(k, 9 if k == "c22" else 5).alias(k) for k in motion.MOTION])
 
 
 def loop_constraints(spark, sf):
@@ -600,7 +602,7 @@ def loop_constraints(spark, sf):
     p = cut(motion.composed(step_motions(spark, sf), block=16), "prefixes")
     pairs = p.select("graph_id", F.col("pose_id").alias("i"), (F.col("pose_id") + 20).alias("j"))
     found = motion.loop_constraints(p, pairs, trans=(0.05, 2.0), ang=(0.01, 0.5))
-    return out(found, ["graph_id", "i", "j"], ["radial", "sd_radial", "sd_tangential", "sd_angular", *motion.COVARIANCE], 5)
+    return found.select("graph_id", "i", "j", *[rnd(k, 9 if k == "c22" else 5).alias(k) for k in ("radial", "sd_radial", "sd_tangential", "sd_angular", *motion.COVARIANCE)])
 
 
 # without SQL: kernels and sequential operators
