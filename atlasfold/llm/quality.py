@@ -20,7 +20,7 @@ if they are few (``MAX_GROUPS``), else by a shuffled join that Spark can split.
 
 Defined results: null text has no words and fails the base rules; null lang
 and null source are groups like any other; a group of any size has an estimate
-of its own, in which each variance is ``FLOOR`` at least, so a group of one row, or of
+of its own, in which ``FLOOR`` is added to each variance, so a group of one row, or of
 equal rows, keeps them; repeated rows and ids keep their rows; empty tables give
 none; other columns are ignored.
 """
