@@ -36,6 +36,19 @@ def motion(kind: int, points: Points) -> tuple[float, tuple[float, float], tuple
     raise ValueError(f"no motion for kind {kind}")
 
 
+def motions(kind, a: tuple, b: tuple) -> tuple:
+    """``motion`` as columns, for corrections of many graphs at once: the kind, and the segments' ends (x0, y0, x1, y1) as columns."""
+    (ax, ay, bx, by), (cx, cy, dx, dy) = a, b
+    ux, uy, vx, vy = bx - ax, by - ay, dx - cx, dy - cy
+    theta = F.atan2(ux * vy - uy * vx, ux * vx + uy * vy)
+    mid_a, mid_b = ((ax + bx) / 2, (ay + by) / 2), ((cx + dx) / 2, (cy + dy) / 2)
+    t = ((mid_a[0] - mid_b[0]) * vx + (mid_a[1] - mid_b[1]) * vy) / (vx * vx + vy * vy)
+    turn = F.when(F.abs(theta) == math.pi / 2, 0.0).when(theta > 0, theta - math.pi / 2).otherwise(theta + math.pi / 2)
+    is_ = lambda k: kind == int(k)
+    to = [F.when(is_(Correction.SEGMENT), m).when(is_(Correction.COLLINEAR), m + t * v).otherwise(own) for m, v, own in zip(mid_b, (vx, vy), mid_a, strict=True)]
+    return F.when(is_(Correction.PERPENDICULAR), turn).otherwise(theta), mid_a, tuple(to)
+
+
 def point_motion(source: tuple[float, float], target: tuple[float, float]) -> tuple[float, tuple[float, float], tuple[float, float]]:
     return 0.0, source, target
 
@@ -71,13 +84,18 @@ def deltas(poses: DataFrame, kind: int, points: Points) -> DataFrame:
 
 def apply(poses: DataFrame, kind: int, points: Points, first: int, last: int) -> DataFrame:
     """Poses first to last move; all later ones turn about the moved last one and shift by its delta again."""
-    theta, (px, py), (qx, qy) = motion(kind, points)
+    return carry(poses, motion(kind, points), first, last)
+
+
+def carry(poses: DataFrame, by: tuple, first, last) -> DataFrame:
+    """``apply`` for any motion (angle, pivot, where the pivot goes); numbers, or columns of the poses that are the same over a graph."""
+    theta, (px, py), (qx, qy) = by
 
     def moved(x, y):
         rx, ry = rotate(x - px, y - py, F.lit(theta))
         return F.lit(qx) + rx, F.lit(qy) + ry
 
-    pivot = poses.where(F.col("pose_id") == last).select("graph_id", F.col("x").alias("lx"), F.col("y").alias("ly"))
+    pivot = poses.where(F.col("pose_id") == F.lit(last)).select("graph_id", F.col("x").alias("lx"), F.col("y").alias("ly"))
     with_pivot = poses.join(pivot, "graph_id", "left")
     nx, ny = moved(F.col("x"), F.col("y"))
     mx, my = moved(F.col("lx"), F.col("ly"))
@@ -96,19 +114,24 @@ def targets(poses: DataFrame, anchors: tuple[int, int], corrected: tuple[int, in
     """Every anchor with every corrected pose of its graph: the corrected pose in the anchor's frame, and the penalty direction."""
     a = poses.where(F.col("pose_id").between(*anchors)).select("graph_id", F.col("pose_id").alias("anchor_id"), F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("th").alias("ath"))
     b = poses.where(F.col("pose_id").between(*corrected)).select("graph_id", F.col("pose_id").alias("constrained_id"), "x", "y", "th")
+    return framed(a.join(b, "graph_id"), direction)
+
+
+def framed(pairs: DataFrame, direction) -> DataFrame:
+    """``targets`` of given pairs: anchors (anchor_id, ax, ay, ath) beside corrected poses (constrained_id, x, y, th)."""
     rx, ry = rotate(F.col("x") - F.col("ax"), F.col("y") - F.col("ay"), -F.col("ath"))
-    return a.join(b, "graph_id").select(
+    return pairs.select(
         "graph_id", "anchor_id", "constrained_id", rx.alias("delta_parallel"), ry.alias("delta_perpendicular"),
         wrap(F.col("th") - F.col("ath")).alias("delta_angle"), (wrap(F.lit(direction) - F.col("ath")) + math.pi / 2).alias("penalty_dir"),
     )
 
 
-def backpropagate(poses: DataFrame, lo: int, hi: int, correction: tuple[float, float, float], rot_prior: float = 1e-4, trans_prior: float = 1e-3) -> DataFrame:
+def backpropagate(poses: DataFrame, lo, hi, correction: tuple, rot_prior: float = 1e-4, trans_prior: float = 1e-3) -> DataFrame:
     """Poses lo to hi take up the correction by the share of their variance; in two prefix sums, not a pass per pose.
 
-    (graph_id, pose_id, x, y, th) of that range; columns var_t and var_r are the variances.
+    (graph_id, pose_id, x, y, th) of that range; columns var_t and var_r are the variances. The range and the correction are
+    numbers, or columns of the poses that are the same over a graph.
     """
-    cx, cy, theta = correction
     w = Window.partitionBy("graph_id").orderBy("pose_id")
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     every = Window.partitionBy("graph_id")
@@ -117,8 +140,9 @@ def backpropagate(poses: DataFrame, lo: int, hi: int, correction: tuple[float, f
         (F.col("var_r") / (F.sum("var_r").over(every) + rot_prior)).alias("wr"),
         (F.col("var_t") / (F.sum("var_t").over(every) + trans_prior)).alias("wt"),
         (F.lead("x").over(w) - F.col("x")).alias("ex"), (F.lead("y").over(w) - F.col("y")).alias("ey"),
+        *[F.lit(v).alias(k) for k, v in zip(("_cx", "_cy", "_ct", "_hi"), (*correction, hi), strict=True)],
     )
-    d = r.withColumn("dk", theta * F.sum("wr").over(w))
+    d = r.withColumn("dk", F.col("_ct") * F.sum("wr").over(w))
     rx, ry = rotate("ex", "ey", "dk")
     e = d.withColumns({"rx": rx, "ry": ry})
     none = F.lit(0.0)
@@ -126,12 +150,12 @@ def backpropagate(poses: DataFrame, lo: int, hi: int, correction: tuple[float, f
         "graph_id", "pose_id",
         (F.first("x").over(w) + F.coalesce(F.sum("rx").over(before), none)).alias("x1"),
         (F.first("y").over(w) + F.coalesce(F.sum("ry").over(before), none)).alias("y1"),
-        (F.col("th") + F.when(F.col("pose_id") < hi, F.col("dk")).otherwise(F.coalesce(F.lag("dk").over(w), none))).alias("th"),
-        F.coalesce(F.sum("wt").over(before), none).alias("cw"), "x", "y",
+        (F.col("th") + F.when(F.col("pose_id") < F.col("_hi"), F.col("dk")).otherwise(F.coalesce(F.lag("dk").over(w), none))).alias("th"),
+        F.coalesce(F.sum("wt").over(before), none).alias("cw"), "x", "y", "_cx", "_cy", "_hi",
     )
-    end = F.col("pose_id") == hi
-    tx = F.max(F.when(end, F.col("x") + cx - F.col("x1"))).over(every)
-    ty = F.max(F.when(end, F.col("y") + cy - F.col("y1"))).over(every)
+    end = F.col("pose_id") == F.col("_hi")
+    tx = F.max(F.when(end, F.col("x") + F.col("_cx") - F.col("x1"))).over(every)
+    ty = F.max(F.when(end, F.col("y") + F.col("_cy") - F.col("y1"))).over(every)
     return f.select("graph_id", "pose_id", (F.col("x1") + F.col("cw") * F.coalesce(tx, none)).alias("x"), (F.col("y1") + F.col("cw") * F.coalesce(ty, none)).alias("y"), "th")
 
 

@@ -86,17 +86,19 @@ def occupied(points: DataFrame, res: float) -> DataFrame:
 def inconsistency(points: DataFrame, poses: DataFrame, res: float = 0.05, reach: float = 10.0) -> DataFrame:
     """(graph_id, pose_a, pose_b, n) of pairs of scans taken within ``reach``: cells that one has and the other lacks.
 
-    |A| + |B| - 2 |A and B|; pairs of poses are found by cells of ``reach``, and each pair intersects the scans' sets of
-    cells, so a wall that many scans see makes no rows of its own.
+    |A| + |B| - 2 |A and B|; pairs of poses are found by cells of ``reach``, where ids and places alone meet, and each pair
+    intersects the scans' sets of cells, which join it once for each side. A wall that many scans see makes no rows of its own.
     """
     cell = F.struct(F.floor(F.col("wx") / res).cast("int").alias("ix"), F.floor(F.col("wy") / res).cast("int").alias("iy"))
     sizes = points.groupBy("graph_id", "pose_id").agg(F.collect_set(cell).alias("n"))
     around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    at = poses.select("graph_id", "pose_id", "x", "y", F.floor(F.col("x") / reach).alias("_cx"), F.floor(F.col("y") / reach).alias("_cy")).join(sizes, ["graph_id", "pose_id"])
-    a = at.select("graph_id", F.col("pose_id").alias("pose_a"), F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("n").alias("na"), "_cx", "_cy").withColumn("_o", F.explode(around))
+    at = poses.join(points.select("graph_id", "pose_id").distinct(), ["graph_id", "pose_id"], "left_semi").select("graph_id", "pose_id", "x", "y", F.floor(F.col("x") / reach).alias("_cx"), F.floor(F.col("y") / reach).alias("_cy"))
+    a = at.select("graph_id", F.col("pose_id").alias("pose_a"), F.col("x").alias("ax"), F.col("y").alias("ay"), "_cx", "_cy").withColumn("_o", F.explode(around))
     a = a.withColumns({"_cx": F.col("_cx") + F.col("_o.i"), "_cy": F.col("_cy") + F.col("_o.j")}).drop("_o")
-    b = at.select("graph_id", F.col("pose_id").alias("pose_b"), F.col("x").alias("bx"), F.col("y").alias("by"), F.col("n").alias("nb"), "_cx", "_cy")
-    close = a.join(b, ["graph_id", "_cx", "_cy"]).where((F.col("pose_a") < F.col("pose_b")) & (length(F.col("ax") - F.col("bx"), F.col("ay") - F.col("by")) < reach))
+    b = at.select("graph_id", F.col("pose_id").alias("pose_b"), F.col("x").alias("bx"), F.col("y").alias("by"), "_cx", "_cy")
+    close = a.join(b, ["graph_id", "_cx", "_cy"]).where((F.col("pose_a") < F.col("pose_b")) & (length(F.col("ax") - F.col("bx"), F.col("ay") - F.col("by")) < reach)).select("graph_id", "pose_a", "pose_b")
+    for k in ("a", "b"):
+        close = close.join(sizes.select("graph_id", F.col("pose_id").alias(f"pose_{k}"), F.col("n").alias(f"n{k}")), ["graph_id", f"pose_{k}"])
     return close.select("graph_id", "pose_a", "pose_b", (F.size("na") + F.size("nb") - 2 * F.size(F.array_intersect("na", "nb"))).alias("n"))
 
 

@@ -43,8 +43,23 @@ def seg(px: str, py: str, x0: str, y0: str, x1: str, y1: str) -> str:
     return f"sqrt(power({px} - ({x0} + {t} * ({x1} - {x0})), 2) + power({py} - ({y0} + {t} * ({y1} - {y0})), 2))"
 
 
+def draw(seed: int, part: int, *keys: str) -> str:
+    """One of the three draws of a digest, as functions/draws.py makes it."""
+    return f"(('0x' || substr(md5('{seed},' || {" || ',' || ".join(keys)}), {1 + 10 * part}, 10))::bigint / 1099511627776.0)"
+
+
+def bell(seed: int, *keys: str) -> tuple[str, str]:
+    u, v = draw(seed, 0, *keys), draw(seed, 1, *keys)
+    return tuple(f"(sqrt(-2 * ln(1 - {u})) * {f}(2 * pi() * {v}))" for f in ("cos", "sin"))
+
+
 IDS = "graph_id, pose_id"
 IDO = "graph_id, pose_id, obs_id"
+ITEM = ("l_orderkey", "l_linenumber")
+#: The wall points of the fixtures.
+WALLS = """wi as (select (l_suppkey % 4)::bigint graph_id, (l_linenumber % 7)::bigint seg_id, ((l_orderkey * 7919 + l_partkey * 31) % 9973) / 9973.0 t, ((l_partkey * 17 + l_orderkey) % 61 - 30) / 30.0 * 0.05 far from lineitem),
+wa as (select *, seg_id * 2.3 x0, (graph_id * 2 + seg_id * 3) % 5 * 1.7 y0, seg_id * 0.9 + graph_id a from wi),
+walls as (select graph_id, seg_id, -sin(a) nx, cos(a) ny, x0 + t * 3.0 * cos(a) - far * sin(a) wx, y0 + t * 3.0 * sin(a) + far * cos(a) wy from wa)"""
 L = math.sqrt(4.25)
 EDGES = P + """, e0 as (select graph_id, pose_id, x, y, th, lag(x) over q x0, lag(y) over q y0, lag(th) over q th0 from p window q as (partition by graph_id order by pose_id)),
 e as (select *, (x - x0) * cos(th0) + (y - y0) * sin(th0) lx, (y - y0) * cos(th0) - (x - x0) * sin(th0) ly, th - th0 - 2 * pi() * round_even((th - th0) / (2 * pi()), 0) rotation from e0 where x0 is not null)"""
@@ -279,6 +294,11 @@ select l_orderkey, l_linenumber, (case when abs(s) > abs(r) then s else r end)::
 t as (select graph_id, i, j, turn, cos(ta) c, sin(ta) s, sqrt(wx * wx + wy * wy) radial, cos(ta) * wx + sin(ta) * wy lx, cos(ta) * wy - sin(ta) * wx ly, {', '.join(COVS)} from q),
 v as (select *, lx / radial ux, ly / radial uy, c * c * c00 + 2 * c * s * c01 + s * s * c11 m00, c * s * (c11 - c00) + (c * c - s * s) * c01 m01, s * s * c00 - 2 * c * s * c01 + c * c * c11 m11, c * c02 + s * c12 m02, c * c12 - s * c02 m12 from t)
 select graph_id::bigint graph_id, i::bigint i, j::bigint j, {cols('radial=radial; sd_radial=least(greatest(sqrt(5.991 * (ux * ux * m00 + 2 * ux * uy * m01 + uy * uy * m11)), 0.05), 2.0); sd_tangential=least(greatest(sqrt(5.991 * (uy * uy * m00 - 2 * ux * uy * m01 + ux * ux * m11)), 0.05), 2.0); sd_angular=least(greatest(sqrt(c22), 0.01), 0.5); c00=m00; c01=m01; c02=m02; c11=m11; c12=m12', 5)}, {rnd('c22', 9)} c22 from v""",
+    "seeded_draws": f"""with i as (select l_orderkey::bigint l_orderkey, l_linenumber::bigint l_linenumber, l_quantity::double q from lineitem)
+select l_orderkey, l_linenumber, {cols(f'even={draw(1, 0, *ITEM)}; ranged=-2 + (q + 2) * {draw(2, 0, *ITEM)}; bell=q + 0.5 * {bell(3, *ITEM)[0]}')} from i""",
+    "pose_draws": f"with {P}, d as (select *, {bell(5, 'graph_id', 'pose_id')[0]} a, {bell(5, 'graph_id', 'pose_id')[1]} b, 0.5 * atan2(0.3 * cos(th) * sin(th), 0.15 * (cos(th) * cos(th) - sin(th) * sin(th))) r from p) select {IDS}, {cols('dx=0.4 * a * cos(r) - 0.1 * b * sin(r); dy=0.4 * a * sin(r) + 0.1 * b * cos(r)', 5)} from d",
+    "sensor_noise": f"""with {WALLS}, r as (select graph_id, seg_id, wx - 4 * (wx + nx) rx, wy - 4 * (wy + ny) ry from walls), q as (select *, rx * rx + ry * ry dd from r)
+select graph_id, seg_id, count(*) n, {cols('qxx=1e3 * sum(4e-6 * ry * ry + 9e-4 * rx * rx / dd); qxy=1e3 * sum((9e-4 / dd - 4e-6) * rx * ry); qyy=1e3 * sum(4e-6 * rx * rx + 9e-4 * ry * ry / dd)', 4)} from q group by 1, 2""",
     "crowd_select": f"""with {W}, g as (select graph_id * 100000 + pose_id sel_id, lag(x) over q x0, lag(y) over q y0, x x1, y y1 from p window q as (partition by graph_id order by pose_id)),
 d as (select w.graph_id, w.pose_id, sel_id, ((wx - x0) * (x1 - x0) + (wy - y0) * (y1 - y0)) / nullif(power(x1 - x0, 2) + power(y1 - y0, 2), 0) t, wx, wy, x0, y0, x1, y1 from w join g on wx between least(x0, x1) - 0.02 and greatest(x0, x1) + 0.02 and wy between least(y0, y1) - 0.02 and greatest(y0, y1) + 0.02),
 h as (select *, least(greatest(coalesce(t, 0), 0), 1) u from d)

@@ -8,9 +8,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import draws
 from ..functions import geometry as g
 from ..functions import residuals as r
-from ..operators import correct, display, grid, linemap, lines, match, motion, refine, relative, select, sensors, solve
+from ..operators import correct, display, grid, linemap, lines, match, motion, refine, relative, select, sensors, solve, uncertain
 from ..schema import VALID, Config, Correction
 from ..snapshot import cut, snapshot
 from ..sources import fixtures as fx
@@ -499,6 +500,22 @@ def residual_cumulative(spark, sf):
     return out(fx.poses(spark, sf).withColumns({"r0": a, "r1": b, "r2": d}), ["graph_id", "pose_id"], ["r0", "r1", "r2"], 3)
 
 
+def seeded_draws(spark, sf):
+    """A draw of each kind for every line item, keyed by the item."""
+    i = table(spark, sf, "lineitem").select(F.col("l_orderkey").cast("long").alias("l_orderkey"), F.col("l_linenumber").cast("long").alias("l_linenumber"), F.col("l_quantity").cast("double").alias("q"))
+    key = ("l_orderkey", "l_linenumber")
+    i = i.withColumns({"even": draws.uniform(1, *key), "ranged": draws.between(-2.0, "q", 2, *key), "bell": draws.normal("q", 0.5, 3, *key)})
+    return out(i, [*key], ["even", "ranged", "bell"])
+
+
+def pose_draws(spark, sf):
+    """A place drawn for every pose from a covariance that leans with its heading."""
+    p = fx.poses(spark, sf)
+    xx, xy, yy = g.motion_covariance(F.cos("th"), F.sin("th"), 0.4, 0.1)
+    x, y = draws.multivariate_normal(("x", "y"), (xx, xy, yy), 5, "graph_id", "pose_id")
+    return out(p.withColumns({"dx": x - F.col("x"), "dy": y - F.col("y")}), ["graph_id", "pose_id"], ["dx", "dy"], 5)
+
+
 def crowd_select(spark, sf):
     """Observations at the motions of all trajectories: more segments than are sent to every task."""
     p = fx.poses(spark, sf)
@@ -621,6 +638,45 @@ def batch_localize(spark, sf):
     return localize(seen, s, more_than=2)
 
 
+def _wall_points(spark, sf) -> DataFrame:
+    """Wall points, their walls as segments."""
+    return fx.walls(spark, sf).withColumnsRenamed({"wall": "seg_id"})
+
+
+def _wall_guesses(spark, sf) -> DataFrame:
+    """Each wall with the mass of its points, its ends guessed askew."""
+    w = fx.walls(spark, sf).groupBy("graph_id", F.col("wall").alias("seg_id")).agg(F.count("*").alias("mass"))
+    x, y, a = fx.wall(F.col("graph_id"), F.col("seg_id"))
+    u, v, n = F.cos(a), F.sin(a), fx.WALL_LENGTH
+    return w.select("graph_id", "seg_id", "mass", (x + 0.3 * u - 0.2 * v).alias("x0"), (y + 0.3 * v + 0.2 * u).alias("y0"), (x + 0.8 * n * u + 0.1 * v).alias("x1"), (y + 0.8 * n * v - 0.1 * u).alias("y1"))
+
+
+def segment_ends(spark, sf):
+    """Every wall with both ends fitted to its points."""
+    return out(uncertain.fit_ends(_wall_points(spark, sf), _wall_guesses(spark, sf), ["graph_id", "seg_id"]), ["graph_id", "seg_id", "n"], [*uncertain.ENDS, "cost"], 4)
+
+
+def sensor_noise(spark, sf):
+    """What the sensor makes uncertain of each wall point."""
+    w = uncertain.sensor_covariance(fx.walls(spark, sf).withColumns({k: F.col(k) * 4 for k in ("sx", "sy")}))
+    w = w.groupBy("graph_id", F.col("wall").alias("seg_id")).agg(F.count("*").alias("n"), *[(F.sum(k) * 1e3).alias(k) for k in ("qxx", "qxy", "qyy")])
+    return out(w, ["graph_id", "seg_id", "n"], ["qxx", "qxy", "qyy"], 4)
+
+
+def sensor_ends(spark, sf):
+    """How sure the ends of each wall are under the sensor's noise."""
+    points = _wall_points(spark, sf)
+    fitted = snapshot(uncertain.fit_ends(points, _wall_guesses(spark, sf), ["graph_id", "seg_id"]))
+    found = uncertain.sensor_uncertainty(points, fitted, ["graph_id", "seg_id"], ["wx", "wy"], 20)
+    return out(found, ["graph_id", "seg_id"], ["c0xx", "c0xy", "c0yy", "c1xx", "c1xy", "c1yy"])
+
+
+def resampled_ends(spark, sf):
+    """The same of walls that keep only their ends and mass."""
+    found = uncertain.resampled(_wall_guesses(spark, sf), ["graph_id", "seg_id"], fx.WALL_NOISE, 100)
+    return out(found, ["graph_id", "seg_id"], ["c0xx", "c0xy", "c0yy", "c1xx", "c1xy", "c1yy", "mx", "my"])
+
+
 def segment_fit(spark, sf):
     w = fx.world(spark, sf)
     rows = w.select("graph_id", F.lit(1).alias("sel_id"), *[F.lit(v).alias(n) for n, v in zip(("x0", "y0", "x1", "y1"), SEG_A, strict=True)], "wx", "wy")
@@ -730,27 +786,13 @@ def correction_log(world: DataFrame) -> DataFrame:
 
 def replay(spark, sf):
     """Every trajectory after the session of its graph: an entry drawn from its own scans is replayed; poses without scans stay."""
-    from .session import Session
+    from .replay import replay as all_graphs
 
     p = snapshot(fx.poses(spark, sf).select("graph_id", "pose_id", "x", "y", "th", "var_t", "var_r"))
     s = snapshot(fx.scans(spark, sf).select("graph_id", "pose_id", "obs_id", "px", "py").join(p.select("graph_id", "pose_id"), ["graph_id", "pose_id"], "left_semi"))
     wx, wy = g.to_world("px", "py", "x", "y", "th")
-    log = correction_log(s.join(p, ["graph_id", "pose_id"]).withColumns({"wx": wx, "wy": wy})).collect()
-
-    def run(entry):
-        one = F.col("graph_id") == entry.graph_id
-        session = Session(p.where(one), s.where(one))
-        done = session.replay([(0, entry.type, False, list(zip(entry.points[::2], entry.points[1::2], strict=True)))])
-        return session.poses if done == ["ok"] else None
-
-    moved = [x for x in map(run, log) if x is not None]
-    whole = p
-    if moved:
-        new = moved[0]
-        for x in moved[1:]:
-            new = new.unionByName(x)
-        whole = p.join(new.select("graph_id", "pose_id"), ["graph_id", "pose_id"], "left_anti").unionByName(new.select(*p.columns))
-    return whole.select("graph_id", "pose_id", *[rnd(c).alias(c) for c in ("x", "y", "th")])
+    log = correction_log(s.join(p, ["graph_id", "pose_id"]).withColumns({"wx": wx, "wy": wy})).select("graph_id", F.lit(0).alias("entry_id"), "type", F.lit(False).alias("undone"), "points")
+    return all_graphs(p, s, log).select("graph_id", "pose_id", *[rnd(c).alias(c) for c in ("x", "y", "th")])
 
 
 def stream_corrections(spark, sf):
@@ -782,6 +824,7 @@ sdf_grid sdf_merge consistency consistency_hist endpoint_cov scatter cov_ellipse
 latest_per_publisher display_lines adjacency raster modifier_decode argb_unpack event_windows vector_ops cov_rotate
 scalar_more pose_differences scan_bounds sdf_normalised message_window keyframe_poses drags residual_cumulative motion_scan loop_constraints
 crowd_select closest_observations closest_pair_motion residual_relative relative_gradients residual_object message_log
+seeded_draws pose_draws sensor_noise segment_ends sensor_ends resampled_ends
 match_lines merge_lines self_merge_round screen_points drawn_rectangles display_compiled display_throttled
 segment_fit joint_solve loop_step loop_refine ransac scan_normals gate_keyframes bootstrap_cov replay stream_corrections batch_localize curate"""
 
