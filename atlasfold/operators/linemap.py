@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.geometry import dot, length, unit
 from ..snapshot import snapshot
 from . import grid
-from .lines import MATCH, find_segments, meeting, prune, tiles
+from .lines import MATCH, find_segments, first_matches, prune, tiles
 from .solve import fit_segment
 
 ENDS = ["x0", "y0", "x1", "y1"]
@@ -29,29 +29,23 @@ def match(new: DataFrame, master: DataFrame, keys: list[str], reach: float, late
     |cos| > 0.5. ``reach`` is twice the distance that a match's ends may have at most, as pairs come from cells.
     ``later``: only masters of a greater id, for a map and itself.
     """
-    met = meeting(new, master, keys, reach)
-    if later:
-        met = met.where("master_id > new_id")
-    n = new.select(*keys, F.col("seg_id").alias("new_id"), *[F.col(k).alias(f"n{k}") for k in ENDS + COVS])
-    m = master.select(*keys, F.col("seg_id").alias("master_id"), "x0", "y0", *COVS, (F.col("x1") - F.col("x0")).alias("dx"), (F.col("y1") - F.col("y0")).alias("dy"))
-    j = met.join(n, [*keys, "new_id"]).join(m, [*keys, "master_id"]).withColumn("dd", F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy"))
-    t = lambda x, y: (F.col("dx") * (F.col(x) - F.col("x0")) + F.col("dy") * (F.col(y) - F.col("y0"))) / F.nullif("dd", F.lit(0.0))
-    j = j.withColumns({"t1": t("nx0", "ny0"), "t2": t("nx1", "ny1")})
-
-    def chi(t, end):
-        fx, fy = F.col("x0") + F.col(t) * F.col("dx") - F.col(f"nx{end}"), F.col("y0") + F.col(t) * F.col("dy") - F.col(f"ny{end}")
-
-        def s(k):
-            own = F.when(F.col(t) < 0, F.col(f"c0{k}")).when(F.col(t) > 1, F.col(f"c1{k}")).otherwise((1 - F.col(t)) * F.col(f"c0{k}") + F.col(t) * F.col(f"c1{k}"))
-            return own + F.col(f"nc{end}{k}")
-
-        xx, xy, yy = s("xx"), s("xy"), s("yy")
-        return (yy * fx * fx - 2 * xy * fx * fy + xx * fy * fy) / F.nullif(xx * yy - xy * xy, F.lit(0.0))
-
-    a, b = unit("dx", "dy"), unit(F.col("nx1") - F.col("nx0"), F.col("ny1") - F.col("ny0"))
-    apart = ((F.col("t1") < 0) & (F.col("t2") < 0)) | ((F.col("t1") > 1) & (F.col("t2") > 1))
-    ok = j.where(~apart & (chi("t1", 0) < MATCH) & (chi("t2", 1) < MATCH) & (F.abs(dot(*a, *b)) > 0.5))
-    return ok.groupBy(*keys, "new_id").agg(F.min(F.struct("master_id", "t1", "t2")).alias("_m")).select(*keys, "new_id", "_m.master_id", "_m.t1", "_m.t2")
+
+    def test(j: DataFrame) -> DataFrame:
+        j = j.withColumns({"dx": F.col("x1") - F.col("x0"), "dy": F.col("y1") - F.col("y0")}).withColumn("dd", F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy"))
+        t = lambda x, y: (F.col("dx") * (F.col(x) - F.col("x0")) + F.col("dy") * (F.col(y) - F.col("y0"))) / F.nullif("dd", F.lit(0.0))
+        j = j.withColumns({"t1": t("nx0", "ny0"), "t2": t("nx1", "ny1")})
+
+        for end, at in ((0, "t1"), (1, "t2")):
+            share = F.col(at)
+            own = {k: F.when(share < 0, F.col(f"c0{k}")).when(share > 1, F.col(f"c1{k}")).otherwise((1 - share) * F.col(f"c0{k}") + share * F.col(f"c1{k}")) for k in ("xx", "xy", "yy")}
+            off = {k: F.col(f"{k}0") + share * F.col(f"d{k}") - F.col(f"n{k}{end}") for k in ("x", "y")}
+            j = j.withColumns({**{f"_{k}": v + F.col(f"nc{end}{k}") for k, v in own.items()}, **{f"_f{k}": v for k, v in off.items()}})
+            j = j.withColumn(f"chi{end}", F.expr("(_yy * _fx * _fx - 2 * _xy * _fx * _fy + _xx * _fy * _fy) / nullif(_xx * _yy - _xy * _xy, 0.0D)"))
+        a, b = unit("dx", "dy"), unit(F.col("nx1") - F.col("nx0"), F.col("ny1") - F.col("ny0"))
+        apart = ((F.col("t1") < 0) & (F.col("t2") < 0)) | ((F.col("t1") > 1) & (F.col("t2") > 1))
+        return j.withColumn("ok", ~apart & (F.col("chi0") < MATCH) & (F.col("chi1") < MATCH) & (F.abs(dot(*a, *b)) > 0.5))
+
+    return first_matches(new, master, keys, reach, COVS, test, later)
 
 
 def merge(new: DataFrame, master: DataFrame, matched: DataFrame, keys: list[str]) -> DataFrame:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import dot, ellipse, length, unit
+from ..snapshot import cut, remove
 from .solve import fit_segment
 
 #: Fixed value: chi-squared bound for either end of a match.
@@ -44,22 +47,60 @@ def ellipse_polygon(moments: DataFrame, step_deg: int = 15) -> DataFrame:
     return p.withColumns({"ex": F.col("mx") + u * F.cos("angle") - v * F.sin("angle"), "ey": F.col("my") + u * F.sin("angle") + v * F.cos("angle")})
 
 
-def meeting(new: DataFrame, master: DataFrame, keys: list[str], reach: float) -> DataFrame:
-    """(keys, new_id, master_id) of segments that may come within half of ``reach`` of each other.
+def cells_along(reach: float, pad: tuple[int, ...]) -> Column:
+    """The distinct cells, ``reach`` wide, along a segment (x0, y0, x1, y1), and those ``pad`` off them in either direction."""
+    n = F.greatest(F.ceil(length(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")) / (reach / 2)).cast("int"), F.lit(1))
+    at = lambda a, b, k: F.floor((F.col(a) + k / n * (F.col(b) - F.col(a))) / reach).cast("int")
+    along_it = F.transform(F.sequence(F.lit(0), n), lambda k: F.struct(at("x0", "x1", k).alias("x"), at("y0", "y1", k).alias("y")))
+    beside = lambda i, j: lambda p: F.struct((p["x"] + i).alias("x"), (p["y"] + j).alias("y"))
+    return F.array_distinct(F.flatten(F.array(*[F.transform(along_it, beside(i, j)) for i in pad for j in pad])))
 
-    Cells are ``reach`` wide along either segment, the new one's with their neighbours; ids alone meet there.
-    """
 
-    def celled(df, name, pad):
-        n = F.greatest(F.ceil(length(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")) / (reach / 2)).cast("int"), F.lit(1))
-        at = lambda a, b, k: F.floor((F.col(a) + k / n * (F.col(b) - F.col(a))) / reach).cast("int")
-        along_it = F.transform(F.sequence(F.lit(0), n), lambda k: F.struct(at("x0", "x1", k).alias("x"), at("y0", "y1", k).alias("y")))
-        beside = lambda i, j: lambda p: F.struct((p["x"] + i).alias("x"), (p["y"] + j).alias("y"))
-        around = [F.transform(along_it, beside(i, j)) for i in pad for j in pad]
-        cells = F.array_distinct(F.flatten(F.array(*around)))
-        return df.select(*keys, F.col("seg_id").alias(name), F.explode(cells).alias("_c"))
+#: Masters, by the order of their ids, that a first match is looked for in at once, and how many times as many are next.
+FIRST, GROWTH = 32, 4
+
 
-    return celled(new, "new_id", (-1, 0, 1)).join(celled(master, "master_id", (0,)), [*keys, "_c"]).select(*keys, "new_id", "master_id").distinct()
+def first_matches(new: DataFrame, master: DataFrame, keys: list[str], reach: float, values: list[str], test: Callable[[DataFrame], DataFrame], later: bool = False) -> DataFrame:
+    """(keys, new_id, master_id, t1, t2): each new segment's master of the least id, of those within half of ``reach``, that passes ``test``.
+
+    ``test`` gets pairs (the new one's ends and ``values`` with an n before them, the master's as they are) and adds t1, t2 and ok.
+    ``later``: only masters of a greater id, for a map and itself. Cells are ``reach`` wide along either segment, the new
+    one's with their neighbours. Masters are tried in rounds, in the order of their ids, and a segment goes on only while it
+    has no match: so the pairs of a crowd follow what it takes to find the first match, not the square of its size.
+    """
+    ends = ["x0", "y0", "x1", "y1"]
+    n = new.select(*keys, F.col("seg_id").alias("new_id"), *ends, *values).where(F.col("new_id").isNotNull())
+    m = master.select(*keys, F.col("seg_id").alias("master_id"), *ends, *values).where(F.col("master_id").isNotNull())
+    number = lambda k: F.dense_rank().over(Window.partitionBy(*keys).orderBy(k)).cast("long")
+    m = m.withColumn("_r", number("master_id") - 1)
+    n = n.withColumn("_q", number("new_id") if later else F.lit(0).cast("long"))
+    m = cut(m.withColumn("_c", F.explode(cells_along(reach, (0,)))), "masters")
+    left = cut(n, "unmatched")
+    last = m.agg(F.max("_r")).first()[0]
+    # few bytes make many pairs, so parts are by number, not by size
+    parts = max(new.sparkSession.sparkContext.defaultParallelism, int(new.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    out, low, high = None, 0, FIRST
+    while out is None or (low <= last and left.limit(1).count()):
+        # of a segment's masters this round's have numbers from _q + low up to _q + high: in one block, or two, of that width
+        width = high - low
+        tried = left.repartition(parts, *keys, "new_id").withColumn("_c", F.explode(cells_along(reach, (-1, 0, 1)))).withColumnsRenamed({k: f"n{k}" for k in ends + values})
+        block = lambda k: F.floor(F.col(k) / width)
+        if later:
+            tried = tried.withColumn("_b", F.explode(F.sequence(F.floor((F.col("_q") + low) / width), F.floor((F.col("_q") + high - 1) / width))))
+            pairs = tried.join(m.withColumn("_b", block("_r")), [*keys, "_c", "_b"]).where((F.col("_r") >= F.col("_q") + low) & (F.col("_r") < F.col("_q") + high))
+        else:
+            pairs = tried.join(m.where((F.col("_r") >= low) & (F.col("_r") < high)), [*keys, "_c"])
+        # not a filter: pushed into the join, it would spell every column out again wherever it is used
+        best = test(pairs).groupBy(*keys, "new_id").agg(F.min(F.when(F.col("ok"), F.struct("master_id", "t1", "t2"))).alias("_m"))
+        found = cut(best.where("_m is not null").select(*keys, "new_id", "_m.master_id", "_m.t1", "_m.t2"), "matched")
+        out = found if out is None else out.unionByName(found)
+        rest = cut(left.join(found.select(*keys, "new_id"), [*keys, "new_id"], "left_anti").select(*left.columns), "unmatched")
+        remove(left)
+        left, low, high = rest, high, high + width * GROWTH
+        if last is None:
+            break
+    remove(left, m)
+    return out
 
 
 def match(new: DataFrame, master: DataFrame, keys: list[str], reach: float) -> DataFrame:
@@ -69,23 +110,24 @@ def match(new: DataFrame, master: DataFrame, keys: list[str], reach: float) -> D
     A pair matches if their spans overlap, both ends agree by chi-squared and directions by |cos| > 0.5.
     A pair that matches has points less than the ends' bound apart, so ``reach`` is to be twice that bound.
     """
-    met = meeting(new, master, keys, reach)
-    nd, md = (F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")), length(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))
-    n = new.select(*keys, F.col("seg_id").alias("new_id"), F.col("x0").alias("nx0"), F.col("y0").alias("ny0"), F.col("x1").alias("nx1"), F.col("y1").alias("ny1"), F.col("c0").alias("nc0"), F.col("c1").alias("nc1"))
-    m = master.select(*keys, F.col("seg_id").alias("master_id"), "x0", "y0", "c0", "c1", nd[0].alias("dx"), nd[1].alias("dy"), (md * md).alias("dd"))
-    j = met.join(n, [*keys, "new_id"]).join(m, [*keys, "master_id"])
-    t = lambda x, y: (F.col("dx") * (F.col(x) - F.col("x0")) + F.col("dy") * (F.col(y) - F.col("y0"))) / F.nullif("dd", F.lit(0.0))
-    j = j.withColumns({"t1": t("nx0", "ny0"), "t2": t("nx1", "ny1")})
-
-    def chi(t, px, py, cov):
-        fx, fy = F.col("x0") + F.col(t) * F.col("dx") - F.col(px), F.col("y0") + F.col(t) * F.col("dy") - F.col(py)
-        c = F.when(F.col(t) < 0, F.col("c0")).when(F.col(t) > 1, F.col("c1")).otherwise((1 - F.col(t)) * F.col("c0") + F.col(t) * F.col("c1"))
-        return (fx * fx + fy * fy) / (c + F.col(cov))
-
-    a, b = unit("dx", "dy"), unit(F.col("nx1") - F.col("nx0"), F.col("ny1") - F.col("ny0"))
-    apart = ((F.col("t1") < 0) & (F.col("t2") < 0)) | ((F.col("t1") > 1) & (F.col("t2") > 1))
-    ok = j.where(~apart & (chi("t1", "nx0", "ny0", "nc0") < MATCH) & (chi("t2", "nx1", "ny1", "nc1") < MATCH) & (F.abs(dot(*a, *b)) > 0.5))
-    return ok.groupBy(*keys, "new_id").agg(F.min(F.struct("master_id", "t1", "t2")).alias("_m")).select(*keys, "new_id", "_m.master_id", "_m.t1", "_m.t2")
+
+    def test(j: DataFrame) -> DataFrame:
+        dx, dy = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
+        j = j.withColumns({"dx": dx, "dy": dy, "dd": length(dx, dy) * length(dx, dy)})
+        t = lambda x, y: (F.col("dx") * (F.col(x) - F.col("x0")) + F.col("dy") * (F.col(y) - F.col("y0"))) / F.nullif("dd", F.lit(0.0))
+        j = j.withColumns({"t1": t("nx0", "ny0"), "t2": t("nx1", "ny1")})
+
+        def chi(t, px, py, cov):
+            fx, fy = F.col("x0") + F.col(t) * F.col("dx") - F.col(px), F.col("y0") + F.col(t) * F.col("dy") - F.col(py)
+            c = F.when(F.col(t) < 0, F.col("c0")).when(F.col(t) > 1, F.col("c1")).otherwise((1 - F.col(t)) * F.col("c0") + F.col(t) * F.col("c1"))
+            return (fx * fx + fy * fy) / (c + F.col(cov))
+
+        a, b = unit("dx", "dy"), unit(F.col("nx1") - F.col("nx0"), F.col("ny1") - F.col("ny0"))
+        apart = ((F.col("t1") < 0) & (F.col("t2") < 0)) | ((F.col("t1") > 1) & (F.col("t2") > 1))
+        j = j.withColumns({"chi0": chi("t1", "nx0", "ny0", "nc0"), "chi1": chi("t2", "nx1", "ny1", "nc1")})
+        return j.withColumn("ok", ~apart & (F.col("chi0") < MATCH) & (F.col("chi1") < MATCH) & (F.abs(dot(*a, *b)) > 0.5))
+
+    return first_matches(new, master, keys, reach, ["c0", "c1"], test)
 
 
 def merge(new: DataFrame, master: DataFrame, matched: DataFrame, keys: list[str]) -> DataFrame:
