@@ -45,6 +45,8 @@ from .common import Numbers, cut, remove_cuts, slices, utf8
 from .decontaminate import words
 
 BLOCK_BYTES = 4 << 20
+#: Documents of a block, which bounds its table of documents x items, and blocks of a file, which bounds what a reader holds.
+DOCUMENTS, FILE_BLOCKS = 1 << 13, 4
 #: A step of the byte scale: impacts are under a million.
 STEP = 3_922
 #: Items, and bytes of their text, in a block of the query set.
@@ -108,8 +110,8 @@ def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> In
         block = TaskContext.get().partitionId() << 32
         for batch in batches:
             for whole in slices(batch, "_text", BLOCK_BYTES):
-                for at in range(0, whole.num_rows, 1 << 16):
-                    part = whole.slice(at, 1 << 16)
+                for at in range(0, whole.num_rows, DOCUMENTS):
+                    part = whole.slice(at, DOCUMENTS)
                     n, terms, ends, slots, tfs = inverted(utf8(part, "_text"))
                     values = {
                         "block": pa.array([block], pa.int64()),
@@ -126,7 +128,7 @@ def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> In
                     block += 1
 
     schema = f"block long, documents long, words long, ids array<{kind}>, terms array<binary>, n binary, ends binary, slots binary, tfs binary"
-    exact = cut(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(run, schema), "postings")
+    exact = cut(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(run, schema), "postings", per_file=FILE_BLOCKS)
     total = exact.agg(F.sum("documents"), F.sum("words")).first()
     documents, terms = total[0] or 0, total[1] or 0
 
@@ -139,7 +141,7 @@ def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> In
                 level = -(-impact(tfs, m[_numbers(row, "slots", np.uint16)]) // STEP)
                 yield pa.RecordBatch.from_arrays([*row.columns, pa.array([level.astype(np.uint8).tobytes()], pa.binary())], [*row.schema.names, "levels"])
 
-    index = cut(exact.mapInArrow(levels, f"{schema}, levels binary"), "index")
+    index = cut(exact.mapInArrow(levels, f"{schema}, levels binary"), "index", per_file=FILE_BLOCKS)
     remove_cuts(exact)
     return Index(index, documents, terms)
 
@@ -288,7 +290,9 @@ def search(index: Index, items: DataFrame, k: int = 10, id_col: str = "doc_id",
         reach = near.join(kth, "item").where("upper >= least")
         wanted = cut(reach.groupBy("block").agg(F.collect_list(F.struct("item", "slot")).alias("pairs")), "wanted")
         remove_cuts(near)
-        scored = _rescored(index, asked, weights, wanted, id_col, item_type).where("score > 0")
+        # written block by block: only candidates, and no two blocks of items are in work, or sent to the tasks, at a time
+        scored = cut(_rescored(index, asked, weights, wanted, id_col, item_type).where("score > 0"), "scored")
+        remove_cuts(wanted)
         ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("item").orderBy(F.desc("score"), F.asc(id_col)))).where(F.col("rank") <= k)
         ranked = ranked.select(F.col("item_id").alias(item_id), "rank", id_col, "score")
         out = ranked if out is None else out.union(ranked)
