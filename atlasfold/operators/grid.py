@@ -18,21 +18,22 @@ def ray_cells(rays: DataFrame, res: float, beyond: float = BEHIND) -> DataFrame:
     """Cells (ix, iy) whose centre lies within half a cell's diagonal of a ray (sx, sy) to (wx, wy), up to ``beyond`` behind its end.
 
     Candidates come from steps of one cell along the longer axis, two cells across: the work follows the ray's length.
+    Equal rays count once.
     """
     ux, uy = unit(F.col("wx") - F.col("sx"), F.col("wy") - F.col("sy"))
     half = res * math.sqrt(2) / 2
-    r = rays.withColumns({"_ux": ux, "_uy": uy, "_len": length(F.col("wx") - F.col("sx"), F.col("wy") - F.col("sy"))}).where("_len > 0")
+    r = rays.distinct().withColumns({"_ux": ux, "_uy": uy, "_len": length(F.col("wx") - F.col("sx"), F.col("wy") - F.col("sy"))}).where("_len > 0")
     steps = F.sequence(F.lit(-1), F.ceil((F.col("_len") + beyond) / res).cast("int") + 1)
-    across = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    s = r.withColumn("_k", F.explode(steps))
-    base = lambda p, u: F.floor((F.col(p) + F.col("_k") * res * F.col(u)) / res)
-    s = s.withColumns({"_bx": base("sx", "_ux"), "_by": base("sy", "_uy")}).withColumn("_o", F.explode(across))
-    s = s.withColumns({"ix": (F.col("_bx") + F.col("_o.i")).cast("int"), "iy": (F.col("_by") + F.col("_o.j")).cast("int")})
+    base = lambda p, u, k: F.floor((F.col(p) + k * res * F.col(u)) / res).cast("long")
+    # a cell is a number, so that a ray's cells are told apart inside its row and no row for each of them is shuffled
+    number = lambda i, j: lambda k: F.shiftleft(base("sx", "_ux", k) + i, 32).bitwiseOR((base("sy", "_uy", k) + j).bitwiseAND(F.lit(0xFFFFFFFF)))
+    cells = F.array_distinct(F.flatten(F.array(*[F.transform(steps, number(i, j)) for i in (-1, 0, 1) for j in (-1, 0, 1)])))
+    s = r.withColumn("_c", F.explode(cells)).withColumns({"ix": F.shiftright("_c", 32).cast("int"), "iy": F.shiftright(F.shiftleft("_c", 32), 32).cast("int")})
     px, py = F.col("ix") * res - F.col("wx"), F.col("iy") * res - F.col("wy")
     off = F.abs(F.col("_ux") * py - F.col("_uy") * px)
     sdf = -dot("_ux", "_uy", px, py)
     hit = s.withColumns({"off": off, "sdf": sdf}).where((F.col("off") < half) & (F.col("sdf") >= -beyond) & (F.col("sdf") <= F.col("_len") + 1e-9))
-    return hit.drop("_k", "_bx", "_by", "_o", "_ux", "_uy", "_len", "off").distinct()
+    return hit.drop("_c", "_ux", "_uy", "_len", "off")
 
 
 def sdf(rays: DataFrame, res: float, keys: list[str]) -> DataFrame:
@@ -55,22 +56,25 @@ def merge(grids: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def filter_points(points: DataFrame, grid: DataFrame, res: float, keys: list[str], share: float = 0.95, near: float = 0.05) -> DataFrame:
-    """Points in cells of high weight that lie at a surface: bicubic value near 0, over the 16 nodes around each point."""
+    """Points in cells of high weight that lie at a surface: bicubic value near 0, over the 16 nodes around each point.
+
+    The nodes of each cell are brought together beforehand, so a point meets the grid in one row.
+    """
     top = grid.groupBy(*keys).agg(F.max("weight").alias("_top"))
-    # numbers of rows hold only if they are written with them
-    p = snapshot(points.withColumn("_id", F.monotonically_increasing_id())).withColumns({"_gx": F.floor(F.col("wx") / res), "_gy": F.floor(F.col("wy") / res)})
-    p = p.withColumns({"_tx": F.col("wx") / res - F.col("_gx"), "_ty": F.col("wy") / res - F.col("_gy")})
     nodes = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-1, 3) for j in range(-1, 3)])
-    at = p.withColumn("_n", F.explode(nodes)).withColumns({"ix": (F.col("_gx") + F.col("_n.i")).cast("int"), "iy": (F.col("_gy") + F.col("_n.j")).cast("int")})
+    around = grid.select(*keys, "ix", "iy", F.coalesce("value", F.lit(0.0)).alias("value"), F.coalesce("weight", F.lit(0.0)).alias("weight"), F.explode(nodes).alias("_n"))
+    around = around.withColumns({"_gx": F.col("ix").cast("long") - F.col("_n.i"), "_gy": F.col("iy").cast("long") - F.col("_n.j")})
+    around = around.groupBy(*keys, "_gx", "_gy").agg(F.array_sort(F.collect_list(F.struct("_n.i", "_n.j", "value", "weight"))).alias("_nodes")).join(top, keys)
+    p = points.withColumns({"_gx": F.floor(F.col("wx") / res), "_gy": F.floor(F.col("wy") / res)})
+    p = p.withColumns({"_tx": F.col("wx") / res - F.col("_gx"), "_ty": F.col("wy") / res - F.col("_gy")})
 
     def key(t, k):
         d = F.abs(c(t) - k)
         return F.when(d <= 1, (1.5 * d - 2.5) * d * d + 1).when(d < 2, ((-0.5 * d + 2.5) * d - 4) * d + 2).otherwise(0.0)
 
-    k = key("_tx", F.col("_n.i")) * key("_ty", F.col("_n.j"))
-    got = at.join(grid, [*keys, "ix", "iy"], "left").groupBy("_id").agg(F.sum(k * F.coalesce("value", F.lit(0.0))).alias("_v"), F.sum(k * F.coalesce("weight", F.lit(0.0))).alias("_w"))
-    kept = p.join(got, "_id").join(top, keys).where((F.col("_w") > share * F.col("_top")) & (F.abs("_v") < near))
-    return kept.select(*points.columns)
+    total = lambda of: F.aggregate("_nodes", F.lit(0.0), lambda s, n: s + key("_tx", n["i"]) * key("_ty", n["j"]) * n[of])
+    kept = p.join(around, [*keys, "_gx", "_gy"]).withColumns({"_v": total("value"), "_w": total("weight")})
+    return kept.where((F.col("_w") > share * F.col("_top")) & (F.abs("_v") < near)).select(*points.columns)
 
 
 def raster(points: DataFrame, res: float, keys: list[str]) -> DataFrame:
