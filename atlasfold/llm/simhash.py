@@ -154,7 +154,8 @@ def meet(prefix: int, fps: np.ndarray, bits: int, width: int = 64) -> tuple[np.n
     for texts at SIMILARITY, give or take three standard deviations. The links tell what is connected within the radius;
     whether two texts are alike is for those to settle who read what is connected.
     """
-    whole, fps = fps, fps >> np.uint64(64 - width)
+    whole = np.sort(fps)  # the same hubs under every prefix, so most links are found anew, not others beside them
+    fps = whole >> np.uint64(64 - width)
     low = np.uint64(width - bits)
     tail = np.uint64((1 << (width - bits)) - 1)
     away = np.bitwise_count((fps >> low) ^ np.uint64(prefix))
@@ -308,7 +309,8 @@ def similar(texts: DataFrame, shingle: int = 5) -> DataFrame:
     met = _colliding(sk, bits)
     pairs = cut(_agreeing(met, sk, lanes), "pairs")
     crowds = components(pairs)
-    degree = pairs.select(F.explode(F.array("a", "b")).alias("t")).groupBy("t").agg(F.count("*").alias("degree"))
+    ends = [pairs.groupBy(F.col(end).alias("t")).agg(F.count("*").alias("n")) for end in ("a", "b")]
+    degree = ends[0].union(ends[1]).groupBy("t").agg(F.sum("n").alias("degree"))
     # a component lists what is not its root
     members = crowds.select(F.col("node").alias("t"), F.col("root").alias("crowd")).union(crowds.select("root").distinct().selectExpr("root", "root as crowd"))
     members = members.join(degree, "t").join(sk.select("t", "n"), "t")

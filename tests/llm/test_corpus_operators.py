@@ -570,3 +570,28 @@ def test_recall_of_near_lines_at_production_parameters(make):
     whole = {r["doc_id"] for r in rows(passages.repeats(make(docs))) if (r["at"], r["to"]) == (0, 120)}
     near = {2 * k + 1 for k, x in enumerate(pairs) if x >= 0.8}
     assert len(near) > 100 and whole <= near and len(whole) >= 0.95 * len(near)
+
+
+def test_links_under_a_prefix_follow_no_order():
+    g = np.random.default_rng(5)
+    base = np.uint64(g.integers(0, 1 << 62))
+    fps = np.unique([base ^ np.uint64(sum(1 << int(k) for k in g.choice(64, g.integers(0, 4), replace=False))) for _ in range(400)])
+    links = lambda own: {tuple(sorted(x)) for x in zip(*(x.tolist() for x in simhash.meet(int(base >> np.uint64(58)), own, 6, 34)), strict=True)}
+    want = links(fps)
+    assert want and all(links(g.permutation(fps)) == want for _ in range(3))
+
+
+def test_pairs_of_a_family_grow_with_it(spark):
+    def pairs(m):
+        g = random.Random(1)
+        base, texts = [f"w{g.randrange(5000)}" for _ in range(120)], []
+        for _ in range(m):
+            words = list(base)
+            for _ in range(g.randint(1, 3)):
+                words[g.randrange(120)] = f"z{g.randrange(10**6)}"
+            texts.append(" ".join(words))
+        rows = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "t long, _text string").repartition(8)
+        bits, lanes = simhash.lane_shape(100_000)
+        return simhash._colliding(simhash._sketches(rows, 5, lanes), bits).count()
+
+    assert pairs(4000) < 4.5 * pairs(1000)
