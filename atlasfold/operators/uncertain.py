@@ -18,10 +18,11 @@ PULL, MOST = 10.0, 100_000
 #: Deviations of the sensor across (radians) and along (metres) a ray, and the chi-squared bound of its ellipse.
 SD_ANGLE, SD_RANGE, CHI2 = 0.002, 0.03, 5.991
 #: Draws of a resampling task, and points up to which a segment is fitted in one piece.
-DRAWS, WHOLE = 5_000_000, 1 << 18
+DRAWS, WHOLE = 5_000_000, 1 << 15
 #: Metres from a kink within which curvature grows no more.
 NEAR = 1e-4
 ENDS = ["x0", "y0", "x1", "y1"]
+SUMS = ["m", "rr", "r", "p", "q", "rp", "rq", "pp", "pq", "qq"]
 _G = [f"g{i}" for i in range(4)]
 _H = [f"h{i}{j}" for i in range(4) for j in range(i, 4)]
 
@@ -96,9 +97,9 @@ def fit_ends(points: DataFrame, segments: DataFrame, keys: list[str], copies: li
 
     ``points``: keys, wx, wy. ``segments``: keys, ``copies``, x0 .. y1; every copy of a segment has the points of its keys,
     ``moved`` as the expression says, which may read the copy's columns. Segments of up to ``whole`` points are fitted where their
-    points are brought together. The others are fitted in rounds, all at once: a round is one join and one aggregation of 15
-    sums for each, added up batch by batch before the shuffle, so no large segment's points are one group; a damped step is
-    taken on the sums. Rounds end with the last segment. Segments without points stay as they are (n 0, cost null); null
+    points are brought together. The others are fitted in rounds, all at once: a round is one join and one aggregation of
+    sums that Spark adds up before the shuffle, so no large segment's points are one group and none goes to Python; a damped
+    step is taken on the sums. Rounds end with the last segment. Segments without points stay as they are (n 0, cost null); null
     coordinates don't count.
     """
     copies = copies or []
@@ -128,30 +129,90 @@ def fit_ends(points: DataFrame, segments: DataFrame, keys: list[str], copies: li
     return together.unionByName(rest)
 
 
+def _summed(own: DataFrame, open_: DataFrame, keys: list[str], ids: list[str], at: tuple[Column, Column]) -> DataFrame:
+    """Of each segment, what ``equations`` needs of its points: sums over those before its first end (0), beside it (1) and beyond its last (2).
+
+    (p, q) is the slope of a point's own distance: by the end that is near, or of both ends across the segment.
+    """
+    c = F.col
+    dx, dy = c("x1") - c("x0"), c("y1") - c("y0")
+    size = length(dx, dy)
+    apart = lambda e: length(c(f"x{e}") - c("mx"), c(f"y{e}") - c("my")) * PULL / c("n")
+    near = open_.withColumns({"_long": size, "_ux": F.coalesce(dx / F.nullif(size, F.lit(0.0)), F.lit(0.0)), "_uy": F.coalesce(dy / F.nullif(size, F.lit(0.0)), F.lit(0.0)), "_held": apart(0) + apart(1)})
+    seen = own.join(near, keys).select(*ids, *ENDS, "_long", "_ux", "_uy", "_held", at[0].alias("_px"), at[1].alias("_py"))
+    seen = seen.withColumns({"_t": F.when(c("_long") > 0, ((c("_px") - c("x0")) * c("_ux") + (c("_py") - c("y0")) * c("_uy")) / c("_long")).otherwise(-1.0), "_off": (c("_py") - c("y0")) * c("_ux") - (c("_px") - c("x0")) * c("_uy")})
+    seen = seen.withColumn("_region", F.when(c("_t") < 0, 0).when(c("_t") > 1, 2).otherwise(1))
+    beside, last = c("_region") == 1, c("_region") == 2
+    seen = seen.withColumns({"_ex": F.when(last, c("x1")).otherwise(c("x0")) - c("_px"), "_ey": F.when(last, c("y1")).otherwise(c("y0")) - c("_py")})
+    seen = seen.withColumn("_d", F.when(beside, F.abs("_off")).otherwise(length(c("_ex"), c("_ey"))))
+    over = F.nullif(c("_d"), F.lit(0.0))
+    seen = seen.withColumns({
+        "_p": F.when(beside, (c("_t") - 1) * F.signum("_off")).otherwise(F.coalesce(c("_ex") / over, F.lit(0.0))),
+        "_q": F.when(beside, -c("_t") * F.signum("_off")).otherwise(F.coalesce(c("_ey") / over, F.lit(0.0))),
+        "_r": c("_d") + c("_held"),
+    })
+    seen = seen.withColumn("_k", F.when(beside, c("_held")).otherwise(c("_r")) / F.greatest(c("_d"), F.lit(NEAR)))
+    p, q, r, k, t = c("_p"), c("_q"), c("_r"), c("_k"), c("_t")
+    each = {
+        "m": F.lit(1.0), "rr": r * r, "r": r, "p": p, "q": q, "rp": r * p, "rq": r * q,
+        "pp": p * p + k * F.when(beside, (t - 1) * (t - 1)).otherwise(1 - p * p),
+        "pq": p * q - k * F.when(beside, (t - 1) * t).otherwise(p * q),
+        "qq": q * q + k * F.when(beside, t * t).otherwise(1 - q * q),
+    }
+    parts = seen.groupBy(*ids, "_region").agg(*[F.sum(each[n]).alias(n) for n in SUMS])
+    return parts.groupBy(*ids).agg(*[F.coalesce(F.sum(F.when(c("_region") == g, c(n))), F.lit(0.0)).alias(f"{n}{g}_") for g in range(3) for n in SUMS])
+
+
+def equations(frame: pd.DataFrame) -> pd.DataFrame:
+    """A copy with cost, gradient and curvature of each segment from ``_summed``; the pull's share, alike for all points, is added here. Null without sums."""
+    frame = frame.copy()
+    size = len(frame)
+    sums = {n: frame[[f"{n}{g}_" for g in range(3)]].to_numpy(float) for n in SUMS}
+    ends, centre, share = frame[ENDS].to_numpy(float), frame[["mx", "my"]].to_numpy(float), PULL / np.maximum(frame["n"].to_numpy(float), 1)
+    d = ends[:, 2:] - ends[:, :2]
+    long = np.hypot(*d.T)
+    u = d / np.where(long > 0, long, 1)[:, None]
+    across = np.stack([-u[:, 1], u[:, 0]], 1)
+    own, grad, bend = np.zeros((size, 4)), np.zeros((size, 4)), np.zeros((size, 4, 4))
+    for into, x, y in ((own, "p", "q"), (grad, "rp", "rq")):
+        for e, g, s in ((0, 0, x), (1, 2, y)):
+            at = slice(2 * e, 2 * e + 2)
+            into[:, at] = np.stack([sums[x][:, g], sums[y][:, g]], 1) + sums[s][:, 1, None] * across
+    for e, g in ((0, 0), (1, 2)):
+        at = slice(2 * e, 2 * e + 2)
+        bend[:, at, at] += np.stack([sums["pp"][:, g], sums["pq"][:, g], sums["pq"][:, g], sums["qq"][:, g]], 1).reshape(-1, 2, 2)
+    flat = across[:, :, None] * across[:, None, :]
+    for i, j, n in ((0, 0, "pp"), (0, 1, "pq"), (1, 0, "pq"), (1, 1, "qq")):
+        bend[:, 2 * i : 2 * i + 2, 2 * j : 2 * j + 2] += sums[n][:, 1, None, None] * flat
+    pull, all_r, m = np.zeros((size, 4)), sums["r"].sum(1), sums["m"].sum(1)
+    for e in (0, 1):
+        at = slice(2 * e, 2 * e + 2)
+        away = ends[:, at] - centre
+        far = np.hypot(*away.T)
+        v = away / np.where(far > 0, far, 1)[:, None]
+        pull[:, at] = share[:, None] * v
+        bend[:, at, at] += (all_r * share / np.maximum(far, NEAR))[:, None, None] * (np.eye(2) - v[:, :, None] * v[:, None, :])
+    bend += own[:, :, None] * pull[:, None, :] + pull[:, :, None] * own[:, None, :] + m[:, None, None] * pull[:, :, None] * pull[:, None, :]
+    grad += all_r[:, None] * pull
+    frame["cost"] = sums["rr"].sum(1) / 2
+    frame[_G] = grad
+    for k in _H:
+        frame[k] = bend[:, int(k[1]), int(k[2])]
+    return frame
+
+
 def _in_rounds(own: DataFrame, start: DataFrame, keys: list[str], ids: list[str], at: tuple[Column, Column], iterations: int) -> DataFrame:
     """``fit_ends`` of segments whose points stay where they are."""
-    px, py = at
     held = [F.lit(None).cast("double").alias(f"b{k}") for k in (*ENDS, *_G, *_H)]
     state = cut(start.select(*ids, *ENDS, "n", "mx", "my", F.lit(float("inf")).alias("best"), *held, F.lit(3e-4).alias("damp"), (F.col("n") == 0).alias("done")), "ends")
-    names, schema = ["cost", *_G, *_H], state.schema
-    partial = start.select(*ids, *[F.lit(0.0).alias(k) for k in names]).schema
-
-    def added(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in batches:
-            r, j, h = end_terms(frame[ENDS].to_numpy(), frame[["_px", "_py"]].to_numpy(), frame[["mx", "my"]].to_numpy(), frame["n"].to_numpy())
-            parts = [r * r / 2, *(j[:, i] * r for i in range(4)), *(h[:, int(k[1]), int(k[2])] for k in _H)]
-            sums = pd.DataFrame(dict(zip(names, parts, strict=True))).groupby([frame[k] for k in ids], sort=False).sum()
-            yield sums.reset_index()[partial.names]
+    schema = state.schema
 
     def steps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
-            yield damped(frame)[schema.names]
+            yield damped(equations(frame))[schema.names]
 
     for _ in range(iterations + 1):
-        open_ = state.where("not done")
-        seen = own.join(open_.select(*ids, *ENDS, "n", "mx", "my"), keys)
-        parts = seen.select(*ids, *ENDS, "n", "mx", "my", px.alias("_px"), py.alias("_py")).mapInPandas(added, partial)
-        found = parts.groupBy(*ids).agg(*[F.sum(k).alias(k) for k in names])
+        found = _summed(own, state.where("not done").select(*ids, *ENDS, "n", "mx", "my"), keys, ids, at)
         new = cut(state.join(found, ids, "left").mapInPandas(steps, schema), "ends")
         remove(state)
         state = new

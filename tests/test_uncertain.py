@@ -131,3 +131,22 @@ def test_all_graphs_at_once_equal_a_session_each(spark):
     assert moved == 3
     unchanged = {(r.graph_id, r.pose_id): (r.x, r.y, r.th) for r in replay(p, s, log.where("false")).collect()}
     assert unchanged == {(r.graph_id, r.pose_id): (r.x, r.y, r.th) for r in p.collect()}
+
+
+def test_sums_of_spark_are_those_of_the_points(spark):
+    """Before the ends, beside the segment, beyond them, on it and on an end; a segment without length."""
+    g = np.random.default_rng(9)
+    xy = {k: np.concatenate([g.normal(0, 2, (200, 2)), [[0.0, 0.0], [1.0, 0.0], [2.0, 0.0]]]) for k in range(3)}
+    ends = {0: (0.0, 0.0, 2.0, 0.0), 1: (-1.0, 0.3, 1.5, 0.9), 2: (0.5, 0.5, 0.5, 0.5)}
+    points = spark.createDataFrame([(k, *map(float, p)) for k in xy for p in xy[k]], "k long, wx double, wy double")
+    rows = [(k, *ends[k], len(xy[k]), *map(float, xy[k].mean(0))) for k in xy]
+    state = spark.createDataFrame(rows, "k long, x0 double, y0 double, x1 double, y1 double, n long, mx double, my double")
+    found = uncertain._summed(points, state, ["k"], ["k"], (F.col("wx"), F.col("wy")))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "MapIn" not in plan
+    for row in uncertain.equations(state.join(found, "k").toPandas()).itertuples():
+        own = xy[row.k]
+        r, j, h = uncertain.end_terms(np.array(ends[row.k]), own, own.mean(0), len(own))
+        assert row.cost == pytest.approx(r @ r / 2)
+        assert np.allclose([row.g0, row.g1, row.g2, row.g3], j.T @ r)
+        assert np.allclose([getattr(row, k) for k in uncertain._H], [h.sum(0)[int(k[1]), int(k[2])] for k in uncertain._H])
