@@ -18,10 +18,15 @@ from .geometry import c, ellipse
 DIGITS = 10
 
 
-def uniforms(seed: int, *keys) -> tuple[Column, Column, Column]:
-    """Three independent draws from [0, 1), from one digest."""
+def named(seed, *keys) -> Column:
+    """The text that a draw is a digest of. It may be the seed of draws by further keys, so that it is spelt once for them all."""
     texts = [F.coalesce((F.col(k) if isinstance(k, str) else k).cast("string"), F.lit("")) for k in keys]
-    digest = F.md5(F.concat_ws(",", F.lit(str(seed)), *texts))
+    return F.concat_ws(",", seed if isinstance(seed, Column) else F.lit(str(seed)), *texts)
+
+
+def uniforms(seed, *keys) -> tuple[Column, Column, Column]:
+    """Three independent draws from [0, 1), from one digest."""
+    digest = F.md5(named(seed, *keys))
     return tuple(F.conv(F.substring(digest, 1 + i * DIGITS, DIGITS), 16, 10).cast("long") / float(1 << 4 * DIGITS) for i in range(3))
 
 
@@ -34,7 +39,7 @@ def between(low, high, seed: int, *keys) -> Column:
     return c(low) + (c(high) - c(low)) * uniform(seed, *keys)
 
 
-def normals(seed: int, *keys) -> tuple[Column, Column]:
+def normals(seed, *keys) -> tuple[Column, Column]:
     """Two independent standard normal draws, as the polar parts of one point."""
     u, v, _ = uniforms(seed, *keys)
     radius = F.sqrt(-2 * F.log(1 - u))

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.draws import normals
+from ..functions.draws import named, normals
 from ..functions.geometry import ellipse, length
 from ..snapshot import cut, remove
 
@@ -246,12 +246,13 @@ def sensor_uncertainty(points: DataFrame, segments: DataFrame, keys: list[str],
     they are needed, in every round, so samples are never stored. Moments are around the given ends, as those of the mapping.
     """
     major, minor, angle = ellipse("qxx", "qxy", "qyy", CHI2)
-    noisy = sensor_covariance(points).withColumns({"_u": major, "_v": minor, "_a": angle}).select(*keys, *point_id, "wx", "wy", "_u", "_v", "_a")
+    once = {"_u": major, "_v": minor, "_cos": F.cos(angle), "_sin": F.sin(angle), "_name": named(seed, *keys, *point_id)}
+    noisy = sensor_covariance(points).withColumns(once).select(*keys, "wx", "wy", *once)
 
     def moved():
-        a, b = normals(seed, *keys, *point_id, "_sample")
+        a, b = normals(F.col("_name"), "_sample")
         u, v = a * F.col("_u"), b * F.col("_v")
-        return F.col("wx") + u * F.cos("_a") - v * F.sin("_a"), F.col("wy") + u * F.sin("_a") + v * F.cos("_a")
+        return F.col("wx") + u * F.col("_cos") - v * F.col("_sin"), F.col("wy") + u * F.col("_sin") + v * F.col("_cos")
 
     every = segments.select(*keys, *ENDS).withColumn("_sample", F.explode(F.sequence(F.lit(1), F.lit(samples))))
     return _spread(fit_ends(noisy, every, keys, ["_sample"], moved).where("n > 0"), segments, keys)

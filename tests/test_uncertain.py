@@ -150,3 +150,10 @@ def test_sums_of_spark_are_those_of_the_points(spark):
         assert row.cost == pytest.approx(r @ r / 2)
         assert np.allclose([row.g0, row.g1, row.g2, row.g3], j.T @ r)
         assert np.allclose([getattr(row, k) for k in uncertain._H], [h.sum(0)[int(k[1]), int(k[2])] for k in uncertain._H])
+
+
+def test_a_name_spelt_once_draws_the_same(spark):
+    df = spark.range(200).withColumns({"w": F.col("id") / 7.0, "none": F.lit(None).cast("string")})
+    a, b = draws.normals(7, "id", "none", "w", "s"), draws.normals(F.col("name"), "s")
+    rows = df.withColumn("name", draws.named(7, "id", "none", "w")).withColumn("s", F.explode(F.array(F.lit(1), F.lit(2))))
+    assert rows.where((a[0] != b[0]) | (a[1] != b[1])).count() == 0 and rows.select(b[0].alias("b")).distinct().count() == 400
