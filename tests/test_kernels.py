@@ -4,6 +4,7 @@ import math
 import os
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from atlasfold.operators import correct, lines, solve
@@ -257,3 +258,46 @@ Engine = { name = "a \\"b\\""; debug = on, limits = {-1.5, 2e1}; at = vec2(1, -2
         more.write_text(text)
         with pytest.raises(ConfigError):
             Settings(str(base), str(more))
+
+
+def test_chains_solved_together_are_those_solved_alone():
+    g = np.random.default_rng(11)
+    sizes = [1, 2, 7, 30, 1, 64, 3]
+    starts = np.cumsum([0, *sizes])[:-1]
+    parts = [np.cumsum(g.normal(0, 0.3, (n, 3)), 0) for n in sizes]
+    parts[2][3] = np.nan  # spoils its own chain only
+    targets = [[(int(i), int(g.integers(1, 6)), *map(float, g.normal(0, 1, 3)), 0.4) for i in g.integers(0, n, 3)] for n in sizes]
+    joined = solve.Chain(np.concatenate(parts), [(t[0] + s, *t[1:]) for s, own in zip(starts, targets, strict=True) for t in own], starts=starts)
+    q, before, after, steps = joined.solve(np.concatenate(parts))
+    for k, (p, own, s) in enumerate(zip(parts, targets, starts, strict=True)):
+        alone, *figures = solve.Chain(p, own).solve(p)
+        assert np.allclose(q[s : s + len(p)], alone, atol=1e-5, equal_nan=True) and np.allclose([before[k], after[k]], [figures[0][0], figures[1][0]], rtol=1e-6, equal_nan=True)
+    assert steps[5] > 1
+
+
+def test_joint_solve_works_many_graphs_in_a_call(spark):
+    """As each graph alone, with targets of unknown poses and graphs, a null graph, and groups that go over the bounds of batches."""
+    g = np.random.default_rng(12)
+    p = {k: np.cumsum(g.normal(0, 0.3, (n, 3)), 0) for k, n in enumerate([40, 1, 25, 60, 33])}
+    name = lambda k: None if k == 4 else 10**17 + k
+    poses = spark.createDataFrame([(name(k), i, *map(float, r)) for k, own in p.items() for i, r in enumerate(own)], "graph_id long, pose_id int, x double, y double, th double")
+    own = {k: [(i, kind, 1.0, 0.5, 0.2, 0.3) for i, kind in ((5, 2), (17, 4), (17, 5), (500, 2))] for k in (0, 2, 3, 4)}
+    rows = [(name(k), t[1], t[0], *t[2:]) for k in own for t in own[k]] + [(7, 2, 1, 0.0, 0.0, 0.0, 0.0)]
+    constraints = spark.createDataFrame(rows, "graph_id long, type int, constrained_id int, tx double, ty double, tth double, penalty double")
+    found = solve.joint_solve(poses.repartition(3), constraints)
+    assert "Cogroup" not in found._jdf.queryExecution().toString() and "InPandas" not in found._jdf.queryExecution().toString()
+    found = {(r.graph_id, r.pose_id): r for r in found.collect()}
+    assert len(found) == sum(map(len, p.values()))
+    for k in p:
+        q, before, after, _ = solve.Chain(p[k], [t for t in own.get(k, []) if t[0] < len(p[k])]).solve(p[k])
+        got = [found[name(k), i] for i in range(len(p[k]))]
+        assert np.allclose([[r.x, r.y, r.th] for r in got], q, atol=1e-5) and np.allclose([[r.cost_before, r.cost_after] for r in got], [before[0], after[0]], rtol=1e-6)
+
+
+def test_groups_come_whole_and_some_together():
+    g = np.random.default_rng(13)
+    key = np.sort(g.integers(0, 40, 1000))
+    batches = pa.table({"k": key, "v": np.arange(1000)}).to_batches(max_chunksize=37)
+    tables = list(solve.together(iter(batches), ["k"], 100))
+    assert pa.concat_tables(tables).column("v").to_pylist() == list(range(1000)) and 3 < len(tables) < 11
+    assert sum(len(set(t.column("k").to_pylist())) for t in tables) == len(set(key.tolist()))
