@@ -149,3 +149,22 @@ def test_a_residual_of_the_users_own(spark):
     found = rows(refine.refine(p, {"ring": t}, registry=own))
     assert all(abs(np.hypot(r["x"], r["y"]) - 2.5) < 1e-4 for r in found if r["pose_id"]) and all(r["cost_after"] < 1e-8 for r in found)
     assert rows(refine.refine(p.limit(0), {"ring": t}, registry=own)) == []
+
+
+def test_gradients_inside_tasks_are_those_of_rounds(spark, monkeypatch):
+    """Many graphs at once: no round of Spark is taken for them, and a graph over the bound goes by rounds with the same steps."""
+    poses, edges = world(5, graphs=3)
+    poses += [(9, k, float(k), 0.0, 0.0, None) for k in range(40)]
+    edges += [(9, k, k + 1, 1.1, 0.0, 0.01, 0.03, 0.03, 0.01) for k in range(39)] + [(9, 0, 35, 30.0, 0.1, 0.2, 0.03, 0.03, 0.01)]
+    p, terms = frames(spark, poses, edges)
+    system = refine.cut(refine.normal_equations(p, terms).where("i > 0 and j > 0"), "system")
+    steps = lambda bound: {(r["graph_id"], r["pose_id"]): [r["s0"], r["s1"], r["s2"]] for r in rows(refine.conjugate_gradients(system, 6, 1e-11, whole=bound))}
+    some = steps(100)
+    cuts = []
+    real = refine.cut
+    monkeypatch.setattr(refine, "cut", lambda df, name="cut": cuts.append(name) or real(df, name))
+    found = steps(refine.WHOLE)
+    assert "gradients" not in cuts and set(found) == set(some) and len(found) == 3 * 15 + 39
+    for k in found:
+        assert np.allclose(found[k], some[k], rtol=1e-6, atol=1e-8)
+    assert system.groupBy("graph_id").count().where("count > 100").count() == 1
