@@ -15,17 +15,16 @@ over ids, and the pairs of all training texts carry what is local.
 
 Nothing is learnt from a sample. Words, ids and pairs are counted in every
 training text. Weights are trained in ``ROUNDS`` rounds over the cluster: in
-each, every training text gives every ``SHARE``-th of its windows (others in
-every round, so that the windows seen grow with the corpus); each task takes
-gradient steps from the common weights over its own, and the next common
-weights are the mean of the tasks', by their windows.
+each, every training text gives every ``ROUNDS``-th of its windows, others in
+every round, so that all windows of all training texts are seen, each once;
+each task takes gradient steps from the common weights over its own, and the
+next common weights are the mean of the tasks', by their windows.
 
 Scoring cuts texts into overlapping windows: a block of ``BLOCK`` ids is
 scored once, its queries masked to the ids before them in the block and the
 block ahead of it. All blocks of a slice of texts go through in batches.
 
-Texts are split into ids once: the ids, and the windows that are given to
-training, are written to the shared folder, and counting, training and scoring read them there.
+Texts are split into ids once: these are written to the shared folder, and counting, training and scoring read them there.
 
 The unigram base needs each word's count in the whole training corpus. Words
 that make more than a ``HEAVY``-th of all tokens (so ``HEAVY`` of them at most)
@@ -55,7 +54,7 @@ from .common import LOWER, Numbers, cut, slices, utf8
 
 #: Widths of queries and keys, and of the state; ids of a window's own block; branches of a node at most.
 KEY, WIDTH, BLOCK, MOST_BRANCHES = 8, 8, 32, 15
-ROUNDS, SHARE, BATCH, RATE = 3, 128, 64, 0.02
+ROUNDS, BATCH, RATE = 3, 256, 0.02
 #: Weight of an id's own frequency against the pairs that begin with the last id.
 SMOOTH = 5.0
 HEAVY = 1_000_000
@@ -279,26 +278,29 @@ class Attention:
         a = self._weights(q * scale, k, keys, self._mask())
         a /= a.sum(2, keepdims=True)
         o = np.matmul(a, v)
-        state, last, nxt = o[has], own[has], to[has]
+        at = np.flatnonzero(has)
+        at = at[np.argsort(to.ravel()[at], kind="stable")]  # so that those under one node stand together, on each level
+        state, last, nxt = o.reshape(-1, WIDTH)[at], own.ravel()[at], to.ravel()[at]
         n, each = len(nxt), np.arange(len(nxt))
         d_state, out = np.zeros_like(state), {}
         for level, (name, logs) in enumerate(zip(("u0", "u1", "u2"), self.logs, strict=True)):
             node = nxt // b ** (3 - level)
-            base = logs[last] if level == 0 else logs[node, last]
-            z = base + np.matmul(state[:, None, :], p[name][node])[:, 0]
+            starts = np.flatnonzero(np.diff(node, prepend=-1)).tolist()
+            parts = list(zip(node[starts].tolist(), map(slice, starts, [*starts[1:], n]), strict=True))
+            z = logs[last] if level == 0 else logs[node, last]
+            for g, i in parts:
+                z[i] += state[i] @ p[name][g]
             z -= z.max(1, keepdims=True)
             np.exp(z, out=z)
             z /= z.sum(1, keepdims=True)
             z[each, nxt // b ** (2 - level) % b] -= 1
             z /= n
-            d_state += np.matmul(p[name][node], z[:, :, None])[:, :, 0]
-            order = np.argsort(node, kind="stable")
-            first = np.flatnonzero(np.concatenate([[True], node[order][1:] != node[order][:-1]]))
-            outer = (state[order][:, :, None] * z[order][:, None, :]).reshape(n, -1)
             out[name] = np.zeros_like(p[name])
-            out[name][node[order][first]] = np.add.reduceat(outer, first, axis=0).reshape(-1, *p[name].shape[1:])
+            for g, i in parts:
+                d_state[i] += z[i] @ p[name][g].T
+                out[name][g] = state[i].T @ z[i]
         do = np.zeros_like(o)
-        do[has] = d_state
+        do.reshape(-1, WIDTH)[at] = d_state
         ds = np.matmul(do, v.transpose(0, 2, 1))
         ds = a * (ds - (a * ds).sum(2, keepdims=True))
         out["far"] = np.bincount(np.maximum(_BACK, 0).ravel(), ds.sum(0).ravel(), 2 * BLOCK)
@@ -315,10 +317,11 @@ class Attention:
         for step, group in enumerate(groups, 1):
             seen += len(group[0])
             for k, d in self.gradients(*group).items():
-                m[k] = 0.9 * m[k] + 0.1 * d
-                s[k] = 0.99 * s[k] + 0.01 * d * d
-                w = self.p[k] - rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(s[k] / (1 - 0.99**step)) + 1e-8)
-                self.p[k] = np.clip(w, -BOUNDS[k], BOUNDS[k]).astype(np.float32)
+                d = d.astype(np.float32)
+                m[k] += np.float32(0.1) * (d - m[k])
+                s[k] += np.float32(0.01) * (d * d - s[k])
+                size = np.sqrt(s[k] / np.float32(1 - 0.99**step)) + np.float32(1e-8)
+                self.p[k] = np.clip(self.p[k] - np.float32(rate / (1 - 0.9**step)) * m[k] / size, -BOUNDS[k], BOUNDS[k])
         return seen
 
     def states(self, x: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -461,7 +464,7 @@ def pair_counts(coded: DataFrame, classes: Classes, kind: np.dtype) -> Pairs:
     return Pairs(classes, keys, times.astype(np.float32))
 
 
-def windows(ids: np.ndarray, end: int, share: int = SHARE) -> list[tuple[int, bytes]]:
+def windows(ids: np.ndarray, end: int, share: int = ROUNDS) -> list[tuple[int, bytes]]:
     """The windows that a text gives to each round: every ``share``-th block, from a place that its ids give, with the inputs ahead.
 
     A window is the block's ids after the id before them, and before that the block ahead of it; the first block has none.
@@ -490,30 +493,48 @@ def unpacked(found: list[np.ndarray], pad: int) -> tuple[np.ndarray, np.ndarray,
     return keys, keys[:, BLOCK:], to
 
 
+def in_round(texts: list[np.ndarray], ids: list[np.ndarray], end: int, pad: int, which: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What ``unpacked`` gives of the windows of a round, of some texts at once. ``texts``: classes; ``ids``: what ``windows`` starts by."""
+    x, y, real = blocks(texts, end, pad)
+    sizes = np.array([-(-len(t) // BLOCK) for t in texts])
+    number = np.arange(len(real)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat([zlib.crc32(t.tobytes()) for t in ids], sizes)
+    some = real[number % ROUNDS == which]
+    return np.concatenate([x[some - 1], x[some]], 1), x[some], y[some]
+
+
 def train(given: DataFrame, pairs, kind: np.dtype, batch_size: int = BATCH) -> np.ndarray:
-    """The weights after ROUNDS of steps; see the module. ``given``: (rounds, windows) of every text; ``pairs``: a broadcast."""
+    """The weights after ROUNDS of steps; see the module. ``given``: the ids of every text, or (rounds, windows) cut from them; ``pairs``: a broadcast."""
     spark = given.sparkSession
     c = pairs.value.classes
-    weights = Attention(c.n, c.branches, []).flat()
+    weights, by_ids = Attention(c.n, c.branches, []).flat(), "ids" in given.columns
     for which in range(ROUNDS):
         sent, rate = spark.sparkContext.broadcast(weights), RATE * 0.5**which
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent, which=which, rate=rate) -> Iterator[pa.RecordBatch]:
             classes, model = pairs.value.classes, pairs.value.model(sent.value)
 
-            def groups():
-                held: list[np.ndarray] = []
+            def found() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+                if by_ids:
+                    for _, ids in _ids(batches, kind):
+                        yield in_round([classes.of[t] for t in ids], ids, classes.end, model.pad, which)
+                    return
                 for batch in batches:
                     own = batch.column("windows").flatten().filter(pc.equal(batch.column("rounds").flatten(), which))
-                    held += [classes.of[np.frombuffer(w, kind)] for w in own.to_pylist()]
-                    while len(held) >= 16 * batch_size:
-                        yield from parts(held[: 16 * batch_size])
-                        held = held[16 * batch_size :]
-                if held:
+                    yield unpacked([classes.of[np.frombuffer(w, kind)] for w in own.to_pylist()], model.pad)
+
+            def groups():
+                held, n = [], 0
+                for part in found():
+                    held.append(part)
+                    n += len(part[0])
+                    if n >= 16 * batch_size:
+                        yield from parts(held)
+                        held, n = [], 0
+                if n:
                     yield from parts(held)
 
             def parts(held):
-                keys, own, to = unpacked(held, model.pad)
+                keys, own, to = (np.concatenate(x) for x in zip(*held, strict=True))
                 order = np.random.default_rng(len(own)).permutation(len(own))
                 for at in range(0, len(own), batch_size):
                     some = order[at : at + batch_size]
@@ -570,15 +591,12 @@ def score(docs: DataFrame, held_out, path: str, id_col: str = "doc_id", text_col
                 words = subwords.words(texts)
                 ids = subwords.texts(texts, words)
                 known, base, rare, times = subwords.rare(texts, words)
-                given = [windows(x, subwords.end) for x in ids]
-                rounds = pa.array([[r for r, _ in own] for own in given], pa.list_(pa.int32()))
-                given = pa.array([[w for _, w in own] for own in given], pa.list_(pa.binary()))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("_id"), part.column("_held"), pa.array([len(w) + 1 for w in texts], pa.int64()), pa.array(known), pa.array(base), rare, times, pa.array([x.tobytes() for x in ids], pa.binary()), rounds, given],
-                    ["_id", "_held", "n", "known", "base", "rare", "times", "ids", "rounds", "windows"],
+                    [part.column("_id"), part.column("_held"), pa.array([len(w) + 1 for w in texts], pa.int64()), pa.array(known), pa.array(base), rare, times, pa.array([x.tobytes() for x in ids], pa.binary())],
+                    ["_id", "_held", "n", "known", "base", "rare", "times", "ids"],
                 )
 
-    coded = cols.mapInArrow(code, f"_id {id_kind}, _held boolean, n long, known long, base double, rare array<binary>, times array<int>, ids binary, rounds array<int>, windows array<binary>")
+    coded = cols.mapInArrow(code, f"_id {id_kind}, _held boolean, n long, known long, base double, rare array<binary>, times array<int>, ids binary")
     # the number of a row is written with it
     coded = cut(coded.withColumn("_row", F.monotonically_increasing_id()), "coded")
     subwords = Subwords(path)
@@ -586,7 +604,7 @@ def score(docs: DataFrame, held_out, path: str, id_col: str = "doc_id", text_col
     own = learnt.select("ids")
     classes = Classes(id_counts(own, subwords.size, kind), subwords.end)
     pairs = spark.sparkContext.broadcast(pair_counts(own, classes, kind))
-    sent = spark.sparkContext.broadcast(train(learnt.select("rounds", "windows"), pairs, kind))
+    sent = spark.sparkContext.broadcast(train(own, pairs, kind))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes, model = pairs.value.classes, pairs.value.model(sent.value)

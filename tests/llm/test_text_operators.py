@@ -351,6 +351,29 @@ def test_lm_trains_on_every_text_and_learns_from_the_context(spark):
     assert after > 0.86 * before
 
 
+def test_lm_sees_every_window_of_every_training_text_once(spark, make, monkeypatch):
+    from pyspark.sql import functions as F
+
+    g = np.random.default_rng(3)
+    texts = [g.integers(0, 60, n).astype(np.uint16) for n in (1, 31, 32, 33, 64, 65, 700)]
+    same = [t.astype(np.int32) for t in texts]
+    seen = collections.Counter()
+    for which in range(lm.ROUNDS):
+        keys, own, to = lm.in_round(same, texts, 60, 64, which)
+        assert (own == keys[:, lm.BLOCK :]).all()
+        want = [np.frombuffer(w, np.uint16) for t in texts for r, w in lm.windows(t, 60) if r == which]
+        for a, b in zip(lm.unpacked(want, 64), (keys, own, to), strict=True):
+            assert a.tolist() == b.tolist()
+        seen.update(map(tuple, np.concatenate([keys, to], 1).tolist()))
+    x, y, real = lm.blocks(same, 60, 64)
+    assert seen == collections.Counter(map(tuple, np.concatenate([x[real - 1], x[real], y[real]], 1).tolist()))
+    # and the query gives training the ids of all texts that it learns from
+    given, real_train = [], lm.train
+    monkeypatch.setattr(lm, "train", lambda df, *a: given.append(df) or real_train(df, *a))
+    lm.score(make(["a b c", "d e", None]), F.col("doc_id") == 1, P.path("byte_bpe_50k.tiktoken"))
+    assert given[0].columns == ["ids"] and given[0].count() == 2
+
+
 def test_lm_without_training_rows(spark, make):
     from pyspark.sql import functions as F
 
