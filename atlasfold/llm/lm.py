@@ -55,6 +55,8 @@ from .common import LOWER, Numbers, cut, slices, utf8
 #: Widths of queries and keys, and of the state; ids of a window's own block; branches of a node at most.
 KEY, WIDTH, BLOCK, MOST_BRANCHES = 8, 8, 32, 15
 ROUNDS, BATCH, RATE = 3, 256, 0.02
+#: Targets under one node that are scored at a time.
+CHUNK = 2048
 #: Weight of an id's own frequency against the pairs that begin with the last id.
 SMOOTH = 5.0
 HEAVY = 1_000_000
@@ -223,12 +225,10 @@ def blocks(texts: list[np.ndarray], end: int, pad: int) -> tuple[np.ndarray, np.
     first = (np.cumsum(rows) - rows + 1) * BLOCK
     flat_in = np.full(rows.sum() * BLOCK, pad, np.int32)
     flat_to = flat_in.copy()
-    at = np.arange(sizes.sum()) + np.repeat(first - np.cumsum(sizes) + sizes, sizes)
-    joined = np.concatenate(texts)
-    flat_to[at] = joined
-    before = np.concatenate([[end], joined[:-1]])
-    before[np.cumsum(sizes)[:-1]] = end
-    flat_in[at] = before
+    for t, at in zip(texts, first.tolist(), strict=True):
+        flat_to[at : at + len(t)] = t
+        flat_in[at] = end
+        flat_in[at + 1 : at + len(t)] = t[:-1]
     real = np.ones(rows.sum(), bool)
     real[np.cumsum(rows) - rows] = False
     return flat_in.reshape(-1, BLOCK), flat_to.reshape(-1, BLOCK), np.flatnonzero(real)
@@ -244,7 +244,10 @@ class Attention:
 
     def __init__(self, classes: int, branches: int, logs: list[np.ndarray], seed: int = 7):
         g = np.random.default_rng(seed)
-        self.pad, self.b, self.logs = classes, branches, logs
+        self.pad, self.b, self.logs, self._upper = classes, branches, logs, None
+        #: Which columns of a node's branches, of three levels side by side, are of which level.
+        self.level = np.kron(np.eye(3), np.ones(branches)).astype(np.float32)
+        self._kept: dict[str, np.ndarray] = {}
         f = lambda *s: g.normal(0, 0.3, s).astype(np.float32)
         z = lambda *s: np.zeros(s, np.float32)
         b = branches
@@ -259,117 +262,183 @@ class Attention:
             self.p[k] = flat[at : at + w.size].reshape(w.shape).astype(np.float32)
             at += w.size
 
-    def _mask(self) -> np.ndarray:
-        return np.where(_BACK < 0, _NEVER, self.p["far"][np.maximum(_BACK, 0)]).astype(np.float32)
+    @property
+    def upper(self) -> np.ndarray:
+        """``logs`` of the first two levels side by side, a row for each branch of the root and last class; both are read at once."""
+        if self._upper is None:
+            first, second = self.logs[:2]
+            self._upper = np.concatenate([np.broadcast_to(first, second.shape), second], 2).reshape(-1, 2 * self.b)
+        return self._upper
+
+    def _tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What classes give to attention: scaled queries and a one; keys and, for padding, a number that hides it, values and a one; and what places add, key by query."""
+        p = self.p
+        one, hides = np.ones((self.pad + 1, 1), np.float32), np.zeros((self.pad + 1, 1), np.float32)
+        hides[self.pad] = _NEVER
+        mask = np.where(_BACK < 0, _NEVER, p["far"][np.maximum(_BACK, 0)]).astype(np.float32)
+        return np.concatenate([p["q"] * np.float32(KEY**-0.5), one], 1), np.concatenate([p["k"], hides, p["v"], one], 1), np.ascontiguousarray(mask.T)
+
+    def _room(self, name: str, *shape: int, kind=np.float32) -> np.ndarray:
+        """An array to write into, kept from call to call: fresh memory of this size costs more than the sums in it."""
+        size = math.prod(shape)
+        if name not in self._kept or self._kept[name].size < size:
+            self._kept[name] = np.empty(size, kind)
+        return self._kept[name][:size].reshape(shape)
+
+    def _taken(self, name: str, table: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Rows of a table by number, in the room of that name."""
+        return table.take(ids, 0, out=self._room(name, *ids.shape, *table.shape[1:], kind=table.dtype), mode="clip")
+
+    def _turned(self, x: np.ndarray) -> np.ndarray:
+        """Each matrix transposed and stored so: products with it on the right are some three times as fast."""
+        out = self._room("turned", len(x), *x.shape[:0:-1])
+        out[...] = x.transpose(0, 2, 1)
+        return out
 
-    def _weights(self, q: np.ndarray, k: np.ndarray, keys: np.ndarray, mask: np.ndarray) -> np.ndarray:
-        """Attention of rows of queries to their keys, before it is divided by its sum."""
-        s = np.matmul(q, k.transpose(0, 2, 1))
-        s += mask
-        if (pad := keys == self.pad).any():
-            s += np.where(pad, _NEVER, np.float32(0))[:, None, :]
-        return np.exp(s, out=s)
+    def _by_class(self, ids: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Sums of rows, of an even number of columns, by class; in pairs, as complex numbers, which halves the places."""
+        half = rows.shape[-1] // 2
+        out = np.zeros((self.pad + 1, half), np.complex64)
+        places = np.arange(out.size).reshape(out.shape)
+        np.add.at(out.ravel(), self._taken(f"places{half}", places, ids).ravel(), rows.view(np.complex64).ravel())
+        return out.view(np.float32)
 
     def gradients(self, keys: np.ndarray, own: np.ndarray, to: np.ndarray) -> dict[str, np.ndarray]:
         """Gradients of the mean negative log likelihood of some blocks; keys: two blocks of inputs a row."""
-        p, b, has = self.p, self.b, to != self.pad
-        scale = np.float32(KEY**-0.5)
-        q, k, v = p["q"][own], p["k"][keys], p["v"][keys]
-        a = self._weights(q * scale, k, keys, self._mask())
-        a /= a.sum(2, keepdims=True)
-        o = np.matmul(a, v)
-        at = np.flatnonzero(has)
-        at = at[np.argsort(to.ravel()[at], kind="stable")]  # so that those under one node stand together, on each level
-        state, last, nxt = o.reshape(-1, WIDTH)[at], own.ravel()[at], to.ravel()[at]
-        n, each = len(nxt), np.arange(len(nxt))
-        d_state, out = np.zeros_like(state), {}
-        for level, (name, logs) in enumerate(zip(("u0", "u1", "u2"), self.logs, strict=True)):
-            node = nxt // b ** (3 - level)
-            starts = np.flatnonzero(np.diff(node, prepend=-1)).tolist()
-            parts = list(zip(node[starts].tolist(), map(slice, starts, [*starts[1:], n]), strict=True))
-            z = logs[last] if level == 0 else logs[node, last]
-            for g, i in parts:
-                z[i] += state[i] @ p[name][g]
-            z -= z.max(1, keepdims=True)
-            np.exp(z, out=z)
-            z /= z.sum(1, keepdims=True)
-            z[each, nxt // b ** (2 - level) % b] -= 1
-            z /= n
-            out[name] = np.zeros_like(p[name])
-            for g, i in parts:
-                d_state[i] += z[i] @ p[name][g].T
-                out[name][g] = state[i].T @ z[i]
-        do = np.zeros_like(o)
-        do.reshape(-1, WIDTH)[at] = d_state
-        ds = np.matmul(do, v.transpose(0, 2, 1))
-        ds = a * (ds - (a * ds).sum(2, keepdims=True))
-        out["far"] = np.bincount(np.maximum(_BACK, 0).ravel(), ds.sum(0).ravel(), 2 * BLOCK)
-        ds *= scale
-        for name, ids, d in (("q", own, np.matmul(ds, k)), ("k", keys, np.matmul(ds.transpose(0, 2, 1), q)), ("v", keys, np.matmul(a.transpose(0, 2, 1), do))):
-            out[name] = np.stack([np.bincount(ids.ravel(), d[..., j].ravel(), self.pad + 1) for j in range(d.shape[-1])], 1)
+        n = len(own)
+        query, both, mask = self._tables()
+        q, both = self._taken("q", query, own), self._taken("both", both, keys)
+        k, v = both[..., : KEY + 1], both[..., KEY + 1 :]
+        a = np.matmul(k, self._turned(q), out=self._room("a", n, 2 * BLOCK, BLOCK))  # attention before it is divided by its sum, key by query
+        a += mask
+        np.exp(a, out=a)
+        o = np.matmul(a.transpose(0, 2, 1), v, out=self._room("o", n, BLOCK, WIDTH + 1))
+        over = 1 / o[..., WIDTH:]
+        o = np.multiply(o[..., :WIDTH], over, out=self._room("whole", n, BLOCK, WIDTH))
+        d_state, out = self._tree(o.reshape(-1, WIDTH), own.ravel(), to.ravel())
+        # the sum's own slope is one more column, met by the ones beside v
+        do = self._room("do", n, BLOCK, WIDTH + 1)
+        np.multiply(d_state.reshape(o.shape), over, out=do[..., :WIDTH])
+        o *= do[..., :WIDTH]
+        np.negative(o @ np.ones(WIDTH, np.float32), out=do[..., WIDTH])
+        ds = np.matmul(v, self._turned(do), out=self._room("ds", *a.shape))
+        ds *= a
+        d = self._room("d", n, 2 * BLOCK, KEY + WIDTH)
+        np.matmul(ds, q[..., :KEY], out=d[..., :KEY])
+        np.matmul(a, do[..., :WIDTH], out=d[..., KEY:])
+        d = self._by_class(keys, d)
+        out["k"], out["v"] = d[:, :KEY], d[:, KEY:]
+        d = np.matmul(ds.transpose(0, 2, 1), k[..., :KEY], out=self._room("d", n, BLOCK, KEY))
+        out["q"] = self._by_class(own, d) * np.float32(KEY**-0.5)
+        out["far"] = np.bincount(np.maximum(_BACK.T, 0).ravel(), np.ones(n, np.float32) @ ds.reshape(n, -1), 2 * BLOCK)
         return out
 
+    def _nodes(self) -> np.ndarray:
+        """Weights of all three levels side by side, for each node of the last."""
+        p, b = self.p, self.b
+        return np.concatenate([np.repeat(p["u0"], b * b, 0), np.repeat(p["u1"], b, 0), p["u2"]], 2)
+
+    def _tree(self, state: np.ndarray, last: np.ndarray, to: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+        """Gradients by the states (none where there is no target) and by the weights of the nodes. Targets under one node of the last level stand together."""
+        b, u = self.b, self._nodes()
+        node = (to // b).astype(np.int16)
+        edges = np.concatenate([[0], np.cumsum(np.bincount(node, minlength=b * b)[: b * b])])
+        some = np.flatnonzero(np.diff(edges)).tolist()
+        at = np.argsort(node, kind="stable")[: edges[-1]]
+        node, last, to, n = node.take(at).astype(np.int64), last.take(at), to.take(at), len(at)
+        edges = edges.tolist()
+        parts = [slice(edges[g], edges[g + 1]) for g in some]
+        own, z, each = self._taken("state", state, at), self._room("z", n, 3 * b), self._room("each", n + 1, WIDTH)
+        d = np.zeros_like(u)
+        tasks = list(zip([own[i] for i in parts], [z[i] for i in parts], [each[i] for i in parts], [u[g] for g in some], [d[g] for g in some], strict=True))
+        for x, out, _, w, _ in tasks:
+            np.dot(x, w, out)
+        z[:, : 2 * b] += self._taken("logs", self.upper, node // b * self.pad + last)
+        z[:, 2 * b :] += self._taken("logs", self.logs[2].reshape(-1, b), node * self.pad + last)
+        np.exp(z, out=z)
+        z *= np.matmul(np.float32(1 / n) / (z @ self.level.T), self.level, out=self._room("logs", n, 3 * b))
+        flat, start = z.reshape(-1), np.arange(0, n * 3 * b, 3 * b)
+        for pick in (to // (b * b), b + to // b % b, 2 * b + to % b):
+            flat[start + pick] -= np.float32(1 / n)
+        for x, own, out, w, into in tasks:
+            np.dot(own, w.T, out)
+            np.dot(x.T, own, into)
+        each[n] = 0  # of places without a target
+        where = np.full(len(state), n)
+        where[at] = np.arange(n)
+        mid = d[..., : 2 * b].reshape(b, b, WIDTH, 2 * b).sum(1)
+        return each.take(where, 0), {"u0": mid[..., :b].sum(0, keepdims=True), "u1": mid[..., b:], "u2": d[..., 2 * b :]}
+
     def train(self, groups: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], rate: float) -> int:
         """Adam over groups of (keys, own, to); how many blocks there were."""
-        m = {k: np.zeros_like(w) for k, w in self.p.items()}
-        s = {k: np.zeros_like(w) for k, w in self.p.items()}
+        flat = self.flat()
+        most = np.concatenate([np.full(w.size, BOUNDS[k], np.float32) for k, w in self.p.items()])
+        ends = np.cumsum([w.size for w in self.p.values()])[:-1]
+        self.p = {k: x.reshape(w.shape) for (k, w), x in zip(self.p.items(), np.split(flat, ends), strict=True)}  # views of flat
+        m, s, d, size = (np.zeros_like(flat) for _ in range(4))
+        parts = dict(zip(self.p, np.split(d, ends), strict=True))
         seen = 0
         for step, group in enumerate(groups, 1):
             seen += len(group[0])
-            for k, d in self.gradients(*group).items():
-                d = d.astype(np.float32)
-                m[k] += np.float32(0.1) * (d - m[k])
-                s[k] += np.float32(0.01) * (d * d - s[k])
-                size = np.sqrt(s[k] / np.float32(1 - 0.99**step)) + np.float32(1e-8)
-                self.p[k] = np.clip(self.p[k] - np.float32(rate / (1 - 0.9**step)) * m[k] / size, -BOUNDS[k], BOUNDS[k])
+            for k, x in self.gradients(*group).items():
+                parts[k].reshape(x.shape)[...] = x
+            d *= np.float32(0.1)
+            m *= np.float32(0.9)
+            m += d
+            d *= d
+            s *= np.float32(0.99)
+            s += d
+            np.sqrt(s, out=size)
+            size *= np.float32((1 - 0.99**step) ** -0.5)
+            size += np.float32(1e-8)
+            np.divide(m, size, out=size)
+            size *= np.float32(rate / (1 - 0.9**step))
+            flat -= size
+            np.minimum(flat, most, out=flat)
+            np.maximum(flat, -most, out=flat)
         return seen
 
-    def states(self, x: np.ndarray, rows: np.ndarray) -> np.ndarray:
-        """The state at each place of the given rows of blocks."""
-        p = self.p
-        q, kv = p["q"] * np.float32(KEY**-0.5), np.concatenate([p["k"], p["v"]], 1)
-        out, mask = np.empty((len(rows) * BLOCK, WIDTH), np.float32), self._mask()
-        for at in range(0, len(rows), 64):
-            some = rows[at : at + 64]
-            own = x[some]
-            keys = np.concatenate([x[some - 1], own], 1)
-            both = kv[keys]
-            s = self._weights(q[own], both[..., :KEY], keys, mask)
-            o = np.matmul(s, both[..., KEY:])
-            o /= s.sum(2, keepdims=True)
-            out[at * BLOCK : at * BLOCK + len(some) * BLOCK] = o.reshape(-1, WIDTH)
-        return out
+    def states(self, x: np.ndarray) -> np.ndarray:
+        """The state at each place of all rows of blocks but the first."""
+        query, table, mask = self._tables()
+        out = np.empty((len(x) - 1, BLOCK, WIDTH), np.float32)
+        for at in range(0, len(out), 64):
+            q, both = self._taken("q", query, x[at + 1 : at + 65]), self._taken("both", table, x[at : at + 65])
+            # two blocks a row, so most stand in two rows
+            both = np.lib.stride_tricks.as_strided(both, (len(q), 2 * BLOCK, both.shape[2]), both.strides, writeable=False)
+            s = np.matmul(both[..., : KEY + 1], self._turned(q), out=self._room("a", len(q), 2 * BLOCK, BLOCK))
+            s += mask
+            np.exp(s, out=s)
+            o = np.matmul(s.transpose(0, 2, 1), both[..., KEY + 1 :], out=self._room("o", len(q), BLOCK, WIDTH + 1))
+            np.divide(o[..., :WIDTH], o[..., WIDTH:], out=out[at : at + len(q)])
+        return out.reshape(-1, WIDTH)
 
     def scores(self, texts: list[np.ndarray], end: int) -> np.ndarray:
         """Sum of log10 p over each text's classes: every one is scored once, those under one node together."""
-        x, y, real = blocks(texts, end, self.pad)
-        b, p = self.b, self.p
-        state, to = self.states(x, real), y[real].ravel()
-        has = np.flatnonzero(to != self.pad)
-        node = to[has] // b
-        order = np.argsort(node.astype(np.int16), kind="stable")
-        has, node = has[order], node[order]
-        state, last, to = state[has], x[real].ravel()[has], to[has]
-        edges = np.searchsorted(node, np.arange(b * b + 1))
-        sums = np.kron(np.eye(3), np.ones((b, 1))).astype(np.float32)
-        out = np.empty(len(has), np.float32)
+        x, y, _ = blocks(texts, end, self.pad)
+        b = self.b
+        state, last, to = self.states(x), x[1:].ravel(), y[1:].ravel()
+        node = (to // b).astype(np.int16)
+        edges = np.concatenate([[0], np.cumsum(np.bincount(node, minlength=b * b)[: b * b])])
+        has = np.argsort(node, kind="stable")[: edges[-1]]
+        state, last, to = state.take(has, 0), last.take(has), to.take(has)
+        starts, level = np.arange(0, CHUNK * 3 * b, 3 * b), np.ascontiguousarray(self.level.T)
+        out, nodes = np.empty(len(has), np.float32), self._nodes()
         for g in range(b * b):
             top, mid = g // b, g % b
-            w = np.concatenate([p["u0"][0], p["u1"][top], p["u2"][g]], 1)
-            for i in range(edges[g], edges[g + 1], 2048):
-                j = min(edges[g + 1], i + 2048)
+            upper, lower = self.upper[top * self.pad : (top + 1) * self.pad], self.logs[2][g]
+            for i in range(edges[g], edges[g + 1], CHUNK):
+                j = min(edges[g + 1], i + CHUNK)
                 own = last[i:j]
-                z = state[i:j] @ w
-                z[:, :b] += self.logs[0].take(own, 0)
-                z[:, b : 2 * b] += self.logs[1][top].take(own, 0)
-                z[:, 2 * b :] += self.logs[2][g].take(own, 0)
-                pick = z[:, top] + z[:, b + mid] + z.ravel().take(np.arange(0, (j - i) * 3 * b, 3 * b) + (to[i:j] - (g - 2) * b))
-                total = np.log(np.exp(z, out=z) @ sums)
+                z = np.matmul(state[i:j], nodes[g], out=self._room("z", j - i, 3 * b))
+                z[:, : 2 * b] += self._taken("logs", upper, own)
+                z[:, 2 * b :] += self._taken("logs", lower, own)
+                pick = z[:, top] + z[:, b + mid] + z.reshape(-1).take(starts[: j - i] + (to[i:j] - (g - 2) * b))
+                total = np.log(np.exp(z, out=z) @ level)
                 out[i:j] = pick - total[:, 0] - total[:, 1] - total[:, 2]
-        each = np.zeros(len(real) * BLOCK)
-        each[has] = out
-        whole = np.zeros(len(x))
-        whole[real] = each.reshape(-1, BLOCK).sum(1) / math.log(10)
+        each = np.zeros(x.size)
+        each[has + BLOCK] = out
+        whole = each.reshape(-1, BLOCK).sum(1) / math.log(10)
         rows = -(-np.array([len(t) for t in texts]) // BLOCK) + 1
         return np.add.reduceat(whole, np.cumsum(rows) - rows)
 
@@ -389,20 +458,22 @@ def word_counts(train: DataFrame) -> DataFrame:
     """(word, c) over all texts of ``train`` (column _text), added up before the shuffle in bounded tables."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(numbers.fresh, pa.binary()), pa.array(total)], ["word", "c"])
+        def flush() -> Iterator[pa.RecordBatch]:
+            table = pa.concat_tables(held).group_by("word").aggregate([("c", "sum")])
+            held.clear()
+            yield from table.select(["word", "c_sum"]).rename_columns(["word", "c"]).to_batches()
 
-        numbers, total = Numbers(), np.zeros(0, np.int64)
+        held: list[pa.Table] = []
         for batch in batches:
             for part in slices(batch, "_text", 2 << 20):
-                found = np.bincount(np.fromiter(map(numbers.__getitem__, chain.from_iterable(_words(part))), np.int64), minlength=len(numbers))
-                found[: len(total)] += total
-                total = found
-                if len(numbers) > 400_000:
-                    yield flush()
-                    numbers, total = Numbers(), np.zeros(0, np.int64)
-        if numbers:
-            yield flush()
+                # Arrow's white space is that of bytes.split; at a text's ends it leaves empty words
+                words = pc.ascii_split_whitespace(pc.ascii_lower(part.column("_text"))).flatten().cast(pa.binary())
+                found = pc.value_counts(words.filter(pc.greater(pc.binary_length(words), 0)))
+                held.append(pa.table([found.field("values"), found.field("counts")], ["word", "c"]))
+                if sum(map(len, held)) > 1_000_000:
+                    yield from flush()
+        if held:
+            yield from flush()
 
     return train.mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 

@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -374,6 +375,32 @@ def test_lm_sees_every_window_of_every_training_text_once(spark, make, monkeypat
     assert given[0].columns == ["ids"] and given[0].count() == 2
 
 
+def test_lm_steps_write_into_kept_memory():
+    """Steps of 256 blocks after the first take little fresh memory, and what earlier, larger ones left there doesn't show."""
+    g = np.random.default_rng(5)
+    a, b = (some_model(np.random.default_rng(6), 6) for _ in range(2))
+    x, y, real = lm.blocks([g.integers(0, a.pad, n) for n in (*range(1, 90), 5000)], 3, a.pad)
+    keys, own, to = np.concatenate([x[real - 1], x[real]], 1)[:256], x[real][:256], y[real][:256]
+    assert len(own) == 256
+    a.gradients(keys, own, to)
+    for some in (slice(0, 7), slice(90, 256), slice(3, 4)):
+        fresh = some_model(np.random.default_rng(6), 6).gradients(keys[some], own[some], to[some])
+        assert all(np.allclose(d, fresh[k], atol=1e-9) for k, d in a.gradients(keys[some], own[some], to[some]).items())
+    texts = [g.integers(0, 200, n) for n in (3, 70, 1)]
+    assert np.allclose(a.scores(texts, 3), b.scores(texts, 3), rtol=1e-6)
+    tracemalloc.start()
+    a.gradients(keys, own, to)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4 << 20
+
+
+def test_lm_counts_words_as_bytes_split(spark, make):
+    texts = [*ODD, "  A a\x0bb\x1cB c\x00 \u00a0d\u0085 ", "\t", "x\r\n\ty\x0cZ\x1fq z\u2003z"]
+    found = {bytes(r["word"]): r["c"] for r in lm.word_counts(make(texts).selectExpr("text _text")).collect()}
+    assert found == collections.Counter(w for t in texts for w in (t or "").encode().translate(lm.LOWER).split())
+
+
 def test_lm_without_training_rows(spark, make):
     from pyspark.sql import functions as F
 
