@@ -232,11 +232,18 @@ def sensor_covariance(points: DataFrame, sd_angle: float = SD_ANGLE, sd_range: f
 
 
 def _spread(fits: DataFrame, segments: DataFrame, keys: list[str]) -> DataFrame:
-    """Second moments of the fitted ends around the segments' own."""
+    """Second moments of the fitted ends around the segments' own, added up by sample, so that they don't depend on the order in which fits arrive."""
     given = segments.select(*keys, *[F.col(k).cast("double").alias(f"_{k}") for k in ENDS])
     off = {k: F.col(k) - F.col(f"_{k}") for k in ENDS}
-    both = fits.join(given, keys)
-    return both.groupBy(*keys).agg(*[F.avg(off[f"{a}{e}"] * off[f"{b}{e}"]).alias(f"c{e}{a}{b}") for e in (0, 1) for a, b in ("xx", "xy", "yy")])
+    each = {f"c{e}{a}{b}": off[f"{a}{e}"] * off[f"{b}{e}"] for e in (0, 1) for a, b in ("xx", "xy", "yy")}
+    # a row per sample, so as many in a list as samples were asked for
+    fits = fits.join(given, keys).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_sample", *[v.alias(k) for k, v in each.items()]))).alias("_fits"))
+
+    def mean(name: str):
+        some = F.filter(F.col(f"_fits.{name}"), F.isnotnull)
+        return F.aggregate(some, F.lit(0.0), lambda a, x: a + x) / F.nullif(F.size(some), F.lit(0))
+
+    return fits.select(*keys, *[mean(k).alias(k) for k in each])
 
 
 def sensor_uncertainty(points: DataFrame, segments: DataFrame, keys: list[str], point_id: list[str], samples: int = 1000, seed: int = 7) -> DataFrame:

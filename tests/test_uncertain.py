@@ -157,3 +157,12 @@ def test_a_name_spelt_once_draws_the_same(spark):
     a, b = draws.normals(7, "id", "none", "w", "s"), draws.normals(F.col("name"), "s")
     rows = df.withColumn("name", draws.named(7, "id", "none", "w")).withColumn("s", F.explode(F.array(F.lit(1), F.lit(2))))
     assert rows.where((a[0] != b[0]) | (a[1] != b[1])).count() == 0 and rows.select(b[0].alias("b")).distinct().count() == 400
+
+
+def test_moments_do_not_depend_on_the_order_of_fits(spark):
+    fits = [(0, i, *(4 * [x])) for i, x in enumerate([1e8, *(400 * [1.0])])] + [(1, 0, None, 1.0, 2.0, 3.0), (1, 1, 2.0, 1.0, 2.0, 3.0)]
+    segments = spark.createDataFrame([(k, 0.0, 0.0, 0.0, 0.0) for k in range(3)], "k long, x0 double, y0 double, x1 double, y1 double")
+    schema = "k long, _sample int, x0 double, y0 double, x1 double, y1 double"
+    one, two = ({r.k: tuple(r[1:]) for r in uncertain._spread(spark.createDataFrame(rows, schema).coalesce(1), segments, ["k"]).collect()} for rows in (fits, fits[::-1]))
+    assert one == two and set(one) == {0, 1}
+    assert one[1] == (4.0, 2.0, 1.0, 4.0, 6.0, 9.0) and one[0] == pytest.approx(6 * [1e16 / 401])
