@@ -13,12 +13,16 @@ from ..functions.draws import named, normals
 from ..functions.geometry import ellipse, length
 from ..snapshot import cut, remove
 
-#: The pull of either end to the centroid, shared by all points, and how many points a resampling draws at most.
-PULL, MOST = 10.0, 100_000
+#: Fixed value: the pull of either end to the centroid, shared by all points.
+PULL = 10.0
 #: Deviations of the sensor across (radians) and along (metres) a ray, and the chi-squared bound of its ellipse.
 SD_ANGLE, SD_RANGE, CHI2 = 0.002, 0.03, 5.991
 #: Draws of a resampling task, and points up to which a segment is fitted in one piece.
 DRAWS, WHOLE = 5_000_000, 1 << 15
+#: Draws of a resampling that are made at once, and up to which a sample's are held; of larger samples they are made anew in every round.
+BLOCK, HELD = 100_000, 1 << 23
+#: Points that are summed at once, so that what is worked out of them stays in a processor's cache.
+STRIP = 1 << 15
 #: Metres from a kink within which curvature grows no more.
 NEAR = 1e-4
 ENDS = ["x0", "y0", "x1", "y1"]
@@ -163,12 +167,10 @@ def _summed(own: DataFrame, open_: DataFrame, keys: list[str], ids: list[str], a
     return parts.groupBy(*ids).agg(*[F.coalesce(F.sum(F.when(c("_region") == g, c(n))), F.lit(0.0)).alias(f"{n}{g}_") for g in range(3) for n in SUMS])
 
 
-def equations(frame: pd.DataFrame) -> pd.DataFrame:
-    """A copy with cost, gradient and curvature of each segment from ``_summed``; the pull's share, alike for all points, is added here. Null without sums."""
-    frame = frame.copy()
-    size = len(frame)
-    sums = {n: frame[[f"{n}{g}_" for g in range(3)]].to_numpy(float) for n in SUMS}
-    ends, centre, share = frame[ENDS].to_numpy(float), frame[["mx", "my"]].to_numpy(float), PULL / np.maximum(frame["n"].to_numpy(float), 1)
+def normal_terms(sums: np.ndarray, ends: np.ndarray, centre: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Cost, gradient and curvature of segments from their sums (size, 3, len(SUMS)); the pull's share, alike for all points, is added here."""
+    size, share = len(sums), PULL / np.maximum(n, 1)
+    sums = {k: sums[:, :, i] for i, k in enumerate(SUMS)}
     d = ends[:, 2:] - ends[:, :2]
     long = np.hypot(*d.T)
     u = d / np.where(long > 0, long, 1)[:, None]
@@ -194,8 +196,14 @@ def equations(frame: pd.DataFrame) -> pd.DataFrame:
         bend[:, at, at] += (all_r * share / np.maximum(far, NEAR))[:, None, None] * (np.eye(2) - v[:, :, None] * v[:, None, :])
     bend += own[:, :, None] * pull[:, None, :] + pull[:, :, None] * own[:, None, :] + m[:, None, None] * pull[:, :, None] * pull[:, None, :]
     grad += all_r[:, None] * pull
-    frame["cost"] = sums["rr"].sum(1) / 2
-    frame[_G] = grad
+    return sums["rr"].sum(1) / 2, grad, bend
+
+
+def equations(frame: pd.DataFrame) -> pd.DataFrame:
+    """A copy with cost, gradient and curvature of each segment from ``_summed``. Null without sums."""
+    frame = frame.copy()
+    sums = frame[[f"{n}{g}_" for g in range(3) for n in SUMS]].to_numpy(float).reshape(-1, 3, len(SUMS))
+    frame["cost"], frame[_G], bend = normal_terms(sums, frame[ENDS].to_numpy(float), frame[["mx", "my"]].to_numpy(float), frame["n"].to_numpy(float))
     for k in _H:
         frame[k] = bend[:, int(k[1]), int(k[2])]
     return frame
@@ -265,15 +273,14 @@ def sensor_uncertainty(points: DataFrame, segments: DataFrame, keys: list[str],
     return _spread(fit_ends(noisy, every, keys, ["_sample"], moved).where("n > 0"), segments, keys)
 
 
-def fit_points(ends, xy: np.ndarray, iterations: int = 25) -> tuple[np.ndarray, float]:
-    """``fit_ends`` of one segment whose points are an array: its ends and cost, by the same rounds."""
-    centre, best, held, damp = xy.mean(0), np.inf, None, 3e-4
+def _least(ends, terms: Callable[[np.ndarray], tuple[float, np.ndarray, np.ndarray]], iterations: int) -> tuple[np.ndarray, float]:
+    """Ends and cost by damped rounds; ``terms`` gives the cost, curvature and gradient of a trial."""
+    best, held, damp = np.inf, None, 3e-4
     trial = at = np.asarray(ends, float)
     for _ in range(iterations + 1):
-        r, j, h = end_terms(trial, xy, centre, len(xy))
-        cost = float(r @ r) / 2
+        cost, h, g = terms(trial)
         if not cost >= best:
-            gained, best, at, held, damp = best - cost, cost, trial, (h.sum(0), j.T @ r), max(damp / 3, 1e-9)
+            gained, best, at, held, damp = best - cost, cost, trial, (h, g), max(damp / 3, 1e-9)
             if gained <= 1e-6 * cost:
                 break
         else:
@@ -285,20 +292,89 @@ def fit_points(ends, xy: np.ndarray, iterations: int = 25) -> tuple[np.ndarray,
     return at, best
 
 
-def resampled(segments: DataFrame, keys: list[str], sigma: float, samples: int = 1000, most: int = MOST, seed: int = 11) -> DataFrame:
+def fit_points(ends, xy: np.ndarray, iterations: int = 25) -> tuple[np.ndarray, float]:
+    """``fit_ends`` of one segment whose points are an array: its ends and cost, by the same rounds."""
+    centre = xy.mean(0)
+
+    def terms(trial):
+        r, j, h = end_terms(trial, xy, centre, len(xy))
+        return float(r @ r) / 2, h.sum(0), j.T @ r
+
+    return _least(ends, terms, iterations)
+
+
+def _strip_sums(ends: np.ndarray, held: float, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """(3, len(SUMS)): what ``_summed`` gives of one segment, of points that are arrays."""
+    out = np.zeros((3, len(SUMS)))
+    x0, y0, x1, y1 = ends
+    long = np.hypot(x1 - x0, y1 - y0)
+    over = np.arange(len(x))
+    if long > 0:
+        u, v, rx, ry = (x1 - x0) / long, (y1 - y0) / long, x - x0, y - y0
+        t, off = rx * (u / long) + ry * (v / long), ry * u - rx * v
+        over = np.flatnonzero((t < 0) | (t > 1))
+        first = t[over] < 0
+        t[over] = off[over] = 0
+        s, a = np.sign(off), np.abs(off)
+        w = s * s + held / np.maximum(a, NEAR)
+        w[over] = 0
+        m, so, st, sot, wt = len(x) - len(over), off.sum(), s @ t, off @ t, w * t
+        ss, sa, w0, w1, w2 = s.sum(), a.sum(), w.sum(), wt.sum(), wt @ t
+        out[1] = m, off @ off + 2 * held * sa + held * held * m, sa + held * m, st - ss, -st, sot - so + held * (st - ss), -sot - held * st, w2 - 2 * w1 + w0, w1 - w2, w2
+    else:
+        first = np.ones(len(x), bool)
+    for g, some, ex, ey in ((0, over[first], x0, y0), (2, over[~first], x1, y1)):
+        if len(some):
+            ex, ey = ex - x[some], ey - y[some]
+            d = np.hypot(ex, ey)
+            p, q = (np.where(d > 0, k / np.where(d > 0, d, 1), 0.0) for k in (ex, ey))
+            r = d + held
+            k = r / np.maximum(d, NEAR)
+            out[g] = len(some), r @ r, r.sum(), p.sum(), q.sum(), r @ p, r @ q, (p * p + k * (1 - p * p)).sum(), (p * q * (1 - k)).sum(), (q * q + k * (1 - q * q)).sum()
+    return out
+
+
+def fit_blocks(ends, blocks: Callable[[], Iterator[tuple[np.ndarray, np.ndarray]]], n: int, centre: np.ndarray, iterations: int = 25) -> tuple[np.ndarray, float]:
+    """``fit_points`` of n points around ``centre`` that come as blocks (x, y), anew in every round: one block is worked at a time."""
+
+    def terms(trial):
+        held = PULL / n * (np.hypot(*(trial[:2] - centre)) + np.hypot(*(trial[2:] - centre)))
+        sums = np.zeros((3, len(SUMS)))
+        for x, y in blocks():
+            for i in range(0, len(x), STRIP):
+                sums += _strip_sums(trial, held, x[i : i + STRIP], y[i : i + STRIP])
+        cost, grad, bend = normal_terms(sums[None], trial[None], centre[None], np.array([n]))
+        return float(cost[0]), bend[0], grad[0]
+
+    return _least(ends, terms, iterations)
+
+
+def drawn(ends: np.ndarray, mass: int, sigma: float, key: int, sample: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Blocks (x, y) of ``mass`` points evenly along a segment and normally across it, by a generator whose counter is the block's."""
+    d = ends[2:] - ends[:2]
+    across = np.array([-d[1], d[0]]) / np.hypot(*d)
+    for number in range(-(-mass // BLOCK)):
+        size = min(BLOCK, mass - number * BLOCK)
+        g = np.random.Generator(np.random.Philox(key=np.array([key & (1 << 64) - 1, sample], np.uint64), counter=np.array([0, 0, 0, number], np.uint64)))
+        t, off = g.random(size), sigma * g.standard_normal(size)
+        yield ends[0] + t * d[0] + off * across[0], ends[1] + t * d[1] + off * across[1]
+
+
+def resampled(segments: DataFrame, keys: list[str], sigma: float, samples: int = 1000, seed: int = 11) -> DataFrame:
     """How sure segments are of their ends that keep no points, only a ``mass``: (keys, c0xx .. c1yy, mx, my, sxx, sxy, syy).
 
-    A sample draws as many points as the mass says (``most`` at most, which bounds what a task holds), evenly along the segment
-    and normally across it, and refits both ends. Moments of ends are around the given ones; mean and second moments are
-    the last sample's. Segments' samples are rows of their own, so one segment's work is spread over tasks; a generator is
-    keyed by segment and sample, so results don't depend on the partitioning. Segments without mass or length give no rows.
+    A sample draws as many points as the mass says, evenly along the segment and normally across it, and refits both ends. Points
+    are drawn and summed in blocks; up to HELD of a sample are kept for its next rounds, of more they are drawn anew, so what
+    a task holds is bounded. Moments of ends are around the given ones; mean and second moments are the last sample's.
+    Segments' samples are rows of their own, so one segment's work is spread over tasks; a generator is keyed by segment and
+    sample, so results don't depend on the partitioning. Segments without mass or length give no rows.
     """
     names = ["px", "py", "sxx", "sxy", "syy"]
     number = F.xxhash64(F.lit(seed), *[F.col(k).cast("string") for k in keys])
     rows = segments.where("mass >= 1").where(length(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")) > 0)
-    rows = rows.select(*keys, *[F.col(k).cast("double").alias(k) for k in ENDS], F.least(F.col("mass"), F.lit(most)).cast("int").alias("mass"), number.alias("_key"))
-    drawn = (rows.agg(F.sum("mass")).first()[0] or 0) * samples
-    tasks = max(segments.sparkSession.sparkContext.defaultParallelism, -(-drawn // DRAWS))
+    rows = rows.select(*keys, *[F.col(k).cast("double").alias(k) for k in ENDS], F.col("mass").cast("long").alias("mass"), number.alias("_key"))
+    total = (rows.agg(F.sum("mass")).first()[0] or 0) * samples
+    tasks = max(segments.sparkSession.sparkContext.defaultParallelism, min(-(-total // DRAWS), rows.count() * samples))
     rows = rows.withColumn("_sample", F.explode(F.sequence(F.lit(1), F.lit(samples)))).repartition(tasks, *keys, "_sample")
     schema = rows.select(*keys, "_sample", *ENDS, *[F.lit(0.0).alias(k) for k in names]).schema
 
@@ -306,12 +382,15 @@ def resampled(segments: DataFrame, keys: list[str], sigma: float, samples: int =
         for frame in batches:
             out = []
             for ends, mass, key, sample in zip(frame[ENDS].to_numpy(float), frame["mass"], frame["_key"], frame["_sample"], strict=True):
-                g = np.random.Generator(np.random.Philox(key=np.array([int(key) & (1 << 64) - 1, sample], np.uint64)))
-                d = ends[2:] - ends[:2]
-                across = np.array([-d[1], d[0]]) / np.hypot(*d)
-                xy = ends[:2] + g.random((mass, 1)) * d + sigma * g.standard_normal((mass, 1)) * across
-                x, y = xy.T
-                out.append((*fit_points(ends, xy)[0], x.mean(), y.mean(), (x * x).mean(), (x * y).mean(), (y * y).mean()))
+                made = lambda: drawn(ends, int(mass), sigma, int(key), int(sample))  # noqa: B023, E731
+                kept, moments = [], np.zeros(5)
+                for x, y in made():
+                    moments += x.sum(), y.sum(), x @ x, x @ y, y @ y
+                    if mass <= HELD:
+                        kept.append((x, y))
+                moments /= mass
+                again = (lambda: iter(kept)) if kept else made  # noqa: B023
+                out.append((*fit_blocks(ends, again, int(mass), moments[:2])[0], *moments))
             yield pd.concat([frame[[*keys, "_sample"]].reset_index(drop=True), pd.DataFrame(out, columns=[*ENDS, *names])], axis=1)
 
     fits = cut(rows.mapInPandas(run, schema), "resampled")

@@ -166,3 +166,27 @@ def test_moments_do_not_depend_on_the_order_of_fits(spark):
     one, two = ({r.k: tuple(r[1:]) for r in uncertain._spread(spark.createDataFrame(rows, schema).coalesce(1), segments, ["k"]).collect()} for rows in (fits, fits[::-1]))
     assert one == two and set(one) == {0, 1}
     assert one[1] == (4.0, 2.0, 1.0, 4.0, 6.0, 9.0) and one[0] == pytest.approx(6 * [1e16 / 401])
+
+
+def test_points_in_blocks_fit_as_an_array_does():
+    g = np.random.default_rng(12)
+    for k in range(4):
+        xy = np.array([r[1:] for r in walls(g, 3000) if r[0] == k])
+        blocks = lambda: ((xy[i : i + 700, 0], xy[i : i + 700, 1]) for i in range(0, len(xy), 700))  # noqa: B023, E731
+        one, two = uncertain.fit_points(guess(k)[1:5], xy), uncertain.fit_blocks(guess(k)[1:5], blocks, len(xy), xy.mean(0))
+        assert np.allclose(one[0], two[0], atol=1e-6) and one[1] == pytest.approx(two[1])
+    sums = uncertain._strip_sums(np.array([1.0, 2.0, 1.0, 2.0]), 0.1, np.array([1.0, 3.0]), np.array([2.0, 2.0]))  # without length
+    assert sums[:, 0].tolist() == [2.0, 0.0, 0.0] and np.isfinite(sums).all()
+
+
+def test_a_resampling_draws_the_whole_mass(spark):
+    mass = 230_000
+    segments = spark.createDataFrame([(1, 0.0, 0.0, 3.0, 1.0, mass), (2, 0.0, 0.0, 3.0, 1.0, mass + 100_000)], SEG)
+    rows = {r.k: r for r in uncertain.resampled(segments, ["k"], 0.03, 1).collect()}
+    for k, n in ((1, mass), (2, mass + 100_000)):
+        key = segments.where(F.col("k") == k).select(F.xxhash64(F.lit(11), F.col("k").cast("string"))).first()[0]
+        xy = np.concatenate([np.stack(b, 1) for b in uncertain.drawn(np.array([0.0, 0.0, 3.0, 1.0]), n, 0.03, key, 1)])
+        assert len(np.unique(xy, axis=0)) == n
+        assert (rows[k].mx, rows[k].my) == pytest.approx(tuple(xy.mean(0))) and rows[k].sxy == pytest.approx((xy[:, 0] * xy[:, 1]).mean())
+        off = uncertain.fit_points([0.0, 0.0, 3.0, 1.0], xy)[0] - (0.0, 0.0, 3.0, 1.0)
+        assert rows[k].c0xx == pytest.approx(off[0] ** 2, rel=1e-3) and rows[k].c1yy == pytest.approx(off[3] ** 2, rel=1e-3)
