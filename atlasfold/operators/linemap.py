@@ -6,15 +6,18 @@ of their points the mass, the mean (mx, my) and the second moments about the ori
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import dot, length, unit
 from ..snapshot import snapshot
 from . import grid
-from .lines import MATCH, find_segments, first_matches, prune, tiles
+from .lines import MATCH, TILE, batch_of, find_segments, first_matches, gathered, prune, tiles
 from .solve import fit_segment
 
 ENDS = ["x0", "y0", "x1", "y1"]
@@ -96,25 +99,95 @@ def self_merge(segments: DataFrame, keys: list[str], reach: float) -> DataFrame:
     return now
 
 
+def turns(ends: tuple, own: np.ndarray, weights: np.ndarray, samples: int, g: np.random.Generator, wide: float = 0.05) -> np.ndarray:
+    """(samples, 4): the ends that ``fit_segment`` gives for each resampling of the points, a point of weight w standing for w equal ones.
+
+    A point that stays beside the segment however it turns within ``wide`` radians is in a fit by its second moments alone, which
+    are summed once for a sample; only those near the ends are looked at in every round. A segment that turns farther
+    is fitted to all points.
+    """
+    x0, y0, x1, y1 = ends
+    cx, cy, half = (x0 + x1) / 2, (y0 + y1) / 2, math.hypot(x1 - x0, y1 - y0) / 2
+    theta0, many = math.atan2(y0 - y1, x0 - x1), int(weights.sum())
+    d = own - (cx, cy)
+    u = np.array([math.cos(theta0), math.sin(theta0)])
+    beside = np.abs(d @ u) + np.abs(d @ (-u[1], u[0])) * math.sin(wide) < half - 1e-9
+    order = np.argsort(~beside, kind="stable")
+    sure = int(beside.sum())
+    second = np.stack([d[order[:sure], 0] ** 2, d[order[:sure], 0] * d[order[:sure], 1], d[order[:sure], 1] ** 2], 1)
+    edge = d[order[sure:]]
+    of = None if many == len(own) else np.repeat(np.arange(len(own), dtype=np.int32), weights) if many <= 4 * len(own) else False
+    p = weights / many
+
+    def resample() -> np.ndarray:
+        """How often each point is taken."""
+        if of is False:
+            return g.multinomial(many, p)
+        counts = np.zeros(len(own), np.int64)
+        for i in range(0, many, 1 << 20):
+            k = g.integers(0, many, min(1 << 20, many - i), dtype=np.uint32 if many < 1 << 32 else np.uint64).astype(np.int64)
+            counts += np.bincount(k if of is None else of[k], minlength=len(own))
+        return counts
+
+    def cost(theta, s, w):
+        u, v = (math.cos(theta), math.sin(theta)), (-math.sin(theta), math.cos(theta))
+        t = np.clip(edge @ u, -half, half)
+        off = edge - t[:, None] * u
+        return v[0] * v[0] * s[0] + 2 * v[0] * v[1] * s[1] + v[1] * v[1] * s[2] + float(w @ (off * off).sum(1))
+
+    def fit(s, w) -> float | None:
+        theta, damp = theta0, 1e-4
+        least = cost(theta, s, w)
+        for _ in range(25):
+            u, v = (math.cos(theta), math.sin(theta)), (-math.sin(theta), math.cos(theta))
+            t = edge @ u
+            end = np.clip(t, -half, half)
+            grad = -(u[0] * v[0] * s[0] + (u[0] * v[1] + u[1] * v[0]) * s[1] + u[1] * v[1] * s[2]) - float(w @ (edge @ v * end))
+            h = u[0] * u[0] * s[0] + 2 * u[0] * u[1] * s[1] + u[1] * u[1] * s[2] + float(w @ np.where(np.abs(t) <= half, t * t, half * half))
+            step = -grad / (h * (1 + damp) + 1e-12)
+            if abs(theta + step - theta0) > wide:
+                return None
+            new = cost(theta + step, s, w)
+            if new < least:
+                theta, least, damp = theta + step, new, damp / 3
+                if abs(step) < 1e-10:
+                    break
+            else:
+                damp = damp * 10 + 1e-6
+                if damp > 1e8:
+                    break
+        return theta
+
+    out = np.empty((samples, 4))
+    for i in range(samples):
+        counts = resample()
+        some = counts[order] if half else None
+        theta = fit(some[:sure] @ second, some[sure:]) if half else theta0
+        u = (math.cos(theta), math.sin(theta)) if theta is not None else None
+        out[i] = fit_segment(ends, np.repeat(own, counts, 0))[:4] if u is None else (cx + half * u[0], cy + half * u[1], cx - half * u[0], cy - half * u[1])
+    return out
+
+
 def extract(points: DataFrame, tile: float, inliers: int = 150, iterations: int = 2000, samples: int = 1000, sigma: float = 0.04, share: float = 0.8, halo: float = 0.5) -> DataFrame:
     """Segments of each graph's points, by RANSAC on tiles with a halo, with moments of their points and covariances by resampling.
 
     ``points`` as for lines.ransac. seg_id: from the tile and the line's number in it, so it stays when tiles are done anew.
     """
+    fields = TILE | {k: pa.float64() for k in [*ENDS, "mass", *COVS, *MOMENTS]}
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        graph, tx, ty, found = find_segments(frame, tile, sigma, inliers, iterations, share)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        graph, tx, ty, found = find_segments(batches, tile, sigma, inliers, iterations, share)
         rows = []
-        for k, (ends, own) in enumerate(found):
+        for k, (ends, own, w) in enumerate(found):
             g = np.random.default_rng([graph & 0xFFFFFFFF, tx & 0xFFFFFFFF, ty & 0xFFFFFFFF, k])
-            fits = np.array([fit_segment(ends, own[g.integers(0, len(own), len(own))])[:4] for _ in range(samples)])
+            fits = turns(ends, own, w, samples, g)
             cov = [np.cov(fits[:, i : i + 2].T, bias=True) for i in (0, 2)]
-            second = own.T @ own / len(own)
-            rows.append((graph, tx, ty, k, *ends, float(len(own)), *[c[i] for c in cov for i in ((0, 0), (0, 1), (1, 1))], *own.mean(0), second[0, 0], second[0, 1], second[1, 1]))
-        return pd.DataFrame(rows, columns=["graph_id", "tx", "ty", "line_id", *ENDS, "mass", *COVS, *MOMENTS])
+            second = (own * w[:, None]).T @ own / w.sum()
+            rows.append((graph, tx, ty, k, *ends, float(w.sum()), *[c[i] for c in cov for i in ((0, 0), (0, 1), (1, 1))], *(w @ own / w.sum()), second[0, 0], second[0, 1], second[1, 1]))
+        yield batch_of(rows, fields)
 
     doubles = ", ".join(f"{k} double" for k in [*ENDS, "mass", *COVS, *MOMENTS])
-    found = tiles(points, tile, halo).groupBy("graph_id", "tx", "ty").applyInPandas(run, f"graph_id long, tx int, ty int, line_id int, {doubles}")
+    found = tiles(gathered(points), tile, halo).groupBy("graph_id", "tx", "ty").applyInArrow(run, f"graph_id long, tx int, ty int, line_id int, {doubles}")
     # 20 bits for either tile number, 20 for the line's
     number = lambda k: F.col(k).cast("long").bitwiseAND(F.lit((1 << 20) - 1))
     seg = F.shiftleft(number("tx"), 40) + F.shiftleft(number("ty"), 20) + F.col("line_id")
@@ -125,9 +198,10 @@ def curate(points: DataFrame, master: DataFrame | None = None, old_grid: DataFra
     """The line map and the grid after a run: signed distances, pruning, filter, line finding, merging, merging with itself.
 
     ``points``: graph_id, sx, sy (where they were seen from), wx, wy, and normals nx, ny. ``master`` and ``old_grid`` are
-    what an earlier run returned, of the same graphs; new segments get ids above the master's.
+    what an earlier run returned, of the same graphs; new segments get ids above the master's. Equal points go as one row.
     """
     keys = ["graph_id"]
+    points = snapshot(gathered(points))
     fresh = grid.sdf(points.select("graph_id", "sx", "sy", "wx", "wy"), res, keys)
     cells = snapshot(fresh if old_grid is None else grid.merge(old_grid.select(*fresh.columns).unionByName(fresh), keys))
     found = snapshot(extract(grid.filter_points(points, cells, res, keys), tile, **thresholds))

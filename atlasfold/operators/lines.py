@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -172,23 +173,31 @@ def prune(segments: DataFrame, grid: DataFrame, res: float, keys: list[str], sha
 EXACT = 1 << 24
 
 
-def partners(xy: np.ndarray, draws: int, g: np.random.Generator, radius: float = RADIUS) -> np.ndarray:
+def partners(xy: np.ndarray, draws: int, g: np.random.Generator, radius: float = RADIUS, weights: np.ndarray | None = None) -> np.ndarray:
     """(draws, 2): a point that has others within the radius, and one of those, uniformly; no rows if no point has.
 
     Points are sorted by cells as wide as the radius, so a point's neighbours lie in three runs of them; partners are drawn
     from the runs until they are near. Tables hold a row a draw, never points by points. Where cells are crowded a point
-    without anyone near may have cost some draws, which are then fewer.
+    without anyone near may have cost some draws, which are then fewer. A point of weight w is drawn as w equal points
+    are, by the same draws.
     """
     cell = np.floor((xy - xy.min(0)) / radius).astype(np.int64) + 1
     high = int(cell[:, 1].max()) + 2
     key = cell[:, 0] * high + cell[:, 1]
+    del cell
     order = np.argsort(key, kind="stable")
-    ranked = key[order]
+    cells, starts, mine = np.unique(key[order], return_index=True, return_inverse=True)
+    place = np.empty(len(xy), np.int32)
+    place[order] = mine
+    del key, mine
+    # how much lies before each point in this order, and of each cell how much its three runs hold
+    before = np.arange(len(xy) + 1) if weights is None else np.concatenate([[0], np.cumsum(weights[order])])
+    edges = before[np.append(starts, len(xy))]
     lows, sizes = [], []
     for side in (-1, 0, 1):
-        low = np.searchsorted(ranked, key + side * high - 1)
+        low = edges[np.searchsorted(cells, cells + side * high - 1)]
         lows.append(low)
-        sizes.append(np.searchsorted(ranked, key + side * high + 1, "right") - low)
+        sizes.append(edges[np.searchsorted(cells, cells + side * high + 1, "right")] - low)
     lows, sizes = np.array(lows), np.array(sizes)
     total = sizes.sum(0)
 
@@ -198,22 +207,29 @@ def partners(xy: np.ndarray, draws: int, g: np.random.Generator, radius: float =
 
     def taken(i, k):
         """The k-th point of those in the runs of each i."""
-        one, two = sizes[0, i], sizes[0, i] + sizes[1, i]
-        at = np.where(k < one, lows[0, i] + k, np.where(k < two, lows[1, i] + k - one, lows[2, i] + k - two))
-        return order[at]
+        own = place[i]
+        one, two = sizes[0, own], sizes[0, own] + sizes[1, own]
+        at = np.where(k < one, lows[0, own] + k, np.where(k < two, lows[1, own] + k - one, lows[2, own] + k - two))
+        return order[at if weights is None else np.searchsorted(before, at, "right") - 1]
 
     local = np.arange(len(xy))
-    if total.sum() <= EXACT:
-        i = np.repeat(local, total)
-        k = np.arange(len(i)) - np.repeat(np.cumsum(total) - total, total)
+    if (np.diff(edges) * total).sum() <= EXACT:
+        much = total[place]
+        i = np.repeat(local, much)
+        k = np.arange(len(i)) - np.repeat(np.cumsum(much) - much, much)
         local = np.unique(i[near(i, taken(i, k))])
         if not len(local):
             return np.zeros((0, 2), np.int64)
-    first, second = g.choice(local, draws), np.full(draws, -1)
+    if weights is None:
+        first = g.choice(local, draws)
+    else:
+        ranks = np.cumsum(weights[local])
+        first = local[np.searchsorted(ranks, g.integers(0, ranks[-1], draws), "right")]
+    second = np.full(draws, -1)
     still = np.arange(draws)
     for _ in range(200):
         i = first[still]
-        j = taken(i, (g.random(len(i)) * total[i]).astype(np.int64))
+        j = taken(i, (g.random(len(i)) * total[place[i]]).astype(np.int64))
         good = near(i, j)
         second[still[good]] = j[good]
         still = still[~good]
@@ -222,93 +238,200 @@ def partners(xy: np.ndarray, draws: int, g: np.random.Generator, radius: float =
     return np.stack([first, second], 1)[second >= 0]
 
 
-def line_segments(xy: np.ndarray, sigma: float, inliers: int, iterations: int, seed: int, normals: np.ndarray | None = None, sources: np.ndarray | None = None, share: float = 0.0) -> list[tuple[tuple, np.ndarray]]:
-    """(ends, own points) of segments by sequential RANSAC with refitting; a seeded generator.
+#: Points that a pass works at once, and points from which groups of them are counted as one.
+PASS, CROWD = 1 << 17, 4096
+#: The side of a group's cell as a share of sigma, its range of normals (radians), and the doubt in a bound by rounding.
+SIDE, SECTOR, DOUBT = 0.25, 0.1, 1e-9
+
+
+class _Crowds:
+    """Points in groups of like place and normal, with the bounds that tell of most groups whether all of them are a line's inliers, or none."""
+
+    def __init__(self, xy: np.ndarray, normals: np.ndarray | None, weights: np.ndarray, sigma: float):
+        key = np.floor((xy - xy.min(0)) / (SIDE * sigma)).astype(np.int64)
+        key = key[:, 0] * (int(key[:, 1].max()) + 1) + key[:, 1]
+        if normals is not None:
+            key = key * 64 + np.floor(np.nan_to_num(np.arctan2(normals[:, 1], normals[:, 0])) / SECTOR).astype(np.int64) + 32
+        self.order = np.argsort(key, kind="stable")
+        _, self.start, of = np.unique(key[self.order], return_index=True, return_inverse=True)
+        del key
+        self.size = np.diff(np.append(self.start, len(xy)))
+        self.weight = np.add.reduceat(weights[self.order], self.start)
+        self.middle, self.reach = self._ball(xy, of)
+        self.normal, self.turn = (None, None) if normals is None else self._ball(normals, of)
+
+    def _ball(self, v: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        v = v[self.order]
+        middle = np.add.reduceat(v, self.start) / self.size[:, None]
+        return middle, np.maximum.reduceat(np.hypot(*(v - middle[of]).T), self.start) + DOUBT
+
+    def split(self, sigma: float, a: np.ndarray, u: np.ndarray) -> tuple[int, np.ndarray]:
+        """The weight of groups that are inliers as a whole, and the groups of which it isn't known."""
+        off = np.abs(u[0] * (self.middle[:, 1] - a[1]) - u[1] * (self.middle[:, 0] - a[0]))
+        yes, no = off + self.reach < 3 * sigma, off - self.reach >= 3 * sigma
+        if self.normal is not None:
+            lean = np.abs(self.normal @ u)
+            yes, no = yes & (lean + self.turn <= ALONG), no | (lean - self.turn > ALONG)
+        return int(self.weight[yes].sum()), np.flatnonzero(~(yes | no))
+
+    def points(self, groups: np.ndarray) -> np.ndarray:
+        size = self.size[groups]
+        return self.order[np.repeat(self.start[groups] - np.cumsum(size) + size, size) + np.arange(size.sum())]
+
+
+def line_segments(xy: np.ndarray, sigma: float, inliers: int, iterations: int, seed: int, normals: np.ndarray | None = None, sources: np.ndarray | None = None, share: float = 0.0, weights: np.ndarray | None = None) -> list[tuple[tuple, np.ndarray, np.ndarray]]:
+    """(ends, own points, their weights) of segments by sequential RANSAC with refitting; a seeded generator.
 
     Of the lines drawn, the one with most inliers wins that has enough of them and, of inliers and outliers, a ``share`` that
     are inliers. Inliers are near and, where normals are given, have one that is across the line. Outliers are farther off
-    but within LOCAL, measured along the ray where the points' sources are given.
+    but within LOCAL, measured along the ray where the points' sources are given. A point of weight w counts as w equal ones.
+    Inliers of every line are counted exactly: by groups where bounds settle a group, by points where they don't and the
+    line may still win. Passes over all points go in parts, so little is held beside the points.
     """
     g = np.random.default_rng(seed)
     out = []
+    weights = np.ones(len(xy), np.int64) if weights is None else weights
 
     def near(xy, normals, a, u):
         off = np.abs(u[0] * (xy[:, 1] - a[1]) - u[1] * (xy[:, 0] - a[0]))
         hit = off < 3 * sigma
         return (hit if normals is None else hit & (np.abs(normals @ u) <= ALONG)), off
 
-    while len(xy) >= max(inliers, 2):
-        i = partners(xy, iterations, g)
+    def some(at):
+        return xy[at], None if normals is None else normals[at]
+
+    def parts():
+        return (slice(i, i + PASS) for i in range(0, len(xy), PASS))
+
+    def all_near(a, u):
+        return np.concatenate([near(*some(at), a, u)[0] for at in parts()])
+
+    def outliers(a, u):
+        n = 0
+        for at in parts():
+            _, off = near(xy[at], None, a, u)
+            far = off
+            if sources is not None:
+                rays = xy[at] - sources[at]
+                rays = rays / np.maximum(np.hypot(*rays.T), 1e-12)[:, None]
+                far = off / np.maximum(np.abs(rays[:, 1] * u[0] - rays[:, 0] * u[1]), 0.01)
+            n += int(weights[at][(off >= 3 * sigma) & (far < LOCAL)].sum())
+        return n
+
+    while weights.sum() >= max(inliers, 2):
+        i = partners(xy, iterations, g, weights=weights if (weights > 1).any() else None)
         if not len(i):
             break
-        rays = None
-        if sources is not None:
-            rays = xy - sources
-            rays = rays / np.maximum(np.hypot(*rays.T), 1e-12)[:, None]
+        crowds = _Crowds(xy, normals, weights, sigma) if len(xy) > CROWD else None
         best, held = 0, None
         for a, b in zip(xy[i[:, 0]], xy[i[:, 1]], strict=True):
             u = (b - a) / np.hypot(*(b - a))
-            hit, off = near(xy, normals, a, u)
-            n = int(hit.sum())
+            if crowds is None:
+                n = int(weights[near(xy, normals, a, u)[0]].sum())
+            else:
+                n, open_ = crowds.split(sigma, a, u)
+                if n + int(crowds.weight[open_].sum()) <= max(best, inliers - 1):
+                    continue
+                at = crowds.points(open_)
+                n += int(weights[at][near(*some(at), a, u)[0]].sum())
             if n <= best or n < inliers:
                 continue
-            far = off if rays is None else off / np.maximum(np.abs(rays[:, 1] * u[0] - rays[:, 0] * u[1]), 0.01)
-            outliers = int(((off >= 3 * sigma) & (far < LOCAL)).sum())
-            if n >= share * (n + outliers):
-                best, held = n, hit
+            if n >= share * (n + outliers(a, u)):
+                best, held = n, (a, u)
         if held is None:
             break
+        held = all_near(*held)
+        del crowds
         for _ in range(20):  # refit until the inliers stay
-            own = xy[held]
-            mean = own.mean(0)
-            _, v = np.linalg.eigh(np.cov((own - mean).T))
+            own, w = xy[held], weights[held]
+            mean = w @ own / w.sum()
+            d = own - mean
+            _, v = np.linalg.eigh((d * w[:, None]).T @ d / max(w.sum() - 1, 1))
             u = v[:, 1]
-            new, _ = near(xy, normals, mean, u)
-            if (new == held).all() or new.sum() < inliers:
+            new = all_near(mean, u)
+            if (new == held).all() or weights[new].sum() < inliers:
                 break
             held = new
-        t = (xy[held] - mean) @ u
+        own, w = xy[held], weights[held]
+        t = (own - mean) @ u
         p, q = mean + t.min() * u, mean + t.max() * u
-        out.append(((float(p[0]), float(p[1]), float(q[0]), float(q[1])), xy[held]))
+        out.append(((float(p[0]), float(p[1]), float(q[0]), float(q[1])), own, w))
         xy = xy[~held]
-        normals, sources = (x if x is None else x[~held] for x in (normals, sources))
+        normals, sources, weights = (x if x is None else x[~held] for x in (normals, sources, weights))
     return out
 
 
 def find_lines(xy: np.ndarray, sigma: float, inliers: int, iterations: int, seed: int, **tests) -> list[tuple]:
     """Segments (x0, y0, x1, y1, n); ``tests`` as for line_segments."""
-    return [(*ends, len(own)) for ends, own in line_segments(xy, sigma, inliers, iterations, seed, **tests)]
+    return [(*ends, int(w.sum())) for ends, _, w in line_segments(xy, sigma, inliers, iterations, seed, **tests)]
+
+
+#: What a point may have beside its place, and how many equal points a row stands for.
+EXTRA, COPIES = ("nx", "ny", "sx", "sy"), "copies"
+
+
+def gathered(points: DataFrame) -> DataFrame:
+    """Equal points (graph_id, wx, wy and the normals and sources that there are) as one row with their number."""
+    if COPIES in points.columns:
+        return points
+    return points.groupBy("graph_id", "wx", "wy", *[k for k in EXTRA if k in points.columns]).agg(F.count("*").alias(COPIES))
 
 
 def tiles(points: DataFrame, tile: float, halo: float) -> DataFrame:
     """Points by tile (tx, ty), those within ``halo`` of a border in the tiles across it too."""
     near = lambda k: F.explode(F.sequence(F.floor((F.col(k) - halo) / tile).cast("int"), F.floor((F.col(k) + halo) / tile).cast("int")))
-    extra = [k for k in ("nx", "ny", "sx", "sy") if k in points.columns]
+    extra = [k for k in (*EXTRA, COPIES) if k in points.columns]
     return points.select("graph_id", "wx", "wy", *extra).withColumn("tx", near("wx")).withColumn("ty", near("wy"))
 
 
-def find_segments(frame: pd.DataFrame, tile: float, sigma: float, inliers: int, iterations: int, share: float) -> tuple[int, int, int, list]:
+def _columns(batches: Iterator[pa.RecordBatch]) -> tuple[tuple[int, int, int], dict[str, np.ndarray]]:
+    """A tile's (graph_id, tx, ty), and its points column by column, in order of place; the batches are not held with them."""
+    parts, tile = {}, None
+    for batch in batches:
+        if batch.num_rows:
+            tile = tile or tuple(batch.column(k)[0].as_py() for k in ("graph_id", "tx", "ty"))
+            for k in batch.schema.names:
+                if k not in ("graph_id", "tx", "ty"):
+                    parts.setdefault(k, []).append(np.array(batch.column(k).to_numpy(zero_copy_only=False), np.int64 if k == COPIES else float))
+    columns = {k: np.concatenate(parts.pop(k)) for k in list(parts)}
+    order = np.lexsort([columns[k] for k in reversed(["wx", "wy", *[k for k in EXTRA if k in columns]])])
+    for k in columns:
+        columns[k] = columns[k][order]
+    return tile, columns
+
+
+def find_segments(batches: Iterator[pa.RecordBatch], tile: float, sigma: float, inliers: int, iterations: int, share: float) -> tuple[int, int, int, list]:
     """(graph_id, tx, ty, segments) of a tile with its halo: those whose middle is in the tile itself, so a short line across a border counts once."""
-    frame = frame.sort_values(["wx", "wy"])
-    g, tx, ty = (int(frame[k].iloc[0]) for k in ("graph_id", "tx", "ty"))
-    two = lambda a, b: frame[[a, b]].to_numpy(float) if a in frame else None
-    found = line_segments(two("wx", "wy"), sigma, inliers, iterations, abs(hash((g, tx, ty))) % (1 << 32), two("nx", "ny"), two("sx", "sy"), share)
+    (g, tx, ty), columns = _columns(batches)
+    two = lambda a, b: np.stack([columns.pop(a), columns.pop(b)], 1) if a in columns else None
+    xy, normals, sources = two("wx", "wy"), two("nx", "ny"), two("sx", "sy")
+    found = line_segments(xy, sigma, inliers, iterations, abs(hash((g, tx, ty))) % (1 << 32), normals, sources, share, columns.pop(COPIES))
     own = [x for x in found if (np.floor((x[0][0] + x[0][2]) / 2 / tile), np.floor((x[0][1] + x[0][3]) / 2 / tile)) == (tx, ty)]
     return g, tx, ty, own
 
 
+def batch_of(rows: list[tuple], fields: dict[str, pa.DataType]) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else [[] for _ in fields]
+    return pa.RecordBatch.from_arrays([pa.array(list(v), kind) for v, kind in zip(columns, fields.values(), strict=True)], names=list(fields))
+
+
+#: The fields that name a line of a tile.
+TILE = {"graph_id": pa.int64(), "tx": pa.int32(), "ty": pa.int32(), "line_id": pa.int32()}
+
+
 def ransac(points: DataFrame, tile: float, sigma: float = 0.04, inliers: int = 150, iterations: int = 2000, share: float = 0.8, halo: float = 0.5) -> DataFrame:
     """Lines of each graph's tiles (graph_id, tx, ty, line_id, x0, y0, x1, y1, n). A tile bounds a task's group; its id seeds its draws.
 
     ``points``: graph_id, wx, wy, and where there are any, normals nx, ny and sources sx, sy. A line longer than the halo
-    that crosses a border comes in parts that overlap there; linemap.self_merge joins them.
+    that crosses a border comes in parts that overlap there; linemap.self_merge joins them. Equal points go to a tile as one row.
     """
+    fields = TILE | {k: pa.float64() for k in ("x0", "y0", "x1", "y1")} | {"n": pa.int32()}
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        g, tx, ty, found = find_segments(frame, tile, sigma, inliers, iterations, share)
-        return pd.DataFrame([(g, tx, ty, k, *ends, len(own)) for k, (ends, own) in enumerate(found)], columns=["graph_id", "tx", "ty", "line_id", "x0", "y0", "x1", "y1", "n"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        g, tx, ty, found = find_segments(batches, tile, sigma, inliers, iterations, share)
+        yield batch_of([(g, tx, ty, k, *ends, int(w.sum())) for k, (ends, _, w) in enumerate(found)], fields)
 
-    return tiles(points, tile, halo).groupBy("graph_id", "tx", "ty").applyInPandas(run, "graph_id long, tx int, ty int, line_id int, x0 double, y0 double, x1 double, y1 double, n int")
+    return tiles(gathered(points), tile, halo).groupBy("graph_id", "tx", "ty").applyInArrow(run, "graph_id long, tx int, ty int, line_id int, x0 double, y0 double, x1 double, y1 double, n int")
 
 
 def bootstrap(points: DataFrame, samples: int = 1000) -> DataFrame:
