@@ -17,23 +17,26 @@ TRUNCATE, BEHIND, BAND, DECAY, LEAST = 0.2, 0.2, 0.02, 30.0, 0.01
 def ray_cells(rays: DataFrame, res: float, beyond: float = BEHIND) -> DataFrame:
     """Cells (ix, iy) whose centre lies within half a cell's diagonal of a ray (sx, sy) to (wx, wy), up to ``beyond`` behind its end.
 
-    Candidates come from steps of one cell along the longer axis, two cells across: the work follows the ray's length.
-    Equal rays count once.
+    Candidates are, for each column of cells (or row, along the longer axis), the few beside the ray: a ray's cells are made
+    once each inside its row, and the work follows its length. Equal rays count once.
     """
     ux, uy = unit(F.col("wx") - F.col("sx"), F.col("wy") - F.col("sy"))
     half = res * math.sqrt(2) / 2
     r = rays.distinct().withColumns({"_ux": ux, "_uy": uy, "_len": length(F.col("wx") - F.col("sx"), F.col("wy") - F.col("sy"))}).where("_len > 0")
-    steps = F.sequence(F.lit(-1), F.ceil((F.col("_len") + beyond) / res).cast("int") + 1)
-    base = lambda p, u, k: F.floor((F.col(p) + k * res * F.col(u)) / res).cast("long")
-    # a cell is a number, so that a ray's cells are told apart inside its row and no row for each of them is shuffled
-    number = lambda i, j: lambda k: F.shiftleft(base("sx", "_ux", k) + i, 32).bitwiseOR((base("sy", "_uy", k) + j).bitwiseAND(F.lit(0xFFFFFFFF)))
-    cells = F.array_distinct(F.flatten(F.array(*[F.transform(steps, number(i, j)) for i in (-1, 0, 1) for j in (-1, 0, 1)])))
-    s = r.withColumn("_c", F.explode(cells)).withColumns({"ix": F.shiftright("_c", 32).cast("int"), "iy": F.shiftright(F.shiftleft("_c", 32), 32).cast("int")})
+    flat = F.abs("_ux") >= F.abs("_uy")
+    pick = lambda a, b: F.when(flat, F.col(a)).otherwise(F.col(b))
+    r = r.withColumns({"_flat": flat, "_s": pick("sx", "sy"), "_e": pick("wx", "wy"), "_f": pick("wy", "wx"), "_u": pick("_ux", "_uy"), "_v": pick("_uy", "_ux")})
+    far = F.col("_e") + beyond * F.col("_u")
+    index = lambda of, x: of(x / res).cast("int")
+    s = r.withColumn("_i", F.explode(F.sequence(index(F.floor, F.least("_s", far) - half), index(F.ceil, F.greatest("_s", far) + half))))
+    s = s.withColumns({"_at": F.col("_f") + F.col("_v") / F.col("_u") * (F.col("_i") * res - F.col("_e")), "_by": half / F.abs("_u")})
+    s = s.withColumn("_j", F.explode(F.sequence(index(F.floor, F.col("_at") - F.col("_by")), index(F.ceil, F.col("_at") + F.col("_by")))))
+    s = s.withColumns({"ix": F.when(F.col("_flat"), F.col("_i")).otherwise(F.col("_j")), "iy": F.when(F.col("_flat"), F.col("_j")).otherwise(F.col("_i"))})
     px, py = F.col("ix") * res - F.col("wx"), F.col("iy") * res - F.col("wy")
     off = F.abs(F.col("_ux") * py - F.col("_uy") * px)
     sdf = -dot("_ux", "_uy", px, py)
     hit = s.withColumns({"off": off, "sdf": sdf}).where((F.col("off") < half) & (F.col("sdf") >= -beyond) & (F.col("sdf") <= F.col("_len") + 1e-9))
-    return hit.drop("_c", "_ux", "_uy", "_len", "off")
+    return hit.select(*rays.columns, "ix", "iy", "sdf")
 
 
 def sdf(rays: DataFrame, res: float, keys: list[str]) -> DataFrame:
@@ -61,20 +64,29 @@ def filter_points(points: DataFrame, grid: DataFrame, res: float, keys: list[str
     The nodes of each cell are brought together beforehand, so a point meets the grid in one row.
     """
     top = grid.groupBy(*keys).agg(F.max("weight").alias("_top"))
-    nodes = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-1, 3) for j in range(-1, 3)])
-    around = grid.select(*keys, "ix", "iy", F.coalesce("value", F.lit(0.0)).alias("value"), F.coalesce("weight", F.lit(0.0)).alias("weight"), F.explode(nodes).alias("_n"))
+    places = [(i, j) for i in range(-1, 3) for j in range(-1, 3)]
+    around = grid.select(*keys, "ix", "iy", "value", "weight", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in places])).alias("_n"))
     around = around.withColumns({"_gx": F.col("ix").cast("long") - F.col("_n.i"), "_gy": F.col("iy").cast("long") - F.col("_n.j")})
-    around = around.groupBy(*keys, "_gx", "_gy").agg(F.array_sort(F.collect_list(F.struct("_n.i", "_n.j", "value", "weight"))).alias("_nodes")).join(top, keys)
-    p = points.withColumns({"_gx": F.floor(F.col("wx") / res), "_gy": F.floor(F.col("wy") / res)})
-    p = p.withColumns({"_tx": F.col("wx") / res - F.col("_gx"), "_ty": F.col("wy") / res - F.col("_gy")})
+    node = lambda of, i, j: F.coalesce(F.sum(F.when((F.col("_n.i") == i) & (F.col("_n.j") == j), F.col(of))), F.lit(0.0))
+    around = around.groupBy(*keys, "_gx", "_gy").agg(*[node(of, i, j).alias(f"_{of}{k}") for of in ("value", "weight") for k, (i, j) in enumerate(places)]).join(top, keys)
 
     def key(t, k):
         d = F.abs(c(t) - k)
-        return F.when(d <= 1, (1.5 * d - 2.5) * d * d + 1).when(d < 2, ((-0.5 * d + 2.5) * d - 4) * d + 2).otherwise(0.0)
+        # never null, or tests for that are worked out for every point before the join
+        return F.coalesce(F.when(d <= 1, (1.5 * d - 2.5) * d * d + 1).when(d < 2, ((-0.5 * d + 2.5) * d - 4) * d + 2), F.lit(0.0))
+
+    p = points.withColumns({"_gx": F.floor(F.col("wx") / res), "_gy": F.floor(F.col("wy") / res)})
+    p = p.withColumns({"_tx": F.col("wx") / res - F.col("_gx"), "_ty": F.col("wy") / res - F.col("_gy")})
+    p = p.select(*points.columns, "_gx", "_gy", *[key(f"_t{a}", i).alias(f"_k{a}{i + 1}") for a in "xy" for i in range(-1, 3)])
+
+    def total(of):
+        s = F.lit(0.0)
+        for k, (i, j) in enumerate(places):
+            s = s + F.col(f"_kx{i + 1}") * F.col(f"_ky{j + 1}") * F.col(f"_{of}{k}")
+        return s
 
-    total = lambda of: F.aggregate("_nodes", F.lit(0.0), lambda s, n: s + key("_tx", n["i"]) * key("_ty", n["j"]) * n[of])
-    kept = p.join(around, [*keys, "_gx", "_gy"]).withColumns({"_v": total("value"), "_w": total("weight")})
-    return kept.where((F.col("_w") > share * F.col("_top")) & (F.abs("_v") < near)).select(*points.columns)
+    kept = p.join(around, [*keys, "_gx", "_gy"]).where((total("weight") > share * F.col("_top")) & (F.abs(total("value")) < near))
+    return kept.select(*points.columns)
 
 
 def raster(points: DataFrame, res: float, keys: list[str]) -> DataFrame:
