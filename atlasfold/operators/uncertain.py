@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import functools
+import math
 from collections.abc import Callable, Iterator
+from hashlib import md5
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +25,8 @@ SD_ANGLE, SD_RANGE, CHI2 = 0.002, 0.03, 5.991
 DRAWS, WHOLE = 5_000_000, 1 << 15
 #: Draws of a resampling that are made at once, and up to which a sample's are held; of larger samples they are made anew in every round.
 BLOCK, HELD = 100_000, 1 << 23
+#: Samples whose draws are shuffled at once, so that disk doesn't grow with their number.
+TOGETHER = 20
 #: Points that are summed at once, so that what is worked out of them stays in a processor's cache.
 STRIP = 1 << 15
 #: Metres from a kink within which curvature grows no more.
@@ -254,23 +260,95 @@ def _spread(fits: DataFrame, segments: DataFrame, keys: list[str]) -> DataFrame:
     return fits.select(*keys, *[mean(k).alias(k) for k in each])
 
 
-def sensor_uncertainty(points: DataFrame, segments: DataFrame, keys: list[str], point_id: list[str], samples: int = 1000, seed: int = 7) -> DataFrame:
+def normal_digests(names: list[str], samples: range) -> tuple[np.ndarray, np.ndarray]:
+    """(names, samples) each: ``draws.normals`` of names and samples, outside of Spark."""
+    ends, digests = [f",{k}".encode() for k in samples], []
+    for name in names:
+        base = md5(name.encode())
+        for end in ends:
+            one = base.copy()
+            one.update(end)
+            digests.append(one.digest())
+    raw = np.frombuffer(b"".join(digests), np.uint8).reshape(len(names), len(ends), 16).astype(np.float64)
+    u, v = (raw[:, :, i : i + 5] @ (256.0 ** np.arange(4, -1, -1)) / (1 << 40) for i in (0, 5))
+    radius = np.sqrt(-2 * np.log(1 - u))
+    return radius * np.cos(2 * math.pi * v), radius * np.sin(2 * math.pi * v)
+
+
+def _fit_drawn(noisy: DataFrame, segments: DataFrame, keys: list[str], samples: range) -> DataFrame:
+    """(keys, _sample, ends) of the samples: every point is drawn once for each, and a segment's sample is fitted in one piece.
+
+    Draws are shuffled as places and numbers of equal points, and a task holds one sample's. The guess comes as two rows more.
+    """
+    schema = noisy.select(*keys, F.lit(0).alias("_sample"), *[F.lit(0.0).alias(k) for k in ("_px", "_py")], F.lit(0).cast("long").alias("_w")).schema
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for i in range(0, whole.num_rows, 2000):
+                batch = whole.slice(i, 2000)
+                x, y, u, v, cos, sin = (batch.column(k).to_numpy(zero_copy_only=False).astype(float)[:, None] for k in ("wx", "wy", "_u", "_v", "_cos", "_sin"))
+                a, b = normal_digests(batch.column("_name").to_pylist(), samples)
+                a, b = a * u, b * v
+                of = pa.array(np.repeat(np.arange(batch.num_rows), len(samples)))
+                moved = [pa.array(k.ravel()) for k in (x + a * cos - b * sin, y + a * sin + b * cos)]
+                sample = pa.array(np.tile(np.array(samples, np.int32), batch.num_rows))
+                yield pa.RecordBatch.from_arrays([*[batch.column(k).take(of) for k in keys], sample, *moved, batch.column("_w").take(of)], names=schema.names)
+
+    guesses = segments.select(*keys, F.explode(F.sequence(F.lit(samples[0]), F.lit(samples[-1]))).alias("_sample"), *ENDS)
+    ends = [guesses.select(*keys, "_sample", F.col(f"x{e}").cast("double").alias("_px"), F.col(f"y{e}").cast("double").alias("_py"), F.lit(e - 2).cast("long").alias("_w")) for e in (0, 1)]
+    rows = noisy.mapInArrow(draw, schema).unionByName(ends[0]).unionByName(ends[1])
+    fitted = rows.select(*keys, "_sample", *[F.lit(0.0).alias(k) for k in ENDS]).schema
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, key = [], None
+        for batch in batches:
+            if batch.num_rows:
+                key = key or [batch.column(k).slice(0, 1) for k in (*keys, "_sample")]
+                parts.append([np.array(batch.column(k).to_numpy(zero_copy_only=False)) for k in ("_px", "_py", "_w")])
+        x, y, w = (np.concatenate(k) for k in zip(*parts, strict=True))
+        parts.clear()
+        guess = [float(k[w == e][0]) for e in (-2, -1) for k in (x, y) if (w == e).any()]
+        order = np.lexsort((w, y, x))
+        order = order[(w[order] > 0) & np.isfinite(x[order]) & np.isfinite(y[order])]
+        x, y, w = x[order], y[order], w[order].astype(float)
+        if len(guess) == 4 and len(x):
+            n = w.sum()
+            found, _ = fit_blocks(guess, lambda: iter([(x, y, w)]), n, np.array([w @ x / n, w @ y / n]))
+            yield pa.RecordBatch.from_arrays([*key, *[pa.array([float(k)]) for k in found]], names=fitted.names)
+
+    return rows.groupBy(*keys, "_sample").applyInArrow(fit, fitted)
+
+
+def sensor_uncertainty(points: DataFrame, segments: DataFrame, keys: list[str], point_id: list[str], samples: int = 1000, seed: int = 7, held: int = HELD) -> DataFrame:
     """Covariances of the ends (keys, c0xx, c0xy, c0yy, c1xx, c1xy, c1yy) under noise of the sensor: refits of all points, each moved along the axes of its ellipse.
 
-    ``points``: keys, ``point_id``, wx, wy and the sources sx, sy. Draws are keyed by the point and the sample and made where
-    they are needed, in every round, so samples are never stored. Moments are around the given ends, as those of the mapping.
+    ``points``: keys, ``point_id``, wx, wy and the sources sx, sy. Draws are keyed by the point and the sample, so points that
+    are equal in all of these are drawn as one that counts as often. Every point is drawn once a sample, TOGETHER samples at
+    a time, so what is shuffled is bounded by the points. Segments of more than ``held`` different points are fitted in
+    rounds of sums, which draw where the points are. Moments are around the given ends, as those of the mapping.
     """
     major, minor, angle = ellipse("qxx", "qxy", "qyy", CHI2)
     once = {"_u": major, "_v": minor, "_cos": F.cos(angle), "_sin": F.sin(angle), "_name": named(seed, *keys, *point_id)}
-    noisy = sensor_covariance(points).withColumns(once).select(*keys, "wx", "wy", *once)
+    columns = list(dict.fromkeys([*keys, *point_id, "wx", "wy", "sx", "sy"]))
+    equal = points.where("wx is not null and wy is not null").join(segments.select(*keys), keys, "left_semi").groupBy(*columns).agg(F.count("*").alias("_w"))
+    noisy = cut(sensor_covariance(equal).withColumns(once).select(*keys, "wx", "wy", *once, "_w"), "noisy")
+    large = cut(noisy.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > held).select(*keys), "large")
+    small, fits = segments.join(large, keys, "left_anti").select(*keys, *ENDS), []
+    some = noisy.join(large, keys, "left_anti")
+    for first in range(1, samples + 1, TOGETHER):
+        fits.append(cut(_fit_drawn(some, small, keys, range(first, min(first + TOGETHER, samples + 1))), "fits"))
 
     def moved():
         a, b = normals(F.col("_name"), "_sample")
         u, v = a * F.col("_u"), b * F.col("_v")
         return F.col("wx") + u * F.col("_cos") - v * F.col("_sin"), F.col("wy") + u * F.col("_sin") + v * F.col("_cos")
 
-    every = segments.select(*keys, *ENDS).withColumn("_sample", F.explode(F.sequence(F.lit(1), F.lit(samples))))
-    return _spread(fit_ends(noisy, every, keys, ["_sample"], moved).where("n > 0"), segments, keys)
+    if large.limit(1).count():
+        # a row for each of the equal points, as sums have no weights there
+        each = noisy.join(large, keys, "left_semi").withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_w").cast("int")))).select(*keys, "wx", "wy", *once)
+        every = segments.join(large, keys, "left_semi").select(*keys, *ENDS).withColumn("_sample", F.explode(F.sequence(F.lit(1), F.lit(samples))))
+        fits.append(fit_ends(each, every, keys, ["_sample"], moved).where("n > 0").select(*fits[0].columns))
+    return _spread(functools.reduce(DataFrame.unionByName, fits), segments, keys)
 
 
 def _least(ends, terms: Callable[[np.ndarray], tuple[float, np.ndarray, np.ndarray]], iterations: int) -> tuple[np.ndarray, float]:
@@ -303,12 +381,13 @@ def fit_points(ends, xy: np.ndarray, iterations: int = 25) -> tuple[np.ndarray,
     return _least(ends, terms, iterations)
 
 
-def _strip_sums(ends: np.ndarray, held: float, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """(3, len(SUMS)): what ``_summed`` gives of one segment, of points that are arrays."""
+def _strip_sums(ends: np.ndarray, held: float, x: np.ndarray, y: np.ndarray, weights: np.ndarray | None = None) -> np.ndarray:
+    """(3, len(SUMS)): what ``_summed`` gives of one segment, of points that are arrays; one of weight w counts as w equal ones."""
     out = np.zeros((3, len(SUMS)))
     x0, y0, x1, y1 = ends
     long = np.hypot(x1 - x0, y1 - y0)
     over = np.arange(len(x))
+    often = (lambda v: v) if weights is None else (lambda v: v * weights)
     if long > 0:
         u, v, rx, ry = (x1 - x0) / long, (y1 - y0) / long, x - x0, y - y0
         t, off = rx * (u / long) + ry * (v / long), ry * u - rx * v
@@ -316,33 +395,35 @@ def _strip_sums(ends: np.ndarray, held: float, x: np.ndarray, y: np.ndarray) ->
         first = t[over] < 0
         t[over] = off[over] = 0
         s, a = np.sign(off), np.abs(off)
-        w = s * s + held / np.maximum(a, NEAR)
+        w = often(s * s + held / np.maximum(a, NEAR))
         w[over] = 0
-        m, so, st, sot, wt = len(x) - len(over), off.sum(), s @ t, off @ t, w * t
+        m = len(x) - len(over) if weights is None else weights.sum() - weights[over].sum()
+        s, a, many = often(s), often(a), often(off)
+        so, st, sot, wt = many.sum(), s @ t, many @ t, w * t
         ss, sa, w0, w1, w2 = s.sum(), a.sum(), w.sum(), wt.sum(), wt @ t
-        out[1] = m, off @ off + 2 * held * sa + held * held * m, sa + held * m, st - ss, -st, sot - so + held * (st - ss), -sot - held * st, w2 - 2 * w1 + w0, w1 - w2, w2
+        out[1] = m, many @ off + 2 * held * sa + held * held * m, sa + held * m, st - ss, -st, sot - so + held * (st - ss), -sot - held * st, w2 - 2 * w1 + w0, w1 - w2, w2
     else:
         first = np.ones(len(x), bool)
     for g, some, ex, ey in ((0, over[first], x0, y0), (2, over[~first], x1, y1)):
         if len(some):
-            ex, ey = ex - x[some], ey - y[some]
+            ex, ey, c = ex - x[some], ey - y[some], np.ones(len(some)) if weights is None else weights[some]
             d = np.hypot(ex, ey)
             p, q = (np.where(d > 0, k / np.where(d > 0, d, 1), 0.0) for k in (ex, ey))
             r = d + held
             k = r / np.maximum(d, NEAR)
-            out[g] = len(some), r @ r, r.sum(), p.sum(), q.sum(), r @ p, r @ q, (p * p + k * (1 - p * p)).sum(), (p * q * (1 - k)).sum(), (q * q + k * (1 - q * q)).sum()
+            out[g] = c.sum(), c @ (r * r), c @ r, c @ p, c @ q, c @ (r * p), c @ (r * q), c @ (p * p + k * (1 - p * p)), c @ (p * q * (1 - k)), c @ (q * q + k * (1 - q * q))
     return out
 
 
-def fit_blocks(ends, blocks: Callable[[], Iterator[tuple[np.ndarray, np.ndarray]]], n: int, centre: np.ndarray, iterations: int = 25) -> tuple[np.ndarray, float]:
-    """``fit_points`` of n points around ``centre`` that come as blocks (x, y), anew in every round: one block is worked at a time."""
+def fit_blocks(ends, blocks: Callable[[], Iterator[tuple[np.ndarray, ...]]], n: int, centre: np.ndarray, iterations: int = 25) -> tuple[np.ndarray, float]:
+    """``fit_points`` of n points around ``centre`` that come as blocks (x, y, and weights if there are any), anew in every round: one block is worked at a time."""
 
     def terms(trial):
         held = PULL / n * (np.hypot(*(trial[:2] - centre)) + np.hypot(*(trial[2:] - centre)))
         sums = np.zeros((3, len(SUMS)))
-        for x, y in blocks():
-            for i in range(0, len(x), STRIP):
-                sums += _strip_sums(trial, held, x[i : i + STRIP], y[i : i + STRIP])
+        for block in blocks():
+            for i in range(0, len(block[0]), STRIP):
+                sums += _strip_sums(trial, held, *[k[i : i + STRIP] for k in block])
         cost, grad, bend = normal_terms(sums[None], trial[None], centre[None], np.array([n]))
         return float(cost[0]), bend[0], grad[0]
 

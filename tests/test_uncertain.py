@@ -190,3 +190,19 @@ def test_a_resampling_draws_the_whole_mass(spark):
         assert (rows[k].mx, rows[k].my) == pytest.approx(tuple(xy.mean(0))) and rows[k].sxy == pytest.approx((xy[:, 0] * xy[:, 1]).mean())
         off = uncertain.fit_points([0.0, 0.0, 3.0, 1.0], xy)[0] - (0.0, 0.0, 3.0, 1.0)
         assert rows[k].c0xx == pytest.approx(off[0] ** 2, rel=1e-3) and rows[k].c1yy == pytest.approx(off[3] ** 2, rel=1e-3)
+
+
+def test_equal_points_under_noise_are_drawn_once(spark, monkeypatch):
+    rows = [(*r, i, r[1] * 0.5 + 1, r[2] - 2.0) for i, r in enumerate(walls(np.random.default_rng(5), 40))]
+    points = spark.createDataFrame(rows, "k long, wx double, wy double, i long, sx double, sy double").withColumn("w", F.explode(F.array(*[F.lit(1)] * 3)))
+    segments = spark.createDataFrame([(k, *map(float, guess(k)[1:5]), 150) for k in range(5)], SEG)
+    some = points.select(draws.named(7, "k", "i").alias("n"), F.lit(4).alias("w")).withColumns(dict(zip("ab", draws.normals(F.col("n"), "w"), strict=True))).limit(5).collect()
+    x, y = uncertain.normal_digests([r.n for r in some], range(3, 6))
+    assert np.allclose(x[:, 1], [r.a for r in some]) and np.allclose(y[:, 1], [r.b for r in some])
+    seen = []
+    monkeypatch.setattr(uncertain, "_fit_drawn", lambda noisy, *a, f=uncertain._fit_drawn: seen.append(noisy.count()) or f(noisy, *a))
+    monkeypatch.setattr(uncertain, "TOGETHER", 3)
+    got = {r.k: np.array(r[1:]) for r in uncertain.sensor_uncertainty(points, segments, ["k"], ["i"], 4).collect()}
+    assert seen == [len(rows)] * 2  # two batches of samples, of a row for each three equal points
+    by_sums = {r.k: np.array(r[1:]) for r in uncertain.sensor_uncertainty(points, segments, ["k"], ["i"], 4, held=0).collect()}
+    assert set(got) == set(by_sums) == set(range(4)) and all(np.allclose(got[k], by_sums[k], rtol=1e-3, atol=1e-5) for k in got)
